@@ -1,0 +1,6 @@
+"""Every registered query of the library with its oracle SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
