@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_B
     """Slices of the batches of about ``limit`` bytes of text, with their texts (null: empty)."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        sizes = pa.compute.binary_length(batch.column(at)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(at)).fill_null(0).to_pylist()
         begin, total = 0, 0
         for i, n in enumerate(sizes):
             if i > begin and total + n > limit:
