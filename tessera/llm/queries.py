@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe
+from tessera.llm import bpe, decontaminate, rules, simhash
 
 QUERIES = {
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+    "op3_benchmark_overlap": decontaminate.op3_benchmark_overlap,
+    "op8_simhash_near_duplicates": simhash.op8_simhash_near_duplicates,
+    "op10_quality_rules": rules.op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_quality_rules": rules.ORACLE}
