@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import shared
+from tessera.llm import shared, stages
 
-STAGES: list = []
+#: Name and function of each stage; a function takes (spark, docs, sf_dir).
+STAGES = [
+    ("quality_rules", stages.quality_rules),
+    ("quality_classifier", stages.quality_classifier),
+    ("near_duplicates", stages.near_duplicates),
+    ("decontamination", stages.decontamination),
+    ("byte_pairs", stages.byte_pairs),
+]
 #: The learned stages can't be expressed in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 

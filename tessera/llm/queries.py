@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, rules, simhash
+from tessera.llm import bpe, decontaminate, quality, rules, simhash, toxicity
 
 QUERIES = {
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op3_benchmark_overlap": decontaminate.op3_benchmark_overlap,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_simhash_near_duplicates": simhash.op8_simhash_near_duplicates,
     "op10_quality_rules": rules.op10_quality_rules,
 }
