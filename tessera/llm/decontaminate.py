@@ -293,8 +293,10 @@ def overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, unchanged. Texts are judged in place: a row
-    goes through with its columns, and nothing is joined back."""
+    """The rows of ``docs`` that aren't contaminated, unchanged.
+
+    The texts that go are found first and written by hash; only if they are few are they broadcast.
+    """
     columns = docs.columns
     bad = overlap(docs.select(F.xxhash64(F.col(text)).alias("__of"), F.col(text)), benchmark, text, "__of").filter("contaminated")
     bad = shared.written(bad.select("__of").distinct(), "contaminated")
