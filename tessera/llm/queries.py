@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, quality, rules, simhash, toxicity
+from tessera.llm import bpe, chat, decontaminate, html_text, quality, rules, simhash, tokencount, tokenfile, toxicity
 
 QUERIES = {
+    "op1_token_counts": tokencount.op1_token_counts,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op3_benchmark_overlap": decontaminate.op3_benchmark_overlap,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_simhash_near_duplicates": simhash.op8_simhash_near_duplicates,
+    "op9_token_file": tokenfile.op9_token_file,
     "op10_quality_rules": rules.op10_quality_rules,
 }
+#: The other queries are held against brute force, exact round trips or held-out labels by tests.
 ORACLES: dict[str, str] = {"op10_quality_rules": rules.ORACLE}
