@@ -49,7 +49,7 @@ def with_metadata(rows: DataFrame) -> DataFrame:
 
 def source_type(rows: DataFrame) -> Column:
     """email, calendar or document, by name and, for JSON, by the keys of the first object."""
-    head = F.decode(F.substring("content", 1, SNIFFED), "utf-8")
+    head = F.make_valid_utf8(F.substring("content", 1, SNIFFED).cast("string"))
     parsed = F.try_parse_json(head)
     has = lambda k: F.try_variant_get(parsed, f"$.{k}", "string").isNotNull() | F.try_variant_get(parsed, f"$[0].{k}", "string").isNotNull()
     some = lambda k: F.regexp_like(head, F.lit(rf'^\s*[\[{{]?[\s\S]*?"{k}"\s*:'))
