@@ -192,7 +192,9 @@ def _cut(text: str, special: dict[str, int]) -> list[tuple[str, int]]:
 @cache
 def encoder(path: str) -> Encoder:
     """One encoder per worker and vocabulary."""
-    return Encoder(path)
+    found = Encoder(path)
+    shared.FORGETTABLE.append(found.forget)
+    return found
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
@@ -211,7 +213,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*rows_.columns[:-1], lists], names=[*rows_.schema.names[:-1], ids])
 
-    return rows.mapInArrow(run, schema)
+    return shared.mapped(rows, run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -235,7 +237,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
                 of_text.append(hashlib.sha256(enc.decode(part).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([rows_.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return shared.mapped(rows, run, f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

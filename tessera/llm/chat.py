@@ -71,28 +71,28 @@ def _written(df: DataFrame) -> DataFrame:
 def paths(messages: DataFrame, written=_written) -> DataFrame:
     """tree, leaf, depth, node of all root-to-leaf paths of messages (tree, node, parent).
 
-    A root has a null parent. Each round joins the frontier with its replies; it is written to the
-    shared folder, so that the plan doesn't grow with the depth. Messages whose parent is missing
-    aren't reached. A path repeats its inner nodes for each of its leaves.
+    A root has a null parent. Each round doubles the paths upwards: what is known of a path is joined
+    with the ancestors that lie as far above, and those with themselves, so that a chain of a
+    thousand replies takes ten rounds; each round is written to the shared folder. Messages below a
+    missing parent, or in a circle, have no path. A path repeats its inner nodes for each leaf.
     """
     links = messages.select("tree", "node", "parent")
-    replies = links.filter("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p"), F.col("node").alias("child"))
-    parents = replies.select(F.col("t").alias("tree"), F.col("p").alias("node")).distinct()
-    leaves = links.join(parents, shared.same(links, parents, ["tree", "node"]), "left_anti")
-    # Upwards from the leaves: each step finds the parent of the node reached.
-    up = links.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("above"))
-    frontier = written(leaves.select("tree", F.col("node").alias("leaf"), F.lit(0).alias("height"), "node", "parent"))
-    rounds = [frontier]
-    while not frontier.filter("parent is not null").isEmpty():
-        open_ = frontier.filter("parent is not null")
-        step = open_.join(up, (open_["tree"] == up["t"]) & (open_["parent"] == up["n"]))
-        frontier = written(step.select("tree", "leaf", (F.col("height") + 1).alias("height"), F.col("n").alias("node"), F.col("above").alias("parent")))
-        rounds.append(frontier)
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.union(r)
-    rooted = out.filter("parent is null").select(F.col("tree").alias("t"), F.col("leaf").alias("l"), F.col("height").alias("h"))
-    return out.join(rooted, (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("l"))).select("tree", "leaf", (F.col("h") - F.col("height")).alias("depth"), "node")
+    up = links.filter("parent is not null").select("tree", "node", F.col("parent").alias("above"))
+    parents = up.select("tree", F.col("above").alias("node")).distinct()
+    found = links.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.lit(0).alias("height"), "node")
+    found, up, reach = written(found), written(up), 1
+    most = links.count()  # no path is longer, and circles end here
+    while reach <= most:
+        step = found.join(up, ["tree", "node"]).select("tree", "leaf", (F.col("height") + reach).alias("height"), F.col("above").alias("node"))
+        step = written(step)
+        if step.isEmpty():
+            break
+        found = found.union(step)
+        far = up.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
+        up, reach = written(up.join(far, ["tree", "above"]).select("tree", "node", F.col("top").alias("above"))), 2 * reach
+    roots = links.filter("parent is null").select("tree", "node")
+    tops = found.join(roots, ["tree", "node"]).groupBy("tree", "leaf").agg(F.max("height").alias("top"))
+    return found.join(tops, ["tree", "leaf"]).filter("height <= top").select("tree", "leaf", (F.col("top") - F.col("height")).alias("depth"), "node")
 
 
 def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -127,7 +127,7 @@ def format_paths(rows: DataFrame) -> DataFrame:
                 masks.append([list(m) for m in mask])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(masks, pa.list_(pa.list_(pa.int64())))], names=["tree", "leaf", "rank", "formatted", "loss_mask"])
 
-    return rows.select("tree", "leaf", "rank", "turns").mapInArrow(run, "tree long, leaf long, rank int, formatted string, loss_mask array<array<long>>")
+    return shared.mapped(rows.select("tree", "leaf", "rank", "turns"), run, "tree long, leaf long, rank int, formatted string, loss_mask array<array<long>>")
 
 
 def read_back(rows: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -145,7 +145,7 @@ def read_back(rows: DataFrame, key: str = "conv_id") -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[key, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return rows.select("tree", "formatted", "loss_mask").mapInArrow(run, f"`{key}` long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return shared.mapped(rows.select("tree", "formatted", "loss_mask"), run, f"`{key}` long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def reply_trees(turns: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ def _sent(docs: DataFrame, items: list[tuple[int, bytes]], key: str, span: int,
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return docs.mapInArrow(run, f"`{key}` long, {_FOUND}")
+    return shared.mapped(docs, run, f"`{key}` long, {_FOUND}")
 
 
 def _fingerprint_rows(rows: DataFrame, key: str, span: int, gram: int, sizes: list[int], of_items: bool) -> DataFrame:
@@ -226,7 +226,7 @@ def _fingerprint_rows(rows: DataFrame, key: str, span: int, gram: int, sizes: li
                 columns = [keys[owner], np.full(len(owner), length), least.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2])], names=[key, "size", "fp"])
 
-    return rows.mapInArrow(run, f"`{key}` long, size long, fp long").distinct()
+    return shared.mapped(rows, run, f"`{key}` long, size long, fp long").distinct()
 
 
 def _joined(docs: DataFrame, items: DataFrame, key: str, span: int, gram: int) -> DataFrame:
@@ -242,7 +242,7 @@ def _joined(docs: DataFrame, items: DataFrame, key: str, span: int, gram: int) -
             n = np.diff(Words([t.encode() for t in texts]).first)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(n, span)), pa.int64())], names=["n"])
 
-    sizes = [r.n for r in items.select("__text").mapInArrow(counted, "n long").distinct().collect()]  # at most span + 1 rows
+    sizes = [r.n for r in shared.mapped(items.select("__text"), counted, "n long").distinct().collect()]  # at most span + 1 rows
     of_docs = _fingerprint_rows(docs.select("__row", "__text").dropDuplicates(["__row"]), "__row", span, gram, sizes, False)
     of_items = _fingerprint_rows(items.select("__item", "__text"), "__item", span, gram, sizes, True)
     pairs = of_docs.join(of_items, ["size", "fp"]).select("__row", "__item").distinct()
@@ -260,7 +260,7 @@ def _joined(docs: DataFrame, items: DataFrame, key: str, span: int, gram: int) -
                     out.append({"__row": r, "__id": i, "spans": spans})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("__row", pa.int64()), ("__id", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64())))]))
 
-    hits = full.select("__row", "__id", "__text", "__own").mapInArrow(extended, "__row long, __id long, spans array<array<long>>")
+    hits = shared.mapped(full.select("__row", "__id", "__text", "__own"), extended, "__row long, __id long, spans array<array<long>>")
     hits = hits.groupBy("__row").agg(F.collect_list("spans").alias("spans"), F.collect_set("__id").alias("ids"))
     rows = docs.join(hits, "__row", "left").select(key, "__text", F.flatten("spans").alias("spans"), "ids")
 
@@ -271,7 +271,7 @@ def _joined(docs: DataFrame, items: DataFrame, key: str, span: int, gram: int) -
             columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return rows.mapInArrow(summed, f"`{key}` long, {_FOUND}")
+    return shared.mapped(rows, summed, f"`{key}` long, {_FOUND}")
 
 
 def overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item: str = "item_id", span: int = SPAN_WORDS, gram: int = GRAM_WORDS, sent_bytes: int = SENT_BYTES) -> DataFrame:

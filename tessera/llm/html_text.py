@@ -154,7 +154,7 @@ def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("pa
             found = [model.extract(s) for s in sources]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=[*batch.schema.names[:-1], text, "n_chars"])
 
-    return rows.mapInArrow(run, schema)
+    return shared.mapped(rows, run, schema)
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,15 +167,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 def scored(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
     """``keep`` and the probability of label 1 for every row: whole texts, null as empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1]) + f"`{score}` double"
+    rows = docs.select(*keep, *([] if text in keep else [text]))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keep)]) + f"`{score}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in shared.bounded(batches, "__text", 1 << 20):
+        for batch, texts in shared.bounded(batches, text):
             found = held.value.score([t.encode() for t in texts])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*batch.schema.names[:-1], score])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], names=[*keep, score])
 
-    return rows.mapInArrow(run, schema)
+    return shared.mapped(rows, run, schema)
 
 
 def learners(table: DataFrame, folds: int, held: int, key: str = "doc_id") -> DataFrame:
@@ -187,8 +187,7 @@ def kept(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc
     """The rows of ``docs`` with a score of ``least`` or more, unchanged."""
     model = fit(docs, learners(labels, 3, 1, key), text=text, key=key)
     columns = docs.columns
-    whole = docs.withColumn("__whole", F.col(text))
-    found = scored(whole, model, "__whole", tuple(columns), "__score")
+    found = scored(docs, model, text, tuple(columns), "__score")
     return found.filter(F.col("__score") >= least).select(*columns)
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -14,7 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; a longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch, unless the session says otherwise: batches exist in the JVM and in Python, on
+#: both ways, for each task.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +71,36 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_B
             yield piece, [t or "" for t in piece.column(at).to_pylist()]
 
 
+#: What workers remember between batches; emptied when a task ends.
+FORGETTABLE: list = []
+
+
+def _release() -> None:
+    """Gives memory back to the system: idle Python workers live as long as their executor."""
+    for forget in FORGETTABLE:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim keeps it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` whose workers keep no memory when a task ends."""
+
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) in (None, "67108864b", "67108864", "64MB", "64m"):  # Spark's own
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(task, schema)
+
+
 def fits(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> bool:
     """Whether ``df``, counted, stays below ``limit`` bytes; only then may it be broadcast."""
     return df.limit(limit // row_bytes + 1).count() <= limit // row_bytes

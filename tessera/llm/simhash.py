@@ -42,14 +42,19 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Key and fingerprint (as signed long) of every row; a null text counts as empty."""
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("__text"))
+    return _fingerprinted(docs, text, [F.col(key).cast("long").alias(key)])
+
+
+def _fingerprinted(docs: DataFrame, text: str, keep: list) -> DataFrame:
+    rows = docs.select(*keep, F.col(text).alias("__text"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1]) + "fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in shared.bounded(batches, "__text"):
             found = np.fromiter((fingerprint(t.encode()) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
-    return rows.mapInArrow(run, f"`{key}` long, fp long")
+    return shared.mapped(rows, run, schema)
 
 
 def signatures(fps: DataFrame) -> DataFrame:
@@ -151,7 +156,7 @@ def _crowded_links(rows: DataFrame, max_bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "k", "m", "bit", "o"])
 
     rows = rows.select(F.col("a").alias("k"), F.col("b").alias("fp")).distinct()
-    keyed = rows.mapInArrow(variants, "fp long, k long, m long, bit long, o long")
+    keyed = shared.mapped(rows, variants, "fp long, k long, m long, bit long, o long")
     keys = ["k", "m", "bit", "o"]
     least = keyed.groupBy(*keys).agg(F.min("fp").alias("root"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return keyed.join(least, keys).filter("fp != root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
@@ -165,7 +170,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     spark = fps.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = signatures(fps.select("fp").distinct()).select("k", "fp")
-    found = rows.repartition(n, "k").sortWithinPartitions("k", "fp").mapInArrow(_compared(max_bits), "a long, b long, crowded boolean")
+    found = shared.mapped(rows.repartition(n, "k").sortWithinPartitions("k", "fp"), _compared(max_bits), "a long, b long, crowded boolean")
     found = shared.written(found, "links")
     near = found.filter("not crowded").select("a", "b")
     crowded = found.filter("crowded")
@@ -195,17 +200,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay: one for each component, that of the least key.
 
-    Where rows repeat that key, the first text in order stays.
+    Where several rows have that key, the first text in order stays; of components of null keys
+    only, one row for each fingerprint. The keys that go are found first: if they are few they are
+    broadcast and no text is shuffled, else texts and keys are joined.
     """
     found = shared.written(near_duplicates(docs, text, key, max_bits), "components")
-    keep = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("n"))
-    keep = shared.written(keep, "kept")
-    again = keep.filter("n > 1").drop("n")
-    once = docs.join(keep.filter("n = 1").drop("n"), docs[key].eqNullSafe(keep[key]), "left_semi")
+    again = shared.written(found.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "again")
+    gone = found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(key)
+    gone = shared.written(gone.union(again).distinct(), "gone").withColumnRenamed(key, "__gone")
+    few = F.broadcast(gone) if shared.fits(gone, 64) else gone
+    once = docs.join(few, docs[key].eqNullSafe(few["__gone"]), "left_anti")
     if again.isEmpty():
         return once
+    # Keys of more than one row: which of the rows is meant, the fingerprint tells.
     rest = docs.join(again, docs[key].eqNullSafe(again[key]), "left_semi")
-    least = rest.groupBy(key).agg(F.min(F.struct(F.col(text).alias("t"), *[F.col(c) for c in docs.columns])).alias("r"))
+    row = F.struct(F.col(text).alias("__t"), *[F.col(c) for c in docs.columns])
+    rest = _fingerprinted(rest.withColumn("__whole", F.col(text)).withColumn("__row", row), "__whole", [F.col(key).alias("__key"), F.col("__row")])
+    kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k"), "fingerprint").distinct()
+    rest = rest.withColumn("__f", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    rest = rest.join(kept, rest["__key"].eqNullSafe(kept["__k"]) & (rest["__f"] == kept["fingerprint"]), "left_semi")
+    # One row a key: of equal keys those of the least text; null keys by fingerprint.
+    least = rest.groupBy("__key", F.when(F.col("__key").isNull(), F.col("__f")).alias("__g")).agg(F.min("__row").alias("r"))
     return once.unionByName(least.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
 
 

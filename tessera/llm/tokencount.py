@@ -103,7 +103,7 @@ def section_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "d
                 found.append(allocated(first[a:b], end[a:b], bounds, rule))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.float64()))], names=[key, "n_tokens", "section_starts", "section_tokens"])
 
-    return rows.mapInArrow(run, f"`{key}` long, n_tokens long, section_starts array<long>, section_tokens array<double>")
+    return shared.mapped(rows, run, f"`{key}` long, n_tokens long, section_starts array<long>, section_tokens array<double>")
 
 
 def field_tokens(rows: DataFrame, fields: list[str], path: str, key: str = "doc_id", rule: str = "most", between: str = "\n") -> DataFrame:
@@ -126,7 +126,7 @@ def field_tokens(rows: DataFrame, fields: list[str], path: str, key: str = "doc_
             columns = np.array(found).reshape(len(texts), len(fields)).T
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *(pa.array(c) for c in columns)], names=[key, "n_tokens", *(f"tokens_{f}" for f in fields)])
 
-    return table.mapInArrow(run, f"`{key}` long, n_tokens long, " + ", ".join(f"`tokens_{f}` double" for f in fields))
+    return shared.mapped(table, run, f"`{key}` long, n_tokens long, " + ", ".join(f"`tokens_{f}` double" for f in fields))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

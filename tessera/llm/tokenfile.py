@@ -105,7 +105,9 @@ class WordEncoder:
 
 @cache
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    found = WordEncoder(path)
+    shared.FORGETTABLE.append(found.forget)
+    return found
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -230,7 +232,7 @@ def encoded(docs: DataFrame, path: str, end: int, text: str = "text", key: str =
             column = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), data])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(counts), width, np.int32)), column], names=["key", "width", "ids"])
 
-    return rows.mapInArrow(run, "key long, width int, ids binary")
+    return shared.mapped(rows, run, "key long, width int, ids binary")
 
 
 def _ids(width: int, blob: bytes) -> np.ndarray:
@@ -254,7 +256,7 @@ def global_counts(rows: DataFrame, size: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    sums = rows.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    sums = shared.mapped(rows.select("width", "ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[sums.column("id").to_numpy()] = sums.column("n").to_numpy()
     return out
@@ -304,7 +306,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, tex
     # Ranges are cut by key, and by ids where many rows share a key.
     ordered = rows.repartitionByRange(n, F.asc_nulls_first("key"), "ids").sortWithinPartitions(F.asc_nulls_first("key"), "ids")
     ordered = ordered.select("key", "width", "ids", F.spark_partition_id().alias("shard"))
-    ordered.mapInArrow(run, "shard int, block long, n_tokens long, payload binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    shared.mapped(ordered, run, "shard int, block long, n_tokens long, payload binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 def read_tokens(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
@@ -330,7 +332,7 @@ def read_tokens(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFr
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(first + ends - counts), lists], names=[key, "start", "ids"])
 
-    return blocks.select("shard", "payload").mapInArrow(run, f"`{key}` long, start long, ids array<int>")
+    return shared.mapped(blocks.select("shard", "payload"), run, f"`{key}` long, start long, ids array<int>")
 
 
 def digests(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -345,7 +347,7 @@ def digests(rows: DataFrame, key: str = "doc_id") -> DataFrame:
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    return rows.select(key, "start", "ids").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return shared.mapped(rows.select(key, "start", "ids"), run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def counts(labelled: DataFrame) -> DataFrame:
                 part = at[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), y)), pa.array(part), pa.array(total[y][part])], names=["y", "code", "n"])
 
-    found = labelled.select("__y", "__text").mapInArrow(run, "y long, code long, n long")
+    found = shared.mapped(labelled.select("__y", "__text"), run, "y long, code long, n long")
     return found.groupBy("y", "code").agg(F.sum("n").alias("n"))
 
 
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.round(x[:, i] * BINS).astype(np.int64)) for i in (0, 1))], names=["y", "a", "b"])
 
     rest = labelled(docs, labels.filter(quarter == 0), label, text, key)
-    bins = rest.select("__y", "__text").mapInArrow(measured, "y long, a long, b long").groupBy("y", "a", "b").count().toArrow()
+    bins = shared.mapped(rest.select("__y", "__text"), measured, "y long, a long, b long").groupBy("y", "a", "b").count().toArrow()
     y, a, b, n = (bins.column(c).to_numpy().astype(np.float64) for c in ("y", "a", "b", "count"))
     if len(set(y.tolist())) < 2:
         y, a, b, n = np.array([0.0, 1]), np.array([-0.2, 0.2]) * BINS, np.array([-0.2, 0.6]) * BINS, np.ones(2)
@@ -217,7 +217,7 @@ def scored(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = (
         for batch, texts in shared.bounded(batches, "__text"):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(texts))], names=[*batch.schema.names[:-1], score])
 
-    return rows.mapInArrow(run, schema)
+    return shared.mapped(rows, run, schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
