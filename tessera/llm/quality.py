@@ -171,7 +171,7 @@ def scored(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = (
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keep)]) + f"`{score}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in shared.bounded(batches, text):
+        for batch, texts in shared.bounded(batches, text, 1 << 18):
             found = held.value.score([t.encode() for t in texts])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], names=[*keep, score])
 

@@ -24,10 +24,11 @@ from tessera.llm.pieces import SPACE, classes, code_points
 ORDER, BITS = 4, 5
 CELLS = 1 << (ORDER * BITS)
 DISCOUNT = 0.75
-#: Symbols of a segment; a text is judged by its most toxic segments as well as on the whole.
-SEGMENT = 256
-#: Steps a nat in which features are counted for the calibration, and where they are cut off.
-BINS, REACH = 64, 2.0
+#: Symbols of segments: a text is judged by its most toxic segments of both sizes and on the whole.
+SEGMENTS = (64, 24)
+#: Steps a nat in which each feature is counted for the calibration, and where it is cut off: at most
+#: 257 * 97 * 97 cells of each label, whatever the corpus.
+STEPS, REACH = np.array([256, 16, 16]), np.array([0.5, 3.0, 3.0])
 
 
 @cache
@@ -113,33 +114,33 @@ def log_ratio(count: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
 
 
 def features(texts: list[str], ratio: np.ndarray) -> np.ndarray:
-    """For each text the length-normalised log-likelihood ratio of the whole, and the largest of
-    its segments; without symbols both are zero."""
+    """For each text the length-normalised log-likelihood ratio of the whole, and the largest of its
+    segments of each size; without symbols all are zero."""
     code, n = grams(texts)
-    r = ratio[code].astype(np.float64)
-    total = np.concatenate([[0.0], np.cumsum(r)])
+    total = np.concatenate([[0.0], np.cumsum(ratio[code].astype(np.float64))])
     ends = np.cumsum(n)
-    out = np.zeros((len(texts), 2))
+    out = np.zeros((len(texts), 1 + len(SEGMENTS)))
     some = n > 0
     out[some, 0] = (total[ends] - total[ends - n])[some] / n[some]
-    # Segments overlap by half; a shorter text is one segment, normalised as if it were whole.
+    # Segments overlap by half; a shorter text is one segment, of half the size at least.
     for i in np.flatnonzero(some).tolist():
         begin, end = int(ends[i] - n[i]), int(ends[i])
-        at = np.arange(begin, max(begin + 1, end - SEGMENT // 2), SEGMENT // 2)
-        stop = np.minimum(at + SEGMENT, end)
-        out[i, 1] = ((total[stop] - total[at]) / np.maximum(stop - at, SEGMENT // 2)).max()
+        for k, size in enumerate(SEGMENTS, 1):
+            at = np.arange(begin, max(begin + 1, end - size // 2), size // 2)
+            stop = np.minimum(at + size, end)
+            out[i, k] = ((total[stop] - total[at]) / np.maximum(stop - at, size // 2)).max()
     return out
 
 
 class Model:
-    """The ratio table and a logistic calibration of the two features."""
+    """The ratio table and a logistic calibration of the features."""
 
     def __init__(self, ratio: np.ndarray, weights: np.ndarray):
         self.ratio, self.weights = ratio, weights
 
     def score(self, texts: list[str]) -> np.ndarray:
         x = features(texts, self.ratio)
-        z = x @ self.weights[:2] + self.weights[2]
+        z = x @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -195,15 +196,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in shared.bounded(batches, "__text"):
-            x = np.clip(features(texts, held.value), -REACH, REACH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.round(x[:, i] * BINS).astype(np.int64)) for i in (0, 1))], names=["y", "a", "b"])
+            x = np.round(np.clip(features(texts, held.value), -REACH, REACH) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], names=["y", "a", "b", "c"])
 
     rest = labelled(docs, labels.filter(quarter == 0), label, text, key)
-    bins = shared.mapped(rest.select("__y", "__text"), measured, "y long, a long, b long").groupBy("y", "a", "b").count().toArrow()
-    y, a, b, n = (bins.column(c).to_numpy().astype(np.float64) for c in ("y", "a", "b", "count"))
-    if len(set(y.tolist())) < 2:
-        y, a, b, n = np.array([0.0, 1]), np.array([-0.2, 0.2]) * BINS, np.array([-0.2, 0.6]) * BINS, np.ones(2)
-    return Model(ratio, calibrated(np.stack([a, b], 1) / BINS, y, n))
+    bins = shared.mapped(rest.select("__y", "__text"), measured, "y long, a long, b long, c long").groupBy("y", "a", "b", "c").count().toArrow()
+    y, *x, n = (bins.column(c).to_numpy().astype(np.float64) for c in ("y", "a", "b", "c", "count"))
+    x = np.stack(x, 1) / STEPS
+    if len(set(y.tolist())) < 2:  # too few labels to calibrate by: halfway between usual values
+        y, x, n = np.array([0.0, 1]), np.array([[-0.1, 0.1, 0.3], [0.1, 0.6, 1.1]]), np.full(2, 20.0)
+    return Model(ratio, calibrated(x, y, n))
 
 
 def scored(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
