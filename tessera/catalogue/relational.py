@@ -122,3 +122,63 @@ def token_lookup(t):
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY 1, 2""")
 def pricing_summary(t):
     return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("""SELECT o_orderkey AS id, 1 AS version, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at FROM orders WHERE o_orderkey <= 100""")
+def history_versions(t):
+    rows = t("orders").filter("o_orderkey <= 100").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"), F.lit("completed").alias("processing_status"))
+    return api.history(rows).select("id", F.explode("versions").alias("v")).select("id", "v.version", "v.created_at")
+
+
+@query("""SELECT d.doc_id, d.source, l.quality FROM documents d JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id) WHERE d.lang = 'de' AND l.quality = 0""")
+def filtered_semantic_join(t):
+    best = t("labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 0")
+    return t("documents").filter("lang = 'de'").select("doc_id", "source").join(best, "doc_id")
+
+
+@query("""SELECT n_name, r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
+def customers_by_nation(t):
+    joined = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy("n_name", "r_name").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("""WITH f AS (SELECT doc_id, lang, source FROM documents WHERE doc_id % 2 = 0), s AS (SELECT doc_id, lang || '!' AS lang, source || '!' AS source FROM documents WHERE doc_id % 3 = 0)
+SELECT coalesce(f.doc_id, s.doc_id) AS doc_id, coalesce(s.lang, f.lang) AS lang, coalesce(f.source, s.source) AS source FROM f FULL OUTER JOIN s ON f.doc_id = s.doc_id""")
+def record_upsert_some_columns(t):
+    d = t("documents").select("doc_id", "lang", "source")
+    new = d.filter("doc_id % 3 = 0").select("doc_id", F.concat("lang", F.lit("!")).alias("lang"), F.concat("source", F.lit("!")).alias("source"))
+    return dedup.upsert(new, d.filter("doc_id % 2 = 0"), ["doc_id"], ["lang"])
+
+
+@query("""SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events WHERE event_type = 'signup') - INTERVAL 3 DAY AND ts > TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1, 2""")
+def since_watermark(t):
+    from tessera.sources.files import since
+
+    events = t("events")
+    mark = events.filter("event_type = 'signup'").agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).alias("m"))
+    state = mark.select((F.greatest("m", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))).alias("last_crawl_at"))
+    return since(events, "ts", state).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, turn, i AS word_index, w AS word FROM (SELECT conv_id, turn, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations WHERE turn = 0))""")
+def array_positions(t):
+    from tessera.sources.sinks import positions
+
+    rows = t("conversations").filter("turn = 0").select("conv_id", "turn", F.split("text", " ").alias("ws"))
+    return positions(rows, "ws", "word_index", "word").withColumn("word_index", F.col("word_index").cast("long"))
+
+
+@query("""SELECT 'copy' AS job, count(*) AS n FROM documents""")
+def lineage_by_job(t):
+    from tessera.sources import sinks
+
+    events = sinks.lineage(t("documents"), "copy", F.col("source"), F.col("doc_id").cast("string"), F.lit("2024-01-01").cast("timestamp"))
+    return sinks.lineage_counts(events)
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey = 5 THEN 'failed' ELSE 'pending' END AS processing_status, CASE WHEN o_orderkey = 5 THEN 'bad' END AS error_message FROM orders WHERE o_orderkey < 50""")
+def status_update(t):
+    from tessera.sources import sinks
+
+    rows = t("orders").filter("o_orderkey < 50").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("pending").alias("processing_status"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("timestamp").alias("processed_at"))
+    return sinks.set_status(rows, "id", "5", "failed", "bad", "2024-01-01 00:00:00").drop("processed_at")

@@ -143,3 +143,42 @@ def chunk_contiguity(t):
 def schedule_extract(t):
     line = F.concat(F.lit("Ngày 01/06/2026\n08:30-09:00 | "), F.substring("text", 1, 20))
     return schedule.extract(t("documents").select("doc_id", line.alias("text")), "text", "doc_id").select("document_id", "name", "status", "duration_minutes")
+
+
+@query("""SELECT c_custkey, c_name AS name, lower(replace(c_name, '#', '')) || '@x.org' AS email FROM customer""")
+def sender_parse(t):
+    raw = F.concat(F.lit('"'), "c_name", F.lit('" <'), F.replace("c_name", F.lit("#"), F.lit("")), F.lit("@X.org>"))
+    return t("customer").select("c_custkey", text.clean_sender(raw).alias("s")).select("c_custkey", "s.name", "s.email")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'image' ELSE 'unknown' END AS category, CASE p_partkey % 3 WHEN 0 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime,
+'part_' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.jpeg' ELSE '' END AS normalized FROM part""")
+def file_names(t):
+    end = F.when(F.col("p_partkey") % 3 == 0, ".PDF").when(F.col("p_partkey") % 3 == 1, ".jpeg").otherwise("")
+    name = F.concat(F.lit("part "), F.col("p_partkey").cast("string"), end)
+    return t("part").select("p_partkey", text.file_category(name).alias("category"), text.media_type(name).alias("mime"), text.normalize_filename(name).alias("normalized"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+07:00' AS received FROM orders""")
+def mail_dates(t):
+    raw = F.concat(F.date_format("o_orderdate", "d MMM yyyy HH:mm:ss"), F.lit(" +0700"))
+    return t("orders").select("o_orderkey", text.clean_date(F.concat(F.lit("Mon, "), raw)).alias("received"))
+
+
+@query("""SELECT conv_id, turn, trim(regexp_replace(replace(text, chr(10), ' '), '\\s+', ' ', 'g')) AS subject FROM conversations""")
+def subject_clean(t):
+    return t("conversations").select("conv_id", "turn", text.clean_subject(F.col("text")).alias("subject"))
+
+
+@query("""SELECT doc_id, md5(replace(replace(replace(text, '&', '*'), chr(10), '-'), '%', '1,234')) AS before, md5(replace(replace(replace(text, '&', '*'), chr(10), '-'), '%', '1234')) AS numbers FROM documents WHERE NOT regexp_matches(text, '[0-9]')""")
+def number_normalize(t):
+    c = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("*")), F.lit("\n"), F.lit("-")), F.lit("%"), F.lit("1,234"))
+    return t("documents").filter(~F.col("text").rlike("[0-9]")).select("doc_id", F.md5(c).alias("before"), F.md5(text.normalize_numbers(c)).alias("numbers"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'email_id is empty' ELSE '' END AS errors, CASE WHEN doc_id % 5 = 0 THEN 'sender is empty' ELSE '' END AS warnings FROM documents""")
+def metadata_validation(t):
+    key = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("doc_id").cast("string"))
+    none = F.array().cast("array<struct<id:string,filename:string,size:bigint>>")
+    v = enrich.metadata_validation(key, F.col("source"), F.when(F.col("doc_id") % 5 != 0, "x"), none)
+    return t("documents").select("doc_id", v.alias("v")).select("doc_id", F.array_join("v.errors", ";").alias("errors"), F.array_join("v.warnings", ";").alias("warnings"))
