@@ -93,7 +93,7 @@ def graph_from_tables(t):
     return gold.statistics(built["gold_nodes"], built["gold_edges"])
 
 
-@query("""SELECT user_id AS trace_id, count(*) AS n_calls, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS tokens, round(sum(value), 4) AS cost FROM events GROUP BY user_id""")
+@query("""SELECT user_id AS trace_id, count(*) AS n_calls, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens, round(sum(value), 4) AS cost FROM events GROUP BY user_id""")
 def trace_totals(t):
     rows = t("events").select(F.col("user_id").alias("trace_id"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.col("value").alias("cost"))
     traces = rows.select("trace_id").distinct()
@@ -101,7 +101,7 @@ def trace_totals(t):
     return trace.totals(rows, steps, traces).select("trace_id", "n_calls", "tokens", F.round("cost", 4).alias("cost"))
 
 
-@query("""SELECT user_id AS trace_id, CAST(floor(event_id / 10) AS BIGINT) AS call_id, CASE WHEN count_if(event_type <> 'click' AND event_type = 'error') > 0 THEN 'failed' WHEN count_if(event_type NOT IN ('click', 'view')) > 0 THEN 'success' ELSE 'retrying' END AS status, count_if(event_type = 'view') AS retry_count
+@query("""SELECT user_id AS trace_id, CAST(floor(event_id / 10) AS BIGINT) AS call_id, CASE WHEN count_if(event_type <> 'click' AND event_type = 'error') > 0 THEN 'failed' WHEN count_if(event_type NOT IN ('click', 'view')) > 0 THEN 'success' ELSE 'retrying' END AS status, CAST(count_if(event_type = 'view') AS BIGINT) AS retry_count
 FROM events GROUP BY 1, 2 HAVING count_if(event_type = 'error') = count_if(event_type NOT IN ('click', 'view')) OR count_if(event_type = 'error') = 0""")
 def trace_tool_calls(t):
     """Events as calls: a click starts one, a view retries it, the rest complete it (an error fails it)."""

@@ -27,12 +27,12 @@ def dataset_quality_metrics(t):
     return quality.dataset_metrics(t("documents"), ["text", "lang"], ["doc_id", "text"])
 
 
-@query("""SELECT count(*) AS n_rows, count_if(l.doc_id IS NULL) AS orphans, round(count(l.doc_id) / greatest(count(*), 1), 6) AS integrity FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""")
+@query("""SELECT count(*) AS n_rows, CAST(count_if(l.doc_id IS NULL) AS BIGINT) AS orphans, round(count(l.doc_id) / greatest(count(*), 1), 6) AS integrity FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""")
 def referential_integrity(t):
     return quality.integrity(t("documents"), "doc_id", t("labels"), "doc_id")
 
 
-@query("""SELECT count(*) AS total, count_if(len(embedding) = 64) AS valid, count_if(len(embedding) <> 64) AS invalid_dim, 0 AS corrupt, count_if(embedding IS NULL) AS null_vectors, CASE WHEN count_if(len(embedding) = 64) / greatest(count(*), 1) > 0.9 THEN 'good' ELSE 'degraded' END AS health FROM embeddings""")
+@query("""SELECT count(*) AS total, CAST(count_if(len(embedding) = 64) AS BIGINT) AS valid, CAST(count_if(len(embedding) <> 64) AS BIGINT) AS invalid_dim, CAST(0 AS BIGINT) AS corrupt, CAST(count_if(embedding IS NULL) AS BIGINT) AS null_vectors, CASE WHEN count_if(len(embedding) = 64) / greatest(count(*), 1) > 0.9 THEN 'good' ELSE 'degraded' END AS health FROM embeddings""")
 def embedding_validation(t):
     return quality.embedding_validation(t("embeddings"), "embedding", 64)
 

@@ -5,17 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None):
-    """Registers a function (tables) -> DataFrame under its name; ``tables`` reads a table by name."""
+def query(oracle: str | None = None, longs: tuple[str, ...] = ()):
+    """Registers a function (tables) -> DataFrame under its name; ``tables`` reads a table by name.
+
+    Columns ``longs`` are widened to the type that the oracle has.
+    """
 
     def register(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            df = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return df.withColumns({c: F.col(c).cast("long") for c in longs}) if longs else df
 
         QUERIES[f.__name__] = run
         if oracle:

@@ -11,7 +11,7 @@ from tessera.plans import api
 
 
 @query("""SELECT doc_id AS id, source, lang AS language, length(text) AS content_length FROM documents
-WHERE lang = 'en' AND (text ILIKE '%the%' OR source ILIKE '%the%') ORDER BY length(text) DESC NULLS LAST, doc_id LIMIT 20 OFFSET 20""")
+WHERE lang = 'en' AND (text ILIKE '%the%' OR source ILIKE '%the%') ORDER BY length(text) DESC NULLS LAST, doc_id LIMIT 20 OFFSET 20""", longs=("content_length",))
 def doc_list_page(t):
     docs = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", F.col("lang").alias("language"))
     rows, _ = api.list_documents(docs, number=2, q="the", sort_by="content_length", language="en")
@@ -29,7 +29,7 @@ def doc_counts_by_lang_source(t):
 
 
 @query("""SELECT doc_id AS id, sha256(text) AS checksum, length(sha256(text)) = 64 AS checksum_valid, coalesce(lang, '') <> '' AS language_detected,
-length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0 AS has_content, length(text) AS content_length, coalesce(source, '') <> '' AS has_source_id FROM documents""")
+length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0 AS has_content, length(text) AS content_length, coalesce(source, '') <> '' AS has_source_id FROM documents""", longs=("content_length",))
 def doc_quality_report(t):
     docs = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.sha2("text", 256).alias("checksum"), F.lit("completed").alias("processing_status"), F.lit(None).cast("string").alias("error_message"), F.col("lang").alias("language"), F.lit("text/plain").alias("mime_type"), F.col("source").alias("source_object_id"))
     return api.quality_report(docs).select("id", "checksum", "checksum_valid", "language_detected", "has_content", "content_length", "has_source_id")
@@ -58,9 +58,9 @@ def docs_with_good_label(t):
     return relational.present(t("documents").select("doc_id", "source"), t("labels").filter("quality = 1"), "doc_id")
 
 
-@query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT d.doc_id, d.source, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def bronze_silver_compare(t):
-    return t("documents").select("doc_id", "source").join(t("labels"), "doc_id", "left")
+    return t("documents").select("doc_id", "source").join(t("labels"), "doc_id", "left").fillna(-1, ["quality", "toxic"])
 
 
 @query("""SELECT event_id, user_id, event_type FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) = 3""")
@@ -68,8 +68,8 @@ def json_prop_filter(t):
     return t("events").filter(F.get_json_object("props", "$.k") == "3").select("event_id", "user_id", "event_type")
 
 
-@query("""SELECT count(*) AS n_rows, count_if(text IS NULL OR text = '') AS text_missing, round(count_if(text IS NULL OR text = '') * 100.0 / greatest(count(*), 1), 4) AS text_missing_pct,
-count_if(lang IS NULL OR lang = '') AS lang_missing, round(count_if(lang IS NULL OR lang = '') * 100.0 / greatest(count(*), 1), 4) AS lang_missing_pct FROM documents""")
+@query("""SELECT count(*) AS n_rows, CAST(count_if(text IS NULL OR text = '') AS BIGINT) AS text_missing, round(count_if(text IS NULL OR text = '') * 100.0 / greatest(count(*), 1), 4) AS text_missing_pct,
+CAST(count_if(lang IS NULL OR lang = '') AS BIGINT) AS lang_missing, round(count_if(lang IS NULL OR lang = '') * 100.0 / greatest(count(*), 1), 4) AS lang_missing_pct FROM documents""")
 def missing_rates(t):
     return relational.missing_rates(t("documents"), ["text", "lang"])
 
@@ -88,14 +88,14 @@ def recent_orders(t):
     return relational.top(t("orders").select("o_orderkey", "o_totalprice", "o_orderdate"), 50, F.desc_nulls_last("o_orderdate"), "o_orderkey")
 
 
-@query("SELECT conv_id, turn, role, length(text) AS chars FROM conversations WHERE conv_id = 7 ORDER BY turn")
+@query("SELECT conv_id, turn, role, length(text) AS chars FROM conversations WHERE conv_id = 7 ORDER BY turn", longs=("chars",))
 def thread_lookup(t):
     return t("conversations").filter("conv_id = 7").orderBy("turn").select("conv_id", "turn", "role", F.length("text").alias("chars"))
 
 
 @query("""SELECT source_count, processed_count, failed_count, skipped_count, CASE WHEN failed_count = 0 THEN 'success' ELSE 'partial' END AS status,
 (SELECT string_agg(CAST(user_id AS VARCHAR), '; ' ORDER BY event_id) FROM (SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 20)) AS first_errors
-FROM (SELECT count(*) AS source_count, count_if(event_type = 'purchase') AS processed_count, count_if(event_type = 'error') AS failed_count, count_if(event_type NOT IN ('purchase', 'error')) AS skipped_count FROM events)""")
+FROM (SELECT count(*) AS source_count, CAST(count_if(event_type = 'purchase') AS BIGINT) AS processed_count, CAST(count_if(event_type = 'error') AS BIGINT) AS failed_count, CAST(count_if(event_type NOT IN ('purchase', 'error')) AS BIGINT) AS skipped_count FROM events)""")
 def run_summary(t):
     return relational.run_summary(t("events"), "event_type", "user_id", "event_id", done="purchase", failed="error")
 
@@ -114,7 +114,7 @@ def insert_if_absent(t):
     return dedup.insert_if_absent(rows.filter("doc_id % 2 = 1"), rows.filter("doc_id % 2 = 0"), ["checksum"], "doc_id")
 
 
-@query("""SELECT doc_id, length(text) AS chars FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])worthless([^\\p{L}\\p{N}_]|$)')""")
+@query("""SELECT doc_id, length(text) AS chars FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])worthless([^\\p{L}\\p{N}_]|$)')""", longs=("chars",))
 def token_lookup(t):
     return t("documents").filter(F.array_contains(words(F.col("text")), "worthless")).select("doc_id", F.length("text").alias("chars"))
 

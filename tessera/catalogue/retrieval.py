@@ -27,7 +27,7 @@ def cosine_threshold(t):
     return rows.filter("score > 0.1").select("vec_id", "score")
 
 
-@query("""SELECT doc_id, length(text) AS chars FROM documents WHERE text ILIKE '%worthless%' OR source ILIKE '%worthless%' OR text ILIKE '%idiot%' OR source ILIKE '%idiot%' ORDER BY length(text) DESC NULLS LAST, doc_id LIMIT 10""")
+@query("""SELECT doc_id, length(text) AS chars FROM documents WHERE text ILIKE '%worthless%' OR source ILIKE '%worthless%' OR text ILIKE '%idiot%' OR source ILIKE '%idiot%' ORDER BY length(text) DESC NULLS LAST, doc_id LIMIT 10""", longs=("chars",))
 def keyword_search_ilike(t):
     docs = t("documents").withColumn("chars", F.length("text"))
     return search.keyword_search(docs, "worthless idiot?", ["text", "source"], [F.desc_nulls_last("chars"), F.asc("doc_id")]).select("doc_id", "chars")

@@ -27,7 +27,7 @@ def event_rate_5m(t):
     return _naive(telemetry.rate(_events(t), "ts", "event_type"), "window_start")
 
 
-@query(f"""SELECT {_W.format('5 minutes')} AS window_start, count(*) AS n, count_if(event_type = 'error') AS bad, round(count_if(event_type = 'error') / (count(*) + 1), 6) AS ratio FROM events GROUP BY 1""")
+@query(f"""SELECT {_W.format('5 minutes')} AS window_start, count(*) AS n, CAST(count_if(event_type = 'error') AS BIGINT) AS bad, round(count_if(event_type = 'error') / (count(*) + 1), 6) AS ratio FROM events GROUP BY 1""")
 def error_ratio(t):
     return _naive(telemetry.ratio(_events(t), "ts", F.col("event_type") == "error", smooth=1), "window_start")
 

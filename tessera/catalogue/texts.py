@@ -32,7 +32,7 @@ def clean_pages(t):
 
 @query(rf"""SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0 AS valid, length(text) AS length, length(text) - length(replace(text, chr(10), '')) + 1 AS line_count,
 round(length(regexp_replace(text, '[\x00-\x7f]', '', 'g')) / greatest(length(text), 1), 4) AS non_ascii_ratio, len(regexp_extract_all(text, '{WORD}+')) AS word_count,
-length(regexp_replace(text, '[\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g')) AS symbol_count FROM documents""")
+length(regexp_replace(text, '[\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g')) AS symbol_count FROM documents""", longs=("length", "line_count", "word_count", "symbol_count"))
 def raw_text_validation(t):
     return t("documents").select("doc_id", enrich.raw_text_validation(F.col("text")).alias("v")).select("doc_id", "v.valid", "v.length", "v.line_count", "v.non_ascii_ratio", "v.word_count", "v.symbol_count")
 
@@ -101,9 +101,9 @@ def content_type_rule(t):
     return t("documents").select("doc_id", enrich.content_type(F.col("source"), F.col("text")).alias("content_type"))
 
 
-@query(rf"""SELECT doc_id, len(s) AS sentence_count, CASE WHEN len(s) > 0 THEN round(list_sum(list_transform(s, lambda x: len(regexp_split_to_array(x, '\s+')))) / len(s), 1) ELSE 0.0 END AS avg_sentence_length,
-CASE WHEN len(w) > 0 THEN round(length(array_to_string(w, '')) / len(w), 2) ELSE 0.0 END AS avg_word_length
-FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s, regexp_extract_all(text, '{WORD}+') AS w FROM documents)""")
+@query(rf"""SELECT doc_id, len(s) AS sentence_count, CASE WHEN len(s) > 0 THEN floor((list_sum(list_transform(s, lambda x: len(regexp_split_to_array(x, '\s+')))) * 20 + len(s)) / (len(s) * 2)) / 10 ELSE 0.0 END AS avg_sentence_length,
+CASE WHEN len(w) > 0 THEN floor((length(array_to_string(w, '')) * 200 + len(w)) / (len(w) * 2)) / 100 ELSE 0.0 END AS avg_word_length
+FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s, regexp_extract_all(text, '{WORD}+') AS w FROM documents)""", longs=("sentence_count",))
 def readability(t):
     return t("documents").select("doc_id", enrich.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
 

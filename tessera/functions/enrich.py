@@ -169,6 +169,11 @@ def dates(c: Column, most: int = 20) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.flatten(F.array(*[found(c, p) for p in fixed.DATE_PATTERNS])))), 1, most)
 
 
+def half_up(a: Column, b: Column, parts: int) -> Column:
+    """a / b rounded to 1/parts, halves upwards: exact, since it rounds integers and not doubles."""
+    return F.floor((a * (2 * parts) + b) / (b * 2)) / parts
+
+
 def readability(c: Column) -> Column:
     """Struct of sentences, mean words of a sentence (one digit) and mean letters of a word (two)."""
     sentences = F.filter(F.transform(F.split(filled(c), r"[.!?]+"), strip), lambda s: s != "")
@@ -178,8 +183,8 @@ def readability(c: Column) -> Column:
     letters = F.length(F.array_join(tokens, ""))
     return F.struct(
         n.alias("sentence_count"),
-        F.when(n > 0, F.round(in_sentences / n, 1)).otherwise(0.0).alias("avg_sentence_length"),
-        F.when(F.size(tokens) > 0, F.round(letters / F.size(tokens), 2)).otherwise(0.0).alias("avg_word_length"),
+        F.when(n > 0, half_up(in_sentences, n, 10)).otherwise(0.0).alias("avg_sentence_length"),
+        F.when(F.size(tokens) > 0, half_up(letters, F.size(tokens), 100)).otherwise(0.0).alias("avg_word_length"),
     )
 
 
