@@ -75,14 +75,17 @@ def content_type(subject: Column, c: Column) -> Column:
 
 def topics(c: Column) -> Column:
     """Sorted topics of which a keyword occurs as a substring."""
-    low = F.lower(filled(c))
-    hits = []
-    for topic in sorted(fixed.TOPICS):
-        hit = F.lit(False)
-        for w in fixed.TOPICS[topic]:
-            hit = hit | low.contains(w.lower())
-        hits.append(F.when(hit, F.lit(topic)))
-    return F.array_compact(F.array(*hits))
+
+    def tagged(low: Column) -> Column:
+        hits = []
+        for topic in sorted(fixed.TOPICS):
+            hit = F.lit(False)
+            for w in fixed.TOPICS[topic]:
+                hit = hit | low.contains(w.lower())
+            hits.append(F.when(hit, F.lit(topic)))
+        return F.array_compact(F.array(*hits))
+
+    return let(F.lower(filled(c)), tagged)
 
 
 def found(c: Column, pattern: str, group: int = 0) -> Column:

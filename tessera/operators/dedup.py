@@ -52,20 +52,26 @@ def duplicate_groups(df: DataFrame, checksum: Column, key: str) -> DataFrame:
     return df.groupBy(checksum.alias("checksum")).agg(F.count("*").alias("copies"), F.min(key).alias("first_id")).filter("copies > 1")
 
 
-def similar_pairs(df: DataFrame, key: str, elements: Callable[[Column], Column], text: str, threshold: float, strict: bool = True) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, elements: Callable[[Column], Column], text: str, threshold: float, strict: bool = True, by_frequency: bool = True) -> DataFrame:
     """Pairs (a < b) of rows whose element sets have a Jaccard similarity above the threshold, exactly.
 
     Rows of equal sets are one before the join: pairs come between distinct sets, and ``copies`` of
-    :func:`set_classes` tells the rows of each. Prefix filtering: elements are ordered from rare to
-    common, and similar sets share one of the first ``|A| - ceil(t |A|) + 1``. Only those are
-    joined, with the length bound, and candidates are verified on the whole sets.
+    :func:`set_classes` tells the rows of each. Prefix filtering: in any fixed order of elements,
+    similar sets share one of the first ``|A| - ceil(t |A|) + 1``. Only the hashes of those are
+    joined, with the length bound, and candidates are verified on the whole sets. The order is from
+    rare to common, which takes a pass over all elements, or (not ``by_frequency``) by hash, within the
+    row: as good where few elements are common, as with shingles.
     """
     sets = set_classes(df, key, elements, text).select("key", "set")
-    frequency = sets.select(F.explode("set").alias("e")).groupBy("e").agg(F.count("*").alias("f"))
-    exploded = sets.select("key", F.size("set").alias("n"), F.explode("set").alias("e")).join(frequency, "e")
-    ordered = exploded.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("order"))
     length = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    prefix = ordered.select("key", "n", F.explode(F.slice("order", F.lit(1), length)).alias("p")).select("key", "n", F.col("p.e").alias("e"))
+    hashes = sets.select("key", F.size("set").alias("n"), F.transform("set", lambda e: F.xxhash64(e)).alias("h"))
+    if by_frequency:
+        exploded = hashes.select("key", "n", F.explode("h").alias("e"))
+        frequency = exploded.groupBy("e").agg(F.count("*").alias("f"))
+        ordered = exploded.join(frequency, "e").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
+        prefix = ordered.select("key", "n", F.explode(F.slice("order", F.lit(1), length)["e"]).alias("e"))
+    else:
+        prefix = hashes.select("key", "n", F.explode(F.slice(F.sort_array("h"), F.lit(1), length)).alias("e"))
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.key") < F.col("b.key")) & (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
     pairs = a.join(b, (F.col("a.e") == F.col("b.e")) & near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
@@ -90,7 +96,7 @@ def attachment_duplicates(attachments: DataFrame, threshold: float = 0.9) -> Dat
     hashed = attachments.filter("content_hash is not null and content_hash != ''").groupBy("content_hash").agg(F.min("seq").alias("__first"))
     exact = attachments.join(hashed, "content_hash").filter("seq > __first").select("seq", F.lit("duplicate_content_exact_hash").alias("reason"), F.col("__first").alias("similar_to"), F.lit(1.0).alias("similarity"))
     texts = attachments.filter(F.length("cleaned_text") > 50)
-    pairs = similar_pairs(texts, "seq", similarity.shingles, "cleaned_text", threshold)
+    pairs = similar_pairs(texts, "seq", similarity.shingles, "cleaned_text", threshold, by_frequency=False)
     classes = set_classes(texts, "seq", similarity.shingles, "cleaned_text").select("key", "set")
     member = texts.select("seq", F.sha2(F.array_join(F.array_sort(similarity.shingles(F.col("cleaned_text"))), "\u0001"), 256).alias("h"), F.size(similarity.shingles(F.col("cleaned_text"))).alias("n")).filter("n > 0")
     keyed = classes.select("key", F.sha2(F.array_join("set", "\u0001"), 256).alias("h"))
