@@ -11,6 +11,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -127,7 +128,7 @@ class Encoder:
 
     def _learn(self) -> None:
         """Encodes the words numbered since the last call."""
-        new = list(self.known)[len(self.begin) - 1 :]
+        new = list(islice(self.known, len(self.begin) - 1, None))
         if new:
             ids, counts = self.merges.merge([w.encode("utf-8", "surrogatepass") for w in new])
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
@@ -142,8 +143,8 @@ class Encoder:
         starts, ends = pieces.boundaries(pieces.code_points(joined), begins, word=False)
         if len(self.known) > self.remembered:
             self.forget()
-        number = self.known.__getitem__
-        words = np.fromiter((number(joined[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+        cut = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        words = np.fromiter(map(self.known.__getitem__, cut), np.int64, len(cut))
         self._learn()
         counts = self.begin[words + 1] - self.begin[words]
         total = np.concatenate([[0], np.cumsum(counts)])

@@ -39,17 +39,39 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jsc.isDefined():
         return jsc.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
     own = tempfile.mkdtemp(prefix="tessera-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
 
 
+#: Folders that this driver has made below the shared one.
+_MADE: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    _MADE.append(f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this driver: call it when no result is read any more."""
+    count = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        count += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written to a new table of the shared folder and read again: lineage ends here, and
     a lost executor costs nothing that was done before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

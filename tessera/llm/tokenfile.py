@@ -10,23 +10,24 @@ from __future__ import annotations
 import re
 import struct
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import pieces, shared
-from tessera.llm.bpe import REMEMBERED, _Numbers, byte_letters
+from tessera.llm.bpe import _Numbers, byte_letters
 
 MAX_BITS = 18
+#: Pieces that a worker remembers before it starts anew.
+REMEMBERED = 400_000
 #: Ids of a block (a longer document makes a longer block), and ids between two bit offsets.
 BLOCK, EVERY = 1 << 16, 128
 #: magic, version, documents, ids, ids of the shard before, bits, crc32 of the bit stream
@@ -62,7 +63,7 @@ class WordEncoder:
     def _learn(self) -> None:
         tokenize = self.model.tokenize
         found, counts = [], []
-        for word in list(self.known)[len(self.begin) - 1 :]:
+        for word in list(islice(self.known, len(self.begin) - 1, None)):
             if not (word.isascii() and word.isprintable()):
                 word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
             ids = [t.id for t in tokenize(word)]
@@ -90,8 +91,8 @@ class WordEncoder:
         starts, ends = pieces.boundaries(pieces.code_points(joined), (ends_of - sizes)[sizes > 0], word=True)
         if len(self.known) > self.remembered:
             self.forget()
-        number = self.known.__getitem__
-        words = np.fromiter((number(joined[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+        cut = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        words = np.fromiter(map(self.known.__getitem__, cut), np.int64, len(cut))
         self._learn()
         counts = self.begin[words + 1] - self.begin[words]
         total = np.concatenate([[0], np.cumsum(counts)])
@@ -265,7 +266,7 @@ def global_counts(rows: DataFrame, size: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> None:
     """Writes the ids of all texts, each followed by ``end``, in ascending order of the keys.
 
-    Keys that are null come first; rows of one key are ordered by their ids; repeated rows stay. A
+    Keys that are null come first; rows of one key are ordered by a hash of their ids; repeated rows stay. A
     null text counts as empty and has the end id alone. The shards are ranges of keys.
     """
     spark = docs.sparkSession
@@ -303,14 +304,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, tex
             yield out()
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    # Ranges are cut by key, and by ids where many rows share a key.
-    ordered = rows.repartitionByRange(n, F.asc_nulls_first("key"), "ids").sortWithinPartitions(F.asc_nulls_first("key"), "ids")
+    # Ranges are cut by key, and by a hash where many rows share a key: what is sampled stays small.
+    order = [F.asc_nulls_first("key"), F.asc("h")]
+    ordered = rows.withColumn("h", F.xxhash64("ids")).repartitionByRange(n, *order).sortWithinPartitions(*order, "ids")
     ordered = ordered.select("key", "width", "ids", F.spark_partition_id().alias("shard"))
     shared.mapped(ordered, run, "shard int, block long, n_tokens long, payload binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
-def read_tokens(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
-    """key, start (ids of all documents before), and ids of every document of a file set."""
+def _blocks(spark: SparkSession, folder: str, made, schema: str) -> DataFrame:
+    """Rows that ``made`` derives from each decoded block: keys, first id's place, ends, and ids."""
     book = spark.read.parquet(f"{folder}/book").toArrow()
     lengths = np.zeros(max(book.column("id").to_pylist(), default=0) + 1, np.uint8)
     lengths[book.column("id").to_numpy()] = book.column("length").to_numpy()
@@ -327,30 +329,34 @@ def read_tokens(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFr
         for batch in batches:
             for i in range(batch.num_rows):
                 keys, counts, ids, before = unpacked(code, batch.column(1)[i].as_py())
-                first = base_[batch.column(0)[i].as_py()] + before
-                ends = np.cumsum(counts.astype(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(first + ends - counts), lists], names=[key, "start", "ids"])
+                yield made(keys, base_[batch.column(0)[i].as_py()] + before, np.cumsum(counts.astype(np.int64)), counts.astype(np.int64), ids)
 
-    return shared.mapped(blocks.select("shard", "payload"), run, f"`{key}` long, start long, ids array<int>")
+    return shared.mapped(blocks.select("shard", "payload"), run, schema)
 
 
-def digests(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, start, n_tokens and crc32 of the ids (as little-endian unsigned 32-bit integers)."""
+def read_tokens(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
+    """key, start (ids of all documents before), and ids of every document of a file set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy().astype("<u4")
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
+    def made(keys, first, ends, counts, ids) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(first + ends - counts), lists], names=[key, "start", "ids"])
+
+    return _blocks(spark, folder, made, f"`{key}` long, start long, ids array<int>")
+
+
+def read_digests(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
+    """key, start, n_tokens and crc32 of the ids (as little-endian unsigned 32-bit integers) of every
+    document of a file set; the ids stay where they are decoded."""
+
+    def made(keys, first, ends, counts, ids) -> pa.RecordBatch:
+        flat = ids.astype("<u4")
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(first + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    return shared.mapped(rows.select(key, "start", "ids"), run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return _blocks(spark, folder, made, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared.shared_dir(spark)}/tessera/tokens-{uuid.uuid4().hex}"
+    folder = shared.new_path(spark, "tokens")
     write_tokens(shared.table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
-    return digests(read_tokens(spark, folder))
+    return read_digests(spark, folder)

@@ -136,7 +136,7 @@ def test_token_files(spark, sf_dir, tmp_path):
     lib = Tokenizer.from_file(WORD)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     tokenfile.write_tokens(docs, str(tmp_path / "f"), WORD, block=5000)
-    got = {r.doc_id: r for r in tokenfile.digests(tokenfile.read_tokens(spark, str(tmp_path / "f"))).collect()}
+    got = {r.doc_id: r for r in tokenfile.read_digests(spark, str(tmp_path / "f")).collect()}
     start = 0
     for key, text in sorted(documents(spark, sf_dir)):
         ids = np.array([*lib.encode(text, add_special_tokens=False).ids, 2], "<u4")
@@ -483,6 +483,18 @@ def test_chat_of_odd_rows(spark):
     assert got == {1: 3, 2: 1}
 
 
+def test_intermediate_tables_go(spark):
+    from tessera.llm import shared
+
+    shared.remove_written(spark)
+    df = shared.written(spark.range(3).toDF("x"), "three")
+    assert df.count() == 3
+    assert shared.fits(df, 8, 24)
+    assert not shared.fits(df, 8, 16)
+    assert shared.remove_written(spark) == 1
+    assert shared.remove_written(spark) == 0
+
+
 # ---- pipeline ----------------------------------------------------------------------------------
 
 
