@@ -106,9 +106,9 @@ class WordEncoder:
 
 @cache
 def word_encoder(path: str) -> WordEncoder:
-    found = WordEncoder(path)
-    shared.FORGETTABLE.append(found.forget)
-    return found
+    """One encoder per worker and vocabulary. It keeps its pieces from task to task, bounded by
+    REMEMBERED: learning them anew in each task would cost a tenth of the time."""
+    return WordEncoder(path)
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
