@@ -49,31 +49,26 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def line_rows(docs: DataFrame, text: str, host: str, key: str) -> DataFrame:
-    """One row for each line with a word: key, text hash, host, line hash, place, words and family.
-
-    ``family`` tells copies apart from other documents: the smallest hash of the document's other
-    lines. Exact copies share it and near copies mostly do, so a group of copies counts as few
-    documents, while a line that stands in unrelated documents has as many families.
-    """
+    """One row for each line with a word: key, text hash, host, line hash, place and words."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), BLANKS, " "))), lambda x: x != "")
     digest = F.transform(lines, lambda x: F.struct(F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long").alias("h"), F.size(F.split(x, " ")).alias("w")))
     rows = docs.select(F.col(key).alias("__key"), F.xxhash64(t).alias("__hash"), F.col(host).alias("__host"), digest.alias("__lines"))
-    rows = rows.withColumn("__small", F.slice(F.array_sort(F.array_distinct("__lines.h")), 1, 2))
-    rows = rows.select("__key", "__hash", "__host", "__small", F.posexplode("__lines").alias("__place", "__line"))
-    first, second = F.get("__small", F.lit(0)), F.get("__small", F.lit(1))
-    h = F.col("__line.h")
-    return rows.select("__key", "__hash", "__host", h.alias("__h"), "__place", F.col("__line.w").alias("__w"), F.when(h == first, second).otherwise(first).alias("__family"))
+    rows = rows.select("__key", "__hash", "__host", F.posexplode("__lines").alias("__place", "__line"))
+    return rows.select("__key", "__hash", "__host", F.col("__line.h").alias("__h"), "__place", F.col("__line.w").alias("__w"))
 
 
-def frequent_lines(lines: DataFrame, docs: DataFrame, host: str, min_documents: int = MIN_DOCUMENTS, percent: int = LINE_PERCENT) -> DataFrame:
+def frequent_lines(lines: DataFrame, docs: DataFrame, host: str, min_documents: int = MIN_DOCUMENTS, percent: int = LINE_PERCENT, text: str = "text") -> DataFrame:
     """Host and hash of the lines above both limits.
 
-    The first grouping spreads even the commonest line over all tasks; the second sums the parts.
+    Documents of a line and of a host are its distinct texts: exact copies are one document in both
+    counts. The first grouping spreads even the commonest line over all tasks; the second sums the
+    parts.
     """
-    families = lines.groupBy("__host", "__h", "__family").agg(F.lit(1).alias("one"))
-    counts = families.groupBy("__host", "__h").agg(F.count("*").alias("n")).filter(F.col("n") > min_documents)
-    hosts = docs.groupBy(F.col(host).alias("__on")).agg(F.count("*").alias("of"))
+    distinct = lines.groupBy("__host", "__h", "__hash").agg(F.lit(1).alias("one"))
+    counts = distinct.groupBy("__host", "__h").agg(F.count("*").alias("n")).filter(F.col("n") > min_documents)
+    texts = docs.groupBy(F.col(host).alias("__on"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__hash")).agg(F.lit(1).alias("one"))
+    hosts = texts.groupBy("__on").agg(F.count("*").alias("of"))
     return counts.join(hosts, counts["__host"].eqNullSafe(hosts["__on"])).filter(F.col("n") * 100 > F.col("of") * percent).select("__host", "__h")
 
 
@@ -81,7 +76,7 @@ def depleted(docs: DataFrame, text: str = "text", host: str = "source", key: str
     """Key and text hash of the documents that lose over ``percent`` of their words with the
     lines above the limits, one row each."""
     lines = line_rows(docs, text, host, key)
-    often = frequent_lines(lines, docs, host)
+    often = frequent_lines(lines, docs, host, text=text)
     often = often.select(F.col("__host").alias("__on"), F.col("__h").alias("__at"))
     hit = lines.join(often, lines["__host"].eqNullSafe(often["__on"]) & (lines["__h"] == often["__at"]))
     lost = hit.groupBy("__key", "__hash").agg(F.collect_set(F.struct("__place", "__w")).alias("lines"))
@@ -96,7 +91,7 @@ def without_frequent_lines(docs: DataFrame, text: str = "text", host: str = "sou
     """Key, text hash and the text without the lines above the limits, for the documents that have
     such lines (other documents stay as they are, and have no row)."""
     lines = line_rows(docs, text, host, key)
-    often = frequent_lines(lines, docs, host).select(F.col("__host").alias("__on"), F.col("__h").alias("__at"))
+    often = frequent_lines(lines, docs, host, text=text).select(F.col("__host").alias("__on"), F.col("__h").alias("__at"))
     hit = lines.join(often, lines["__host"].eqNullSafe(often["__on"]) & (lines["__h"] == often["__at"]))
     bad = hit.groupBy("__key", "__hash").agg(F.collect_set("__h").alias("bad"))
     t = F.coalesce(F.col(text), F.lit(""))

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -301,6 +301,22 @@ def test_line_frequency(spark, monkeypatch):
     assert rules.judged(odd_documents(spark)).count() == len(ODD) + 3
 
 
+def test_lines_of_template_pages(spark):
+    """Pages of one template are different documents, and exact copies of one text a single one."""
+    r = random.Random(5)
+    shared_lines = [f"shared line {i} of the template" for i in range(100)]
+    pages = ["\n".join([f"own {i}", *r.sample(shared_lines, 20)]) for i in range(600)]
+    rows = [(i, t, "h") for i, t in enumerate(pages)] + [(1000 + i, "the very same text", "h") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    on = lambda t: {x for x in shared_lines if x in t.split("\n")}
+    seen = Counter(x for t in pages for x in on(t))
+    want = {x for x, n in seen.items() if n > 50 and n * 100 > 2 * 601}
+    assert len(want) == 100
+    assert rules.frequent_lines(rules.line_rows(df, "text", "source", "doc_id"), df, "source").count() == 100
+    gone = {r["__key"] for r in rules.depleted(df).collect()}
+    assert gone == set(range(600))
+
+
 def test_repeated_windows(spark):
     rows = [(1, "a b c a b c"), (2, "a a a a"), (3, "a b"), (4, "a b c d e f"), (5, "x a b c y a b c z")]
     got = {r.doc_id: r.n_repeat_words for r in rules.base_statistics(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
