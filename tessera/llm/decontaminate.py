@@ -84,19 +84,24 @@ class Words:
         return out
 
     def winnowed(self, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of windows and their minimum, of whole windows whose minimum is new."""
+        """Places and hashes of the k-grams that are the minimum of a whole window they stand in: all
+        places of a minimum, also where it repeats."""
         g = self.grams(k)
         n = len(g) - window + 1
         if n < 1:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        least, most = g[:n].copy(), g[:n].copy()
+        least = g[:n].copy()
         for step in range(1, window):
             np.minimum(least, g[step : step + n], out=least)
-        most = g[window - 1 :]  # the last gram of a window is whole: then all are
-        fits = (most != _NONE) & (self.owner[:n] == self.owner[window - 1 :])
-        fits[1:] &= (least[1:] != least[:-1]) | (self.owner[1:n] != self.owner[: n - 1]) | ~fits[:-1]
-        at = np.flatnonzero(fits)
-        return at, least[at]
+        # The last gram of a window is whole: then all are.
+        whole = (g[window - 1 :] != _NONE) & (self.owner[:n] == self.owner[window - 1 :])
+        least[~whole] = 0
+        # No minimum is above a gram of its window, so the largest of them equals the gram if one does.
+        most = np.zeros(len(g), np.uint64)
+        for step in range(window):
+            np.maximum(most[step : step + n], least, out=most[step : step + n])
+        at = np.flatnonzero((g == most) & (g != _NONE))
+        return at, g[at]
 
 
 def plans(sizes: set[int], span: int, gram: int) -> dict[int, tuple[int, int, int]]:
@@ -118,15 +123,29 @@ class Index:
         for length, (k, window, _) in self.plans.items():
             found = defaultdict(list)
             grams = self.words.grams(k)
+            owner, whole = self.words.owner, self.words.grams(length)
+            order = np.lexsort((whole, owner))
+            again = (whole[order][1:] == whole[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (whole[order][1:] != _NONE)
+            repeated = set(owner[order][1:][again].tolist())
             places, least = self.words.winnowed(k, window)
             for p, h in zip(places.tolist(), least.tolist(), strict=True):
-                item = int(self.words.owner[p])
-                if min(len(self.text[item]), span) == length:
-                    for q in range(p, p + window):
-                        if int(grams[q]) == h:
-                            place = (item, q - int(self.words.first[item]))
-                            if place not in found[h]:
-                                found[h].append(place)
+                item = int(owner[p])
+                if min(len(self.text[item]), span) == length and item not in repeated:
+                    found[h].append((item, p - int(self.words.first[item])))
+            for item in sorted(repeated):
+                text = self.text[item]
+                if min(len(text), span) != length:
+                    continue
+                first, known, kept = int(self.words.first[item]), set(), set()
+                for j in range(len(text) - length + 1):
+                    own = tuple(text[j : j + length])
+                    if own in known:  # equal windows of an item are found by the first of them
+                        continue
+                    known.add(own)
+                    g = grams[first + j : first + j + window]
+                    kept.update((np.flatnonzero(g == g.min()) + j).tolist())
+                for place in sorted(kept):
+                    found[int(grams[first + place])].append((item, place))
             self.places[length] = dict(found)
             self.keys[length] = np.array(sorted(found), np.uint64)
             self.maybe[length] = np.zeros(1 << 20, bool)
@@ -142,21 +161,27 @@ class Index:
             hit = hit[np.isin(least[hit], self.keys[length])]
             if not len(hit):
                 continue
-            grams = words.grams(k)
             until: dict[tuple[int, int, int], int] = {}
-            for p, h in zip(at[hit].tolist(), least[hit].tolist(), strict=True):
-                text = int(words.owner[p])
-                for q in range(p, p + window):
-                    if int(grams[q]) != h:
+            # The last span of neighbouring words that were found in the text, and its items so far: an
+            # item that was seen adds nothing where all windows around a place are inside.
+            last, low, high, seen = -1, 0, 0, set()
+            for q, h in zip(at[hit].tolist(), least[hit].tolist(), strict=True):
+                text = int(words.owner[q])
+                if text != last:
+                    last, low, high, seen = text, 0, 0, set()
+                left, right = max(q - window + 1, int(words.first[text])), min(q + length, int(words.first[text + 1]))
+                for item, place in self.places[length][h]:
+                    if low <= left and right <= high and item in seen:
+                        continue
+                    line = (text, item, q - place)
+                    if until.get(line, -1) > q:
                         continue
-                    for item, place in self.places[length][h]:
-                        line = (text, item, q - place)
-                        if until.get(line, -1) > q:
-                            continue
-                        begin, end = self._extended(words, text, q, self.text[item], place)
-                        until[line] = max(end, q + 1)
-                        if end - begin >= span:
-                            yield text, item, begin, end
+                    begin, end = self._extended(words, text, q, self.text[item], place)
+                    until[line] = max(end, q + 1)
+                    if end - begin >= span:
+                        seen.add(item)
+                        low, high = (min(low, begin), max(high, end)) if begin <= high and end >= low else (begin, end)
+                        yield text, item, begin, end
 
     def _extended(self, words: Words, text: int, q: int, item: list[bytes], place: int) -> tuple[int, int]:
         """The longest run of equal words around word q, which stands at ``place`` in the item."""

@@ -188,6 +188,22 @@ def test_overlap_equals_brute_force(spark, sent):
     assert decontaminate.overlap(d.limit(0), b, sent_bytes=sent).count() == 0
 
 
+@pytest.mark.parametrize("sent", [1 << 24, 0])
+def test_overlap_of_repeated_words(spark, sent):
+    """Periodic texts, and items of one to three words, in every place that they occur."""
+    r = random.Random(9)
+    items = [(1, "spam"), (2, "ha ha"), (3, "0 " * 16), (4, "x y z " * 9), (5, "one two three"), (6, "a b " * 20), (7, "n " * 12), (8, "q " * 40 + "r " * 40), (9, "q " * 13)]
+    docs = ["spam " * 50, "ha " * 30, "ha", " ".join(f"w{i}" for i in range(900)) + " 0" * 100 + " " + " ".join(f"v{i}" for i in range(900)), "x y z " * 40, "one two three " * 7, "a b " * 35 + "c", "n " * 30 + "m " + "n " * 11, "q " * 200 + "r " * 25, ("q " * 39 + "s ") * 5]
+    docs += [" ".join(r.choice(["0", "q", "x y z", "a b", "ha", "n", "spam"]) for _ in range(r.randint(1, 60))) for _ in range(60)]
+    docs += [" ".join((r.choice(["0", "q", "x y z", "a b", "n"]) + " ") * r.randint(1, 30) for _ in range(12)) for _ in range(60)]
+    docs = list(enumerate(docs))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.overlap(spark.createDataFrame(docs, "doc_id long, text string"), b, sent_bytes=sent).collect()
+    want = overlap_by_force(docs, items)
+    assert [want[i][1] for i in (0, 1, 3, 4)] == [50, 30, 100, 120]
+    assert {x.doc_id: tuple(x)[1:] for x in got} == want
+
+
 def test_op3_on_tables(spark, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     want = overlap_by_force(documents(spark, sf_dir), items)
