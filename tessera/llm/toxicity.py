@@ -1,17 +1,15 @@
-"""Toxicity by class-conditional Kneser-Ney models over folded characters (operator 4).
+"""Toxicity by class-conditional Kneser-Ney models over characters (operator 4).
 
-Texts are folded onto 32 symbols, so that a model of order four has 2**20 cells, whatever the corpus:
-the counts come from all labelled rows, the table that is sent to the executors has a fixed size.
-Each class has its own counts of the highest order; all lower orders are continuation counts that
-both classes share, which smooth what one of them has seen rarely.
+The n-grams are six lower-cased characters, unfolded, of any script: their table holds every one that
+the labelled rows have and grows with them. Each class has its own counts of the highest order and its
+own continuation counts of the lower ones, down to a uniform distribution. The table is made by
+groupings and joins, and sent to the executors only if it is small.
 """
 
 from __future__ import annotations
 
-import sys
-import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +19,11 @@ from pyspark.sql import functions as F
 from tessera.llm import shared
 from tessera.llm.pieces import SPACE, classes, code_points
 
+#: Characters of an n-gram, and the sign that stands before a text.
+LENGTH, PAD = 6, "\x02"
+#: Bytes of the table up to which it is sent to the executors; a larger one is joined.
+SENT_BYTES = 96 << 20
+#: Size of the dense model of :func:`log_ratio`, which the operator doesn't use.
 ORDER, BITS = 4, 5
 CELLS = 1 << (ORDER * BITS)
 DISCOUNT = 0.75
@@ -31,65 +34,155 @@ SEGMENTS = (64, 24)
 STEPS, REACH = np.array([256, 16, 16]), np.array([0.5, 3.0, 3.0])
 
 
-@cache
-def symbols() -> np.ndarray:
-    """The symbol of every code point: 0 white space, 1-26 letters, 27 digits, 28 other signs.
+_BASE, _MIX, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
-    Accents go; letters outside a-z fall on the 26 letters by remainder.
-    """
-    out = np.full(sys.maxunicode + 1, 28, np.uint8)
-    for c in range(sys.maxunicode + 1):
-        base = unicodedata.normalize("NFKD", chr(c).lower())[:1] if c < 0x2FF or 0x1E00 <= c < 0x1F00 else chr(c)
-        kind = unicodedata.category(base)[0] if base else "C"
-        if "a" <= base <= "z":
-            out[c] = ord(base) - 96
-        elif kind in "LM":
-            out[c] = ord(base.lower()[0]) % 26 + 1
-        elif kind == "N":
-            out[c] = 27
-    out[classes() == SPACE] = 0
-    return out
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def keys_of(grams: list[str]) -> np.ndarray:
+    """The 64-bit key of each n-gram."""
+    out = np.zeros(len(grams), np.uint64)
+    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+    for size in set(sizes.tolist()) - {0}:
+        at = np.flatnonzero(sizes == size)
+        c = code_points("".join(grams[i] for i in at.tolist())).reshape(-1, size)
+        h = np.zeros(len(at), np.uint64)
+        for i in range(size):
+            h = h * _BASE + c[:, i].astype(np.uint64)
+        out[at] = h
+    return _mixed(out)
+
+
+def keys_at(s: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the last ``k`` characters of the n-grams at places ``at``, and of their contexts."""
+    h, place = np.zeros(len(at), np.uint64), at + LENGTH - k
+    for i in range(k - 1):
+        h = h * _BASE + s[place + i]
+    return _mixed(h * _BASE + s[place + k - 1]), _mixed(h) ^ _CONTEXT
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all n-grams of each text (white space as one, a space around) and their number."""
-    joined = "".join(f" {t} " for t in texts)
-    s = symbols()[code_points(joined)]
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)) + 2)
-    keep = np.r_[True, (s[1:] != 0) | (s[:-1] != 0) | (owner[1:] != owner[:-1])] if len(s) else np.empty(0, bool)
-    s, owner = s[keep].astype(np.int32), owner[keep]
-    n = max(0, len(s) - ORDER + 1)
-    code = np.zeros(n, np.int32)
-    for i in range(ORDER):
-        code = code << BITS | s[i : i + n]
-    whole = owner[:n] == owner[ORDER - 1 : ORDER - 1 + n]
-    return code[whole], np.bincount(owner[:n][whole], minlength=len(texts))
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all texts (lower case, white space as one, a space around), places of the n-grams
+    in them, and how many each text has."""
+    texts = [t.lower() for t in texts]
+    head = PAD * (LENGTH - 2)
+    joined = "".join(f"{head} {t} " for t in texts)
+    s = code_points(joined).astype(np.uint32)
+    s = np.where(classes()[s] == SPACE, np.uint32(32), np.maximum(s, 1))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)) + len(head) + 2)
+    keep = np.r_[True, (s[1:] != 32) | (s[:-1] != 32) | (owner[1:] != owner[:-1])] if len(s) else np.empty(0, bool)
+    s, owner = s[keep], owner[keep]
+    n = max(0, len(s) - LENGTH + 1)
+    at = np.flatnonzero(owner[:n] == owner[LENGTH - 1 : LENGTH - 1 + n])
+    return s, at, np.bincount(owner[at], minlength=len(texts))
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """Toxic label, n-gram and count over all rows (__y, __text): summed in each task, then by key."""
+    """Toxic label, n-gram and count over all rows (__y, __text): summed in each slice, then by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CELLS), np.int64)
         for batch, texts in shared.bounded(batches, "__text"):
-            y = np.array(batch.column(0).to_pylist())
-            code, n = grams(texts)
-            toxic = np.repeat(y == 1, n)
-            total[1] += np.bincount(code[toxic], minlength=CELLS)
-            total[0] += np.bincount(code[~toxic], minlength=CELLS)
-        for y in (0, 1):
-            at = np.flatnonzero(total[y])
-            for i in range(0, len(at), 1 << 16):
-                part = at[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), y)), pa.array(part), pa.array(total[y][part])], names=["y", "code", "n"])
+            y = np.array(batch.column(0).to_pylist()) == 1
+            s, at, n = grams(texts)
+            key, toxic = keys_at(s, at, LENGTH)[0], np.repeat(y, n)
+            for label in (0, 1):
+                own = np.flatnonzero(toxic == label)
+                _, first, many = np.unique(key[own], return_index=True, return_counts=True)
+                for i in range(0, len(first), 1 << 16):
+                    place = at[own[first[i : i + (1 << 16)]]]
+                    found = np.ascontiguousarray(s[place[:, None] + np.arange(LENGTH)]).view(f"<U{LENGTH}").ravel().tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), label)), pa.array(found, pa.string()), pa.array(many[i : i + (1 << 16)].astype(np.int64))], names=["y", "gram", "n"])
+
+    found = shared.mapped(labelled.select("__y", "__text"), run, "y long, gram string, n long")
+    return found.groupBy("y", "gram").agg(F.sum("n").alias("n"))
+
+
+def ratios(count: DataFrame, length: int = LENGTH, size: int | None = None, discount: float = DISCOUNT) -> DataFrame:
+    """gram, of and ratio, from y, gram and n: for every n-gram of each order that a class has, the log
+    of toxic over ordinary probability of its last character; and as a context (``of``), that of the
+    weights of the lower order, which any other character after it takes besides its lower ratio.
+
+    ``size``: number of characters that there can be (by default those seen and one more).
+    """
+    n = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    seen = lambda y: F.sum((F.col(f"c{y}") > 0).cast("long"))
+    level = shared.written(count.groupBy("gram").agg(n(0).alias("c0"), n(1).alias("c1")), "grams")
+    levels = {length: level}
+    # Continuation counts: by how many different characters of a class an n-gram of a lower order is preceded.
+    for k in range(length - 1, 0, -1):
+        level = levels[k] = shared.written(level.groupBy(F.substring("gram", 2, k).alias("gram")).agg(seen(0).alias("c0"), seen(1).alias("c1")), "continuations")
+    size = size or levels[1].count() + 1
+    below, out = None, []
+    for k in range(1, length + 1):
+        rows = levels[k].withColumns({"__of": F.substring("gram", 1, k - 1), "__to": F.substring("gram", 2, k - 1)})
+        sums = rows.groupBy("__of").agg(*(F.sum(f"c{y}").alias(f"t{y}") for y in (0, 1)), *(seen(y).alias(f"v{y}") for y in (0, 1)))
+        spare = {f"s{y}": F.when(F.col(f"t{y}") > 0, discount * F.col(f"v{y}") / F.col(f"t{y}")).otherwise(1.0) for y in (0, 1)}
+        sums = shared.written(sums.withColumns(spare).select("__of", "t0", "t1", "s0", "s1"), "contexts")
+        rows = rows.join(sums, "__of")
+        rows = rows.withColumns({"q0": F.lit(1 / size), "q1": F.lit(1 / size)}) if below is None else rows.join(below, "__to")
+        p = [(F.greatest(F.col(f"c{y}") - discount, F.lit(0.0)) / F.greatest(F.col(f"t{y}"), F.lit(1)) + F.col(f"s{y}") * F.col(f"q{y}")).alias(f"q{y}") for y in (0, 1)]
+        below = shared.written(rows.select(F.col("gram").alias("__to"), *p), "probabilities")
+        out.append(below.select(F.col("__to").alias("gram"), F.lit(False).alias("of"), (F.log("q1") - F.log("q0")).alias("ratio")))
+        out.append(sums.select(F.col("__of").alias("gram"), F.lit(True).alias("of"), (F.log("s1") - F.log("s0")).alias("ratio")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def keyed(table: DataFrame) -> DataFrame:
+    """``table`` with the 64-bit key of each n-gram or context instead of its characters."""
 
-    found = shared.mapped(labelled.select("__y", "__text"), run, "y long, code long, n long")
-    return found.groupBy("y", "code").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = keys_of(batch.column(0).to_pylist())
+            key[batch.column(1).to_numpy(zero_copy_only=False)] ^= _CONTEXT
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2)], names=["key", "ratio"])
+
+    return shared.mapped(table.select("gram", "of", "ratio"), run, "key long, ratio double")
+
+
+class Lookup:
+    """Ratios by key: sorted keys, and where those of each leading bits begin."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        bits = max(4, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits), out=self.starts[1:])
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The value of each key, NaN where there is none."""
+        out = np.full(len(h), np.nan, np.float32)
+        bucket = (h >> self.shift).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            place = at[live]
+            hit = self.keys[place] == h[live]
+            out[live[hit]] = self.values[place[hit]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+    def ratio(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of every n-gram: its own, else that of its context and that of the n-gram of a lower order."""
+        out, rest = np.zeros(len(at), np.float32), np.arange(len(at))
+        for k in range(LENGTH, 0, -1):
+            key, context = keys_at(s, at[rest], k)
+            found = self.find(key)
+            none = np.isnan(found)
+            out[rest[~none]] += found[~none]
+            rest = rest[none]
+            out[rest] += np.nan_to_num(self.find(context[none]), nan=0.0)
+        return out
 
 
 def log_ratio(count: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-    """Log of toxic over ordinary probability of the last symbol of every n-gram, from the counts of
-    both classes (2, CELLS)."""
+    """A dense model of 32 symbols and order four whose lower orders both classes share: log of toxic
+    over ordinary probability of the last symbol of every n-gram, from both classes' counts (2, CELLS)."""
     size = 1 << BITS
     seen = count.sum(0) > 0
     # Continuation counts: by how many different symbols an n-gram of a lower order is preceded.
@@ -113,13 +206,12 @@ def log_ratio(count: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
     return (logs[1] - logs[0]).astype(np.float32)
 
 
-def features(texts: list[str], ratio: np.ndarray) -> np.ndarray:
-    """For each text the length-normalised log-likelihood ratio of the whole, and the largest of its
-    segments of each size; without symbols all are zero."""
-    code, n = grams(texts)
-    total = np.concatenate([[0.0], np.cumsum(ratio[code].astype(np.float64))])
+def features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each text, of which ``n`` gives the number of n-grams, the length-normalised log-likelihood
+    ratio of the whole, and the largest of its segments of each size; without n-grams all are zero."""
+    total = np.concatenate([[0.0], np.cumsum(ratio.astype(np.float64))])
     ends = np.cumsum(n)
-    out = np.zeros((len(texts), 1 + len(SEGMENTS)))
+    out = np.zeros((len(n), 1 + len(SEGMENTS)))
     some = n > 0
     out[some, 0] = (total[ends] - total[ends - n])[some] / n[some]
     # Segments overlap by half; a shorter text is one segment, of half the size at least.
@@ -132,16 +224,72 @@ def features(texts: list[str], ratio: np.ndarray) -> np.ndarray:
     return out
 
 
-class Model:
-    """The ratio table and a logistic calibration of the features."""
+_X = ("__a", "__b", "__c")
+
 
-    def __init__(self, ratio: np.ndarray, weights: np.ndarray):
-        self.ratio, self.weights = ratio, weights
+def _schema(rows: DataFrame) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields)
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        x = features(texts, self.ratio)
-        z = x @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+def featured(rows: DataFrame, table: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """``rows`` (the last column is __text) with the features of each text instead of it.
+
+    A keyed table of up to ``sent_bytes`` (counted first) is sent to the executors; a larger one is
+    joined with the n-grams of all texts.
+    """
+    names = rows.columns[:-1]
+    schema = _schema(rows.select(*names)) + "__a double, __b double, __c double"
+    if shared.fits(table, 16, sent_bytes):
+        found = table.toArrow()
+        key, ratio = found.column("key").to_numpy().view(np.uint64), found.column("ratio").to_numpy().astype(np.float32)
+        order = np.argsort(key, kind="stable")
+        held = rows.sparkSession.sparkContext.broadcast((key[order], ratio[order]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lookup = Lookup(*held.value)
+            for batch, texts in shared.bounded(batches, "__text"):
+                s, at, n = grams(texts)
+                x = features(lookup.ratio(s, at), n)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in x.T)], names=[*names, *_X])
+
+        return shared.mapped(rows, run, schema)
+
+    rows = shared.written(rows.withColumn("__row", F.monotonically_increasing_id()), "texts")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in shared.bounded(batches, "__text"):
+            s, place, n = grams(texts)
+            row = np.repeat(batch.column(0).to_numpy(), n)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            for i in range(0, len(row), 1 << 16):
+                cut = slice(i, i + (1 << 16))
+                for k in range(LENGTH, 0, -1):
+                    key, context = keys_at(s, place[cut], k)
+                    columns = [pa.array(row[cut]), pa.array(at[cut]), pa.array(np.full(len(key), k)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["__row", "at", "k", "key", "context"])
+
+    each = shared.mapped(rows.select("__row", "__text"), spread, "__row long, at long, k long, key long, context long")
+    each = each.join(table, "key", "left").join(table.select(F.col("key").alias("context"), F.col("ratio").alias("other")), "context", "left")
+    orders = each.groupBy("__row", "at").agg(F.sort_array(F.collect_list(F.struct("k", "ratio", "other")), asc=False).alias("l"))
+    start = F.struct(F.lit(False).alias("done"), F.lit(0.0).alias("r"))
+    step = lambda a, x: F.when(a["done"], a).otherwise(F.struct(x["ratio"].isNotNull().alias("done"), (a["r"] + F.coalesce(x["ratio"], x["other"], F.lit(0.0))).alias("r")))
+    orders = orders.select("__row", "at", F.aggregate("l", start, step)["r"].alias("r"))
+    lists = orders.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("at", "r"))).alias("l")).select("__row", F.col("l.r").alias("__r"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [r or [] for r in batch.column(batch.num_columns - 1).to_pylist()]
+            x = features(np.array([v for r in lists for v in r], np.float32), np.array([len(r) for r in lists], np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in x.T)], names=[*names, *_X])
+
+    return shared.mapped(rows.join(lists, "__row", "left").select(*names, "__r"), summed, schema)
+
+
+class Model:
+    """The table of ratios by key and a logistic calibration of the features."""
+
+    def __init__(self, table: DataFrame, weights: np.ndarray):
+        self.table, self.weights = table, weights
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -165,9 +313,6 @@ class Constant:
     def __init__(self, toxic: int, ordinary: int):
         self.share = (toxic + 1) / (toxic + ordinary + 2)
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        return np.full(len(texts), self.share)
-
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str) -> DataFrame:
     """__y and __text of the labelled rows. The labels are sent to the texts if they are few, and
@@ -181,45 +326,34 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id"):
     """Counts over three quarters of the labelled rows (by hash of the key), all of them; the last
-    quarter calibrates the score. Both are sums over all rows in tables of a fixed size."""
+    quarter calibrates the score."""
     quarter = F.pmod(F.xxhash64(key, F.lit(4)), F.lit(4))
-    count = np.zeros((2, CELLS), np.int64)
-    found = counts(labelled(docs, labels.filter(quarter != 0), label, text, key)).toArrow()
-    y, code, n = (found.column(c).to_numpy() for c in ("y", "code", "n"))
-    count[y, code] = n
-    spark = docs.sparkSession
-    if not count.sum(1).all():
+    count = shared.written(counts(labelled(docs, labels.filter(quarter != 0), label, text, key)), "counts")
+    if count.select("y").distinct().count() < 2:
         tally = {r[0]: r[1] for r in labels.filter(F.col(label).isNotNull()).groupBy((F.col(label) == 1).cast("int")).count().collect()}
         return Constant(tally.get(1, 0), tally.get(0, 0))
-    ratio = log_ratio(count)
-    held = spark.sparkContext.broadcast(ratio)
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in shared.bounded(batches, "__text"):
-            x = np.round(np.clip(features(texts, held.value), -REACH, REACH) * STEPS).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], names=["y", "a", "b", "c"])
-
+    table = shared.written(keyed(ratios(count)), "ratios")
     rest = labelled(docs, labels.filter(quarter == 0), label, text, key)
-    bins = shared.mapped(rest.select("__y", "__text"), measured, "y long, a long, b long, c long").groupBy("y", "a", "b", "c").count().toArrow()
-    y, *x, n = (bins.column(c).to_numpy().astype(np.float64) for c in ("y", "a", "b", "c", "count"))
+    x = featured(rest.select("__y", "__text"), table)
+    bins = [F.round(F.greatest(F.least(F.col(c), F.lit(float(r))), F.lit(-float(r))) * int(s)).cast("long").alias(c) for c, r, s in zip(_X, REACH, STEPS, strict=True)]
+    bins = x.select("__y", *bins).groupBy("__y", *_X).count().toArrow()
+    y, *x, n = (bins.column(c).to_numpy().astype(np.float64) for c in ("__y", *_X, "count"))
     x = np.stack(x, 1) / STEPS
     if len(set(y.tolist())) < 2:  # too few labels to calibrate by: halfway between usual values
         y, x, n = np.array([0.0, 1]), np.array([[-0.1, 0.1, 0.3], [0.1, 0.6, 1.1]]), np.full(2, 20.0)
-    return Model(ratio, calibrated(x, y, n))
+    return Model(table, calibrated(x, y, n))
 
 
-def scored(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
+def scored(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score", sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``keep`` and the score (0 to 1, higher: likelier toxic) of every row: whole texts, null as
-    empty; texts without symbols get the score of no evidence. Repeated rows stay."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1]) + f"`{score}` double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in shared.bounded(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(texts))], names=[*batch.schema.names[:-1], score])
-
-    return shared.mapped(rows, run, schema)
+    empty; texts without n-grams get the score of no evidence. Repeated rows stay."""
+    if isinstance(model, Constant):
+        return docs.select(*keep, F.lit(float(model.share)).alias(score))
+    x = featured(docs.select(*keep, F.col(text).alias("__text")), model.table, sent_bytes)
+    z = F.lit(float(model.weights[-1]))
+    for c, w in zip(_X, model.weights[:-1], strict=True):
+        z = z + F.col(c) * float(w)
+    return x.select(*keep, (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias(score))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

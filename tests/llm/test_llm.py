@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from oracle import same
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, chat, decontaminate, dom, html_text, labelled_pages, quality, queries, rules, simhash, tokencount, tokenfile, toxicity
@@ -398,6 +399,66 @@ def test_kneser_ney_probabilities_sum_to_one():
     assert toxicity.log_ratio(np.stack([count[0], count[0]])).any() == np.False_
 
 
+def ratio_by_force(count, length, size, d=0.75):
+    """Kneser-Ney of each class straight from its counts, for any n-gram."""
+    def prob(types, gram):
+        if not gram:
+            return 1 / size
+        own = {g: n for g, n in types[len(gram)].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        if not total:
+            return prob(types, gram[1:])
+        return max(own.get(gram, 0) - d, 0) / total + d * len(own) / total * prob(types, gram[1:])
+
+    both = []
+    for y in (0, 1):
+        types = {length: {g: n for (z, g), n in count.items() if z == y}}
+        for k in range(length - 1, 0, -1):
+            types[k] = Counter(g[1:] for g in types[k + 1])
+        both.append(types)
+    return lambda gram: float(np.log(prob(both[1], gram) / prob(both[0], gram)))
+
+
+def test_ratios_equal_brute_force(spark):
+    r = random.Random(2)
+    train = [(y, "".join(r.choice("abcя ж"[: 4 + 2 * y]) for _ in range(40))) for y in (0, 1, 0)]
+    count = Counter()
+    for y, t in train:
+        s, at, _ = toxicity.grams([t])
+        count.update((y, "".join(map(chr, s[p : p + toxicity.LENGTH]))) for p in at.tolist())
+    df = spark.createDataFrame(train, "__y long, __text string")
+    found = toxicity.counts(df)
+    assert {(x.y, x.gram): x.n for x in found.collect()} == count
+    size = len({g[-1] for _, g in count}) + 1
+    want = ratio_by_force(count, toxicity.LENGTH, size)
+    table = toxicity.keyed(toxicity.ratios(found, size=size)).toArrow()
+    key = table.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    assert len(set(key.tolist())) == len(key)
+    s, at, _ = toxicity.grams(["abca яжca  bбa", "жжжaaя"])
+    got = toxicity.Lookup(key[order], table.column("ratio").to_numpy().astype(np.float32)[order]).ratio(s, at)
+    assert got.tolist() == pytest.approx([want("".join(map(chr, s[p : p + toxicity.LENGTH]))) for p in at.tolist()], abs=1e-4)
+
+
+@pytest.mark.parametrize("sent", [1 << 26, 0])
+def test_long_expressions_of_any_script(spark, sent):
+    """Expressions that folding to 26 letters or four characters can't tell apart."""
+    plain, bad = "абвгд", "ыьэюя"
+    fold = lambda t: "".join(chr(ord(c) + 26) for c in t)
+    r = random.Random(3)
+    words = ["".join(r.choice(plain) for _ in range(6)) for _ in range(60)]
+    toxic = ["".join(r.choice(bad) for _ in range(6)) for _ in range(6)]
+    clean = ["".join(fold(c) for c in t) for t in toxic]
+    rows = [(i, " ".join(r.choices(words, k=30) + r.choices(toxic if i % 2 else clean, k=4)), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic long")
+    model = toxicity.fit(df.filter("doc_id < 300"), df.filter("doc_id < 300").select("doc_id", "toxic"))
+    got = {x.doc_id: x.score for x in toxicity.scored(df, model, sent_bytes=sent).collect()}
+    assert len(got) == 400
+    assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(300, 400))
+    more = df.withColumn("text", F.concat("text", F.lit(" "), F.reverse("text")))
+    assert toxicity.ratios(toxicity.counts(more.select(F.col("toxic").alias("__y"), F.col("text").alias("__text")))).count() > toxicity.ratios(toxicity.counts(df.select(F.col("toxic").alias("__y"), F.col("text").alias("__text")))).count()
+
+
 # ---- HTML (5) ----------------------------------------------------------------------------------
 
 
