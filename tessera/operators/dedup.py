@@ -86,6 +86,15 @@ def set_classes(df: DataFrame, key: str, elements: Callable[[Column], Column], t
     return sets.groupBy(F.sha2(F.array_join("set", "\u0001"), 256).alias("h")).agg(F.min("k").alias("key"), F.first("set").alias("set"), F.count("*").alias("copies")).drop("h")
 
 
+def set_members(df: DataFrame, key: str, elements: Callable[[Column], Column], text: str) -> DataFrame:
+    """Every row's key and the least key of the rows of an equal set, ``class_key``; a row of an empty
+    set is its own class."""
+    sets = df.select(F.col(key).alias("__k"), F.array_sort(elements(F.col(text))).alias("set"))
+    rows = sets.select("__k", F.when(F.size("set") > 0, F.sha2(F.array_join("set", "\u0001"), 256)).alias("h"))
+    first = rows.filter("h is not null").groupBy("h").agg(F.min("__k").alias("first"))
+    return rows.join(first, "h", "left").select(F.col("__k").alias(key), F.coalesce("first", "__k").alias("class_key"))
+
+
 def attachment_duplicates(attachments: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Why attachments (seq, email_id, filename, content_hash, cleaned_text) are duplicates.
 

@@ -140,3 +140,12 @@ def test_parse_time(spark, given):
 
 def test_parse_time_of_nothing(spark):
     assert value(spark, text.parse_time, "soon") is None
+
+
+def test_members_of_equal_sets(spark):
+    from tessera.operators import dedup
+
+    rows = [(1, "A b c d e f"), (2, "a B c d e, f!"), (3, "a b c d e g"), (4, None), (5, "few"), (6, "A b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_key for r in dedup.set_members(df, "doc_id", similarity.shingles, "text").collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1}
