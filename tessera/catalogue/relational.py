@@ -130,6 +130,13 @@ def history_versions(t):
     return api.history(rows).select("id", F.explode("versions").alias("v")).select("id", "v.version", "v.created_at")
 
 
+@query("""SELECT o_orderkey AS id, 1 AS version, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at FROM orders""")
+def history_versions_whole(t):
+    """As history_versions, of all orders."""
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"), F.lit("completed").alias("processing_status"))
+    return api.history(rows).select("id", F.explode("versions").alias("v")).select("id", "v.version", "v.created_at")
+
+
 @query("""SELECT d.doc_id, d.source, l.quality FROM documents d JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id) WHERE d.lang = 'de' AND l.quality = 0""")
 def filtered_semantic_join(t):
     best = t("labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 0")

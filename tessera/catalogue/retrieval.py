@@ -61,6 +61,16 @@ def source_ranking(t):
     return search.sources(rows).select("id", "type", "name")
 
 
+@query("""WITH h AS (SELECT conv_id AS id, turn AS seq, CASE role WHEN 'user' THEN 'event' WHEN 'assistant' THEN 'communication' ELSE 'document' END AS type, substr(text, 1, 30) AS summary FROM conversations),
+f AS (SELECT id, arg_min(type, seq) AS type, arg_min(summary, seq) AS name, min(seq) AS seq FROM h GROUP BY id)
+SELECT id, type, name FROM f ORDER BY CASE type WHEN 'event' THEN 0 WHEN 'document' THEN 1 WHEN 'communication' THEN 2 ELSE 9 END, seq * 10000000000 + id LIMIT 10""")
+def source_ranking_whole(t):
+    """As source_ranking, of all conversations."""
+    kind = F.when(F.col("role") == "user", "event").when(F.col("role") == "assistant", "communication").otherwise("document")
+    rows = t("conversations").select((F.col("turn") * 10000000000 + F.col("conv_id")).alias("seq"), F.col("conv_id").alias("id"), kind.alias("type"), F.lit("").alias("name"), F.substring("text", 1, 30).alias("summary"), F.lit("").alias("content"))
+    return search.sources(rows).select("id", "type", "name")
+
+
 @query("""SELECT o_orderkey AS id, o_totalprice FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-10' - INTERVAL 7 DAY AND TIMESTAMP '1996-01-10' + INTERVAL 30 DAY ORDER BY o_orderdate, o_orderkey LIMIT 100""")
 def recent_window_context(t):
     rows = t("orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", F.col("o_orderdate").alias("effective_start"))
@@ -72,6 +82,12 @@ def retrieval_diversity(t):
     return search.diversity(t("embeddings").filter("vec_id < 50"), "label").withColumn("diversity", F.round("diversity", 6))
 
 
+@query("""SELECT round(count(DISTINCT label) / greatest(count(*), 1), 6) AS diversity FROM embeddings""")
+def retrieval_diversity_whole(t):
+    """As retrieval_diversity, of all vectors."""
+    return search.diversity(t("embeddings"), "label").withColumn("diversity", F.round("diversity", 6))
+
+
 @query("""WITH s AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS src, max(CASE WHEN turn = 1 THEN text END) AS resp FROM conversations GROUP BY conv_id),
 w AS (SELECT conv_id, list_filter(list_distinct(list_filter(regexp_split_to_array(lower(resp), '\\s+'), lambda x: x <> '')), lambda x: NOT list_contains(['the','a','an','is','are','was','were','in','on','at','to','for','of','with','by','and','or','but','not'], x)) AS c,
 list_filter(regexp_split_to_array(lower(src), '\\s+'), lambda x: x <> '') AS q FROM s WHERE resp IS NOT NULL)
