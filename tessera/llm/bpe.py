@@ -8,10 +8,10 @@ places at once. Words are encoded once per worker while a bounded table remember
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from tessera.llm import pieces, shared
 
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
+#: Bytes of a word up to which it is merged in rounds with others.
+LONG = 256
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -52,7 +54,7 @@ class Merges:
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.order = np.argsort(keys, kind="stable")
-        self.keys, self.made = keys[self.order], made
+        self.keys, self.made, self.by_rank = keys[self.order], made, made.tolist()
         back = {c: b for b, c in enumerate(letters)}
         self.bytes = [b""] * self.size
         for token, i in vocab.items():
@@ -106,59 +108,38 @@ class Merges:
         return ids[order], np.bincount(owners, minlength=len(words))
 
 
-class _Numbers(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Encoder:
     """Encodes many texts at once; its table of words is bounded by ``remembered``."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.merges, self.remembered = Merges(path), remembered
-        self.forget()
+        self.merges = Merges(path)
+        self.words = pieces.Remembered(lambda new: self.merges.merge([w.encode("utf-8", "surrogatepass") for w in new]), remembered)
+        self.pool = np.frombuffer(b"".join(self.merges.bytes), np.uint8)
+        self.place = np.cumsum(self.merges.lengths) - self.merges.lengths
 
     def forget(self) -> None:
-        self.known = _Numbers()
-        self.ids = np.empty(0, np.int32)
-        self.begin = np.zeros(1, np.int64)
-
-    def _learn(self) -> None:
-        """Encodes the words numbered since the last call."""
-        new = list(islice(self.known, len(self.begin) - 1, None))
-        if new:
-            ids, counts = self.merges.merge([w.encode("utf-8", "surrogatepass") for w in new])
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
-
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of texts without control strings, ids of each text, and pieces' starts of each id."""
+        self.words.forget()
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without control strings, and how many each has."""
         joined = "".join(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends_of = np.cumsum(sizes)
-        begins = (ends_of - sizes)[sizes > 0]
-        starts, ends = pieces.boundaries(pieces.code_points(joined), begins, word=False)
-        if len(self.known) > self.remembered:
-            self.forget()
-        cut = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        words = np.fromiter(map(self.known.__getitem__, cut), np.int64, len(cut))
-        self._learn()
-        counts = self.begin[words + 1] - self.begin[words]
+        points = pieces.code_points(joined)
+        starts, ends = pieces.boundaries(points, (ends_of - sizes)[sizes > 0], word=False)
+        ids, counts = self.words.of(joined, points, starts, ends)
         total = np.concatenate([[0], np.cumsum(counts)])
-        take = np.arange(total[-1]) - np.repeat(total[:-1] - self.begin[words], counts)
-        per_text = np.diff(total[np.searchsorted(starts, np.concatenate([[0], ends_of]))])
-        return self.ids[take], per_text, np.repeat(starts, counts)
+        return ids, np.diff(total[np.searchsorted(starts, np.concatenate([[0], ends_of]))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array and the number of ids of each; control strings of the
         vocabulary in a text become their own ids."""
+        return pieces.by_runs(texts, self._encoded)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         special = self.merges.special
         if not any(s in t for t in texts for s in special):
-            ids, counts, _ = self._plain(texts)
-            return ids, counts
+            return self._plain(texts)
         parts: list[str] = []
         owner: list[int] = []
         mark: list[int] = []
@@ -167,15 +148,34 @@ class Encoder:
                 parts.append(text)
                 owner.append(i)
                 mark.append(code)
-        ids, counts, _ = self._plain(parts)
+        ids, counts = self._plain(parts)
         marked = np.array(mark)
         places = np.cumsum(counts)[marked >= 0]
-        ids = np.insert(ids, places, marked[marked >= 0])
+        ids = np.insert(ids, places, marked[marked >= 0].astype(ids.dtype))
         return ids, np.bincount(owner, counts + (marked >= 0), len(texts)).astype(np.int64)
 
+    def spelled(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where those of each end."""
+        sizes = self.merges.lengths[ids]
+        ends = np.cumsum(sizes)
+        take = np.repeat(self.place[ids] - (ends - sizes), sizes)
+        take += np.arange(len(take))
+        return self.pool[take].tobytes(), ends
+
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[str]:
+        """The texts of all ids, of which each text has so many; about RUN ids are spelled at once."""
+        stops = np.cumsum(counts)
+        at, i = 0, 0
+        while i < len(counts):
+            to = max(i + 1, int(np.searchsorted(stops, at + pieces.RUN, "right")))
+            blob, ends = self.spelled(ids[at : int(stops[to - 1])])
+            bounds = np.concatenate([[0], ends])[np.concatenate([[0], stops[i:to] - at])].tolist()
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield blob[a:b].decode("utf-8", "replace")
+            at, i = int(stops[to - 1]), to
+
     def decode(self, ids: np.ndarray) -> str:
-        table = self.merges.bytes
-        return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        return self.spelled(ids)[0].decode("utf-8", "replace")
 
 
 def _cut(text: str, special: dict[str, int]) -> list[tuple[str, int]]:
@@ -231,11 +231,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
             flat, counts = enc.encode(texts)
             flat = flat.astype("<u4")
             ends = np.cumsum(counts)
-            of_ids, of_text = [], []
-            for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
-                part = flat[a:b]
-                of_ids.append(hashlib.sha256(part.tobytes()).hexdigest())
-                of_text.append(hashlib.sha256(enc.decode(part).encode()).hexdigest())
+            of_ids = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+            of_text = [hashlib.sha256(t.encode()).hexdigest() for t in enc.decoded(flat, counts)]
             yield pa.RecordBatch.from_arrays([rows_.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return shared.mapped(rows, run, f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,12 +8,19 @@ Two published patterns are expressed here, in the order of their alternatives:
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 
+#: Characters that are cut at once: a longer text is cut in runs of about so many.
+RUN = 1 << 20
+_PLACE = re.compile(r"[^\s](?=[ \n])")
+_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
@@ -68,3 +75,144 @@ def boundaries(points: np.ndarray, begins: np.ndarray, word: bool) -> tuple[np.n
         keep = kind[starts] != SPACE
         starts, ends = starts[keep], ends[keep]
     return starts, ends
+
+
+def runs(text: str, size: int = RUN) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters. It is cut only before a space or line break that
+    follows something else: no piece of either pattern goes on there, nor does any depend on what was
+    before. Where a text has no such place the part is longer."""
+    at = 0
+    while len(text) - at > size:
+        m = _PLACE.search(text, at + size - 1)
+        if not m:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:] if at else text
+
+
+def by_runs(texts: list[str], encoded: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``encoded`` gives for ``texts`` (ids of all, how many each has), a long text run by run."""
+    if max(map(len, texts), default=0) <= RUN:
+        return encoded(texts)
+    found = [[encoded([p])[0] for p in runs(t)] for t in texts]
+    return np.concatenate([x for own in found for x in own]), np.array([sum(map(len, own)) for own in found], np.int64)
+
+
+@cache
+def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**64."""
+    up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of every points[start:end] (sorted, not overlapping), by prefix sums modulo 2**64."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # so many pieces at once as lie within a run
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + RUN, "right")))
+        high = int(ends[to - 1])
+        up, down = _powers(1 << max(16, (high - low).bit_length()), _BASES[which])
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((points[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=total[1:])
+        a, b = starts[at:to] - low, ends[at:to] - low
+        h = (total[b] - total[a]) * down[a]
+        h ^= (b - a).astype(np.uint64) << np.uint64(40)
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        out[at:to] = h ^ (h >> np.uint64(29))
+        at = to
+    return out
+
+
+class Known:
+    """Numbers of pieces by their hashes of 128 bits, in arrays that are probed for many pieces at once;
+    strings are made of new pieces only."""
+
+    def __init__(self) -> None:
+        self.count = 0
+        self._sized(16)
+
+    def _sized(self, bits: int) -> None:
+        self.bits, self.mask = bits, (1 << bits) - 1
+        self.first, self.second = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.number = np.full(1 << bits, -1, np.int32)
+
+    def _slots(self, first: np.ndarray) -> np.ndarray:
+        return (first >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        slot = self._slots(first)
+        out = self.number[slot]
+        live = np.flatnonzero((out >= 0) & ((self.first[slot] != first) | (self.second[slot] != second)))
+        while len(live):
+            slot[live] = at = (slot[live] + 1) & self.mask
+            found = self.number[at]
+            out[live] = found
+            live = live[(found >= 0) & ((self.first[at] != first[live]) | (self.second[at] != second[live]))]
+        return out
+
+    def _insert(self, first: np.ndarray, second: np.ndarray, numbers: np.ndarray) -> None:
+        slot, rest = self._slots(first), np.arange(len(first))
+        while len(rest):
+            at = slot[rest]
+            free = self.number[at] < 0
+            self.number[at[free]] = numbers[rest[free]]  # of several the last one gets the slot
+            won = free & (self.number[at] == numbers[rest])
+            self.first[at[won]], self.second[at[won]] = first[rest[won]], second[rest[won]]
+            rest = rest[~won]
+            slot[rest] = (slot[rest] + 1) & self.mask
+
+    def numbers(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each piece, and for each new number, in order, a place where it stands."""
+        first, second = hashes(points, starts, ends), hashes(points, starts, ends, 1)
+        out = self._find(first, second)
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out, missing
+        order = missing[np.lexsort((second[missing], first[missing]))]
+        a, b = first[order], second[order]
+        fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        out[order] = self.count + np.cumsum(fresh) - 1
+        new = order[fresh]
+        if 2 * (self.count + len(new)) > len(self.number):
+            old = np.flatnonzero(self.number >= 0)
+            kept = self.first[old], self.second[old], self.number[old]
+            self._sized((3 * (self.count + len(new))).bit_length())
+            self._insert(*kept)
+        self._insert(first[new], second[new], out[new])
+        self.count += len(new)
+        return out, new
+
+
+class Remembered:
+    """The ids of pieces, each of which is encoded once while a bounded table remembers it."""
+
+    def __init__(self, encoded: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
+        #: Ids of all of some pieces in one array, and how many each has.
+        self.encoded, self.limit = encoded, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Known()
+        self.ids = np.empty(0, np.uint32)
+        self.begin = np.zeros(1, np.int64)
+
+    def of(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces text[start:end] in one array, and how many each has."""
+        if self.known.count > self.limit:
+            self.forget()
+        words, new = self.known.numbers(points, starts, ends)
+        if len(new):
+            ids, counts = self.encoded([text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
+        begin = self.begin[words]
+        counts = self.begin[words + 1] - begin
+        total = np.cumsum(counts)
+        take = np.repeat(begin - (total - counts), counts)
+        take += np.arange(len(take))
+        return self.ids[take], counts

@@ -25,9 +25,7 @@ RULES = ("first", "most", "share")
 def token_spans(enc: bpe.Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all tokens of all texts, first and end character of each (in its text), and tokens of
     each text. A token that holds a part of a character covers the whole character."""
-    if any(s in t for t in texts for s in enc.merges.special):
-        return _special_spans(enc, texts)
-    ids, counts, _ = enc._plain(texts)
+    ids, counts = enc.encode(texts)  # a control string's id stands for its own characters
     return ids, *_characters(enc, texts, ids, counts), counts
 
 
@@ -42,13 +40,6 @@ def _characters(enc: bpe.Encoder, texts: list[str], ids: np.ndarray, counts: np.
     return character[starts] - base, character[ends - 1] + 1 - base
 
 
-def _special_spans(enc: bpe.Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """With control strings every token's bytes still are the text's bytes: a control string's id
-    stands for its own characters."""
-    ids, counts = enc.encode(texts)
-    return ids, *_characters(enc, texts, ids, counts), counts
-
-
 def allocated(first: np.ndarray, end: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section, as floats, of one text: tokens [first, end), sections between
     consecutive ``bounds`` (sorted, from 0 to the length of the text; a section may be empty)."""

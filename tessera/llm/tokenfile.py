@@ -13,7 +13,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -23,11 +22,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import pieces, shared
-from tessera.llm.bpe import _Numbers, byte_letters
+from tessera.llm.bpe import byte_letters
 
 MAX_BITS = 18
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Ids of a block (a longer document makes a longer block), and ids between two bit offsets.
 BLOCK, EVERY = 1 << 16, 128
 #: magic, version, documents, ids, ids of the shard before, bits, crc32 of the bit stream
@@ -44,13 +43,10 @@ class WordEncoder:
         self.special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.letters = dict(enumerate(byte_letters()))
-        self.remembered = remembered
-        self.forget()
+        self.pieces = pieces.Remembered(self._merged, remembered)
 
     def forget(self) -> None:
-        self.known = _Numbers()
-        self.ids = np.empty(0, np.uint32)
-        self.begin = np.zeros(1, np.int64)
+        self.pieces.forget()
 
     @staticmethod
     def normal(text: str) -> str:
@@ -60,47 +56,43 @@ class WordEncoder:
             text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()  # no final sigma: letters are lowered one by one
 
-    def _learn(self) -> None:
-        tokenize = self.model.tokenize
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, letters = self.model.tokenize, self.letters
         found, counts = [], []
-        for word in list(islice(self.known, len(self.begin) - 1, None)):
+        for word in words:
             if not (word.isascii() and word.isprintable()):
-                word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-            ids = [t.id for t in tokenize(word)]
-            found += ids
-            counts.append(len(ids))
-        if counts:
-            self.ids = np.concatenate([self.ids, np.array(found, np.uint32)])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
+                word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
+            tokens = tokenize(word)
+            counts.append(len(tokens))
+            found += [t.id for t in tokens]
+        return np.array(found, np.uint32), np.array(counts, np.int64)
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array (``end`` behind each text) and the number of each."""
+        ids, counts = pieces.by_runs(texts, self._encoded)
+        if end is None:
+            return ids, counts
+        return np.insert(ids, np.cumsum(counts), np.uint32(end)), counts + 1
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, owner, mark = [], [], []
         for i, t in enumerate(texts):
             for part in self.cut.split(t) if any(s in t for s in self.special) else [t]:
                 parts.append("" if part in self.special else self.normal(part))
                 owner.append(i)
                 mark.append(self.special.get(part, -1))
-            if end is not None:
-                parts.append("")
-                owner.append(i)
-                mark.append(end)
         joined = "".join(parts)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         ends_of = np.cumsum(sizes)
-        starts, ends = pieces.boundaries(pieces.code_points(joined), (ends_of - sizes)[sizes > 0], word=True)
-        if len(self.known) > self.remembered:
-            self.forget()
-        cut = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        words = np.fromiter(map(self.known.__getitem__, cut), np.int64, len(cut))
-        self._learn()
-        counts = self.begin[words + 1] - self.begin[words]
+        points = pieces.code_points(joined)
+        starts, ends = pieces.boundaries(points, (ends_of - sizes)[sizes > 0], word=True)
+        ids, counts = self.pieces.of(joined, points, starts, ends)
         total = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - self.begin[words], counts)]
         per_part = np.diff(total[np.searchsorted(starts, np.concatenate([[0], ends_of]))])
         marked = np.array(mark, np.int64)
         at = marked >= 0
-        ids = np.insert(ids, np.cumsum(per_part)[at], marked[at].astype(np.uint32))
+        if at.any():
+            ids = np.insert(ids, np.cumsum(per_part)[at], marked[at].astype(np.uint32))
         return ids, np.bincount(np.array(owner, np.int64), per_part + at, len(texts)).astype(np.int64)
 
 
