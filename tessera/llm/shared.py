@@ -13,8 +13,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that a Python worker handles at once; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -58,24 +59,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _MADE[-1]
 
 
-def remove_written(spark: SparkSession) -> int:
-    """Deletes the intermediate tables of this driver: call it when no result is read any more."""
+def remove_written(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Deletes intermediate tables of this driver (by default all): call it when no result that reads
+    them is read any more."""
     count = 0
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    for p in [p for p in list(_MADE) if paths is None or p in paths]:
+        _MADE.remove(p)
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         count += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return count
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd", last: bool = False) -> DataFrame:
     """``df`` written to a new table of the shared folder and read again: lineage ends here, and
-    a lost executor costs nothing that was done before."""
+    a lost executor costs nothing that was done before. ``last``: all intermediate tables that were
+    made before go, as nothing but ``df`` needs them."""
     spark = df.sparkSession
+    before = list(_MADE)
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
+    if last:
+        remove_written(spark, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replaced(df: DataFrame, name: str, old: str | None) -> tuple[DataFrame, str]:
+    """``df`` written as a table, and its path; the table ``old``, from which it was made, goes."""
+    out = written(df, name)
+    path = _MADE[-1]
+    if old:
+        remove_written(df.sparkSession, [old])
+    return out, path
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches of about ``limit`` bytes of text, with their texts (null: empty)."""
     for batch in batches:
@@ -107,8 +123,12 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow`` whose workers keep no memory when a task ends."""
+def mapped(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` whose workers keep no memory when a task ends.
+
+    Spark reads the size of Arrow batches from the session when a plan runs, so that it can't be set
+    for one plan: where the session has Spark's default, it is lowered to BATCH_BYTES and stays so.
+    """
 
     conf = df.sparkSession.conf
     if conf.get(_BATCH, None) in (None, "67108864b", "67108864", "64MB", "64m"):  # Spark's own
@@ -123,11 +143,54 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
+def carried(docs: DataFrame, keep: list[str] | tuple[str, ...], text: str) -> DataFrame:
+    """k, a struct of the columns ``keep`` as they are, and t, the text: whatever a user's columns are
+    called, no name of ours meets them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("k"), F.col(f"`{text}`").alias("t"))
+
+
+def with_results(rows: DataFrame, results: str) -> T.StructType:
+    """Schema of the columns of ``rows`` but for the last, and of ``results`` (as DDL) after them."""
+    return T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(results).fields])
+
+
 def fits(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> bool:
     """Whether ``df``, counted, stays below ``limit`` bytes; only then may it be broadcast."""
     return df.limit(limit // row_bytes + 1).count() <= limit // row_bytes
 
 
+#: Rows of one key above which a join doesn't leave them to one task, and tasks that share them.
+HOT, SALTS = 10_000, 64
+
+
+def salts(n: int) -> Column:
+    """A row for each of ``n`` salts."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
+def joined_evenly(left: DataFrame, right: DataFrame, key: str, hot: int = HOT, limit: int = 32 << 20) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has each ``key`` once and in ``n`` how many rows of
+    ``left`` have it. No task gets all rows of a hot key.
+
+    ``right`` is broadcast if it is small (counted first). Else its keys of more than ``hot`` rows are: at
+    most one in ``hot`` rows of ``left``. Should even they be too many, ``left`` is spread over SALTS
+    keys for them.
+    """
+    if fits(right, 32, limit):
+        return left.join(F.broadcast(right), key).drop("n")
+    often, rest = right.filter(F.col("n") > hot), right.filter(F.col("n") <= hot)
+    if fits(often, 32, limit):
+        many = left.join(F.broadcast(often), key)
+        left = left.join(F.broadcast(often.select(key)), key, "left_anti")
+    else:
+        salt = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).alias("__salt")
+        spread = often.withColumn("__salt", salts(SALTS))
+        salted = left.select("*", salt)
+        many = salted.join(spread, [key, "__salt"]).drop("__salt")
+        left = salted.join(spread.select(key, "__salt"), [key, "__salt"], "left_anti").drop("__salt")
+    return many.unionByName(left.join(rest, key)).drop("n")
+
+
 def same(left: DataFrame, right: DataFrame, names: list[str]):
     """Null-safe equality on all ``names``, as a join condition."""
     on = F.lit(True)
