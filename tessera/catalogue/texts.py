@@ -139,10 +139,31 @@ def chunk_contiguity(t):
     return chunk.contiguous(chunk.rows(t("documents"), chunk.windows(F.col("text")), "doc_id"))
 
 
-@query()
+#: What stands before each text: listed dates, a weekday with an impossible and a late time, a plain date.
+_HEADS = ("Ngày 1/6/2026\nNgày 02/06/2026\n08:30-09:00 | Plan", "Thứ Tư - 03/06/2026\n25:00 - 26:00 None\n10:00 - 09:00 Late", "4/6/2026\nLịch")
+_DAY = lambda p: f"CAST(try_strptime(regexp_replace(regexp_extract(line, '{p}'), '{p}', '\\1/\\2/\\3'), '%d/%m/%Y') AS TIMESTAMP)"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, row_number() OVER () AS doc, string_split([{", ".join(f"'{h}'" for h in _HEADS)}][doc_id % 3 + 1] || chr(10) || coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, doc, generate_subscripts(ls, 1) AS n, regexp_replace(unnest(ls), '^\s+|\s+$', '', 'g') AS line FROM t),
+d AS (SELECT *, {_DAY(r"Thứ\s+\S+\s*[-–—]\s*([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})")} AS d0, {_DAY(r"Ng[àa]y\s+([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})")} AS d1, {_DAY(r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})")} AS d2,
+ regexp_extract(line, '^([0-9]{{1,2}}):([0-9]{{2}})\s*[-–—]\s*([0-9]{{1,2}}):([0-9]{{2}})\s*[|]?\s*(.+)', ['h1', 'm1', 'h2', 'm2', 'said']) AS c
+ FROM l WHERE line <> '' AND NOT regexp_matches(line, '^[-–—=| ]+$') AND NOT starts_with(lower(line), 'lịch') AND NOT starts_with(lower(line), 'mục đích') AND NOT (contains(lower(line), 'thời gian') AND contains(lower(line), 'công việc'))),
+k AS (SELECT *, CASE WHEN d0 IS NOT NULL THEN 0 WHEN d1 IS NOT NULL THEN 1 WHEN d2 IS NOT NULL THEN 2 WHEN c.said <> '' THEN 3 WHEN NOT regexp_matches(line, '^[0-9]') AND length(line) > 3 THEN 4 END AS kind, coalesce(d0, d1, d2) AS day FROM d),
+a AS (SELECT *, kind = 3 AND try_cast(c.h1 AS INT) <= 23 AND try_cast(c.h2 AS INT) <= 23 AND try_cast(c.m1 AS INT) <= 59 AND try_cast(c.m2 AS INT) <= 59 AS possible, min(n) FILTER (kind = 3) OVER w AS ft, min(n) FILTER (kind = 1) OVER w AS fn FROM k WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY doc)),
+b AS (SELECT *, kind <= 1 AND fn IS NOT NULL AND n >= fn AND (ft IS NULL OR fn < ft) AS listed, count(*) FILTER (possible) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block FROM a),
+e AS (SELECT *, arg_min(day, n) FILTER (listed) OVER (PARTITION BY doc, block ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS waiting, max(n) FILTER (possible) OVER (PARTITION BY doc, block) AS at FROM b),
+f AS (SELECT *, last_value(CASE WHEN kind <= 2 AND NOT listed THEN day WHEN possible THEN waiting END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS today FROM e),
+g AS (SELECT f.doc, f.doc_id, t.n, f.n AS place, trim(t.c.said) AS name, f.day AS day, t.c AS c FROM f JOIN f AS t ON f.doc = t.doc AND f.at = t.n WHERE f.listed
+ UNION ALL SELECT doc, doc_id, n, n, trim(c.said), today, c FROM f WHERE possible AND waiting IS NULL AND today IS NOT NULL),
+h AS (SELECT doc, doc_id, n, place, name, day + to_minutes(CAST(c.h1 AS INT) * 60 + CAST(c.m1 AS INT)) AS start, CAST(c.h2 AS INT) * 60 + CAST(c.m2 AS INT) - CAST(c.h1 AS INT) * 60 - CAST(c.m1 AS INT) AS minutes FROM g
+ UNION ALL SELECT doc, doc_id, n, n, line, coalesce(CASE WHEN ft IS NULL OR n < ft THEN waiting END, today), NULL FROM f WHERE kind = 4 AND NOT regexp_matches(lower(line), 'nghỉ|tự học|đọc sách|đọc tài liệu|gym'))
+SELECT doc_id AS document_id, md5(name) AS name, strftime(start, '%Y-%m-%d %H:%M') AS start, CASE WHEN minutes IS NULL THEN 'tentative' ELSE 'active' END AS status, n AS line_number, CAST(CASE WHEN minutes > 0 THEN minutes ELSE minutes + 60 END AS INT) AS duration_minutes
+FROM (SELECT *, row_number() OVER (PARTITION BY doc, start, name ORDER BY n, place) AS r FROM h WHERE start IS NOT NULL) WHERE r = 1""")
 def schedule_extract(t):
-    line = F.concat(F.lit("Ngày 01/06/2026\n08:30-09:00 | "), F.substring("text", 1, 20))
-    return schedule.extract(t("documents").select("doc_id", line.alias("text")), "text", "doc_id").select("document_id", "name", "status", "duration_minutes")
+    head = F.get(F.array(*map(F.lit, _HEADS)), (F.col("doc_id") % 3).cast("int"))
+    found = schedule.extract(t("documents").select("doc_id", F.concat(head, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")), "text", "doc_id")
+    return found.select("document_id", F.md5("name").alias("name"), F.date_format("effective_start", "yyyy-MM-dd HH:mm").alias("start"), "status", "line_number", "duration_minutes")
 
 
 @query("""SELECT c_custkey, c_name AS name, lower(replace(c_name, '#', '')) || '@x.org' AS email FROM customer""")

@@ -120,7 +120,7 @@ def test_mail_records(spark):
     found = silver.mail_records(emails, att)
     r = {x.email_id: x for x in found["silver_records"].collect()}
     assert r["1"].content_type == "invoice"
-    assert r["1"].detected_dates == ["01-06-2026"] or "1-06-2026" in str(r["1"].detected_dates)
+    assert r["1"].detected_dates == ["01-06-2026"]
     assert r["2"].attachment_count == 0
     assert not r["2"].metadata_validation.errors
     assert found["silver_chunks"].filter("email_id = '1'").count() > 1
@@ -143,12 +143,27 @@ def test_sinks(spark, tmp_path):
         assert schemas.schema(t).fields
 
 
-def test_schedule(spark):
-    text = "Lịch\nNgày 01/06/2026\nNgày 02/06/2026\n08:30-09:00 | Họp\n25:00 - 26:00 x\nThứ Tư - 03/06/2026\n10:00 - 09:00 Late\nSprint Planning\ngym buổi tối"
-    found = schedule.entries(text)
-    assert [(e["name"], str(e["effective_start"])) for e in found] == [("Họp", "2026-06-01 08:30:00"), ("Họp", "2026-06-02 08:30:00"), ("Sprint Planning", "2026-06-01 00:00:00")] or any(e["name"] == "Late" for e in found)
-    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string")
-    assert schedule.extract(df, "t", "id").count() == len(found)
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("Lịch\nNgày 01/06/2026\nNgày 02/06/2026\n08:30-09:00 | Họp\n25:00 - 26:00 x\nThứ Tư - 03/06/2026\n10:00 - 09:00 Late\nSprint Planning\ngym buổi tối", [("Họp", "2026-06-01 08:30:00", "2026-06-01 09:00:00", 4, 30), ("Họp", "2026-06-02 08:30:00", "2026-06-02 09:00:00", 4, 30), ("Late", "2026-06-03 10:00:00", "2026-06-03 10:00:00", 7, 0), ("Sprint Planning", "2026-06-03 00:00:00", None, 8, None)]),
+        ("Thứ Hai – 1/6/2026\n8:00–8:45 A\nNgay 3/6\n9:00 - 10:00 | B\nreview notes", [("A", "2026-06-01 08:00:00", "2026-06-01 08:45:00", 2, 45), ("B", "2026-06-03 09:00:00", "2026-06-03 10:00:00", 4, 60), ("review notes", "2026-06-03 00:00:00", None, 5, None)]),
+        ("Ngày 5/6/2026\nprepare slides\nNgày 6/6/2026\nThời gian | Công việc\n---\n9:00-9:30 Sync\n9:00-9:30 Sync", [("prepare slides", "2026-06-05 00:00:00", None, 2, None), ("Sync", "2026-06-05 09:00:00", "2026-06-05 09:30:00", 6, 30), ("Sync", "2026-06-06 09:00:00", "2026-06-06 09:30:00", 6, 30)]),
+        ("31/02/2026\nno day yet\n9:00 - 9:30 lost\n28/02/2026 x\n9:00 - 9:30 found", [("found", "2026-02-28 09:00:00", "2026-02-28 09:30:00", 5, 30)]),
+        ("9:00 - 10:00 no date anywhere\nnor here", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_schedule(spark, text, wanted):
+    df = spark.createDataFrame([(1, text), (1, "1/1/2026\nother text")], "id int, t string")
+    found = schedule.extract(df, "t", "id")
+    cell = lambda v: None if v is None else str(v)
+    got = [(r.name, str(r.effective_start), cell(r.effective_end), r.line_number, r.duration_minutes) for r in found.orderBy("line_number", "effective_start").collect() if r.name != "other text"]
+    assert got == wanted
+    assert {(r.importance, r.status) for r in found.collect()} <= {(1, "tentative"), (2, "active")}
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert schedule.extract(df.limit(0), "t", "id").count() == 0
 
 
 def test_record_duplicates(spark):
