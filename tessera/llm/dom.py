@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -20,8 +21,12 @@ CLOSES = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
+#: Elements in which a block doesn't end a paragraph that began outside.
+KEEPS = ("button", "table", "td", "th", "caption")
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_OPENING = re.compile(r"</?[a-zA-Z][^\s/>]*")
+_QUOTE = re.compile("""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
 _HINTS = re.compile(r"[a-z]+")
 
@@ -57,6 +62,68 @@ def hints_of(found: dict[str, str]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(_HINTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", joined).lower())))
 
 
+class _Tags:
+    """The tags, comments and declarations of a page in order, in time linear in its length.
+
+    A tag ends at the first ``>`` outside quotes or, where a quote never ends, at the first one at all.
+    What a tag without an end has cost is paid once: no tag begins behind the last ``>``, and where a
+    quote was opened on the way to the end of the page, no other tag needs to go on from there.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.broken = False
+        self.hopeless: set[int] = set()
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it is an end tag, name ("": none) and attributes of the next tag."""
+        while not self.broken:
+            m = _TAG.search(self.source, at, self.last + 1)
+            if not m:
+                break
+            if m[5] is None:
+                end = m.end()
+                for begin, ends in (("<!--", ("-->", "--!>")), ("<![CDATA[", "]]>")):
+                    if end > self.last and m[0].startswith(begin) and not m[0].endswith(ends):
+                        end = len(self.source)
+                return m.start(), end, bool(m[1]), m[2] or "", m[3] or ""
+            self.broken = True  # a quote that never ends: from here on step by step
+            at = m.start()
+        return self._stepped(at)
+
+    def _stepped(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        source = self.source
+        while 0 <= (start := source.find("<", at)) < len(source):
+            if source.startswith("<!--", start) or source.startswith("<![CDATA[", start):
+                m = _TAG.match(source, start)
+                return start, m.end(), False, "", ""
+            if start > self.last:  # only comments end without a sign
+                at = start + 1
+                continue
+            if source.startswith(("<!", "<?"), start):
+                return start, source.index(">", start) + 1, False, "", ""
+            m = _OPENING.match(source, start)
+            if not m:
+                at = start + 1
+                continue
+            end = self._end(m.end())
+            closing = source[start + 1] == "/"
+            return start, end + 1, closing, m[0][1 + closing :], source[m.end() : end]
+        return None
+
+    def _end(self, at: int) -> int:
+        first, opened = self.source.index(">", at), []
+        while m := _QUOTE.search(self.source, at):
+            if m[0] == ">":
+                return m.start()
+            opened.append(m.start())
+            at = self.source.find(m[0], m.end()) + 1
+            if not at or opened[-1] in self.hopeless:
+                break
+        self.hopeless.update(opened)
+        return first
+
+
 def parse(source: str, labelled: bool = False) -> Page:
     """The tree of block elements of a page, with its text blocks in page order.
 
@@ -66,10 +133,12 @@ def parse(source: str, labelled: bool = False) -> Page:
     """
     page = Page()
     stack: list[tuple[str, int, bool]] = [("#page", 0, False)]  # tag, nearest block, hidden
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each name in the stack
     pieces: list[str] = []
     linked = 0
     in_link = 0
     at, length = 0, len(source)
+    tags = _Tags(source)
 
     def flush() -> None:
         nonlocal linked
@@ -97,30 +166,31 @@ def parse(source: str, labelled: bool = False) -> Page:
             if tag not in INLINE:
                 flush()
             stack.pop()
+            places[tag].pop()
+
+    def nearest(names) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=-1)
 
     while at < length:
-        m = _TAG.search(source, at)
-        if not m:
+        found = tags.next(at)
+        if not found:
             said(source[at:])
             break
-        said(source[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
+        start, end, closing, name, inner = found
+        said(source[at:start])
+        at = end
         if not name:
-            if m[0].startswith("<![CDATA["):
-                said(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+            if source.startswith("<![CDATA[", start):
+                said(source[start + 9 : end].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = name.lower()
-        if m[1] or m[4]:  # an end tag
+        if closing:
             if tag == "br":
                 pieces.append(" ")
-            elif tag == "p" and not any(s[0] == "p" for s in stack):
+            elif places[tag]:
+                close(places[tag][-1])
+            elif tag == "p":
                 flush()
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
             continue
         if tag in VOID:
             if tag == "br":
@@ -131,38 +201,31 @@ def parse(source: str, labelled: bool = False) -> Page:
         block = tag not in INLINE
         if block:
             flush()
-            until = {"button", "table", "td", "th", "caption", "#page"}
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in until:
-                    break
+            if places["p"] and places["p"][-1] > nearest(KEEPS):  # a block ends an open paragraph
+                close(places["p"][-1])
         if tag in CLOSES:
             ended, scope = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ended:
-                    close(i)
-                    if tag != "tr":
-                        break
-                elif stack[i][0] in scope:
+            while (last := nearest(ended)) > nearest(scope):
+                close(last)
+                if tag != "tr":
                     break
         hidden = stack[-1][2] or tag in HIDDEN
         node = stack[-1][1]
         if block and not hidden:
-            found = attributes(m[3] or m[6] or "") if (m[3] or m[6]) else {}
-            label = int(found["data-y"]) if labelled and "data-y" in found else None
-            if "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower():
+            known = attributes(inner) if inner else {}
+            label = int(known["data-y"]) if labelled and "data-y" in known else None
+            if "hidden" in known or "display:none" in known.get("style", "").replace(" ", "").lower():
                 hidden = True
-            node = page.add(node, tag, hints_of(found), label)
-        if (m[3] or m[6] or "").endswith("/") and tag in ("path", "rect", "circle", "use", "line"):
+            node = page.add(node, tag, hints_of(known), label)
+        if inner.endswith("/") and tag in ("path", "rect", "circle", "use", "line"):
             continue
         if tag == "a":
             in_link += 1
+        places[tag].append(len(stack))
         stack.append((tag, node, hidden))
         if tag in RAW:
-            end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, at)
-            raw_end = end.start() if end else length
+            stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, at)
+            raw_end = stop.start() if stop else length
             if tag == "textarea":
                 said(source[at:raw_end])
             at = raw_end

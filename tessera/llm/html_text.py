@@ -143,19 +143,19 @@ def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("pa
     Null or empty pages, and pages without main text, have the empty text. Repeated rows stay; other
     columns go.
     """
-    rows = pages.select(*keep, F.col(html).alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1]) + f"`{text}` string, n_chars long"
-
+    rows = shared.carried(pages, keep, html)
     held = pages.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch, sources in shared.bounded(batches, "__text"):
+        for batch, sources in shared.bounded(batches, "t"):
             found = [model.extract(s) for s in sources]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=[*batch.schema.names[:-1], text, "n_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["k", "t", "n_chars"])
 
-    return shared.mapped(rows, run, schema)
+    found = shared.mapped(rows, run, shared.with_results(rows, "t string, n_chars long"))
+    return found.select("k.*", F.col("t").alias(text), "n_chars")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; see :func:`main_text`."""
     return main_text(shared.table(spark, sf_dir, "pages"))
