@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import shared
 
-#: The bound of the training sample: rows, and bytes of a text that may be drawn.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 20
+#: The bound of the training sample: rows, and bytes of all their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
+#: Bytes over which the filters run at once.
+RUN = 1 << 18
 #: Every fit takes so many steps of so many documents.
 STEPS, BATCH = 500, 32
 DIM, FILTERS, HIDDEN = 4, 16, 16
@@ -53,13 +55,13 @@ class Network:
             "b2": np.zeros(1, f),
         }
 
-    def _pooled(self, lay: Layout) -> tuple[np.ndarray, np.ndarray | None]:
-        """Filter maxima of each half-chunk (before bias) as (halves, FILTERS), and their places."""
+    def _pooled(self, buffer: np.ndarray, places: int) -> np.ndarray:
+        """Filters (before bias) at the first ``places`` of a buffer, as (halves, HALF, FILTERS)."""
         p = self.p
-        x = p["embed"][lay.buffer].reshape(-1, STRIDE * DIM)
-        out = x[: lay.places] @ p["filters"][0]
+        x = p["embed"][buffer].reshape(-1, STRIDE * DIM)
+        out = x[:places] @ p["filters"][0]
         for g in range(1, GROUPS):
-            out += x[g : g + lay.places] @ p["filters"][g]
+            out += x[g : g + places] @ p["filters"][g]
         return out.reshape(-1, HALF, FILTERS)
 
     def _head(self, halves: np.ndarray, lay: Layout) -> dict:
@@ -81,12 +83,23 @@ class Network:
         return {"a": a, "pair": pair, "chunk": chunk, "weight": weight, "count": count, "top": top, "z": z, "h": h, "prob": 1 / (1 + np.exp(-logit.astype(np.float64)))}
 
     def score(self, texts: list[bytes]) -> np.ndarray:
+        """Probabilities of whole texts. Filters run over RUN bytes at once, whatever the length of a
+        text: of each half-chunk only the maxima are kept, FILTERS numbers for 128 bytes."""
         lay = Layout(texts)
-        return self._head(self._pooled(lay).max(axis=1), lay)["prob"]
+        return self._head(self._maxima(lay), lay)["prob"]
+
+    def _maxima(self, lay: Layout) -> np.ndarray:
+        unit, n = HALF * STRIDE, lay.places // HALF
+        out = np.empty((n, FILTERS), self.p["filters"].dtype)
+        for at in range(0, n, RUN // unit):
+            to = min(n, at + RUN // unit)
+            part = lay.buffer[at * unit : (to + 1) * unit]  # a filter reaches into the next half
+            out[at:to] = self._pooled(part, (to - at) * HALF).max(axis=1)
+        return out
 
     def gradient(self, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
         p, lay = self.p, Layout(texts)
-        out = self._pooled(lay)
+        out = self._pooled(lay.buffer, lay.places)
         where = out.argmax(axis=1)
         halves = np.take_along_axis(out, where[:, None], 1)[:, 0]
         s = self._head(halves, lay)
@@ -144,14 +157,25 @@ class Constant:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str = "text", key: str = "doc_id", size: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
-    """At most ``rows`` labelled texts, the first by hash of the key: a bounded sample.
+    """At most ``rows`` labelled texts of at most ``size`` bytes together: a bounded sample, in order of a
+    hash of the key. A text that would go beyond ``size`` is passed over.
 
-    Labels that are null, or whose key is, are left out; of repeated labels the least counts.
+    Labels that are null, or whose key is, are left out; of repeated labels the least counts, and of
+    repeated keys the least text.
     """
     marked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(label).alias("__label"))
     drawn = marked.orderBy(F.xxhash64("__key"), "__key").limit(rows)
-    found = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).filter(F.octet_length("__text") <= size)
-    found = found.join(F.broadcast(drawn), F.col("__id") == F.col("__key")).groupBy("__id").agg(F.min("__text").alias("t"), F.min("__label").alias("y"))
+    found = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(drawn), F.col("__id") == F.col("__key"))
+    sizes = found.groupBy("__id").agg(F.max(F.octet_length("__text")).alias("n")).orderBy(F.xxhash64("__id"), "__id").collect()  # at most ``rows``
+    total, out = 0, []
+    for r in sizes:
+        if total + r.n > size:
+            out.append(r["__id"])
+        else:
+            total += r.n
+    if out:
+        found = found.filter(~F.col("__id").isin(out))
+    found = found.groupBy("__id").agg(F.min("__text").alias("t"), F.min("__label").alias("y"))
     return [(r.t.encode(), int(r.y)) for r in found.orderBy("__id").collect()]
 
 
@@ -166,16 +190,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 
 def scored(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
     """``keep`` and the probability of label 1 for every row: whole texts, null as empty."""
+    return _scored(docs, model, text, keep).select("k.*", F.col("p").alias(score))
+
+
+def _scored(docs: DataFrame, model, text: str, keep: tuple[str, ...] | list[str]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, *([] if text in keep else [text]))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keep)]) + f"`{score}` double"
+    rows = shared.carried(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in shared.bounded(batches, text, 1 << 18):
+        for batch, texts in shared.bounded(batches, "t", RUN):
             found = held.value.score([t.encode() for t in texts])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], names=[*keep, score])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["k", "p"])
 
-    return shared.mapped(rows, run, schema)
+    return shared.mapped(rows, run, shared.with_results(rows, "p double"))
 
 
 def learners(table: DataFrame, folds: int, held: int, key: str = "doc_id") -> DataFrame:
@@ -184,14 +211,14 @@ def learners(table: DataFrame, folds: int, held: int, key: str = "doc_id") -> Da
 
 
 def kept(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a score of ``least`` or more, unchanged."""
+    """The rows of ``docs`` with a score of ``least`` or more; all columns, whatever their names, stay as
+    they are. Null texts are scored as empty; repeated rows have one fate."""
     model = fit(docs, learners(labels, 3, 1, key), text=text, key=key)
-    columns = docs.columns
-    found = scored(docs, model, text, tuple(columns), "__score")
-    return found.filter(F.col("__score") >= least).select(*columns)
+    return _scored(docs, model, text, docs.columns).filter(F.col("p") >= least).select("k.*")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a network fitted on labelled rows outside the held-out third."""
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, learners(shared.table(spark, sf_dir, "labels"), 3, 1))
     found = scored(docs, model)
