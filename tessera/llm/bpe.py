@@ -203,40 +203,42 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
 
     A null or empty text has no ids. Repeated rows stay. Other columns, whatever their names, go.
     """
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1]) + f"`{ids}` array<int>"
+    rows = shared.carried(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for rows_, texts in shared.bounded(batches, "__text"):
+        for batch, texts in shared.bounded(batches, "t"):
             flat, counts = enc.encode(texts)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*rows_.columns[:-1], lists], names=[*rows_.schema.names[:-1], ids])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["k", "ids"])
 
-    return shared.mapped(rows, run, schema)
+    return shared.mapped(rows, run, shared.with_results(rows, "ids array<int>")).select("k.*", F.col("ids").alias(ids))
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encodes every whole text and decodes it again; digests of both, a row for each row of ``docs``.
 
     ``ids_sha256``: of the ids as little-endian unsigned 32-bit integers; ``decoded_sha256``: of the
-    decoded text in UTF-8. A null text counts as empty: no ids, and the digests of nothing.
+    decoded text in UTF-8. A null text counts as empty: no ids, and the digests of nothing. Keys are of
+    any type, null too; other columns go.
     """
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("__text"))
+    rows = shared.carried(docs, [key], text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for rows_, texts in shared.bounded(batches, "__text"):
+        for batch, texts in shared.bounded(batches, "t"):
             flat, counts = enc.encode(texts)
             flat = flat.astype("<u4")
             ends = np.cumsum(counts)
             of_ids = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
             of_text = [hashlib.sha256(t.encode()).hexdigest() for t in enc.decoded(flat, counts)]
-            yield pa.RecordBatch.from_arrays([rows_.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["k", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return shared.mapped(rows, run, f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    found = shared.mapped(rows, run, shared.with_results(rows, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return found.select("k.*", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of every document; see :func:`round_trip`."""
     return round_trip(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -24,11 +24,15 @@ from tessera.llm import shared
 SPAN_WORDS, GRAM_WORDS = 13, 8
 #: Benchmarks of up to so many bytes of text are sent to all executors; larger ones are joined.
 SENT_BYTES = 16 << 20
+#: Keys over which a passage of very many texts is spread.
+SALTS = 16
+#: What separates words.
+_GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_NONE, _OTHER = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @cache
@@ -70,6 +74,23 @@ class Words:
         self.first = np.searchsorted(self.starts, bounds)
         self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.first))
 
+    def spans(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the k words from each place ``at``, on which equal spans agree."""
+        other = (self.hashes ^ (self.hashes >> np.uint64(29))) * _OTHER
+        return _sums(self.hashes, at, at + k), _sums(other, at, at + k)
+
+    def least(self, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words of all whole windows, and the minimum of the k-grams of each."""
+        g = self.grams(k)
+        n = len(g) - window + 1
+        if n < 1:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        least = g[:n].copy()
+        for step in range(1, window):
+            np.minimum(least, g[step : step + n], out=least)
+        at = np.flatnonzero((g[window - 1 :] != _NONE) & (self.owner[:n] == self.owner[window - 1 :]))
+        return at, least[at]
+
     def word(self, i: int) -> bytes:
         return self.blob[self.starts[i] : self.ends[i]]
 
@@ -112,7 +133,7 @@ def plans(sizes: set[int], span: int, gram: int) -> dict[int, tuple[int, int, in
 class Index:
     """Fingerprints of benchmark items with their places."""
 
-    def __init__(self, items: list[tuple[int, bytes]], span: int = SPAN_WORDS, gram: int = GRAM_WORDS):
+    def __init__(self, items: list[tuple[str, bytes]], span: int = SPAN_WORDS, gram: int = GRAM_WORDS):
         self.ids = [i for i, _ in items]
         self.words = Words([t for _, t in items])
         self.text = [[self.words.word(j) for j in range(a, b)] for a, b in zip(self.words.first[:-1], self.words.first[1:], strict=True)]
@@ -195,7 +216,7 @@ class Index:
 
 
 def _digest(ids: set) -> str:
-    return hashlib.sha256(",".join(sorted(str(i) for i in ids)).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
 _FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -209,17 +230,13 @@ def _row(n: int, spans: list[tuple[int, int]], items: set) -> tuple:
     return n, hit, len(items), _digest(items), hit > 0 and 20 * hit >= n
 
 
-def _bytes(batch: pa.RecordBatch, at: int) -> list[bytes]:
-    return [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-
-
-def _sent(docs: DataFrame, items: list[tuple[int, bytes]], key: str, span: int, gram: int) -> DataFrame:
-    """Overlap of every row with a benchmark that all executors hold."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
+def _sent(rows: DataFrame, items: list[tuple[str, bytes]], span: int, gram: int) -> DataFrame:
+    """Overlap of every row (k, t) with a benchmark that all executors hold."""
+    held = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(held.value, span, gram)
-        for batch, texts in shared.bounded(batches, "__text"):
+        for batch, texts in shared.bounded(batches, "t"):
             words = Words([t.encode() for t in texts])
             spans, seen = defaultdict(list), defaultdict(set)
             for text, item, a, b in index.hits(words):
@@ -227,76 +244,95 @@ def _sent(docs: DataFrame, items: list[tuple[int, bytes]], key: str, span: int,
                 seen[text].add(index.ids[item])
             counts = np.diff(words.first).tolist()
             none = _digest(set())
-            rows = [_row(n, spans[i], seen[i]) if i in spans else (n, 0, 0, none, False) for i, n in enumerate(counts)]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            found = [_row(n, spans[i], seen[i]) if i in spans else (n, 0, 0, none, False) for i, n in enumerate(counts)]
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["k", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return shared.mapped(docs, run, f"`{key}` long, {_FOUND}")
+    return shared.mapped(rows, run, shared.with_results(rows, _FOUND))
 
 
-def _fingerprint_rows(rows: DataFrame, key: str, span: int, gram: int, sizes: list[int], of_items: bool) -> DataFrame:
-    """Distinct (key, size, fp) of texts: the fingerprints of each size of item that there is."""
+def _windows(rows: DataFrame, span: int, gram: int, sizes: list[int], of_items: bool) -> DataFrame:
+    """id, size, fp of each distinct fingerprint of the texts (id, t); of items also the hashes a and b
+    of each distinct window, which stands under the minimum of its k-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in shared.bounded(batches, "__text"):
+        for batch, texts in shared.bounded(batches, "t"):
             words = Words([t.encode() for t in texts])
             counts = np.minimum(np.diff(words.first), span)
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
             for length, (k, window, _) in plans(set(sizes), span, gram).items():
-                at, least = words.winnowed(k, window)
-                owner = words.owner[at]
+                at, fp = words.least(k, window)
+                if of_items:  # an item has windows of one size
+                    own = counts[words.owner[at]] == length
+                    at, fp = at[own], fp[own]
+                parts = [words.owner[at].astype(np.int64), fp.view(np.int64)]
                 if of_items:
-                    own = counts[owner] == length
-                    owner, least = owner[own], least[own]
-                columns = [keys[owner], np.full(len(owner), length), least.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2])], names=[key, "size", "fp"])
+                    parts += [h.view(np.int64) for h in words.spans(length, at)]
+                order = np.lexsort(parts[::-1])
+                parts = [c[order] for c in parts]
+                fresh = np.r_[True, np.any([c[1:] != c[:-1] for c in parts], axis=0)] if len(at) else np.empty(0, bool)
+                owner, *rest = (c[fresh] for c in parts)
+                columns = [batch.column(0).take(pa.array(owner)), pa.array(np.full(len(owner), length, np.int32)), *map(pa.array, rest)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "fp", "a", "b"][: len(columns)])
 
-    return shared.mapped(rows, run, f"`{key}` long, size long, fp long").distinct()
+    return shared.mapped(rows, run, shared.with_results(rows, "size int, fp long" + (", a long, b long" if of_items else "")))
 
 
-def _joined(docs: DataFrame, items: DataFrame, key: str, span: int, gram: int) -> DataFrame:
-    """Overlap of every row with a benchmark of any size: fingerprints are joined, then each text
-    with the items that it may contain."""
-    spark = docs.sparkSession
-    spark.conf.get("spark.sql.shuffle.partitions")
-    docs = shared.written(docs.select(F.xxhash64("__text", F.col(key)).alias("__row"), key, "__text"), "texts")
-    items = shared.written(items.select(F.monotonically_increasing_id().alias("__item"), F.col("__id"), "__text"), "items")
+def _candidates(rows: DataFrame, span: int, gram: int, sizes: list[int]) -> DataFrame:
+    """id, size, start and the hashes a and b of the windows of the texts (id, fps, t) whose minimum is
+    among ``fps``: what a fingerprint has hit is extended to the windows around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in shared.bounded(batches, "t"):
+            words = Words([t.encode() for t in texts])
+            lists = [np.array(x, np.int64).view(np.uint64) for x in batch.column(1).to_pylist()]
+            known = np.unique(np.concatenate(lists))
+            for length, (k, window, _) in plans(set(sizes), span, gram).items():
+                at, fp = words.least(k, window)
+                at = at[np.isin(fp, known)]
+                owner = words.owner[at]
+                a, b = words.spans(length, at)
+                columns = [batch.column(0).take(pa.array(owner.astype(np.int64))), pa.array(np.full(len(at), length, np.int32)), pa.array(at - words.first[owner]), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "start", "a", "b"])
+
+    return shared.mapped(rows.select("id", "fps", "t"), run, "id long, size int, start long, a long, b long")
+
+
+def _salted(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Inner join in which the rows of ``left`` (by id) of one key are spread over SALTS tasks."""
+    left = left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    right = right.withColumn("salt", shared.salts(SALTS))
+    return left.join(right, [*names, "salt"]).drop("salt")
+
+
+def _joined(rows: DataFrame, items: DataFrame, span: int, gram: int) -> DataFrame:
+    """Overlap of every row (k, t) with a benchmark of any size, of rows (item, t).
+
+    The fingerprints of all texts meet the distinct ones of the benchmark; texts with a hit are fetched
+    once, and those of their windows that a hit extends to meet the benchmark's windows, on 128 bits. A
+    passage that is in very many texts is spread over salted keys.
+    """
+    rows = shared.written(rows.withColumn("id", F.monotonically_increasing_id()), "texts")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in shared.bounded(batches, "__text"):
+        for _, texts in shared.bounded(batches, "t"):
             n = np.diff(Words([t.encode() for t in texts]).first)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(n, span)), pa.int64())], names=["n"])
 
-    sizes = [r.n for r in shared.mapped(items.select("__text"), counted, "n long").distinct().collect()]  # at most span + 1 rows
-    of_docs = _fingerprint_rows(docs.select("__row", "__text").dropDuplicates(["__row"]), "__row", span, gram, sizes, False)
-    of_items = _fingerprint_rows(items.select("__item", "__text"), "__item", span, gram, sizes, True)
-    pairs = of_docs.join(of_items, ["size", "fp"]).select("__row", "__item").distinct()
-    texts = docs.select("__row", "__text").dropDuplicates(["__row"])
-    full = pairs.join(texts, "__row").join(items.select("__item", "__id", F.col("__text").alias("__own")), "__item")
-
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, own_id, text, own = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__row", "__id", "__text", "__own"))
-            out = []
-            for r, i, t, o in zip(row, own_id, text, own, strict=True):
-                words = Words([(t or "").encode()])
-                spans = [[a, b] for _, _, a, b in Index([(i, (o or "").encode())], span, gram).hits(words)]
-                if spans:
-                    out.append({"__row": r, "__id": i, "spans": spans})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("__row", pa.int64()), ("__id", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64())))]))
-
-    hits = shared.mapped(full.select("__row", "__id", "__text", "__own"), extended, "__row long, __id long, spans array<array<long>>")
-    hits = hits.groupBy("__row").agg(F.collect_list("spans").alias("spans"), F.collect_set("__id").alias("ids"))
-    rows = docs.join(hits, "__row", "left").select(key, "__text", F.flatten("spans").alias("spans"), "ids")
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in shared.bounded(batches, "__text"):
-            counts = np.diff(Words([t.encode() for t in texts]).first).tolist()
-            found = [_row(n, [tuple(s) for s in spans or []], set(ids or [])) for n, spans, ids in zip(counts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return shared.mapped(rows, summed, f"`{key}` long, {_FOUND}")
+    sizes = [r.n for r in shared.mapped(items.select("t"), counted, "n long").distinct().collect()]  # at most span + 1 rows
+    own = shared.written(_windows(items.select(F.col("item").alias("id"), "t"), span, gram, sizes, True).distinct(), "windows")
+    met = _salted(_windows(rows.select("id", "t"), span, gram, sizes, False), own.select("size", "fp").distinct(), ["size", "fp"])
+    met = met.groupBy("id").agg(F.collect_set("fp").alias("fps"))
+    found = _candidates(rows.select("id", "t").join(met, "id").select("id", "fps", "t"), span, gram, sizes)
+    hits = _salted(found, own.select(F.col("id").alias("item"), "size", "a", "b").distinct(), ["size", "a", "b"])
+    spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
+    hits = hits.groupBy("id").agg(spans.alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    start = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("reach"))
+    step = lambda s, x: F.struct((s["hit"] + F.greatest(x["end"] - F.greatest(x["start"], s["reach"]), F.lit(0).cast("long"))).alias("hit"), F.greatest(s["reach"], x["end"]).alias("reach"))
+    hit = F.coalesce(F.aggregate("spans", start, step)["hit"], F.lit(0).cast("long"))
+    ids = F.coalesce("items", F.array().cast("array<string>"))
+    n = F.size(F.array_remove(F.split(F.coalesce("t", F.lit("")), _GAPS), "")).cast("long")
+    out = rows.join(hits, "id", "left").select("k", n.alias("n_words"), hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item: str = "item_id", span: int = SPAN_WORDS, gram: int = GRAM_WORDS, sent_bytes: int = SENT_BYTES) -> DataFrame:
@@ -306,21 +342,20 @@ def overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     without words none. ``n_hit`` counts the words inside any occurrence of a window, ``n_items`` the
     items with one, and a document is contaminated where ``20 * n_hit >= n_words``. Null texts have no
     words; repeated rows keep their rows; items of a null id are left out; items that share an id
-    count once. A benchmark of up to ``sent_bytes`` (counted first) is sent to the executors, a
-    larger one is joined by fingerprints.
+    count once. Keys and ids are of any type; ids are sorted as strings. A benchmark of up to
+    ``sent_bytes`` (counted first) is sent to the executors, a larger one is joined by fingerprints.
     """
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("__text"))
-    items = benchmark.select(F.col(item).cast("long").alias("__id"), F.col(item_text).alias("__text")).filter("__id is not null and __text is not null")
-    size = items.agg(F.sum(F.octet_length("__text") + 64)).first()[0] or 0
-    if size > sent_bytes:
-        return _joined(rows, items, key, span, gram)
-    return _sent(rows, [(r["__id"], r["__text"].encode()) for r in items.collect()], key, span, gram)
+    rows = shared.carried(docs, [key], text)
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("t")).filter("item is not null and t is not null")
+    size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
+    found = _joined(rows, items, span, gram) if size > sent_bytes else _sent(rows, [(r["item"], r["t"].encode()) for r in items.collect()], span, gram)
+    return found.select("k.*", *found.columns[1:])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, unchanged.
+    """The rows of ``docs`` that aren't contaminated, unchanged, whatever their columns are called.
 
-    The texts that go are found first and written by hash; only if they are few are they broadcast.
+    Null and empty texts stay; repeated rows have one fate. The texts that go are found first and written by hash; only if they are few are they broadcast.
     """
     columns = docs.columns
     bad = overlap(docs.select(F.xxhash64(F.col(text)).alias("__of"), F.col(text)), benchmark, text, "__of").filter("contaminated")
@@ -331,5 +366,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 
 
 def op3_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of every document with the benchmark; see :func:`overlap`."""
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     return overlap(docs, shared.table(spark, sf_dir, "benchmark"))

@@ -41,20 +41,20 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Key and fingerprint (as signed long) of every row; a null text counts as empty."""
-    return _fingerprinted(docs, text, [F.col(key).cast("long").alias(key)])
+    """Key and fingerprint (as signed long, ``fp``) of every row; a null text counts as empty."""
+    return _fingerprinted(docs, text, [key]).select(F.col("k")[key].alias(key), "fp")
 
 
-def _fingerprinted(docs: DataFrame, text: str, keep: list) -> DataFrame:
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1]) + "fp long"
+def _fingerprinted(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """k, a struct of the columns ``keep``, and fp."""
+    rows = shared.carried(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in shared.bounded(batches, "__text"):
+        for batch, texts in shared.bounded(batches, "t"):
             found = np.fromiter((fingerprint(t.encode()) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["k", "fp"])
 
-    return shared.mapped(rows, run, schema)
+    return shared.mapped(rows, run, shared.with_results(rows, "fp long"))
 
 
 def signatures(fps: DataFrame) -> DataFrame:
@@ -184,45 +184,50 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
 
     ``component_id`` is the least key reachable over links of ``max_bits`` or fewer differing bits.
     Texts without words have the fingerprint zero and are linked like others. Repeated rows stay,
-    null keys never name a component (one of null keys only is null). Copies meet in one
-    fingerprint before anything is joined, so a large group costs what one text costs.
+    null keys never name a component (one of null keys only is null). Keys are of any type that has an
+    order. Copies meet in one fingerprint before anything is joined, and the rows of a fingerprint of
+    very many copies are spread when they get their component.
     """
-    own = shared.written(fingerprints(docs, text, key), "fingerprints")
-    least = own.groupBy("fp").agg(F.min(key).alias("least"))
-    stars = shared.written(graph.components(links(own, max_bits)), "stars")
-    member = stars.join(least, stars["node"] == least["fp"]).select("root", "node", "least")
-    named = member.groupBy("root").agg(F.min("least").alias("named"))
-    linked = member.join(named, "root").select(F.col("node").alias("fp"), "named")
-    component = least.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"))
-    return own.join(component, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    own = shared.written(fingerprints(docs, text, key).toDF("id", "fp"), "fingerprints")
+    least = shared.written(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "least")
+    stars = shared.written(graph.components(links(least, max_bits)), "stars")
+    member = stars.join(least.select(F.col("fp").alias("node"), "least"), "node")
+    named = member.groupBy("root").agg(F.min("least").alias("named"), F.count("*").alias("n"))
+    linked = shared.joined_evenly(member.select("root", "node"), shared.written(named, "named"), "root").select(F.col("node").alias("fp"), "named")
+    component = least.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"), "n")
+    found = shared.joined_evenly(own, shared.written(component, "of_prints"), "fp")
+    return found.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay: one for each component, that of the least key.
 
-    Where several rows have that key, the first text in order stays; of components of null keys
-    only, one row for each fingerprint. The keys that go are found first: if they are few they are
-    broadcast and no text is shuffled, else texts and keys are joined.
+    Where several rows have that key, the least in order of text, then of the other columns, stays; of
+    components of null keys only, one row for each fingerprint. The keys that go are found first: if
+    they are few they are broadcast and no text is shuffled, else texts and keys are joined. All
+    columns, whatever their names, stay as they are.
     """
-    found = shared.written(near_duplicates(docs, text, key, max_bits), "components")
-    again = shared.written(found.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "again")
-    gone = found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(key)
-    gone = shared.written(gone.union(again).distinct(), "gone").withColumnRenamed(key, "__gone")
+    found = shared.written(near_duplicates(docs, text, key, max_bits).toDF("id", "f", "c"), "components")
+    again = shared.written(found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("__again")), "again")
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("c"))).select("id")
+    gone = shared.written(gone.union(again).distinct().toDF("gone"), "gone")
     few = F.broadcast(gone) if shared.fits(gone, 64) else gone
-    once = docs.join(few, docs[key].eqNullSafe(few["__gone"]), "left_anti")
+    rows = shared.carried(docs, docs.columns, text)
+    own = rows["k"][key]
+    once = rows.join(few, own.eqNullSafe(few["gone"]), "left_anti").select("k.*")
     if again.isEmpty():
         return once
     # Keys of more than one row: which of the rows is meant, the fingerprint tells.
-    rest = docs.join(again, docs[key].eqNullSafe(again[key]), "left_semi")
-    row = F.struct(F.col(text).alias("__t"), *[F.col(c) for c in docs.columns])
-    rest = _fingerprinted(rest.withColumn("__whole", F.col(text)).withColumn("__row", row), "__whole", [F.col(key).alias("__key"), F.col("__row")])
-    kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k"), "fingerprint").distinct()
-    rest = rest.withColumn("__f", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-    rest = rest.join(kept, rest["__key"].eqNullSafe(kept["__k"]) & (rest["__f"] == kept["fingerprint"]), "left_semi")
-    # One row a key: of equal keys those of the least text; null keys by fingerprint.
-    least = rest.groupBy("__key", F.when(F.col("__key").isNull(), F.col("__f")).alias("__g")).agg(F.min("__row").alias("r"))
-    return once.unionByName(least.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
+    rest = rows.join(again, own.eqNullSafe(again["__again"]), "left_semi")
+    rest = _fingerprinted(rest.select(F.struct("t", "k").alias("row"), "t"), "t", ["row"])
+    rest = rest.select(F.col("k.row").alias("row"), F.col("k.row.k")[key].alias("id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("print"))
+    kept = found.filter(F.col("id").eqNullSafe(F.col("c"))).select(F.col("id").alias("of"), "f").distinct()
+    rest = rest.join(kept, rest["id"].eqNullSafe(kept["of"]) & (rest["print"] == kept["f"]), "left_semi")
+    # One row a key: of equal keys the least row; null keys by fingerprint.
+    least = rest.groupBy("id", F.when(F.col("id").isNull(), F.col("print")).alias("g")).agg(F.min("row").alias("r"))
+    return once.unionByName(least.select("r.k.*"))
 
 
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see :func:`near_duplicates`."""
     return near_duplicates(shared.table(spark, sf_dir, "documents"))

@@ -14,6 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import bpe, shared
 
@@ -80,11 +81,11 @@ def section_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "d
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("__text"))
+    rows = shared.carried(docs, [key], text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(path)
-        for batch, texts in shared.bounded(batches, "__text"):
+        for batch, texts in shared.bounded(batches, "t"):
             _, first, end, counts = token_spans(enc, texts)
             stop = np.cumsum(counts)
             starts, found = [], []
@@ -92,9 +93,10 @@ def section_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "d
                 bounds = np.array(sections(t))
                 starts.append(bounds[:-1])
                 found.append(allocated(first[a:b], end[a:b], bounds, rule))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.float64()))], names=[key, "n_tokens", "section_starts", "section_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.float64()))], names=["k", "n_tokens", "section_starts", "section_tokens"])
 
-    return shared.mapped(rows, run, f"`{key}` long, n_tokens long, section_starts array<long>, section_tokens array<double>")
+    found = shared.mapped(rows, run, shared.with_results(rows, "n_tokens long, section_starts array<long>, section_tokens array<double>"))
+    return found.select("k.*", "n_tokens", "section_starts", "section_tokens")
 
 
 def field_tokens(rows: DataFrame, fields: list[str], path: str, key: str = "doc_id", rule: str = "most", between: str = "\n") -> DataFrame:
@@ -104,20 +106,21 @@ def field_tokens(rows: DataFrame, fields: list[str], path: str, key: str = "doc_
     whole = F.concat(*[x for i, p in enumerate(parts) for x in ([p] if i == len(parts) - 1 else [p, F.lit(between)])])
     # The bounds travel before the text: field sizes, a space, then the fields.
     sizes = [F.length(p) + (len(between) if i < len(parts) - 1 else 0) for i, p in enumerate(parts)]
-    table = rows.select(F.col(key).cast("long").alias(key), F.array(*sizes).alias("__sizes"), whole.alias("__text"))
+    table = rows.select(F.struct(F.col(key).alias(key)).alias("k"), F.array(*sizes).alias("sizes"), whole.alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(path)
-        for batch, texts in shared.bounded(batches, "__text"):
+        for batch, texts in shared.bounded(batches, "t"):
             _, first, end, counts = token_spans(enc, texts)
             stop = np.cumsum(counts)
             found = []
             for own, a, b in zip(batch.column(1).to_pylist(), (stop - counts).tolist(), stop.tolist(), strict=True):
                 found.append(allocated(first[a:b], end[a:b], np.concatenate([[0], np.cumsum(own)]), rule))
             columns = np.array(found).reshape(len(texts), len(fields)).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *(pa.array(c) for c in columns)], names=[key, "n_tokens", *(f"tokens_{f}" for f in fields)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *(pa.array(c) for c in columns)], names=["k", "n_tokens", *(f"tokens_{f}" for f in fields)])
 
-    return shared.mapped(table, run, f"`{key}` long, n_tokens long, " + ", ".join(f"`tokens_{f}` double" for f in fields))
+    found = shared.mapped(table, run, T.StructType([table.schema["k"], T.StructField("n_tokens", T.LongType()), *(T.StructField(f"tokens_{f}", T.DoubleType()) for f in fields)]))
+    return found.select("k.*", *(f"`{c}`" for c in found.columns[1:]))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

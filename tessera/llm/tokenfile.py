@@ -19,6 +19,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tessera.llm import pieces, shared
@@ -210,7 +211,12 @@ def unpacked(code: Code, block: bytes) -> tuple[list[int | None], np.ndarray, np
 
 
 def encoded(docs: DataFrame, path: str, end: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and ids (unsigned 16-bit little-endian where the vocabulary allows, else 32) of each text."""
+    """key and ids (unsigned 16-bit little-endian where the vocabulary allows, else 32) of each text.
+
+    Keys are integers of up to 64 bits, as the file format has them; others raise a ValueError.
+    """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"the files are ordered by an integer key; {key} is of type {docs.schema[key].dataType.simpleString()}")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,6 +355,7 @@ def read_digests(spark: SparkSession, folder: str, key: str = "doc_id") -> DataF
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents in files and reads place, number and checksum of each back."""
     folder = shared.new_path(spark, "tokens")
     write_tokens(shared.table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return read_digests(spark, folder)

@@ -227,10 +227,6 @@ def features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
 _X = ("__a", "__b", "__c")
 
 
-def _schema(rows: DataFrame) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields)
-
-
 def featured(rows: DataFrame, table: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``rows`` (the last column is __text) with the features of each text instead of it.
 
@@ -238,7 +234,7 @@ def featured(rows: DataFrame, table: DataFrame, sent_bytes: int = SENT_BYTES) ->
     joined with the n-grams of all texts.
     """
     names = rows.columns[:-1]
-    schema = _schema(rows.select(*names)) + "__a double, __b double, __c double"
+    schema = shared.with_results(rows, "__a double, __b double, __c double")
     if shared.fits(table, 16, sent_bytes):
         found = table.toArrow()
         key, ratio = found.column("key").to_numpy().view(np.uint64), found.column("ratio").to_numpy().astype(np.float32)
@@ -349,14 +345,15 @@ def scored(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = (
     empty; texts without n-grams get the score of no evidence. Repeated rows stay."""
     if isinstance(model, Constant):
         return docs.select(*keep, F.lit(float(model.share)).alias(score))
-    x = featured(docs.select(*keep, F.col(text).alias("__text")), model.table, sent_bytes)
+    x = featured(shared.carried(docs, keep, text).withColumnRenamed("t", "__text"), model.table, sent_bytes)
     z = F.lit(float(model.weights[-1]))
     for c, w in zip(_X, model.weights[:-1], strict=True):
         z = z + F.col(c) * float(w)
-    return x.select(*keep, (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias(score))
+    return x.select("k.*", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias(score))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by models of the labelled rows outside the held-out fifth."""
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = shared.table(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
