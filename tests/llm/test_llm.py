@@ -205,6 +205,32 @@ def test_overlap_of_repeated_words(spark, sent):
     assert {x.doc_id: tuple(x)[1:] for x in got} == want
 
 
+@pytest.mark.parametrize("sent", [1 << 24, 0])
+def test_overlap_of_generated_cases(spark, sent):
+    """Ten thousand documents: periodic ones, repeated phrases, a few words, planted and cut windows."""
+    r = random.Random(21)
+    words = [f"v{i}" for i in range(40)]
+    items = []
+    for i in range(40):
+        unit = [r.choice(words[: r.choice([2, 3, 40])]) for _ in range(r.randint(1, 20))]
+        items.append((f"q{i}", " ".join((unit * r.randint(1, 4))[: r.randint(1, 30)])))
+    docs = []
+    for i in range(10_000):
+        parts = []
+        for _ in range(r.randint(0, 4)):
+            w = r.choice(items)[1].split()
+            a = r.randint(0, max(0, len(w) - 13))
+            kind = r.random()
+            parts += w if kind < 0.3 else w[a : a + r.randint(1, 16)] * r.randint(1, 3) if kind < 0.7 else [r.choice(words[: r.choice([2, 3, 40])]) for _ in range(r.randint(1, 15))]
+        docs.append((f"d{i}", " ".join(parts)))
+    want = overlap_by_force(docs, items)
+    got = decontaminate.overlap(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string"), sent_bytes=sent).collect()
+    wrong = [x.doc_id for x in got if tuple(x)[1:] != want[x.doc_id]]
+    assert len(got) == 10_000
+    assert wrong == []
+    assert sum(x.n_hit > 0 for x in got) > 3000
+
+
 def test_op3_on_tables(spark, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     want = overlap_by_force(documents(spark, sf_dir), items)
@@ -295,29 +321,64 @@ def test_op10_equals_oracle(spark, sf_dir):
     same(rules.op10_quality_rules(spark, sf_dir), rules.ORACLE, sf_dir)
 
 
-def test_line_frequency(spark, monkeypatch):
-    monkeypatch.setattr(rules, "MIN_DOCUMENTS", 3)
+def test_line_frequency(spark):
     own = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
     rows = [(i, own(i) + "\nthe SAME  footer line", "h") for i in range(40)]
     rows += [(100 + i, f"only{i}\nthe same footer line " + "\nthe same footer line" * 20, "h") for i in range(3)]
     rows += [(200 + i, own(7), "h") for i in range(30)]  # copies aren't boilerplate
     rows += [(300, None, "h"), (301, "", None), (302, own(302), None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    lines = rules.frequent_lines(rules.line_rows(df, "text", "source", "doc_id"), df, "source", 3, 2)
-    assert lines.count() == 1
-    got = {r.doc_id: r for r in rules.judged(df).collect()}
-    assert all(got[i].kept for i in [*range(40), *range(200, 230), 302])
-    assert not any(got[i].kept for i in [100, 101, 102, 300, 301])
-    assert rules.depleted(df).count() == 0 or {r["__key"] for r in rules.depleted(df).collect()} <= {100, 101, 102}
-    cleaned = {r.doc_id: r.text for r in rules.without_frequent_lines(df).collect()}
-    assert "footer" not in " ".join(cleaned.values())
-    kept = rules.accepted(df)
-    assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.kept}
+    assert rules.frequent_lines(df, min_documents=3).count() == 1
+    for sent in (1 << 20, 0):
+        got = {r.doc_id: r for r in rules.judged(df, min_documents=3, sent_bytes=sent).collect()}
+        assert all(got[i].kept for i in [*range(40), *range(200, 230), 302])
+        assert not any(got[i].kept for i in [100, 101, 102, 300, 301])
+        assert [got[i].n_lost_words for i in (0, 100, 200, 300)] == [4, 84, 0, 0]
+        kept = rules.accepted(df, min_documents=3, sent_bytes=sent)
+        assert kept.columns == df.columns
+        left = {r.doc_id: r.text for r in kept.collect()}
+        assert set(left) == {k for k, r in got.items() if r.kept}
+        assert left[5] == own(5)
+        assert left[302] == own(302)
     assert rules.judged(df.limit(0)).count() == 0
+    assert rules.accepted(df.limit(0)).count() == 0
     assert rules.judged(odd_documents(spark)).count() == len(ODD) + 3
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_line_frequency_equals_oracle(spark, tmp_path, sent):
+    """A table on which the verdict isn't the base rules': by SQL that compares lines as text."""
+    r = random.Random(8)
+    menu = [f"Menu  Line {i} of This host" for i in range(30)]
+    rows = []
+    for i in range(300):
+        body = " ".join(f"w{r.randint(0, 5000)}" for _ in range(r.choice([8, 60, 200])))
+        lines = [*r.sample(menu, r.randint(0, 14)), body, *r.sample(menu, 2)]
+        rows.append((i, "\n".join(x if r.random() < 0.5 else x.upper() + " " for x in lines), r.choice(["a", "a", "b", None])))
+    rows += [(400 + i, rows[3][1], "a") for i in range(200)] + [(700, None, "a"), (701, "", None), (3, rows[3][1], rows[3][2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(str(tmp_path / "t"))
+    import duckdb
+    from oracle import rows as unordered
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/t/*.parquet'")
+    for limits in ((3, 2, 80), (20, 5, 30), (50, 2, 80)):
+        names = dict(zip(("min_documents", "line_percent", "depleted_percent"), limits, strict=True))
+        got, want = unordered(rules.judged(df, sent_bytes=sent, **names).toPandas()), unordered(con.sql(rules.oracle(*limits)).df())
+        assert got == want
+    depleted = rules.judged(df, min_documents=3, depleted_percent=30, sent_bytes=sent).filter("not kept and not base_failed").count()
+    assert depleted > 10
+
+
+def test_menu_of_short_pages(spark):
+    """Six menu lines on two hundred unrelated pages of one paragraph: all six are found."""
+    menu = [f"menu entry number {i}" for i in range(6)]
+    rows = [(i, "\n".join([*menu, f"page {i} says {i * 7} and ends"]), "h") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert rules.frequent_lines(df).count() == 6
+
+
 def test_lines_of_template_pages(spark):
     """Pages of one template are different documents, and exact copies of one text a single one."""
     r = random.Random(5)
@@ -329,8 +390,8 @@ def test_lines_of_template_pages(spark):
     seen = Counter(x for t in pages for x in on(t))
     want = {x for x, n in seen.items() if n > 50 and n * 100 > 2 * 601}
     assert len(want) == 100
-    assert rules.frequent_lines(rules.line_rows(df, "text", "source", "doc_id"), df, "source").count() == 100
-    gone = {r["__key"] for r in rules.depleted(df).collect()}
+    assert rules.frequent_lines(df).count() == 100
+    gone = {r.doc_id for r in rules.judged(df).filter("100 * n_lost_words > 80 * n_words").collect()}
     assert gone == set(range(600))
 
 
