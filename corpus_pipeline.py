@@ -19,10 +19,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what each returns is written to the shared folder and read again."""
+    """All stages in order; what each returns is written to the shared folder and read again, and the
+    intermediate tables of the stage go."""
     docs = shared.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = shared.written(docs, name)
+            docs = shared.written(docs, name, last=True)
     return docs
