@@ -1,7 +1,7 @@
 """Chat formatting of reply trees (operator 6).
 
-Iterative self-joins walk from the roots of reply trees to their leaves, a level at a time. The
-branches of a tree are ranked by score, and each chosen path becomes one formatted conversation.
+Iterative self-joins climb from all messages to the roots of their trees, twice as far in each round.
+The branches of a tree are ranked by score, and each chosen path becomes one formatted conversation.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import shared
 
@@ -64,35 +65,58 @@ def parsed(text: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _written(df: DataFrame) -> DataFrame:
-    return shared.written(df, "paths")
+def _climbed(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """tree, node, n (messages from the root to the node) and total (of their scores) of all messages that
+    a root is above, and for each power of two the table tree, node, above of the ancestors that lie so far up.
 
+    Each round joins what is known of a message with what is known of the ancestor where that ends, so that
+    a chain of a thousand replies takes ten rounds of one row a message; each round is written to the
+    shared folder. Messages below a missing parent vanish on the way, circles never reach a root.
+    """
+    score = F.coalesce(F.col("score"), F.lit(0.0)) if "score" in messages.columns else F.lit(0.0)
+    state = shared.written(messages.select("tree", "node", F.col("parent").alias("above"), F.lit(1).cast("long").alias("n"), score.cast("double").alias("total")), "climb")
+    most, reach, ups = state.count(), 1, []
+    while True:
+        rest = state.filter("above is not null")
+        if reach > most or rest.isEmpty():
+            break
+        ups.append(rest.select("tree", "node", "above"))
+        far = state.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("n").alias("m"), F.col("total").alias("more"))
+        further = rest.join(far, ["tree", "above"]).select("tree", "node", F.col("top").alias("above"), (F.col("n") + F.col("m")).alias("n"), (F.col("total") + F.col("more")).alias("total"))
+        state, reach = shared.written(state.filter("above is null").unionByName(further), "climb"), 2 * reach
+    return state.filter("above is null").select("tree", "node", "n", "total"), ups
 
-def paths(messages: DataFrame, written=_written) -> DataFrame:
-    """tree, leaf, depth, node of all root-to-leaf paths of messages (tree, node, parent).
 
-    A root has a null parent. Each round doubles the paths upwards: what is known of a path is joined
-    with the ancestors that lie as far above, and those with themselves, so that a chain of a
-    thousand replies takes ten rounds; each round is written to the shared folder. Messages below a
-    missing parent, or in a circle, have no path. A path repeats its inner nodes for each leaf.
-    """
-    links = messages.select("tree", "node", "parent")
-    up = links.filter("parent is not null").select("tree", "node", F.col("parent").alias("above"))
-    parents = up.select("tree", F.col("above").alias("node")).distinct()
-    found = links.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.lit(0).alias("height"), "node")
-    found, up, reach = written(found), written(up), 1
-    most = links.count()  # no path is longer, and circles end here
-    while reach <= most:
-        step = found.join(up, ["tree", "node"]).select("tree", "leaf", (F.col("height") + reach).alias("height"), F.col("above").alias("node"))
-        step = written(step)
+def _leaves(messages: DataFrame, reached: DataFrame) -> DataFrame:
+    """The rows of ``reached`` to which nobody replied."""
+    parents = messages.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+    return reached.join(parents, ["tree", "node"], "left_anti").withColumnRenamed("node", "leaf")
+
+
+def _upwards(leaves: DataFrame, reached: DataFrame, ups: list[DataFrame]) -> DataFrame:
+    """tree, leaf, depth, node of the paths from the roots to ``leaves`` (tree, leaf)."""
+    found = leaves.select("tree", "leaf", F.col("leaf").alias("node"))
+    for up in ups:  # the ancestors known so far, and those as far above them
+        step = shared.written(found.join(up, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node")), "paths")
         if step.isEmpty():
             break
-        found = found.union(step)
-        far = up.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
-        up, reach = written(up.join(far, ["tree", "above"]).select("tree", "node", F.col("top").alias("above"))), 2 * reach
-    roots = links.filter("parent is null").select("tree", "node")
-    tops = found.join(roots, ["tree", "node"]).groupBy("tree", "leaf").agg(F.max("height").alias("top"))
-    return found.join(tops, ["tree", "leaf"]).filter("height <= top").select("tree", "leaf", (F.col("top") - F.col("height")).alias("depth"), "node")
+        found = found.unionByName(step)
+    return found.join(reached, ["tree", "node"]).select("tree", "leaf", (F.col("n") - 1).cast("int").alias("depth"), "node")
+
+
+def paths(messages: DataFrame) -> DataFrame:
+    """tree, leaf, depth, node of all root-to-leaf paths of messages (tree, node, parent).
+
+    A root has a null parent. Messages below a missing parent, or in a circle, have no path. A path
+    repeats its inner nodes for each leaf; :func:`conversations` makes only those of chosen leaves.
+    """
+    reached, ups = _climbed(messages)
+    leaves = shared.written(_leaves(messages, reached).select("tree", "leaf"), "leaves")
+    return _upwards(leaves, reached, ups)
+
+
+#: Windows into which the branches of one tree are dealt before the best are compared.
+SALTS = 32
 
 
 def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -100,18 +124,26 @@ def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     ``messages`` has tree, node, parent, role, text and score. A branch scores the mean of its
     messages (null as 0); of equal branches the longer, then that of the lesser leaf is first. Other
-    branches aren't formatted; that is the feature. Null roles and texts count as empty.
+    branches aren't formatted; that is the feature. Null roles and texts count as empty. Branches are
+    ranked by sums along the climb, and paths are made of the chosen ones only; a tree of very many
+    branches is ranked in parts first.
     """
-    found = paths(messages)
-    full = found.join(messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text", "score"), (found["tree"] == F.col("t")) & (found["node"] == F.col("n")))
-    turn = F.struct("depth", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = full.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.sort_array(F.collect_list(turn)).alias("turns"))
-    # The best branch of a tree by maxima; more of them by a window over its leaves.
+    reached, ups = _climbed(messages)
+    leaves = _leaves(messages, reached).withColumn("score", F.col("total") / F.col("n"))
+    order = [F.desc("score"), F.desc("n"), F.asc("leaf")]
     if branches == 1:
-        best = rows.groupBy("tree").agg(F.max(F.struct("score", F.size("turns").alias("n"), (-F.col("leaf")).alias("l"))).alias("m")).select(F.col("tree").alias("t"), (-F.col("m.l")).alias("best"))
-        return rows.join(best, (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("best"))).select("tree", "leaf", F.lit(1).alias("rank"), "turns")
-    w = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc(F.size("turns")), "leaf")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= branches).select("tree", "leaf", "rank", "turns")
+        best = leaves.groupBy("tree").agg(F.max(F.struct("score", "n", (-F.col("leaf")).alias("l"))).alias("m"))
+        best = best.select("tree", (-F.col("m.l")).alias("leaf"), F.lit(1).alias("rank"))
+    else:
+        salted = leaves.withColumn("salt", F.pmod(F.xxhash64("leaf"), F.lit(SALTS)))
+        best = salted.withColumn("rank", F.row_number().over(Window.partitionBy("tree", "salt").orderBy(*order))).filter(F.col("rank") <= branches)
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(*order))).filter(F.col("rank") <= branches).select("tree", "leaf", "rank")
+    best = shared.written(best, "branches")
+    found = _upwards(best, reached, ups)
+    turn = F.struct("depth", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    full = found.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
+    rows = full.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    return rows.join(best, ["tree", "leaf"]).select("tree", "leaf", "rank", "turns")
 
 
 def format_paths(rows: DataFrame) -> DataFrame:
@@ -127,7 +159,7 @@ def format_paths(rows: DataFrame) -> DataFrame:
                 masks.append([list(m) for m in mask])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(masks, pa.list_(pa.list_(pa.int64())))], names=["tree", "leaf", "rank", "formatted", "loss_mask"])
 
-    return shared.mapped(rows.select("tree", "leaf", "rank", "turns"), run, "tree long, leaf long, rank int, formatted string, loss_mask array<array<long>>")
+    return shared.mapped(rows.select("tree", "leaf", "rank", "turns"), run, T.StructType([*rows.select("tree", "leaf", "rank").schema.fields, *T.StructType.fromDDL("formatted string, loss_mask array<array<long>>").fields]))
 
 
 def read_back(rows: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -141,26 +173,27 @@ def read_back(rows: DataFrame, key: str = "conv_id") -> DataFrame:
                 loss = "".join(unescaped(text[a:b]) for a, b in mask)
                 whole = "".join(f"{role}\n{said}\n" for role, said in turns)
                 out.append((tree, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[key, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return shared.mapped(rows.select("tree", "formatted", "loss_mask"), run, f"`{key}` long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return shared.mapped(rows.select("tree", "formatted", "loss_mask"), run, T.StructType([T.StructField(key, rows.schema["tree"].dataType), *T.StructType.fromDDL("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").fields]))
 
 
 def reply_trees(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as reply trees: each turn replies to the one before it.
 
     Rows of one conversation and turn are told apart by role and text, and rows that repeat whole
-    by number; null conversations are left out. The score prefers nothing.
+    by number; rows of a null conv_id aren't a conversation and are left out. The score prefers nothing.
     """
-    rows = turns.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("tree"), "turn", "role", "text")
+    rows = turns.filter("conv_id is not null").select(F.col("conv_id").alias("tree"), "turn", "role", "text")
     w = Window.partitionBy("tree").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
     rows = rows.withColumn("node", F.row_number().over(w).cast("long"))
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, formatted, and their digests as read back."""
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = shared.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
