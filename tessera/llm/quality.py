@@ -40,6 +40,12 @@ class Layout:
         self.buffer = buffer
         self.places = int(sizes.sum()) * HALF
 
+    def last(self) -> np.ndarray:
+        """Whether a half-chunk is the last of its text."""
+        out = np.zeros(int(self.halves.sum()), bool)
+        out[self.begin + self.halves - 1] = True
+        return out
+
 
 class Network:
     def __init__(self, seed: int = 7):
@@ -55,21 +61,26 @@ class Network:
             "b2": np.zeros(1, f),
         }
 
-    def _pooled(self, buffer: np.ndarray, places: int) -> np.ndarray:
-        """Filters (before bias) at the first ``places`` of a buffer, as (halves, HALF, FILTERS)."""
-        p = self.p
+    def _pooled(self, buffer: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Filters (before bias) at the places of the first halves of a buffer, as (halves, HALF, FILTERS).
+
+        ``last`` tells the halves that end a text: there filters that would reach into the next text
+        are left out. They would see nothing of their own but padding.
+        """
+        p, places = self.p, len(last) * HALF
         x = p["embed"][buffer].reshape(-1, STRIDE * DIM)
         out = x[:places] @ p["filters"][0]
         for g in range(1, GROUPS):
             out += x[g : g + places] @ p["filters"][g]
-        return out.reshape(-1, HALF, FILTERS)
+        out = out.reshape(-1, HALF, FILTERS)
+        out[last, HALF - GROUPS + 1 :] = -np.inf
+        return out
 
     def _head(self, halves: np.ndarray, lay: Layout) -> dict:
         """From half-chunk activations to probabilities, with what the gradient needs."""
         a = np.maximum(halves + self.p["bias"], 0)
         n = len(a)
-        last = np.zeros(n, bool)
-        last[lay.begin + lay.halves - 1] = True
+        last = lay.last()
         nxt = np.minimum(np.arange(n) + 1, n - 1)
         pair = np.where(last, np.arange(n), nxt)  # a last half pairs with itself
         chunk = np.maximum(a, a[pair])
@@ -90,16 +101,17 @@ class Network:
 
     def _maxima(self, lay: Layout) -> np.ndarray:
         unit, n = HALF * STRIDE, lay.places // HALF
+        last = lay.last()
         out = np.empty((n, FILTERS), self.p["filters"].dtype)
         for at in range(0, n, RUN // unit):
             to = min(n, at + RUN // unit)
             part = lay.buffer[at * unit : (to + 1) * unit]  # a filter reaches into the next half
-            out[at:to] = self._pooled(part, (to - at) * HALF).max(axis=1)
+            out[at:to] = self._pooled(part, last[at:to]).max(axis=1)
         return out
 
     def gradient(self, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
         p, lay = self.p, Layout(texts)
-        out = self._pooled(lay.buffer, lay.places)
+        out = self._pooled(lay.buffer, lay.last())
         where = out.argmax(axis=1)
         halves = np.take_along_axis(out, where[:, None], 1)[:, 0]
         s = self._head(halves, lay)
