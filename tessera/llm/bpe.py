@@ -55,6 +55,7 @@ class Merges:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.order = np.argsort(keys, kind="stable")
         self.keys, self.made, self.by_rank = keys[self.order], made, made.tolist()
+        self.by_pair: dict[int, int] = {}  # made for the first long word
         back = {c: b for b, c in enumerate(letters)}
         self.bytes = [b""] * self.size
         for token, i in vocab.items():
@@ -70,7 +71,53 @@ class Merges:
         return np.where(self.keys[at] == key, self.order[at], NO_RANK)
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all (non-empty) words in one array, and how many each word has."""
+        """Ids of all (non-empty) words in one array, and how many each word has.
+
+        A round costs what all symbols cost, and a word takes a round for each rank in it: words of
+        more than LONG bytes are merged one by one instead.
+        """
+        if max(map(len, words)) <= LONG:
+            return self._merged(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        parts: dict[int, np.ndarray] = {}
+        if short:
+            ids, counts = self._merged([words[i] for i in short])
+            parts = dict(zip(short, np.split(ids, np.cumsum(counts)[:-1]), strict=True))
+        own = [parts[i] if i in parts else self._long(w) for i, w in enumerate(words)]
+        return np.concatenate(own), np.array(list(map(len, own)), np.int64)
+
+    def _long(self, word: bytes) -> np.ndarray:
+        """Ids of one word: the pair of the lowest rank, of equal ones the first, from a heap over a
+        linked list of symbols."""
+        raw = np.frombuffer(word, np.uint8)
+        first = self.first[raw]
+        first[-1] = self.last[raw[-1]]
+        ranks = self.ranks(first[:-1], first[1:])
+        at = np.flatnonzero(ranks != NO_RANK)
+        heap = list(zip(ranks[at].tolist(), at.tolist(), strict=True))
+        heapq.heapify(heap)
+        symbol, n = first.tolist(), len(word)
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        by_rank, size = self.by_rank, self.size
+        if not self.by_pair:
+            self.by_pair = dict(zip(self.keys.tolist(), self.order.tolist(), strict=True))
+        get = self.by_pair.get
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = right[i]
+            if symbol[i] < 0 or j >= n or get(symbol[i] * size + symbol[j]) != r:
+                continue  # merged meanwhile
+            symbol[i], symbol[j] = by_rank[r], -1
+            right[i] = after = right[j]
+            if after < n:
+                left[after] = i
+                if (q := get(symbol[i] * size + symbol[after])) is not None:
+                    heapq.heappush(heap, (q, i))
+            if (before := left[i]) >= 0 and (q := get(symbol[before] * size + symbol[i])) is not None:
+                heapq.heappush(heap, (q, before))
+        return np.array([x for x in symbol if x >= 0], np.int64)
+
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         symbol = self.first[raw]

@@ -357,12 +357,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 
     Null and empty texts stay; repeated rows have one fate. The texts that go are found first and written by hash; only if they are few are they broadcast.
     """
-    columns = docs.columns
     bad = overlap(docs.select(F.xxhash64(F.col(text)).alias("__of"), F.col(text)), benchmark, text, "__of").filter("contaminated")
     bad = shared.written(bad.select("__of").distinct(), "contaminated")
     if shared.fits(bad, 32):
         bad = F.broadcast(bad)
-    return docs.join(bad, F.xxhash64(docs[text]) == bad["__of"], "left_anti").select(*columns)
+    return docs.join(bad, F.xxhash64(docs[text]) == bad["__of"], "left_anti")
 
 
 def op3_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,6 @@ from tessera.llm.pieces import SPACE, classes, code_points
 LENGTH, PAD = 6, "\x02"
 #: Bytes of the table up to which it is sent to the executors; a larger one is joined.
 SENT_BYTES = 96 << 20
-#: Size of the dense model of :func:`log_ratio`, which the operator doesn't use.
-ORDER, BITS = 4, 5
-CELLS = 1 << (ORDER * BITS)
 DISCOUNT = 0.75
 #: Symbols of segments: a text is judged by its most toxic segments of both sizes and on the whole.
 SEGMENTS = (64, 24)
@@ -101,9 +98,14 @@ def counts(labelled: DataFrame) -> DataFrame:
 
 
 def ratios(count: DataFrame, length: int = LENGTH, size: int | None = None, discount: float = DISCOUNT) -> DataFrame:
-    """gram, of and ratio, from y, gram and n: for every n-gram of each order that a class has, the log
-    of toxic over ordinary probability of its last character; and as a context (``of``), that of the
-    weights of the lower order, which any other character after it takes besides its lower ratio.
+    """gram, of and ratio: the log of toxic over ordinary of what :func:`smoothed` gives."""
+    return smoothed(count, length, size, discount).select("gram", "of", (F.log("p1") - F.log("p0")).alias("ratio"))
+
+
+def smoothed(count: DataFrame, length: int = LENGTH, size: int | None = None, discount: float = DISCOUNT) -> DataFrame:
+    """gram, of, p0 and p1, from y, gram and n: for every n-gram of each order that a class has, the
+    probability of its last character after the others in both classes; and as a context (``of``), the
+    weight of the lower order, which any other character after it takes times its lower probability.
 
     ``size``: number of characters that there can be (by default those seen and one more).
     """
@@ -125,8 +127,8 @@ def ratios(count: DataFrame, length: int = LENGTH, size: int | None = None, disc
         rows = rows.withColumns({"q0": F.lit(1 / size), "q1": F.lit(1 / size)}) if below is None else rows.join(below, "__to")
         p = [(F.greatest(F.col(f"c{y}") - discount, F.lit(0.0)) / F.greatest(F.col(f"t{y}"), F.lit(1)) + F.col(f"s{y}") * F.col(f"q{y}")).alias(f"q{y}") for y in (0, 1)]
         below = shared.written(rows.select(F.col("gram").alias("__to"), *p), "probabilities")
-        out.append(below.select(F.col("__to").alias("gram"), F.lit(False).alias("of"), (F.log("q1") - F.log("q0")).alias("ratio")))
-        out.append(sums.select(F.col("__of").alias("gram"), F.lit(True).alias("of"), (F.log("s1") - F.log("s0")).alias("ratio")))
+        out.append(below.select(F.col("__to").alias("gram"), F.lit(False).alias("of"), F.col("q0").alias("p0"), F.col("q1").alias("p1")))
+        out.append(sums.select(F.col("__of").alias("gram"), F.lit(True).alias("of"), F.col("s0").alias("p0"), F.col("s1").alias("p1")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -180,32 +182,6 @@ class Lookup:
         return out
 
 
-def log_ratio(count: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-    """A dense model of 32 symbols and order four whose lower orders both classes share: log of toxic
-    over ordinary probability of the last symbol of every n-gram, from both classes' counts (2, CELLS)."""
-    size = 1 << BITS
-    seen = count.sum(0) > 0
-    # Continuation counts: by how many different symbols an n-gram of a lower order is preceded.
-    lower = [seen.reshape(size, -1).sum(0).astype(np.float64)]
-    while len(lower[-1]) > size:
-        lower.append((lower[-1] > 0).reshape(size, -1).sum(0).astype(np.float64))
-    prob = np.full(size, 1 / size)
-    for c in reversed(lower):
-        c = c.reshape(-1, size)
-        total = c.sum(1, keepdims=True)
-        spare = np.where(total > 0, discount * (c > 0).sum(1, keepdims=True) / np.maximum(total, 1), 1)
-        below = np.tile(prob.reshape(-1, size), (max(1, len(c) // max(1, len(prob) // size)), 1)) if c.shape[0] > 1 else prob.reshape(1, size)
-        prob = (np.maximum(c - discount, 0) / np.maximum(total, 1) + spare * below).ravel()
-    logs = []
-    for c in count.astype(np.float64):
-        c = c.reshape(-1, size)
-        total = c.sum(1, keepdims=True)
-        spare = np.where(total > 0, discount * (c > 0).sum(1, keepdims=True) / np.maximum(total, 1), 1)
-        below = np.tile(prob.reshape(-1, size), (size, 1))
-        logs.append(np.log(np.maximum(c - discount, 0) / np.maximum(total, 1) + spare * below).ravel())
-    return (logs[1] - logs[0]).astype(np.float32)
-
-
 def features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each text, of which ``n`` gives the number of n-grams, the length-normalised log-likelihood
     ratio of the whole, and the largest of its segments of each size; without n-grams all are zero."""

@@ -450,14 +450,28 @@ def test_network_gradient():
         assert g[name][at] == pytest.approx((high - low) / 2e-5, abs=2e-4)
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    r = np.random.default_rng(1)
-    count = np.zeros((2, toxicity.CELLS), np.int64)
-    np.add.at(count[0], r.integers(0, toxicity.CELLS, 5000), 1)
-    count[1] = count[0] * 3
-    ratio = toxicity.log_ratio(count)
-    assert np.isfinite(ratio).all()
-    assert toxicity.log_ratio(np.stack([count[0], count[0]])).any() == np.False_
+def test_kneser_ney_probabilities_sum_to_one(spark):
+    """Over all characters that there can be, after every context of every order, in both classes."""
+    r = random.Random(6)
+    train = [(y, "".join(r.choice("abcdя"[: 3 + 2 * y]) for _ in range(30))) for y in (0, 1, 0, 1)]
+    count = toxicity.counts(spark.createDataFrame(train, "__y long, __text string"))
+    rows = toxicity.smoothed(count).collect()
+    grams = {x.gram: (x.p0, x.p1) for x in rows if not x["of"]}
+    contexts = {x.gram: (x.p0, x.p1) for x in rows if x["of"]}
+    letters = {g for g in grams if len(g) == 1}
+    size = len(letters) + 1  # and one that was never seen
+
+    def prob(context, c, y):
+        if context + c in grams:
+            return grams[context + c][y]
+        if not context:
+            return contexts[""][y] / size
+        return contexts.get(context, (1, 1))[y] * prob(context[1:], c, y)
+
+    assert len(contexts) > 50
+    for context in contexts:
+        for y in (0, 1):
+            assert sum(prob(context, c, y) for c in [*letters, "?"]) == pytest.approx(1)
 
 
 def ratio_by_force(count, length, size, d=0.75):
