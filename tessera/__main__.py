@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> None:
         for name, df in silver.run(files.objects(spark, a.path, a.glob)).items():
             df.write.mode("overwrite").parquet(f"{a.out}/{name}")
     elif a.command == "gold":
-        built = gold.build(*(read(a.silver, n) for n in ("documents", "communications", "events")))
+        built = gold.build(*(read(a.silver, n) for n in ("documents", "communications", "events")), folder=f"{a.out}/_made")
         for name, df in built.items():
             df.write.mode("overwrite").parquet(f"{a.out}/{name}")
         gold.chunks(read(a.out, "gold_nodes")).write.mode("overwrite").parquet(f"{a.out}/chunks")

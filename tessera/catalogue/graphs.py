@@ -85,9 +85,9 @@ def embedding_text(t):
 def graph_from_tables(t):
     """Nodes and edges of documents and conversations, counted by kind."""
     docs = t("documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.lit("document").alias("source_type"), F.sha2("text", 256).alias("checksum"), F.concat("source", F.lit(".txt")).alias("title"), F.col("source").alias("source_object_id"), F.col("text").alias("content"), F.lit(None).cast("timestamp").alias("created_time"))
-    key = F.concat_ws("-", "conv_id", "turn")
-    comms = t("conversations").select(key.alias("id"), F.lit("chat").alias("source"), F.lit("email").alias("source_type"), F.sha2("text", 256).alias("checksum"), F.substring("text", 1, 40).alias("subject"), key.alias("source_object_id"), F.col("text").alias("body"), F.lit(None).cast("timestamp").alias("received_at"), F.col("conv_id").cast("string").alias("thread_id"), F.concat("role", F.lit("@example.org")).alias("sender_email"), F.col("role").alias("sender_name"), F.lit("").alias("recipients"), F.lit("").alias("cc"))
     people = "array<struct<email:string,name:string>>"
+    key = F.concat_ws("-", "conv_id", "turn")
+    comms = t("conversations").select(key.alias("id"), F.lit("chat").alias("source"), F.lit("email").alias("source_type"), F.sha2("text", 256).alias("checksum"), F.substring("text", 1, 40).alias("subject"), key.alias("source_object_id"), F.col("text").alias("body"), F.lit(None).cast("timestamp").alias("received_at"), F.col("conv_id").cast("string").alias("thread_id"), F.concat("role", F.lit("@example.org")).alias("sender_email"), F.col("role").alias("sender_name"), F.array().cast(people).alias("recipients"), F.array().cast(people).alias("cc"))
     events = comms.limit(0).select("id", "source", "source_type", "checksum", F.col("subject").alias("title"), "source_object_id", F.lit("").alias("organizer_name"), F.lit("").alias("organizer_email"), F.array().cast(people).alias("attendees"), F.lit(None).cast("timestamp").alias("start_time"), F.lit(None).cast("timestamp").alias("end_time"), F.lit("").alias("description"), F.lit("confirmed").alias("status"))
     built = gold.build(docs, comms, events, dimensions=16)
     return gold.statistics(built["gold_nodes"], built["gold_edges"])

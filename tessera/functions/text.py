@@ -129,6 +129,50 @@ def clean_sender(c: Column) -> Column:
     )
 
 
+def addresses(c: Column) -> Column:
+    """The parts of a header that names several people, cut at commas outside quotes and brackets; an
+    empty header has none."""
+    parts = F.transform(F.regexp_extract_all(filled(c), F.lit(r'(?:"[^"]*"|<[^>]*>|[^,"<]|["<])+'), 0), strip)
+    return F.filter(parts, lambda p: p != "")
+
+
+def json_string(c: Column) -> Column:
+    """A text as JSON writes it in ASCII: quotes, backslashes, controls and all but ASCII escaped."""
+    named = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+    units = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    escaped = lambda ch: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), ch), F.when(ch.rlike(r"^[\x20-\x7e]$"), ch).otherwise(units(ch)))
+    plain = F.when(c.rlike(r'^[\x20-\x21\x23-\x5b\x5d-\x7e]*$'), c).otherwise(F.array_join(F.transform(F.split(c, ""), escaped), ""))
+    return F.concat(F.lit('"'), plain, F.lit('"'))
+
+
+def canonical_json(fields: dict[str, Column], numbers: tuple[str, ...] = ()) -> Column:
+    """An object as JSON with sorted keys, ``", "`` and ``": "`` between, in ASCII, nulls kept. Fields
+    are texts (times in ISO 8601 before they come here), but for ``numbers``."""
+    parts = [F.lit("{")]
+    for i, name in enumerate(sorted(fields)):
+        value = fields[name].cast("string") if name in numbers else json_string(fields[name].cast("string"))
+        parts += [F.lit((", " if i else "") + f'"{name}": '), F.coalesce(value, F.lit("null"))]
+    return F.concat(*parts, F.lit("}"))
+
+
+#: Steps after :func:`normalize`, in the order of their registration: functions of a text column.
+NORMALIZERS: list = []
+
+
+def register_normalizer(step):
+    """Adds a step (Column -> Column) to :func:`normalized`."""
+    NORMALIZERS.append(step)
+    return step
+
+
+def normalized(c: Column) -> Column:
+    """:func:`normalize` and numbers, then every registered step."""
+    c = normalize_numbers(normalize(c))
+    for step in NORMALIZERS:
+        c = step(c)
+    return c
+
+
 def clean_date(c: Column) -> Column:
     """A mail date as ISO 8601 with its offset; what isn't one stays, empty becomes null."""
     t = F.regexp_replace(strip(c), r"^[A-Za-z]{3},\s*", "")

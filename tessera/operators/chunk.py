@@ -79,6 +79,11 @@ def contiguous(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("parent_id").agg(((F.max("chunk_index") + 1 == F.count("*")) & (F.count_distinct("chunk_index") == F.count("*")) & (F.min("chunk_index") == 0)).alias("contiguous"))
 
 
+def summary(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """Number and total length of chunks."""
+    return chunks.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("total_length"))
+
+
 def duplicates(chunks: DataFrame, key: str = "id", text: str = "content", threshold: float = 0.9) -> DataFrame:
     """Pairs of chunks whose token sets are similar above the threshold (between distinct sets)."""
-    return dedup.similar_pairs(chunks, key, similarity.token_set, text, threshold)
+    return dedup.similar_pairs(chunks, key, similarity.token_hashes, text, threshold)

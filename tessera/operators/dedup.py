@@ -52,26 +52,36 @@ def duplicate_groups(df: DataFrame, checksum: Column, key: str) -> DataFrame:
     return df.groupBy(checksum.alias("checksum")).agg(F.count("*").alias("copies"), F.min(key).alias("first_id")).filter("copies > 1")
 
 
-def similar_pairs(df: DataFrame, key: str, elements: Callable[[Column], Column], text: str, threshold: float, strict: bool = True, by_frequency: bool = True) -> DataFrame:
+#: Sets above which an element is common: joined by itself it would be one task's alone.
+COMMON = 1000
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` made once for several uses: in the checkpoint folder if the session has one, else stored by
+    the executors."""
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df.persist()
+
+
+def similar_pairs(df: DataFrame, key: str, elements: Callable[[Column], Column], text: str, threshold: float, strict: bool = True) -> DataFrame:
     """Pairs (a < b) of rows whose element sets have a Jaccard similarity above the threshold, exactly.
 
-    Rows of equal sets are one before the join: pairs come between distinct sets, and ``copies`` of
-    :func:`set_classes` tells the rows of each. Prefix filtering: in any fixed order of elements,
-    similar sets share one of the first ``|A| - ceil(t |A|) + 1``. Only the hashes of those are
-    joined, with the length bound, and candidates are verified on the whole sets. The order is from
-    rare to common, which takes a pass over all elements, or (not ``by_frequency``) by hash, within the
-    row: as good where few elements are common, as with shingles.
+    ``elements`` gives an array of distinct 64-bit hashes. Rows of equal sets are one before the join: pairs
+    come between distinct sets, and :func:`set_members` tells the rows of each. Prefix filtering: in any
+    fixed order of elements, similar sets share one of the first ``|A| - ceil(t |A|) + 1``. Only those
+    are joined, with the length bound, and candidates are verified on the whole sets. Elements are counted
+    first: if none is in more than COMMON sets the order is by hash, within the row; else it is from rare to
+    common, so that what all have in common is joined only where sets have nothing else.
     """
-    sets = set_classes(df, key, elements, text).select("key", "set")
+    sets = kept(set_classes(df, key, elements, text).select("key", "set", F.size("set").alias("n")))
     length = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    hashes = sets.select("key", F.size("set").alias("n"), F.transform("set", lambda e: F.xxhash64(e)).alias("h"))
-    if by_frequency:
-        exploded = hashes.select("key", "n", F.explode("h").alias("e"))
-        frequency = exploded.groupBy("e").agg(F.count("*").alias("f"))
-        ordered = exploded.join(frequency, "e").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
-        prefix = ordered.select("key", "n", F.explode(F.slice("order", F.lit(1), length)["e"]).alias("e"))
+    frequency = sets.select(F.explode("set").alias("e")).groupBy("e").agg(F.count("*").alias("f"))
+    if frequency.filter(F.col("f") > COMMON).isEmpty():
+        prefix = sets.select("key", "n", F.explode(F.slice("set", F.lit(1), length)).alias("e"))
     else:
-        prefix = hashes.select("key", "n", F.explode(F.slice(F.sort_array("h"), F.lit(1), length)).alias("e"))
+        ordered = sets.select("key", "n", F.explode("set").alias("e")).join(frequency, "e").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
+        prefix = ordered.select("key", "n", F.explode(F.slice("order", F.lit(1), length)["e"]).alias("e"))
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.key") < F.col("b.key")) & (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
     pairs = a.join(b, (F.col("a.e") == F.col("b.e")) & near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
@@ -80,17 +90,22 @@ def similar_pairs(df: DataFrame, key: str, elements: Callable[[Column], Column],
     return full.filter(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 
+def _set_hash(c: Column) -> Column:
+    """What equal sorted arrays of hashes agree on: size and 128 bits."""
+    return F.struct(F.size(c).alias("n"), F.xxhash64(c).alias("x"), F.xxhash64(F.lit(7), c).alias("y"))
+
+
 def set_classes(df: DataFrame, key: str, elements: Callable[[Column], Column], text: str) -> DataFrame:
-    """One row for each distinct non-empty set of elements: least key, set and number of rows."""
+    """One row for each distinct non-empty set of elements (hashes): least key, sorted set, number of rows."""
     sets = df.select(F.col(key).alias("k"), F.array_sort(elements(F.col(text))).alias("set")).filter(F.size("set") > 0)
-    return sets.groupBy(F.sha2(F.array_join("set", "\u0001"), 256).alias("h")).agg(F.min("k").alias("key"), F.first("set").alias("set"), F.count("*").alias("copies")).drop("h")
+    return sets.groupBy(_set_hash(F.col("set")).alias("h")).agg(F.min("k").alias("key"), F.first("set").alias("set"), F.count("*").alias("copies")).drop("h")
 
 
 def set_members(df: DataFrame, key: str, elements: Callable[[Column], Column], text: str) -> DataFrame:
     """Every row's key and the least key of the rows of an equal set, ``class_key``; a row of an empty
     set is its own class."""
     sets = df.select(F.col(key).alias("__k"), F.array_sort(elements(F.col(text))).alias("set"))
-    rows = sets.select("__k", F.when(F.size("set") > 0, F.sha2(F.array_join("set", "\u0001"), 256)).alias("h"))
+    rows = sets.select("__k", F.when(F.size("set") > 0, _set_hash(F.col("set"))).alias("h"))
     first = rows.filter("h is not null").groupBy("h").agg(F.min("__k").alias("first"))
     return rows.join(first, "h", "left").select(F.col("__k").alias(key), F.coalesce("first", "__k").alias("class_key"))
 
@@ -105,11 +120,8 @@ def attachment_duplicates(attachments: DataFrame, threshold: float = 0.9) -> Dat
     hashed = attachments.filter("content_hash is not null and content_hash != ''").groupBy("content_hash").agg(F.min("seq").alias("__first"))
     exact = attachments.join(hashed, "content_hash").filter("seq > __first").select("seq", F.lit("duplicate_content_exact_hash").alias("reason"), F.col("__first").alias("similar_to"), F.lit(1.0).alias("similarity"))
     texts = attachments.filter(F.length("cleaned_text") > 50)
-    pairs = similar_pairs(texts, "seq", similarity.shingles, "cleaned_text", threshold, by_frequency=False)
-    classes = set_classes(texts, "seq", similarity.shingles, "cleaned_text").select("key", "set")
-    member = texts.select("seq", F.sha2(F.array_join(F.array_sort(similarity.shingles(F.col("cleaned_text"))), "\u0001"), 256).alias("h"), F.size(similarity.shingles(F.col("cleaned_text"))).alias("n")).filter("n > 0")
-    keyed = classes.select("key", F.sha2(F.array_join("set", "\u0001"), 256).alias("h"))
-    same = member.join(keyed, "h")
+    pairs = similar_pairs(texts, "seq", similarity.shingle_hashes, "cleaned_text", threshold)
+    same = set_members(texts, "seq", similarity.shingle_hashes, "cleaned_text").withColumnRenamed("class_key", "key")
     own = same.filter("seq > key").select("seq", F.col("key").alias("similar_to"), F.lit(1.0).alias("similarity"))
     other = same.join(pairs.select(F.col("b").alias("key"), F.col("a").alias("similar_to"), "similarity"), "key").select("seq", "similar_to", "similarity").filter("seq > similar_to")
     best = own.union(other).groupBy("seq").agg(F.min(F.struct("similar_to", "similarity")).alias("m")).select("seq", F.lit("duplicate_text_similarity").alias("reason"), "m.similar_to", "m.similarity")

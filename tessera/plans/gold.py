@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import enrich, text, vectors
 from tessera.operators import chunk, dedup, graph, quality, schedule
+from tessera.sources import sinks
 
 
 def _ref(table: str, rows: DataFrame):
@@ -50,18 +51,16 @@ def scheduled(document_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mentions(comms: DataFrame, events: DataFrame) -> DataFrame:
-    """Who is named where and as what: seq, node_id, email, name, role, source."""
+    """Who is named where and as what: seq, node_id, email, name, role, source. Everybody in a list of
+    recipients is named on their own."""
     node_c, node_e = graph.node_id(F.lit("communications"), F.col("id")), graph.node_id(F.lit("events"), F.col("id"))
-    who = lambda c: text.clean_sender(F.col(c))
-    parts = F.array(
-        F.struct(F.col("sender_email").alias("email"), F.col("sender_name").alias("name"), F.lit("sender").alias("role")),
-        F.struct(who("recipients")["email"].alias("email"), who("recipients")["name"].alias("name"), F.lit("to").alias("role")),
-        F.struct(who("cc")["email"].alias("email"), who("cc")["name"].alias("name"), F.lit("cc").alias("role")),
-    )
+    each = lambda c, role: F.transform(c, lambda p: F.struct(p["email"].alias("email"), p["name"].alias("name"), F.lit(role).alias("role")))
+    one = lambda email, name, role: F.array(F.struct(F.col(email).alias("email"), F.col(name).alias("name"), F.lit(role).alias("role")))
+    none = F.array().cast("array<struct<email:string,name:string>>")
+    parts = F.concat(one("sender_email", "sender_name", "sender"), each(F.coalesce("recipients", none), "to"), each(F.coalesce("cc", none), "cc"))
     c = comms.select(F.concat_ws(":", F.lit("1"), "id").alias("seq"), node_c.alias("node_id"), "source", F.explode(parts).alias("p"))
-    people = F.transform("attendees", lambda a: F.struct(a["email"].alias("email"), a["name"].alias("name"), F.lit("attendee").alias("role")))
-    own = F.array(F.struct(F.col("organizer_email").alias("email"), F.col("organizer_name").alias("name"), F.lit("organizer").alias("role")))
-    e = events.select(F.concat_ws(":", F.lit("2"), "id").alias("seq"), node_e.alias("node_id"), "source", F.explode(F.concat(own, people)).alias("p"))
+    people = F.concat(one("organizer_email", "organizer_name", "organizer"), each(F.col("attendees"), "attendee"))
+    e = events.select(F.concat_ws(":", F.lit("2"), "id").alias("seq"), node_e.alias("node_id"), "source", F.explode(people).alias("p"))
     return c.unionByName(e).select("seq", "node_id", "p.*", "source").filter("email is not null and email != ''")
 
 
@@ -74,20 +73,42 @@ def discovered(node_rows: DataFrame, said: DataFrame, threads: DataFrame, cap: i
     return by_concept.unionByName(by_person).unionByName(by_thread)
 
 
-def build(docs: DataFrame, comms: DataFrame, events: DataFrame, cap: int = 100, dimensions: int = 384) -> dict[str, DataFrame]:
-    """All graph tables by name, and the nodes that break their contract."""
-    rows = nodes(docs, comms, events)
-    inside, contains = scheduled(rows.filter("type = 'document'"))
-    said = mentions(comms, events)
+def build(docs: DataFrame, comms: DataFrame, events: DataFrame, cap: int = 100, dimensions: int = 384, folder: str | None = None) -> dict[str, DataFrame]:
+    """All graph tables by name, and the nodes that break their contract. No edge leads to a blocked node.
+
+    Parsing and concepts feed five results: with a ``folder`` they are written there once, and read.
+    """
+    rows = _kept(nodes(docs, comms, events), folder, "nodes")
+    passed, blocked = quality.split_blocked(rows, "silver_to_gold")
+    inside, contains = scheduled(passed.filter("type = 'document'"))
+    inside, contains = _kept(inside, folder, "scheduled"), _kept(contains, folder, "contains")
+    good = passed.select("id")
+    said = mentions(comms, events).join(good, F.col("node_id") == F.col("id"), "left_semi")
     people = graph.agents(said.select("seq", "email", "name", "source"))
     threads = comms.filter("thread_id != ''").select("thread_id", graph.node_id(F.lit("communications"), F.col("id")).alias("node_id"))
-    edges = contains.withColumn("shared", F.lit(None).cast("string")).unionByName(graph.role_edges(said, people).withColumn("shared", F.lit(None).cast("string"))).unionByName(discovered(rows, said, threads, cap))
+    threads = threads.join(good, F.col("node_id") == F.col("id"), "left_semi")
+    null = F.lit(None).cast("string")
+    edges = contains.withColumn("shared", null).unionByName(graph.role_edges(said, people).withColumn("shared", null)).unionByName(discovered(passed, said, threads, cap))
     edges = dedup.first_by(edges, ["source_node_id", "predicate", "target_node_id"], "weight")
-    passed, blocked = quality.split_blocked(rows, "silver_to_gold")
     every = embedded(passed, dimensions).unionByName(inside, allowMissingColumns=True).unionByName(people.drop("email", "source"), allowMissingColumns=True)
     return {"gold_nodes": every, "gold_edges": edges, "gold_timeline": graph.timeline(every), "blocked": blocked}
 
 
+def _kept(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    if not folder:
+        return df
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def save(built: dict[str, DataFrame], folder: str) -> None:
+    """Adds to the tables of a store what they lack: nodes by id, edges by both ends and predicate, the
+    timeline by node, field and value. What is there stays as it is."""
+    sinks.insert_if_absent(built["gold_nodes"], f"{folder}/gold_nodes", ["id"], "id")
+    sinks.insert_if_absent(built["gold_edges"], f"{folder}/gold_edges", ["source_node_id", "predicate", "target_node_id"], "weight")
+    sinks.insert_if_absent(built["gold_timeline"], f"{folder}/gold_timeline", ["node_id", "field", "new_value"], "new_value")
+
+
 def chunks(node_rows: DataFrame, dimensions: int = 384) -> DataFrame:
     """Chunks of ten or more characters of nodes with content, with vectors."""
     rows = chunk.rows(node_rows.filter("content is not null and content != ''"), chunk.separated(F.col("content")), "id", least=10)

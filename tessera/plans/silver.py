@@ -13,9 +13,13 @@ from tessera.operators import chunk, graph, quality
 from tessera.sources import files, mail
 
 
-def _checksum(*names: str):
-    """A digest of a canonical JSON of named columns, in their order."""
-    return F.sha2(F.to_json(F.struct(*sorted(names))), 256)
+def _checksum(**fields):
+    """A digest of the canonical JSON of some fields."""
+    return F.sha2(text.canonical_json(fields), 256)
+
+
+def _iso(name: str):
+    return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def typed(objects: DataFrame) -> DataFrame:
@@ -40,20 +44,21 @@ def documents(objects: DataFrame) -> DataFrame:
         "bucket",
         F.col("object_key").alias("path"),
         F.col("modified").alias("created_time"),
-    ).withColumns({"language": enrich.language(F.col("content")), "processing_status": F.when(F.col("content") != "", "completed").otherwise("failed"), "error_message": F.when(F.col("content") == "", "no text")})
+        "read_error",
+    ).withColumns({"language": enrich.language(F.col("content")), "processing_status": F.when(F.col("content") != "", "completed").otherwise("failed"), "error_message": F.when(F.col("content") == "", F.coalesce("read_error", F.lit("no text")))}).drop("read_error")
 
 
 def communications(objects: DataFrame) -> DataFrame:
     rows = mail.messages(typed(objects).filter("source_type = 'email'"))
     rows = rows.withColumns({"subject": text.clean(F.col("subject")), "body": text.clean(F.col("body")), "source_object_id": F.coalesce("message_key", "object_key")})
-    rows = rows.withColumn("checksum", _checksum("message_key", "subject", "sender_email", "body", "recipients"))
+    rows = rows.withColumn("checksum", _checksum(message_key=F.col("message_key"), subject=F.col("subject"), sender_email=F.col("sender_email"), body=F.col("body"), recipients=F.array_join(F.col("recipients.email"), ", ")))
     return rows.withColumns({"id": graph.node_id(F.lit("communications"), F.col("source"), F.col("source_object_id")), "processing_status": F.lit("completed")})
 
 
 def events(objects: DataFrame) -> DataFrame:
     rows = mail.events(typed(objects).filter("source_type = 'calendar'"))
     rows = rows.withColumns({"title": text.clean(F.col("title")), "description": text.clean(F.col("description")), "source_object_id": F.coalesce("event_key", "object_key")})
-    rows = rows.withColumn("checksum", _checksum("event_key", "title", "description", "start_time", "end_time"))
+    rows = rows.withColumn("checksum", _checksum(event_key=F.col("event_key"), title=F.col("title"), description=F.col("description"), start_time=_iso("start_time"), end_time=_iso("end_time")))
     return rows.withColumns({"id": graph.node_id(F.lit("events"), F.col("source"), F.col("source_object_id")), "processing_status": F.lit("completed")})
 
 
@@ -84,7 +89,7 @@ def mail_records(emails: DataFrame, attachments: DataFrame) -> dict[str, DataFra
         "cleaned_text": text.clean_mail_text(F.col("raw_text")),
         "filename": text.clean_filename(F.col("filename")),
     })
-    att = att.withColumn("normalized_text", text.normalize_numbers(text.normalize(F.col("cleaned_text"))))
+    att = att.withColumn("normalized_text", text.normalized(F.col("cleaned_text")))
     att = att.withColumns({
         "cleaning_ops": text.cleaning_operations(F.coalesce("raw_text", F.lit("")), F.col("cleaned_text")),
         "normalized_filename": text.normalize_filename(F.col("filename")),

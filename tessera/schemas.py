@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 _COMMON = "id string, source string, source_type string, source_object_id string"
 _TIMES = "processing_status string, error_message string, processed_at timestamp, created_at timestamp, updated_at timestamp"
-_PEOPLE = "array<struct<email:string,type:string>>"
+_PEOPLE = "array<struct<email:string,name:string>>"
 
 TABLES: dict[str, str] = {
     "documents": f"{_COMMON}, title string, content string, checksum string, mime_type string, size_bytes bigint, bucket string, path string, language string, page_count int, author string, created_time timestamp, updated_time timestamp, metadata string, raw_json string, {_TIMES}",

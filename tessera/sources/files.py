@@ -18,8 +18,6 @@ from tessera.functions.text import extension, media_type, strip
 
 #: Bytes of a JSON object that are sniffed.
 SNIFFED = 262_144
-#: Bytes of a document that a reader takes apart in a Python worker; larger ones give no text.
-READABLE = 256 << 20
 
 
 def objects(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -146,18 +144,8 @@ def csv_text(data: bytes) -> str:
     return "\n".join(" | ".join(row) for row in csv.reader(io.StringIO(data.decode("utf-8", "replace"), newline="")))
 
 
-def _reader(read: Callable[[bytes], str]):
-    @F.pandas_udf(T.StringType())
-    def text(contents: pd.Series) -> pd.Series:
-        def safe(data: bytes | None) -> str:
-            try:
-                return read(bytes(data)) if data is not None and len(data) <= READABLE else ""
-            except Exception:  # whatever is wrong with a document, it has no text then
-                return ""
-
-        return contents.map(safe)
-
-    return text
+#: Readers that run in Python, by extension: functions of the bytes.
+PARSERS: dict[str, Callable[[bytes], str]] = {".docx": docx_text, ".doc": docx_text, ".pdf": pdf_text, ".xlsx": xlsx_text, ".xls": xlsx_text, ".csv": csv_text}
 
 
 def txt_text(content: Column) -> Column:
@@ -165,31 +153,54 @@ def txt_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-#: Readers by extension: functions of the content column.
-READERS: dict[str, Callable[[Column], Column]] = {
-    ".docx": lambda c: _reader(docx_text)(c),
-    ".doc": lambda c: _reader(docx_text)(c),
-    ".pdf": lambda c: _reader(pdf_text)(c),
-    ".xlsx": lambda c: _reader(xlsx_text)(c),
-    ".xls": lambda c: _reader(xlsx_text)(c),
-    ".csv": lambda c: _reader(csv_text)(c),
-    ".txt": txt_text,
-}
+#: Readers that are expressions, by extension: functions of the content column.
+READERS: dict[str, Callable[[Column], Column]] = {".txt": txt_text}
 
 
 def register_reader(ext: str, reader: Callable[[Column], Column]) -> None:
+    """Reads an extension by an expression."""
+    PARSERS.pop(ext.lower(), None)
     READERS[ext.lower()] = reader
 
 
-def document_text(rows: DataFrame, allowed: tuple[str, ...] = tuple(READERS)) -> DataFrame:
-    """``rows`` with text by extension: a branch for each format, so a Python worker sees only the
-    contents that need it. Other extensions have the empty text."""
-    out = None
-    for ext in allowed:
-        part = rows.filter(F.col("extension") == ext).withColumn("text", READERS[ext](F.col("content")))
-        out = part if out is None else out.unionByName(part)
-    rest = rows.filter(F.col("extension").isNull() | ~F.col("extension").isin(*allowed)).withColumn("text", F.lit(""))
-    return out.unionByName(rest)
+def register_parser(ext: str, parser: Callable[[bytes], str]) -> None:
+    """Reads an extension by a Python function of the bytes."""
+    READERS.pop(ext.lower(), None)
+    PARSERS[ext.lower()] = parser
+
+
+def _parsed(allowed: tuple[str, ...]):
+    parsers = {e: f for e, f in PARSERS.items() if e in allowed}
+
+    @F.pandas_udf(T.StructType.fromDDL("text string, error string"))
+    def parse(extensions: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        out = []
+        for ext, data in zip(extensions, contents, strict=True):
+            try:
+                out.append((parsers[ext](bytes(data)) if data is not None else None, None))
+            except Exception as e:  # whatever is wrong with a document, its row says so
+                out.append((None, f"{type(e).__name__}: {e}"[:500]))
+        return pd.DataFrame(out, columns=["text", "error"])
+
+    return parse
+
+
+def document_text(rows: DataFrame, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """``rows`` with text and read_error by extension (by default all that have a reader), in one pass.
+
+    Contents that an expression reads, or nobody does, aren't sent to Python. A document of any size is
+    read. Other extensions have the empty text and no error; a document that its reader can't read has
+    the empty text and the reason.
+    """
+    allowed = allowed if allowed is not None else (*READERS, *PARSERS)
+    ext, content = F.col("extension"), F.col("content")
+    found = _parsed(allowed)(ext, F.when(ext.isin(*[e for e in PARSERS if e in allowed]), content))
+    out = rows.withColumn("__read", found)
+    text = F.col("__read.text")
+    for e in READERS:
+        if e in allowed:
+            text = F.when(ext == e, READERS[e](content)).otherwise(text)
+    return out.withColumns({"text": F.coalesce(text, F.lit("")), "read_error": F.col("__read.error")}).drop("__read")
 
 
 def first_available(ids: DataFrame, key: str, *tiers: DataFrame) -> DataFrame:

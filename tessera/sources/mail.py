@@ -33,6 +33,11 @@ def header(headers: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(""))
 
 
+def people(value: Column) -> Column:
+    """Name and address of everybody whom a header names, in order."""
+    return F.transform(text.addresses(value), lambda p: text.let(text.clean_sender(p), lambda s: F.struct(s["email"].alias("email"), s["name"].alias("name"))))
+
+
 def body(payload: Column) -> Column:
     """The first plain text: of the payload, or of its direct parts; none: empty."""
     parts = F.filter(payload["parts"], lambda p: (p["mimeType"] == "text/plain") & (F.coalesce(p["body"]["data"], F.lit("")) != ""))
@@ -73,9 +78,7 @@ def messages(rows: DataFrame, content: str = "content", raw: bool = False) -> Da
         header(F.col("__h"), "Subject").alias("subject"),
         (sender if raw else split["name"]).alias("sender_name"),
         (sender if raw else split["email"]).alias("sender_email"),
-        header(F.col("__h"), "To").alias("recipients"),
-        header(F.col("__h"), "Cc").alias("cc"),
-        header(F.col("__h"), "Bcc").alias("bcc"),
+        *[people(header(F.col("__h"), name)).alias(c) for name, c in (("To", "recipients"), ("Cc", "cc"), ("Bcc", "bcc"))],
         text.parse_time(header(F.col("__h"), "Date")).alias("received_at"),
         header(F.col("__h"), "Message-ID").alias("message_id"),
         header(F.col("__h"), "In-Reply-To").alias("in_reply_to"),
