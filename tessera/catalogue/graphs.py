@@ -27,10 +27,10 @@ def shared_concept_edges(t):
     return graph.shared_edges(t("documents").select("lang", "doc_id"), "lang", "doc_id", "related_to", 0.7)
 
 
-@query("""SELECT role AS email, first AS name FROM (SELECT role, arg_min(substr(text, 1, 20), conv_id * 1000 + turn) AS first FROM conversations GROUP BY role)""")
+@query("""SELECT role AS email, md5(first) AS name FROM (SELECT role, arg_min(text, conv_id * 1000 + turn) AS first FROM conversations GROUP BY role)""")
 def agents_first_name_wins(t):
-    rows = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("role").alias("email"), F.substring("text", 1, 20).alias("name"), F.lit("chat").alias("source"))
-    return graph.agents(rows).select("email", "name")
+    rows = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("role").alias("email"), F.col("text").alias("name"), F.lit("chat").alias("source"))
+    return graph.agents(rows).select("email", F.md5("name").alias("name"))
 
 
 _EDGES = "(SELECT o_custkey AS s, o_orderkey AS o, 'places' AS predicate FROM orders UNION ALL SELECT l_orderkey, l_partkey, 'contains' FROM lineitem)"
@@ -101,12 +101,88 @@ def trace_totals(t):
     return trace.totals(rows, steps, traces).select("trace_id", "n_calls", "tokens", F.round("cost", 4).alias("cost"))
 
 
-@query("""SELECT user_id AS trace_id, CAST(floor(event_id / 10) AS BIGINT) AS call_id, CASE WHEN count_if(event_type <> 'click' AND event_type = 'error') > 0 THEN 'failed' WHEN count_if(event_type NOT IN ('click', 'view')) > 0 THEN 'success' ELSE 'retrying' END AS status, CAST(count_if(event_type = 'view') AS BIGINT) AS retry_count
-FROM events GROUP BY 1, 2 HAVING count_if(event_type = 'error') = count_if(event_type NOT IN ('click', 'view')) OR count_if(event_type = 'error') = 0""")
+@query("""WITH c AS (SELECT user_id AS trace_id, CAST(floor(event_id / 10) AS BIGINT) AS call_id, event_type AS e, ts FROM events), d AS (SELECT trace_id, call_id, max(ts) AS last FROM c WHERE e NOT IN ('click', 'view') GROUP BY 1, 2)
+SELECT trace_id, call_id, CASE WHEN max(last) IS NULL THEN 'retrying' WHEN count_if(e = 'error' AND ts = last) > 0 THEN 'failed' ELSE 'success' END AS status, CAST(count_if(e = 'view') AS BIGINT) AS retry_count,
+CAST(CASE WHEN max(last) IS NOT NULL AND min(CASE WHEN e = 'click' THEN ts END) IS NOT NULL THEN date_diff('microsecond', min(CASE WHEN e = 'click' THEN ts END), max(last)) / 1000 END AS DOUBLE) AS latency_ms FROM c LEFT JOIN d USING (trace_id, call_id) GROUP BY 1, 2""")
 def trace_tool_calls(t):
-    """Events as calls: a click starts one, a view retries it, the rest complete it (an error fails it)."""
+    """Events as calls: a click starts one, a view retries it, the rest complete it (an error fails it; the
+    last completion counts)."""
     kind = F.when(F.col("event_type") == "click", "record_tool_call").when(F.col("event_type") == "view", "record_tool_retry").otherwise("complete_tool_call")
-    call = F.floor(F.col("event_id") / 10)
-    rows = t("events").select(F.col("user_id").alias("trace_id"), call.alias("call_id"), kind.alias("kind"), F.col("ts").alias("at"), F.lit("t").alias("tool"), F.lit(1).alias("tokens"), F.col("value").alias("cost"), F.when(F.col("event_type") == "error", "bad").alias("error"))
-    mixed = rows.groupBy("trace_id", "call_id").agg(F.count("error").alias("e"), F.count_if(F.col("kind") == "complete_tool_call").alias("c")).filter("e = c or e = 0")
-    return trace.tool_calls(rows).join(mixed, ["trace_id", "call_id"], "left_semi").select("trace_id", "call_id", "status", "retry_count")
+    rows = t("events").select(F.col("user_id").alias("trace_id"), F.floor(F.col("event_id") / 10).alias("call_id"), kind.alias("kind"), F.col("ts").alias("at"), F.lit("t").alias("tool"), F.lit(1).alias("tokens"), F.col("value").alias("cost"), F.when(F.col("event_type") == "error", "bad").alias("error"))
+    return trace.tool_calls(rows).select("trace_id", "call_id", "status", "retry_count", "latency_ms")
+
+
+def _steps(t):
+    kind = F.when(F.col("event_type") == "click", "record_plan_step").when(F.col("event_type").isin("view", "error"), "complete_plan_step").otherwise("other")
+    return t("events").select(F.col("user_id").alias("trace_id"), F.floor(F.col("event_id") / 5).alias("step_id"), kind.alias("kind"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "bad").alias("error"), F.lit("do").alias("description"))
+
+
+_STEP_SQL = """s AS (SELECT user_id AS trace_id, CAST(floor(event_id / 5) AS BIGINT) AS step_id, event_type AS e, ts FROM events WHERE event_type IN ('click', 'view', 'error')), d AS (SELECT trace_id, step_id, max(ts) AS last FROM s WHERE e <> 'click' GROUP BY 1, 2),
+p AS (SELECT trace_id, step_id, CASE WHEN max(last) IS NULL THEN 'pending' WHEN count_if(e = 'error' AND ts = last) > 0 THEN 'failed' ELSE 'completed' END AS status FROM s LEFT JOIN d USING (trace_id, step_id) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_STEP_SQL} SELECT * FROM p")
+def trace_plan_steps(t):
+    return trace.plan_steps(_steps(t)).select("trace_id", "step_id", "status")
+
+
+@query(f"""WITH {_STEP_SQL}, r AS (SELECT trace_id, count(*) AS planned, CAST(count_if(status = 'completed') AS BIGINT) AS completed FROM p GROUP BY 1), c AS (SELECT user_id AS trace_id, count(*) AS n, CAST(sum(event_id % 7) AS BIGINT) AS tokens FROM events WHERE event_type = 'purchase' GROUP BY 1),
+t AS (SELECT DISTINCT user_id AS trace_id FROM events)
+SELECT trace_id, trace_id % 9 AS session_id, coalesce(n, 0) AS n_calls, coalesce(tokens, 0) AS tokens, coalesce(planned, 0) AS planned, coalesce(completed, 0) AS completed, round(coalesce(completed, 0) / greatest(coalesce(planned, 0), 1), 6) AS completion_rate FROM t LEFT JOIN c USING (trace_id) LEFT JOIN r USING (trace_id)""")
+def trace_completion(t):
+    return _totalled(t).select("trace_id", "session_id", "n_calls", "tokens", "planned", "completed", "completion_rate")
+
+
+def _totalled(t):
+    events = t("events")
+    calls = events.filter("event_type = 'purchase'").select(F.col("user_id").alias("trace_id"), (F.col("event_id") % 7).alias("tokens"), F.lit(0.5).alias("cost"))
+    traces = events.select(F.col("user_id").alias("trace_id"), (F.col("user_id") % 9).alias("session_id")).distinct()
+    return trace.totals(calls, trace.plan_steps(_steps(t)), traces)
+
+
+@query("""WITH c AS (SELECT user_id, count_if(event_type = 'purchase') AS n, coalesce(sum(CASE WHEN event_type = 'purchase' THEN event_id % 7 END), 0) AS tokens FROM events GROUP BY 1)
+SELECT user_id % 9 AS session_id, count(*) AS n_traces, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(n) * 0.5 AS DOUBLE) AS cost FROM c GROUP BY 1""")
+def trace_sessions(t):
+    return trace.sessions(_totalled(t))
+
+
+@query("""SELECT conv_id AS trace_id, turn, CASE WHEN turn % 3 = 0 THEN 'record_provenance' ELSE 'record_memory_access' END AS kind, md5(substr(text, 1, CASE WHEN turn % 3 = 0 THEN 200 ELSE 500 END)) AS text FROM conversations WHERE turn % 3 < 2""")
+def trace_provenance(t):
+    kind = F.when(F.col("turn") % 3 == 0, "record_provenance").when(F.col("turn") % 3 == 1, "record_memory_access").otherwise("other")
+    rows = t("conversations").select(F.col("conv_id").alias("trace_id"), kind.alias("kind"), F.col("turn").alias("at"), F.col("text").alias("description"))
+    return trace.provenance(rows).select("trace_id", F.col("at").alias("turn"), "kind", F.md5("text").alias("text"))
+
+
+@query("""SELECT conv_id, turn, 'communication' AS type, 'email' AS subtype, CASE WHEN turn = 0 THEN 'Email ' || conv_id ELSE role END AS name FROM conversations""")
+def classify_mails(t):
+    k = graph.classify_communication(F.when(F.col("turn") > 0, F.col("role")), F.col("conv_id").cast("string"))
+    return t("conversations").select("conv_id", "turn", k.alias("k")).select("conv_id", "turn", "k.type", "k.subtype", "k.name")
+
+
+@query("""SELECT o_orderkey, 'activity' AS type, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 3 WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS importance, CASE WHEN o_orderkey % 5 = 0 THEN 'Event ' || o_orderkey ELSE 'Order' END AS name, CASE WHEN o_orderkey % 7 = 0 THEN 'tentative' ELSE 'active' END AS status FROM orders""", longs=())
+def classify_events(t):
+    key = F.col("o_orderkey")
+    k = graph.classify_event(F.when(key % 5 == 0, "").otherwise("Order"), key.cast("string"), F.when(key % 2 == 0, "Ann"), F.col("o_orderdate"), F.when(key % 3 == 0, F.col("o_orderdate")), F.when(key % 7 == 0, "tentative"))
+    return t("orders").select("o_orderkey", k.alias("k")).select("o_orderkey", "k.type", "k.importance", "k.name", "k.status")
+
+
+@query("""WITH m AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS node, sha256('agents:' || role || '@x.org') AS agent, role FROM conversations)
+SELECT CASE WHEN role = 'user' THEN agent ELSE node END AS source_node_id, CASE WHEN role = 'user' THEN node ELSE agent END AS target_node_id, CASE role WHEN 'user' THEN 'sends' WHEN 'assistant' THEN 'to' ELSE 'cc' END AS predicate FROM m""")
+def role_edges(t):
+    role = F.when(F.col("role") == "user", "sender").when(F.col("role") == "assistant", "to").otherwise("cc")
+    said = t("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("seq"), F.col("conv_id").cast("string").alias("node_id"), F.concat("role", F.lit("@x.org")).alias("email"), F.col("role").alias("name"), role.alias("role"), F.lit("chat").alias("source"))
+    return graph.role_edges(said, graph.agents(said.select("seq", "email", "name", "source"))).drop("weight")
+
+
+@query(_pairs_sql("SELECT role || '@x.org' AS g, conv_id * 1000 + turn AS n FROM conversations", "involves", 0.8))
+def shared_email_edges(t):
+    rows = t("conversations").select(F.concat("role", F.lit("@x.org")).alias("email"), (F.col("conv_id") * 1000 + F.col("turn")).alias("node"))
+    return graph.shared_edges(rows, "email", "node", "involves", 0.8)
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang || ',new' ELSE lang END AS traits, CASE WHEN doc_id % 2 = 0 THEN source || ',k' ELSE source END AS keywords FROM documents""")
+def concept_merge(t):
+    rows = t("documents").select(F.col("doc_id").alias("id"), F.array("lang").alias("traits"), F.array("source").alias("keywords"))
+    found = rows.filter("id % 2 = 0").select("id", F.array(F.get("traits", F.lit(0)), F.lit("new")).alias("traits"), F.array(F.lit("k"), F.get("keywords", F.lit(0))).alias("keywords"))
+    merged = graph.merge_concepts(rows, found)
+    return merged.select("id", F.array_join("traits", ",").alias("traits"), F.array_join("keywords", ",").alias("keywords"))

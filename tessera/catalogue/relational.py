@@ -124,15 +124,8 @@ def pricing_summary(t):
     return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-@query("""SELECT o_orderkey AS id, 1 AS version, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at FROM orders WHERE o_orderkey <= 100""")
-def history_versions(t):
-    rows = t("orders").filter("o_orderkey <= 100").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"), F.lit("completed").alias("processing_status"))
-    return api.history(rows).select("id", F.explode("versions").alias("v")).select("id", "v.version", "v.created_at")
-
-
 @query("""SELECT o_orderkey AS id, 1 AS version, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at FROM orders""")
-def history_versions_whole(t):
-    """As history_versions, of all orders."""
+def history_versions(t):
     rows = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"), F.lit("completed").alias("processing_status"))
     return api.history(rows).select("id", F.explode("versions").alias("v")).select("id", "v.version", "v.created_at")
 
@@ -167,11 +160,11 @@ def since_watermark(t):
     return since(events, "ts", state).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT conv_id, turn, i AS word_index, w AS word FROM (SELECT conv_id, turn, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations WHERE turn = 0))""")
+@query("""SELECT conv_id, turn, i AS word_index, w AS word FROM (SELECT conv_id, turn, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations))""")
 def array_positions(t):
     from tessera.sources.sinks import positions
 
-    rows = t("conversations").filter("turn = 0").select("conv_id", "turn", F.split("text", " ").alias("ws"))
+    rows = t("conversations").select("conv_id", "turn", F.split("text", " ").alias("ws"))
     return positions(rows, "ws", "word_index", "word").withColumn("word_index", F.col("word_index").cast("long"))
 
 
@@ -183,9 +176,9 @@ def lineage_by_job(t):
     return sinks.lineage_counts(events)
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey = 5 THEN 'failed' ELSE 'pending' END AS processing_status, CASE WHEN o_orderkey = 5 THEN 'bad' END AS error_message FROM orders WHERE o_orderkey < 50""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey = 5 THEN 'failed' ELSE 'pending' END AS processing_status, CASE WHEN o_orderkey = 5 THEN 'bad' END AS error_message FROM orders""")
 def status_update(t):
     from tessera.sources import sinks
 
-    rows = t("orders").filter("o_orderkey < 50").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("pending").alias("processing_status"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("timestamp").alias("processed_at"))
+    rows = t("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("pending").alias("processing_status"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("timestamp").alias("processed_at"))
     return sinks.set_status(rows, "id", "5", "failed", "bad", "2024-01-01 00:00:00").drop("processed_at")

@@ -52,20 +52,10 @@ def hybrid_fusion(t):
     return search.hybrid(v, k, "id", 10).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id")
 
 
-@query("""WITH h AS (SELECT conv_id AS id, turn AS seq, CASE role WHEN 'user' THEN 'event' WHEN 'assistant' THEN 'communication' ELSE 'document' END AS type, substr(text, 1, 30) AS summary FROM conversations WHERE conv_id < 30),
-f AS (SELECT id, arg_min(type, seq) AS type, arg_min(summary, seq) AS name, min(seq) AS seq FROM h GROUP BY id)
-SELECT id, type, name FROM f ORDER BY CASE type WHEN 'event' THEN 0 WHEN 'document' THEN 1 WHEN 'communication' THEN 2 ELSE 9 END, seq * 100000 + id LIMIT 10""")
-def source_ranking(t):
-    kind = F.when(F.col("role") == "user", "event").when(F.col("role") == "assistant", "communication").otherwise("document")
-    rows = t("conversations").filter("conv_id < 30").select((F.col("turn") * 100000 + F.col("conv_id")).alias("seq"), F.col("conv_id").alias("id"), kind.alias("type"), F.lit("").alias("name"), F.substring("text", 1, 30).alias("summary"), F.lit("").alias("content"))
-    return search.sources(rows).select("id", "type", "name")
-
-
 @query("""WITH h AS (SELECT conv_id AS id, turn AS seq, CASE role WHEN 'user' THEN 'event' WHEN 'assistant' THEN 'communication' ELSE 'document' END AS type, substr(text, 1, 30) AS summary FROM conversations),
 f AS (SELECT id, arg_min(type, seq) AS type, arg_min(summary, seq) AS name, min(seq) AS seq FROM h GROUP BY id)
 SELECT id, type, name FROM f ORDER BY CASE type WHEN 'event' THEN 0 WHEN 'document' THEN 1 WHEN 'communication' THEN 2 ELSE 9 END, seq * 10000000000 + id LIMIT 10""")
-def source_ranking_whole(t):
-    """As source_ranking, of all conversations."""
+def source_ranking(t):
     kind = F.when(F.col("role") == "user", "event").when(F.col("role") == "assistant", "communication").otherwise("document")
     rows = t("conversations").select((F.col("turn") * 10000000000 + F.col("conv_id")).alias("seq"), F.col("conv_id").alias("id"), kind.alias("type"), F.lit("").alias("name"), F.substring("text", 1, 30).alias("summary"), F.lit("").alias("content"))
     return search.sources(rows).select("id", "type", "name")
@@ -77,14 +67,8 @@ def recent_window_context(t):
     return search.upcoming(rows, "1996-01-10 00:00:00").select("id", "o_totalprice")
 
 
-@query("""SELECT round(count(DISTINCT label) / greatest(count(*), 1), 6) AS diversity FROM embeddings WHERE vec_id < 50""")
-def retrieval_diversity(t):
-    return search.diversity(t("embeddings").filter("vec_id < 50"), "label").withColumn("diversity", F.round("diversity", 6))
-
-
 @query("""SELECT round(count(DISTINCT label) / greatest(count(*), 1), 6) AS diversity FROM embeddings""")
-def retrieval_diversity_whole(t):
-    """As retrieval_diversity, of all vectors."""
+def retrieval_diversity(t):
     return search.diversity(t("embeddings"), "label").withColumn("diversity", F.round("diversity", 6))
 
 
@@ -98,7 +82,14 @@ def attribution_score(t):
     return both.select("conv_id", enrich.attribution_score(F.col("resp"), F.array("src")).alias("attribution"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS src, max(CASE WHEN turn = 1 THEN text END) AS resp FROM conversations GROUP BY conv_id),
+w AS (SELECT conv_id, src, lower(resp) AS r, list_filter(list_distinct(list_filter(regexp_split_to_array(lower(resp), '\s+'), lambda x: x <> '')), lambda x: NOT list_contains(['the','a','an','is','are','was','were','in','on','at','to','for','of','with','by','and','or','but','not'], x)) AS c,
+list_filter(regexp_split_to_array(lower(src), '\s+'), lambda x: x <> '') AS q,
+list_distinct(list_transform(regexp_extract_all(regexp_replace(resp, '([\p{L}\p{M}\p{N}\p{Pc}]+)', '<\1>', 'g'), '<[A-Z][a-z]+>(?:[\t-\r\x{85}\p{Z}]+<[A-Z][a-z]+>)*'), lambda x: translate(x, '<>', ''))) AS p FROM s WHERE resp IS NOT NULL),
+x AS (SELECT conv_id, CASE WHEN len(c) = 0 THEN 0.5 ELSE round(1 - len(list_filter(c, lambda x: list_contains(q, x))) / len(c), 6) END AS a,
+CASE WHEN len(p) = 0 THEN 0.0 ELSE round(len(list_filter(p, lambda x: NOT contains(lower(src), lower(x)))) / len(p), 6) END AS g,
+least((CAST(regexp_matches(r, 'however|but|actually|contrary to|unlike') AS INT) + CAST(regexp_matches(r, 'no|not|never|none') AS INT) + 2 * CAST(contains(r, ' is not ') AND len(list_filter(string_split(r, ' is not '), lambda x: contains(lower(src), x))) > 0 AS INT)) / 5, 1.0) AS k FROM w)
+SELECT conv_id, a AS attribution, g AS entity_grounding, k AS contradiction, round(a * 0.4 + g * 0.3 + k * 0.3, 4) AS overall, round(a * 0.4 + g * 0.3 + k * 0.3, 4) > 0.5 AS flagged FROM x""")
 def response_scores(t):
     c = t("conversations")
     both = c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("src"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("resp")).filter("resp is not null")

@@ -10,6 +10,59 @@ from tessera.operators import chunk, dedup, schedule
 
 WORD = r"[\p{L}\p{N}\p{M}_]"
 _CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+#: White space of any kind, as RE2 writes it.
+_SPACE = r"[\t-\r\x{85}\p{Z}]"
+
+
+def _all(c: str, *pairs: tuple[str, str]) -> str:
+    """Replacements one after the other, as SQL."""
+    for pattern, by in pairs:
+        c = f"regexp_replace({c}, '{pattern}', {by if by.startswith(chr(99) + 'hr(') else chr(39) + by + chr(39)}, 'g')"
+    return c
+
+
+def _strip(c: str) -> str:
+    return _all(c, (f"^{_SPACE}+|{_SPACE}+$", ""))
+
+
+def _punctuation(c: str, signs: str) -> str:
+    """One space behind signs and none before: RE2 looks neither ahead nor behind, so signs that a digit
+    touches are hidden first, and the one blank that stays next to a digit is fenced off."""
+    hidden = [(s, chr(0xE000 + i)) for i, s in enumerate(signs)]
+    for s, h in hidden:
+        c = _all(c, (f"([0-9])[{s}]", f"\\1{h}"), (f"[{s}]([0-9])", f"{h}\\1"))
+    some = f"([{signs}])"
+    c = _all(c, (f"([0-9]{_SPACE}){_SPACE}*{some}", "\\1\uE100\\2"), (f"{_SPACE}+{some}", "\\1"), (some, "\\1\uE101"))
+    c = _all(c, (f"\uE101{_SPACE}*({_SPACE}[0-9])", " \\1"), (f"\uE101{_SPACE}*", " "), ("\uE100", ""))
+    for s, h in hidden:
+        c = _all(c, (h, s))
+    return c
+
+
+def _clean(c: str) -> str:
+    """Entity-table cleaning of a text without numeric references."""
+    c = _all(c, ("<[^>]+>", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&[a-zA-Z]+;", " "))
+    c = _all(f"nfc_normalize({c})", ("\\r\\n", "chr(10)"), ("\\r", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)"), (_CONTROL, ""), (r"[{}\[\]]", ""))
+    c = _punctuation(_punctuation(c, ".,!?;"), ":")
+    return _strip(_all(c, ("[ \\t]+", " "), ("\\n ", "chr(10)"), (" \\n", "chr(10)")))
+
+
+def _clean_mail(c: str) -> str:
+    marks = "[\uFEFF\u200B\u200C\u200D]"
+    c = _all(c, (marks, ""), ("\\r\\n", "chr(10)"), ("\\r", "chr(10)"), (_CONTROL, ""), ("&[#a-zA-Z0-9]+;", " "), ("\\n{3,}", "chr(10) || chr(10)"))
+    lines = f"list_transform(string_split({c}, chr(10)), lambda x: {_all(_strip('x'), ('[ \\t]+', ' '))})"
+    return _strip(f"array_to_string(list_filter({lines}, lambda x: NOT regexp_matches(x, '^[\\t-\\r\\x{{85}}\\p{{Z}}\\-_=*#]{{3,}}$')), chr(10))")
+
+
+def _numbers(c: str) -> str:
+    """Dates with dashes; commas before three digits go: two rounds over fenced digits find all."""
+    c = _all(c, ("([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{2,4})", "\\1-\\2-\\3"))
+    return _all(c, *[("([0-9]),([0-9]{3})", "\\1\uE102\\2")] * 2, ("\uE102", ""))
+
+
+def _normal(c: str) -> str:
+    c = f"translate(translate(nfc_normalize({c}), '０１２３４５６７８９', '0123456789'), '–—‘’“”•‣◦⁃', '--''''\"\"****')"
+    return _strip(_all(c, (f"{_SPACE}+([.,;:!?])", "\\1"), ("([.,;:!?])([A-Za-z0-9À-ɏ])", "\\1 \\2"), ("[ \\t]+", " ")))
 
 
 @query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -24,7 +77,8 @@ def html_strip_basic(t):
     return t("pages").select("page_id", F.md5(text.whitespace(text.remove_html(F.col("html"), numeric=False))).alias("stripped"))
 
 
-@query()
+@query(f"""SELECT page_id, sha256(c) AS digest, length(html) AS original_length, length(c) AS cleaned_length, length(html) - length(c) AS chars_removed, round((length(html) - length(c)) / greatest(length(html), 1) * 100, 2) AS reduction_pct
+FROM (SELECT page_id, html, {_clean("html")} AS c FROM pages)""", longs=("original_length", "cleaned_length", "chars_removed"))
 def clean_pages(t):
     c = text.clean(F.col("html"))
     return t("pages").select("page_id", F.sha2(c, 256).alias("digest"), text.clean_statistics(F.col("html"), c).alias("s")).select("page_id", "digest", "s.*")
@@ -108,7 +162,9 @@ def readability(t):
     return t("documents").select("doc_id", enrich.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
-@query()
+@query(f"""WITH c AS (SELECT doc_id, text, {_clean_mail("text")} AS c FROM documents), n AS (SELECT *, {_normal("c")} AS n FROM c)
+SELECT doc_id, sha256(c) AS cleaned, sha256({_numbers("n")}) AS normalized, array_to_string(list_filter([CASE WHEN text <> c AND length(text) <> length(c) THEN 'removed_control_chars' END,
+CASE WHEN text <> c AND contains(text, chr(13) || chr(10)) THEN 'normalized_line_endings' END, CASE WHEN text <> c AND regexp_matches(text, '&[#a-zA-Z0-9]+;') THEN 'removed_html_entities' END], lambda x: x IS NOT NULL), ',') AS ops FROM n""")
 def mail_text_pipeline(t):
     c = text.clean_mail_text(F.col("text"))
     n = text.normalize_numbers(text.normalize(c))
@@ -122,21 +178,32 @@ def chunk_fixed_windows(t):
     return rows.select(F.col("parent_id").alias("doc_id"), F.col("chunk_index").cast("long"), F.md5("content").alias("content"), "chunk_count")
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip("x")}), lambda x: x <> '') AS ls FROM documents),
+r AS (SELECT doc_id, list_reduce(list_transform(ls, lambda x: {{'d': []::VARCHAR[], 'n': x}}), lambda a, p: CASE WHEN length(a.n) + length(p.n) + 1 > 500 AND a.n <> ''
+THEN {{'d': list_append(a.d, {_strip("a.n")}), 'n': CASE WHEN length(a.n) > 50 THEN right(a.n, 50) || chr(10) || p.n ELSE p.n END}} ELSE {{'d': a.d, 'n': {_strip("a.n || chr(10) || p.n")}}} END, {{'d': []::VARCHAR[], 'n': ''}}) AS r FROM l),
+c AS (SELECT doc_id, CASE WHEN r.n <> '' THEN list_append(r.d, {_strip("r.n")}) ELSE r.d END AS cs FROM r)
+SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_index, len(cs) AS chunk_count, md5(unnest(cs)) AS content FROM c""", longs=("chunk_index", "chunk_count"))
 def chunk_paragraphs(t):
     rows = chunk.rows(t("documents"), chunk.paragraphs(F.col("text")), "doc_id")
     return rows.select(F.col("parent_id").alias("doc_id"), "chunk_index", "chunk_count", F.md5("content").alias("content"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, text AS c, list_filter([chr(10) || chr(10), chr(10), '. ', '! ', '? ', ', ', ' '], lambda x: contains(text, x))[1] AS sep FROM documents),
+r AS (SELECT doc_id, c, sep, list_reduce(list_transform(string_split(c, sep), lambda x: {{'d': []::VARCHAR[], 'n': x}}), lambda a, p: CASE WHEN length(a.n) + length(p.n) + length(sep) <= 500
+THEN {{'d': a.d, 'n': a.n || CASE WHEN a.n <> '' THEN sep ELSE '' END || p.n}} WHEN a.n = '' THEN {{'d': a.d, 'n': p.n}} ELSE {{'d': list_append(a.d, {_strip("a.n")}), 'n': right(a.n, 50) || sep || p.n}} END, {{'d': []::VARCHAR[], 'n': ''}}) AS r FROM s),
+p AS (SELECT doc_id, CASE WHEN length(c) <= 500 THEN [c] WHEN sep IS NULL THEN list_transform(range(0, CAST(floor((length(c) - 1) / 450) + 1 AS INT)), lambda i: substr(c, CAST(i * 450 + 1 AS INT), 500)) WHEN r.n <> '' THEN list_append(r.d, {_strip("r.n")}) ELSE r.d END AS cs FROM r)
+SELECT doc_id, chunk_index, chunk_count, md5(content) AS content FROM (SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_index, len(cs) AS chunk_count, unnest(cs) AS content FROM p) WHERE length(content) >= 10""", longs=("chunk_index", "chunk_count"))
 def chunk_recursive(t):
     rows = chunk.rows(t("documents"), chunk.separated(F.col("text")), "doc_id", least=10)
     return rows.select(F.col("parent_id").alias("doc_id"), "chunk_index", "chunk_count", F.md5("content").alias("content"))
 
 
-@query("""SELECT doc_id AS parent_id, true AS contiguous FROM documents""")
+@query("""SELECT doc_id AS parent_id, NOT (doc_id % 3 = 0 AND n > 2) AND doc_id % 5 <> 1 AS contiguous FROM (SELECT doc_id, CASE WHEN length(text) <= 500 THEN 1 ELSE CAST(floor((length(text) - 1) / 450) + 1 AS INT) END AS n FROM documents)""")
 def chunk_contiguity(t):
-    return chunk.contiguous(chunk.rows(t("documents"), chunk.windows(F.col("text")), "doc_id"))
+    """Chunks of a third of the documents lack the second one, those of a fifth have the first one twice."""
+    rows = chunk.rows(t("documents"), chunk.windows(F.col("text")), "doc_id")
+    rows = rows.filter("not (parent_id % 3 = 0 and chunk_index = 1)")
+    return chunk.contiguous(rows.unionByName(rows.filter("parent_id % 5 = 1 and chunk_index = 0")))
 
 
 #: What stands before each text: listed dates, a weekday with an impossible and a late time, a plain date.
@@ -166,9 +233,11 @@ def schedule_extract(t):
     return found.select("document_id", F.md5("name").alias("name"), F.date_format("effective_start", "yyyy-MM-dd HH:mm").alias("start"), "status", "line_number", "duration_minutes")
 
 
-@query("""SELECT c_custkey, c_name AS name, lower(replace(c_name, '#', '')) || '@x.org' AS email FROM customer""")
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN '' WHEN 3 THEN c_name || ' ' ELSE c_name END AS name, CASE c_custkey % 4 WHEN 2 THEN '' ELSE lower(replace(c_name, '#', '')) || '@x.org' END AS email FROM customer""")
 def sender_parse(t):
-    raw = F.concat(F.lit('"'), "c_name", F.lit('" <'), F.replace("c_name", F.lit("#"), F.lit("")), F.lit("@X.org>"))
+    address = F.concat(F.replace("c_name", F.lit("#"), F.lit("")), F.lit("@X.org"))
+    forms = F.array(F.concat(F.lit('"'), "c_name", F.lit('" <'), address, F.lit(">")), address, F.col("c_name"), F.concat("c_name", F.lit(" ("), address, F.lit(")")))
+    raw = F.get(forms, (F.col("c_custkey") % 4).cast("int"))
     return t("customer").select("c_custkey", text.clean_sender(raw).alias("s")).select("c_custkey", "s.name", "s.email")
 
 
@@ -180,10 +249,11 @@ def file_names(t):
     return t("part").select("p_partkey", text.file_category(name).alias("category"), text.media_type(name).alias("mime"), text.normalize_filename(name).alias("normalized"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+07:00' AS received FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN 'some day' WHEN 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE o_orderkey % 5 WHEN 0 THEN '+07:00' WHEN 1 THEN '+00:00' ELSE '-05:30' END END AS received FROM orders""")
 def mail_dates(t):
-    raw = F.concat(F.date_format("o_orderdate", "d MMM yyyy HH:mm:ss"), F.lit(" +0700"))
-    return t("orders").select("o_orderkey", text.clean_date(F.concat(F.lit("Mon, "), raw)).alias("received"))
+    day = F.date_format("o_orderdate", "d MMM yyyy HH:mm:ss")
+    forms = F.array(F.concat(F.lit("Mon, "), day, F.lit(" +0700")), F.concat(day, F.lit(" GMT")), F.concat(F.lit("Tue, "), day, F.lit(" -0530 (XYZ)")), F.lit("some day"), F.lit(""))
+    return t("orders").select("o_orderkey", text.clean_date(F.get(forms, (F.col("o_orderkey") % 5).cast("int"))).alias("received"))
 
 
 @query("""SELECT conv_id, turn, trim(regexp_replace(replace(text, chr(10), ' '), '\\s+', ' ', 'g')) AS subject FROM conversations""")
@@ -191,15 +261,75 @@ def subject_clean(t):
     return t("conversations").select("conv_id", "turn", text.clean_subject(F.col("text")).alias("subject"))
 
 
-@query("""SELECT doc_id, md5(replace(replace(replace(text, '&', '*'), chr(10), '-'), '%', '1,234')) AS before, md5(replace(replace(replace(text, '&', '*'), chr(10), '-'), '%', '1234')) AS numbers FROM documents WHERE NOT regexp_matches(text, '[0-9]')""")
+@query(f"""SELECT doc_id, md5(text) AS before, md5({_numbers("text || ' 01/06/2026 1,234,567 1,23,4567 1.2.26'")}) AS numbers FROM documents""")
 def number_normalize(t):
-    c = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("*")), F.lit("\n"), F.lit("-")), F.lit("%"), F.lit("1,234"))
-    return t("documents").filter(~F.col("text").rlike("[0-9]")).select("doc_id", F.md5(c).alias("before"), F.md5(text.normalize_numbers(c)).alias("numbers"))
+    c = F.concat("text", F.lit(" 01/06/2026 1,234,567 1,23,4567 1.2.26"))
+    return t("documents").select("doc_id", F.md5("text").alias("before"), F.md5(text.normalize_numbers(c)).alias("numbers"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'email_id is empty' ELSE '' END AS errors, CASE WHEN doc_id % 5 = 0 THEN 'sender is empty' ELSE '' END AS warnings FROM documents""")
+@query("""SELECT doc_id, length(text) >= 100 AND doc_id % 7 <> 0 AS valid, concat_ws(';', CASE WHEN doc_id % 7 = 0 THEN 'email_id is empty' END, CASE WHEN length(text) < 100 THEN 'attachment ' || doc_id || ': filename is empty' END) AS errors,
+concat_ws(';', CASE WHEN lang <> 'en' THEN 'subject is empty' END, CASE WHEN doc_id % 5 = 0 THEN 'sender is empty' END, CASE WHEN length(text) <= 1000 THEN 'attachment ' || doc_id || ': size is 0 or negative' END, 'attachment None: size is 0 or negative') AS warnings FROM documents""")
 def metadata_validation(t):
+    """Two attachments each: one is as large as the text is beyond 1000 characters, and has a name if that has 100;
+    the other has no id and no size."""
     key = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("doc_id").cast("string"))
-    none = F.array().cast("array<struct<id:string,filename:string,size:bigint>>")
-    v = enrich.metadata_validation(key, F.col("source"), F.when(F.col("doc_id") % 5 != 0, "x"), none)
-    return t("documents").select("doc_id", v.alias("v")).select("doc_id", F.array_join("v.errors", ";").alias("errors"), F.array_join("v.warnings", ";").alias("warnings"))
+    one = F.struct(F.col("doc_id").cast("string").alias("id"), F.when(F.length("text") >= 100, F.lit("a.pdf")).alias("filename"), (F.length("text") - 1000).cast("long").alias("size"))
+    other = F.struct(F.lit(None).cast("string").alias("id"), F.lit("b.pdf").alias("filename"), F.lit(None).cast("long").alias("size"))
+    v = enrich.metadata_validation(key, F.when(F.col("lang") == "en", F.col("source")), F.when(F.col("doc_id") % 5 != 0, "x"), F.array(one, other))
+    return t("documents").select("doc_id", v.alias("v")).select("doc_id", "v.valid", F.array_join("v.errors", ";").alias("errors"), F.array_join("v.warnings", ";").alias("warnings"))
+
+
+def _found_sql(pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all(text, '{pattern}', {group})"
+
+
+def _dates_sql() -> str:
+    """The patterns of dates in RE2, whose white space is ASCII unless it is written out."""
+    every = ", ".join(_found_sql(p.replace("(?iu)", "(?i)").replace(r"\s", _SPACE)) for p in fixed.DATE_PATTERNS)
+    return f"list_sort(list_distinct(flatten([{every}])))[1:20]"
+
+
+@query(f"""SELECT doc_id, array_to_string({_dates_sql()}, ';') AS dates FROM documents""")
+def detected_dates(t):
+    return t("documents").select("doc_id", F.array_join(enrich.dates(F.col("text")), ";").alias("dates"))
+
+
+@query(r"""SELECT DISTINCT doc_id, 'file_type:' || u AS trait FROM (SELECT doc_id, unnest(regexp_extract_all(text || ' notes.md data/v1.csv ä.py x.pyc ' || source || '.json', '[\p{L}\p{M}\p{N}\p{Pc}\-]+\.(py|js|ts|java|go|rs|yaml|yml|json|xml|md|txt|csv|docx|pdf|xlsx)(?:[^\p{L}\p{M}\p{N}\p{Pc}]|$)', 1)) AS u FROM documents)""")
+def file_references(t):
+    c = F.concat("text", F.lit(" notes.md data/v1.csv ä.py x.pyc "), "source", F.lit(".json"))
+    return t("documents").select("doc_id", F.explode(enrich.file_references(c)).alias("trait"))
+
+
+@query(r"""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN '2026-06-30 08:30:05' WHEN 1 THEN '2026-06-30 01:30:05' WHEN 2 THEN '2026-06-30 08:30:05' WHEN 3 THEN '2026-06-30 08:30:05' WHEN 4 THEN '2026-06-30 00:00:00' WHEN 5 THEN '2026-06-30 04:42:32' END AS parsed FROM part""")
+def parse_times(t):
+    forms = ("2026-06-30T08:30:05Z", "2026-06-30T08:30:05+07:00", "2026-06-30T08:30:05.123456+0000", "2026-06-30T08:30:05", "2026-06-30", "Tue, 30 Jun 2026 11:42:32 +0700", "June 30")
+    c = F.get(F.array(*map(F.lit, forms)), (F.col("p_partkey") % 7).cast("int"))
+    return t("part").select("p_partkey", F.date_format(text.parse_time(c), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+@query(f"""SELECT doc_id, md5({_punctuation(_punctuation(_all("text", (r"[{}\[\]]", "")), ".,!?;"), ":")}) AS signs, md5(nfc_normalize(text)) AS composed FROM documents""")
+def punctuation_and_nfc(t):
+    return t("documents").select("doc_id", F.md5(text.punctuation(F.col("text"))).alias("signs"), F.md5(text.nfc(F.col("text"))).alias("composed"))
+
+
+@query("""SELECT doc_id, lang || '!' || source || '?' AS normalized FROM documents""")
+def normalizer_hook(t):
+    """Registered steps run after the others, in their order."""
+    steps = [text.register_normalizer(lambda c: F.concat(c, F.lit("!"), F.col("source"))), text.register_normalizer(lambda c: F.concat(c, F.lit("?")))]
+    try:
+        c = text.normalized(F.col("lang"))
+    finally:
+        for step in steps:
+            text.NORMALIZERS.remove(step)
+    return t("documents").select("doc_id", c.alias("normalized"))
+
+
+@query("""SELECT doc_id, 'length:' || CAST(length(text) // 1000 AS VARCHAR) AS trait FROM documents""")
+def extractor_hook(t):
+    """A registered extractor's traits are among those of the concepts."""
+    extra = enrich.register_extractor(lambda content, name: F.array(F.concat(F.lit("length:"), F.floor(F.length(content) / 1000).cast("string"))))
+    try:
+        c = enrich.concepts(F.col("text"), F.col("source"))
+    finally:
+        enrich.EXTRACTORS.remove(extra)
+    return t("documents").select("doc_id", F.explode(F.filter(c["traits"], lambda x: x.startswith("length:"))).alias("trait"))
