@@ -13,8 +13,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import shared
 from tessera.llm.pieces import SPACE, classes, code_points
@@ -23,6 +25,8 @@ from tessera.llm.pieces import SPACE, classes, code_points
 LENGTH, PAD = 6, "\x02"
 #: Bytes of the table up to which it is sent to the executors; a larger one is joined.
 SENT_BYTES = 96 << 20
+#: Characters of text that ask for their n-grams together where the table is larger.
+BUCKET_BYTES = 16 << 20
 DISCOUNT = 0.75
 #: Symbols of segments: a text is judged by its most toxic segments of both sizes and on the whole.
 SEGMENTS = (64, 24)
@@ -206,8 +210,8 @@ _X = ("__a", "__b", "__c")
 def featured(rows: DataFrame, table: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``rows`` (the last column is __text) with the features of each text instead of it.
 
-    A keyed table of up to ``sent_bytes`` (counted first) is sent to the executors; a larger one is
-    joined with the n-grams of all texts.
+    A keyed table of up to ``sent_bytes`` (counted first) is sent to the executors; a larger one meets
+    the distinct n-grams of buckets of texts.
     """
     names = rows.columns[:-1]
     schema = shared.with_results(rows, "__a double, __b double, __c double")
@@ -226,35 +230,60 @@ def featured(rows: DataFrame, table: DataFrame, sent_bytes: int = SENT_BYTES) ->
 
         return shared.mapped(rows, run, schema)
 
-    rows = shared.written(rows.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    return _bucketed(rows, table, schema)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bucketed(rows: DataFrame, table: DataFrame, schema: T.StructType) -> DataFrame:
+    """As :func:`featured`, with a table of any size. Texts are dealt into buckets of BUCKET_BYTES as they
+    stand. Every distinct n-gram is resolved once against the table, a bucket asks for the distinct ones it
+    has, and both meet: about a row for each distinct n-gram of a bucket is shuffled, not for each place."""
+    names = rows.columns[:-1]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total = TaskContext.get().partitionId() << 32, 0
         for batch, texts in shared.bounded(batches, "__text"):
-            s, place, n = grams(texts)
-            row = np.repeat(batch.column(0).to_numpy(), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            for i in range(0, len(row), 1 << 16):
-                cut = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(texts), first + total // BUCKET_BYTES))], names=[*batch.schema.names, "bucket"])
+            total += sum(map(len, texts))
+
+    texts = shared.written(shared.mapped(rows, dealt, T.StructType([*rows.schema.fields, T.StructField("bucket", T.LongType())])), "texts")
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in shared.bounded(batches, "__text"):
+            s, at, n = grams(found)
+            both = np.stack([np.repeat(batch.column(0).to_numpy(), n), keys_at(s, at, LENGTH)[0].view(np.int64)], 1)
+            both = np.unique(both, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["bucket", "gram"])
+
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in shared.bounded(batches, "__text"):
+            s, at, _ = grams(found)
+            gram, first = np.unique(keys_at(s, at, LENGTH)[0], return_index=True)
+            for i in range(0, len(gram), 1 << 16):
                 for k in range(LENGTH, 0, -1):
-                    key, context = keys_at(s, place[cut], k)
-                    columns = [pa.array(row[cut]), pa.array(at[cut]), pa.array(np.full(len(key), k)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["__row", "at", "k", "key", "context"])
+                    key, context = keys_at(s, at[first[i : i + (1 << 16)]], k)
+                    columns = [gram[i : i + (1 << 16)].view(np.int64), np.full(len(key), k), key.view(np.int64), context.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "k", "key", "context"])
 
-    each = shared.mapped(rows.select("__row", "__text"), spread, "__row long, at long, k long, key long, context long")
+    each = shared.mapped(texts.select("__text"), orders, "gram long, k long, key long, context long").dropDuplicates(["gram", "k"])
     each = each.join(table, "key", "left").join(table.select(F.col("key").alias("context"), F.col("ratio").alias("other")), "context", "left")
-    orders = each.groupBy("__row", "at").agg(F.sort_array(F.collect_list(F.struct("k", "ratio", "other")), asc=False).alias("l"))
+    listed = each.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", "ratio", "other")), asc=False).alias("l"))
     start = F.struct(F.lit(False).alias("done"), F.lit(0.0).alias("r"))
     step = lambda a, x: F.when(a["done"], a).otherwise(F.struct(x["ratio"].isNotNull().alias("done"), (a["r"] + F.coalesce(x["ratio"], x["other"], F.lit(0.0))).alias("r")))
-    orders = orders.select("__row", "at", F.aggregate("l", start, step)["r"].alias("r"))
-    lists = orders.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("at", "r"))).alias("l")).select("__row", F.col("l.r").alias("__r"))
+    resolved = listed.select("gram", F.aggregate("l", start, step)["r"].alias("r"))
+    wanted = shared.mapped(texts.select("bucket", "__text"), asked, "bucket long, gram long").distinct().join(resolved, "gram").select("bucket", "gram", "r")
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [r or [] for r in batch.column(batch.num_columns - 1).to_pylist()]
-            x = features(np.array([v for r in lists for v in r], np.float32), np.array([len(r) for r in lists], np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in x.T)], names=[*names, *_X])
-
-    return shared.mapped(rows.join(lists, "__row", "left").select(*names, "__r"), summed, schema)
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, ratio = right.column("gram").to_numpy().view(np.uint64), right.column("r").to_numpy().astype(np.float32)
+        order = np.argsort(key, kind="stable")
+        lookup, out = Lookup(key[order], ratio[order]), []
+        for batch, found in shared.bounded(iter(left.combine_chunks().to_batches()), "__text"):
+            s, at, n = grams(found)
+            x = features(lookup.find(keys_at(s, at, LENGTH)[0]), n)
+            out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c) for c in x.T)], names=[*names, *_X]))
+        kinds = [pa.field(c, left.schema.field(c).type) for c in names] + [pa.field(c, pa.float64()) for c in _X]
+        return pa.Table.from_batches(out, schema=out[0].schema if out else pa.schema(kinds))
+
+    return texts.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(met, schema)
 
 
 class Model:
