@@ -107,11 +107,15 @@ def retrieval_quality(t):
     return search.retrieval_quality(hits, e.filter("id % 3 = 0")).select("query", "precision", "recall", "mrr")
 
 
-@query()
+@query("""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS name, substr(text, 1, 80) AS summary, text, doc_id % 4 AS importance FROM documents),
+i AS (SELECT '  name: ' || name || ' | summary: ' || summary || ' | importance: ' || importance AS l, row_number() OVER (ORDER BY importance DESC, id) AS r FROM n WHERE importance >= 2),
+k AS (SELECT '  name: ' || name || ' | type: document | summary: ' || summary || ' | importance: ' || importance AS l, row_number() OVER (ORDER BY importance DESC, id) AS r FROM n WHERE text ILIKE '%worthless%' OR text ILIKE '%idiot%')
+SELECT 'documents' AS part, md5('=== IMPORTANT DOCUMENTS ===' || chr(10) || string_agg(l, chr(10) ORDER BY r)) AS section FROM i WHERE r <= 10 HAVING count(*) > 0
+UNION ALL SELECT 'search_results', md5('=== SEARCH RESULTS ===' || chr(10) || string_agg(l, chr(10) ORDER BY r)) FROM k WHERE r <= 10 HAVING count(*) > 0""")
 def retrieval_context(t):
-    """Sections for a question, from orders and documents as nodes."""
-    docs = t("documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("document").alias("type"), F.lit("note").alias("subtype"), F.col("source").alias("name"), F.substring("text", 1, 80).alias("summary"), F.col("text").alias("content"), F.lit(2).alias("importance"), F.lit(None).cast("timestamp").alias("effective_start"), F.lit(None).cast("timestamp").alias("effective_end"), F.lit(None).cast("timestamp").alias("updated_at"))
-    return api.prompt_sections(api.retrieve(docs, "worthless idiot", "2024-01-15 00:00:00")).select("part", F.length("section").alias("chars"))
+    """Sections for a question, from documents as nodes."""
+    docs = t("documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("document").alias("type"), F.lit("note").alias("subtype"), F.col("source").alias("name"), F.substring("text", 1, 80).alias("summary"), F.col("text").alias("content"), (F.col("doc_id") % 4).cast("int").alias("importance"), F.lit(None).cast("timestamp").alias("effective_start"), F.lit(None).cast("timestamp").alias("effective_end"), F.lit(None).cast("timestamp").alias("updated_at"))
+    return api.prompt_sections(api.retrieve(docs, "worthless idiot", "2024-01-15 00:00:00")).select("part", F.md5("section").alias("section"))
 
 
 @query("""SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.catalogue.registry import query, sql_list
@@ -126,7 +128,15 @@ def entity_emails(t):
     return t("documents").select("doc_id", F.explode(enrich.entities(F.col("text"), "email")).alias("email"))
 
 
-@query()
+def _entities_sql() -> str:
+    counts = []
+    for kind, (pattern, group) in fixed.ENTITY_PATTERNS.items():
+        plain = re.sub(r"\\([^\x00-\x7f])", r"\1", pattern)  # RE2 takes no escapes of letters beyond ASCII
+        counts.append(f"least(len(list_distinct(list_transform(regexp_extract_all(text, '{plain}', {group}), lambda x: coalesce(x, '')))), 20) AS {kind}")
+    return f"SELECT doc_id, {', '.join(counts)} FROM documents"
+
+
+@query(_entities_sql(), longs=tuple(fixed.ENTITY_PATTERNS))
 def entity_counts(t):
     cols = [F.size(enrich.entities(F.col("text"), k)).alias(k) for k in fixed.ENTITY_PATTERNS]
     return t("documents").select("doc_id", *cols)
