@@ -22,8 +22,14 @@ PARTS = {
 TAGS = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"], "ad": ["div", "aside", "ins"], "notice": ["div", "section", "aside"], "comments": ["section", "div", "ol"], "form": ["form", "form", "div"], "share": ["div", "ul"]}
 
 
+#: Layouts of pages: nested blocks, rows and cells of tables, a short article among forms and comments, and
+#: blocks without any names. The first is the commonest.
+LAYOUTS = ("blocks", "table", "short", "plain")
+
+
 class Grammar:
     def __init__(self, seed: int):
+        self.unnamed = False  # a page without classes and ids
         self.r = random.Random(seed)
         self.expected: list[str] = []
         self.plain = False  # a page whose sentences don't end in signs
@@ -39,7 +45,7 @@ class Grammar:
 
     def names(self, choices: list[str]) -> str:
         name = self.r.choice(choices)
-        if not name or self.r.random() < 0.25:
+        if not name or self.unnamed or self.r.random() < 0.25:
             return ""
         way = self.r.choice(["class", "class", "id"])
         return f' {way}="{name if way == "class" else name.replace(" ", "-")}"'
@@ -50,7 +56,7 @@ class Grammar:
 
     def wrapped(self, part: str, inner: str) -> str:
         tag = self.r.choice(TAGS[part])
-        named = self.names(PARTS[part]) or ("" if tag not in ("div", "section", "ol", "ul", "ins") else f' class="{self.r.choice(PARTS[part])}"')
+        named = self.names(PARTS[part]) or ("" if self.unnamed or tag not in ("div", "section", "ol", "ul", "ins") else f' class="{self.r.choice(PARTS[part])}"')
         return f'<{tag}{named} data-y="0">{inner}</{tag}>'
 
     def part(self, part: str) -> str:
@@ -94,11 +100,16 @@ class Grammar:
             return f"<blockquote>{text}</blockquote>"
         return r.choice(["<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<section><p>{}</p></section>", "<figure><figcaption>{}</figcaption></figure>"]).format(text)
 
-    def main(self) -> str:
+    def main(self, tag: str | None = None, short: bool = False) -> str:
         r = self.r
-        tag = r.choice(["article", "article", "main", "div", "div", "section"])
-        named = self.names(MAIN) or ("" if tag in ("article", "main") else f' class="{r.choice(MAIN)}"')
+        tag = tag or r.choice(["article", "article", "main", "div", "div", "section"])
+        named = self.names(MAIN) or ("" if self.unnamed or tag in ("article", "main", "td") else f' class="{r.choice(MAIN)}"')
         out = [f'<{tag}{named} data-y="1">']
+        if short:
+            for _ in range(r.randint(1, 2)):
+                out.append(self.block())
+            out += [self.part(p) for p in ("form", "comments") if r.random() < 0.3]
+            return "".join(out) + f"</{tag}>"
         if r.random() < 0.7:
             title = " ".join(self.words(2, 9))
             self.expected.append(title)
@@ -111,12 +122,46 @@ class Grammar:
             out.append(self.part("comments"))
         return "".join(out) + f"</{tag}>"
 
-    def page(self) -> tuple[str, list[str]]:
+    def cell(self, part: str, attributes: str = "") -> str:
+        """A part of the page that is a cell of a table, as old pages have them."""
+        r = self.r
+        said = [f"<a href='/{w}'>{w.capitalize()}</a>" for w in self.words(2, 8)]
+        inner = {
+            "nav": lambda: r.choice([r.choice(["<br>", " | ", " ", "<br>\n"]).join(said), self.links()]),
+            "header": lambda: r.choice([f"<h1>{' '.join(self.words(1, 4))}</h1>", f"<b>{' '.join(self.words(1, 4))}</b>", "<img src='/logo.gif'>" + " ".join(self.words(1, 3))]),
+            "footer": lambda: r.choice(["&copy; ", "Copyright ", "", "Copyright 1999 "]) + r.choice([" ".join(self.words(1, 6)), self.sentence(3, 9)]),
+            "aside": lambda: f"<b>{' '.join(self.words(1, 3))}</b><br>" + r.choice([self.sentence(3, 9), "<br>".join(said)]),
+        }[part]()
+        return f'<td{attributes}{self.names(PARTS[part])} data-y="0">{inner}</td>'
+
+    def table(self) -> str:
+        r = self.r
+        rows = []
+        if r.random() < 0.4:
+            rows.append(self.cell("header", ' colspan="2"'))
+        if r.random() < 0.3:
+            rows.append(self.cell("nav", ' colspan="2"'))
+        row = [self.main("td")]
+        if r.random() < 0.7:
+            row.insert(0, self.cell("nav", r.choice(["", ' width="150"', ' valign="top"'])))
+        if r.random() < 0.3:
+            row.append(self.cell("aside"))
+        rows.append("".join(row))
+        if r.random() < 0.5:
+            rows.append(self.cell("footer", ' colspan="2"'))
+        return f"<table{r.choice(['', ' width=100%', ' border=0'])} data-y=\"0\">" + "".join(f"<tr>{x}</tr>" for x in rows) + "</table>"
+
+    def page(self, layout: str | None = None) -> tuple[str, list[str]]:
         r = self.r
         self.expected = []
         self.plain, self.short = r.random() < 0.2, r.random() < 0.15
+        layout = layout or r.choices(LAYOUTS, (70, 12, 10, 8))[0]
+        self.unnamed = layout == "plain"
+        if layout == "table":
+            body = self.table()
+            return f"<html><head><title>x</title></head><body data-y=\"0\">{body}</body></html>", list(self.expected)
         before = [self.part(p) for p in ("notice", "header", "nav", "form", "ad", "aside") if r.random() < 0.45]
-        main = self.main()
+        main = self.main(short=layout == "short")
         after = [self.part(p) for p in ("share", "comments", "ad", "aside", "form", "notice", "footer") if r.random() < 0.45]
         body = "".join([*before, main, *after])
         for _ in range(r.randint(0, 2)):
@@ -124,7 +169,7 @@ class Grammar:
         return f"<html><head><title>x</title><style>p{{}}</style></head><body data-y=\"0\">{body}</body></html>", list(self.expected)
 
 
-def pages(count: int, seed: int = 11) -> list[tuple[str, list[str]]]:
-    """Pages with ``data-y`` marks, and the blocks of main text of each."""
+def pages(count: int, seed: int = 11, layout: str | None = None) -> list[tuple[str, list[str]]]:
+    """Pages with ``data-y`` marks (of one layout, or of all), and the blocks of main text of each."""
     g = Grammar(seed)
-    return [g.page() for _ in range(count)]
+    return [g.page(layout) for _ in range(count)]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import time
 import tracemalloc
 import zlib
@@ -16,7 +17,7 @@ from test_llm import BYTE, ODD, WORD, documents, odd_documents, ratio_by_force
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import bpe, chat, decontaminate, dom, html_text, pieces, quality, queries, rules, simhash, tokencount, tokenfile, toxicity
+from tessera.llm import bpe, chat, decontaminate, dom, html_text, labelled_pages, pieces, quality, queries, rules, simhash, tokencount, tokenfile, toxicity
 
 # ---- registered queries by brute force ---------------------------------------------------------
 
@@ -212,6 +213,34 @@ def test_joins_of_hot_keys(spark):
     assert len(set(same.values())) == 7
 
 
+# ---- pages by layout ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("layout", "least"), [("blocks", 0.98), ("table", 0.98), ("short", 0.95), ("plain", 0.95)])
+def test_precision_and_recall_by_layout(layout, least):
+    model = html_text.trained()
+    hit = found = wanted = 0
+    for source, blocks in labelled_pages.pages(200, seed=77, layout=layout):
+        got = set(model.extract(re.sub(r' data-y="\d"', "", source)).split("\n")) - {""}
+        want = {" ".join(b.split()) for b in blocks}
+        hit, found, wanted = hit + len(got & want), found + len(got), wanted + len(want)
+    assert hit / found >= least
+    assert hit / wanted >= least
+
+
+@pytest.mark.parametrize(
+    ("source", "wanted"),
+    [
+        ('<nav><a href="/">Home</a> <a href="/n">News</a></nav><article><p>Rain fell all day in the valley.</p><form><label>Mail</label><input><button>Send</button></form><section class="comments"><p>So true.</p></section></article>', "Rain fell all day in the valley."),
+        ('<div class="menu"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></div><div class="content"><p>One short paragraph.</p></div><form action="/c"><label>Name</label><textarea></textarea></form><div class="comment"><p>Nice</p></div>', "One short paragraph."),
+        ('<table width="100%"><tr><td width="150"><a href="/">Home</a><br><a href="/n">News</a></td><td><h2>Old layout</h2><p>This page was made with tables, as was usual then. It has two sentences.</p></td></tr><tr><td colspan="2">Copyright 1999 someone</td></tr></table>', "Old layout\nThis page was made with tables, as was usual then. It has two sentences."),
+        ('<div><a href="/">Home</a> | <a href="/a">About</a></div><div><h1>Plain page</h1><p>Some text without any class names at all. Another sentence.</p></div><div><p>&copy; 2020 Someone</p></div>', "Plain page\nSome text without any class names at all. Another sentence."),
+    ],
+)
+def test_pages_by_hand(source, wanted):
+    assert html_text.trained().extract(f"<html><body>{source}</body></html>") == wanted
+
+
 # ---- hostile inputs ----------------------------------------------------------------------------
 
 
