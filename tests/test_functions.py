@@ -1,5 +1,8 @@
 """Literal cases of text functions."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +152,45 @@ def test_members_of_equal_sets(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_key for r in dedup.set_members(df, "doc_id", similarity.shingles, "text").collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1}
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [
+        ("Ann <a@x.org>, B <b@y.org>", ["Ann <a@x.org>", "B <b@y.org>"]),
+        ('"Doe, Jane" <jane@x.org>,bob@y.org , ', ['"Doe, Jane" <jane@x.org>', "bob@y.org"]),
+        ("only a name", ["only a name"]),
+        ('a "quote never ends, b@x.org', ['a "quote never ends', "b@x.org"]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_addresses(spark, given, wanted):
+    assert value(spark, text.addresses, given) == wanted
+
+
+@pytest.mark.parametrize("given", ["plain", "", 'quote " and \\ back', "tab\t line\n return\r bell\x07 del\x7f", "ünï ấ 日本 \U0001f600 \u2028", "\b\f/", None])
+def test_canonical_json(spark, given):
+    found = value(spark, lambda c: text.canonical_json({"z": c, "a": F.lit("x"), "n": F.lit(7)}, numbers=("n",)), given)
+    assert found == json.dumps({"z": given, "a": "x", "n": 7}, sort_keys=True)
+
+
+def test_similar_pairs_of_common_elements(spark, monkeypatch):
+    """Every set has the same common elements; the order by frequency finds the same pairs."""
+    from tessera.operators import dedup
+
+    r = random.Random(1)
+    rows = [(i, " ".join([*(f"common{j}" for j in range(8)), *(f"w{r.randint(0, 30)}" for _ in range(12))])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    pairs = lambda: sorted((x.a, x.b, round(x.similarity, 6)) for x in dedup.similar_pairs(df, "id", similarity.token_hashes, "t", 0.6).collect())
+    first = pairs()
+    monkeypatch.setattr(dedup, "COMMON", 5)
+    assert pairs() == first
+    sets = {i: frozenset(t.split()) for i, t in rows}
+    least = {}
+    for i, s in sets.items():
+        least.setdefault(s, i)
+    keys = sorted(least.values())
+    want = [(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a in keys for b in keys if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.6]
+    assert first == want
+    assert len(want) > 5

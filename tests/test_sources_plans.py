@@ -86,6 +86,14 @@ def test_document_readers(spark, folder):
     assert found["c.csv"] == "a | b\nc\nd | e"
     assert found["p.pdf"] == "Hello (you)"
     assert found["bad.docx"] == ""
+    errors = {r.filename: r.read_error for r in files.document_text(rows).select("filename", "read_error").collect()}
+    assert errors["bad.docx"].startswith("BadZipFile")
+    assert {k for k, v in errors.items() if v} == {"bad.docx"}
+    files.register_parser(".CSV", lambda data: data.decode().upper())
+    try:
+        assert {r.filename: r.text for r in files.document_text(rows).collect()}["c.csv"] == 'A,"B\nC"\nD,E\n'
+    finally:
+        files.register_parser(".csv", files.csv_text)
     assert list(csv.reader(io.StringIO("a,b")))  # the format itself
 
 
@@ -93,6 +101,7 @@ def test_ingestion_and_graph(spark, folder):
     found = silver.run(files.objects(spark, folder))
     mails = found["communications"].collect()
     assert sorted(m.message_key for m in mails) == ["m1", "m2", "m3"]
+    assert [(p.name, p.email) for p in mails[0].recipients] == [("Bob", "bob@x.org")]
     assert mails[0].subject == "Plan & budget"
     assert mails[0].sender_email == "ann@x.org"
     assert mails[0].body == "Hello there friends"
@@ -114,6 +123,29 @@ def test_ingestion_and_graph(spark, folder):
     assert api.answer_sources(context).count() >= 1
 
 
+def test_blocked_nodes_have_no_edges(spark, tmp_path):
+    """Everybody in a list of recipients is an agent; a mail without a checksum breaks its contract, and no
+    edge leads to it; what a store has is not added again."""
+    people = "array<struct<email:string,name:string>>"
+    rows = [("c1", "a" * 64, [("b@x.org", "B"), ("c@x.org", "")]), ("c2", "bad", [("d@x.org", "D")]), ("c3", "b" * 64, [("b@x.org", "other")])]
+    comms = spark.createDataFrame(rows, f"id string, checksum string, recipients {people}").selectExpr("id", "'m' as source", "'email' as source_type", "checksum", "concat('Subject ', id) as subject", "id as source_object_id", "'some body of a mail' as body", "cast(null as timestamp) as received_at", "'t' as thread_id", "'a@x.org' as sender_email", "'Ann' as sender_name", "recipients", f"cast(array() as {people}) as cc")
+    docs = spark.createDataFrame([], "id string, source string, source_type string, checksum string, title string, source_object_id string, content string, created_time timestamp")
+    events = spark.createDataFrame([], f"id string, source string, source_type string, checksum string, title string, source_object_id string, organizer_name string, organizer_email string, attendees {people}, start_time timestamp, end_time timestamp, description string, status string")
+    for folder in (None, str(tmp_path / "made")):
+        built = gold.build(docs, comms, events, dimensions=8, folder=folder)
+        assert built["blocked"].count() == 1
+        nodes = {r.id: r for r in built["gold_nodes"].collect()}
+        assert {r.name for r in nodes.values() if r.type == "agent"} == {"Ann", "B", "c@x.org"}
+        edges = built["gold_edges"].collect()
+        assert all(e.source_node_id in nodes and e.target_node_id in nodes for e in edges)
+        assert sum(e.predicate == "same_thread" for e in edges) == 1
+    store = str(tmp_path / "store")
+    for _ in range(2):
+        gold.save(built, store)
+    assert spark.read.parquet(f"{store}/gold_nodes").count() == len(nodes)
+    assert spark.read.parquet(f"{store}/gold_edges").count() == len(edges)
+
+
 def test_mail_records(spark):
     emails = spark.createDataFrame([("1", "t", "S", "Ann <a@x.org>", "Tue, 30 Jun 2026 11:42:32 +0000"), ("2", "t", None, None, None)], "id string, thread_id string, subject string, sender string, received_at string")
     att = spark.createDataFrame([("1", "a1", "Invoice.PDF", "Payment invoice total 01/06/2026.\r\n" * 20, 2048, bytearray(b"x"))], "email_id string, attachment_id string, filename string, raw_text string, size bigint, data binary")
