@@ -12,8 +12,9 @@ BLANKS = r"[\x20\x09-\x0D]+"
 #: A line is removed where more than MIN_DOCUMENTS documents of its host and more than LINE_PERCENT
 #: per cent of them have it; a document goes where over DEPLETED_PERCENT per cent of its words did.
 MIN_DOCUMENTS, LINE_PERCENT, DEPLETED_PERCENT = 50, 2, 80
-#: Bytes of frequent lines up to which they are broadcast, and keys over which a hot one is spread.
-SENT_BYTES, SALTS = 8 << 20, 16
+#: Bytes of frequent lines, and frequent lines of one host, up to which they are broadcast as a list for each
+#: host; and keys over which a hot one is spread where they are joined.
+SENT_BYTES, LISTED, SALTS = 8 << 20, 4096, 16
 
 
 def words_of(text: Column) -> Column:
@@ -88,7 +89,7 @@ def _marked(rows: DataFrame, often: DataFrame, sent_bytes: int) -> DataFrame:
     Beyond that the lines of distinct texts are joined; lines and texts that are in very many rows are
     spread over SALTS keys.
     """
-    if shared.fits(often, 24, sent_bytes):
+    if shared.fits(often, 24, sent_bytes) and often.groupBy("host").count().filter(F.col("count") > LISTED).isEmpty():
         lists = often.groupBy(F.col("host").alias("__on")).agg(F.sort_array(F.collect_list("h")).alias("__bad"))
         return rows.join(F.broadcast(lists), rows["__host"].eqNullSafe(lists["__on"]), "left").drop("__on")
     texts = _texts(rows, "__t", "__host")
