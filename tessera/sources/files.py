@@ -108,29 +108,89 @@ def xlsx_text(data: bytes) -> str:
     return "\n".join(out)
 
 
+_PDF_SHOWN = re.compile(rb"/([^\s/<>\[\]()]+)\s+[-\d.]+\s+Tf|\[((?:[^\[\]()\\]|\\.|\((?:[^()\\]|\\.)*\))*)\]\s*TJ|(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)\s*(Tj|'|\")|(T\*|Td|TD|ET)", re.S)
+_PDF_STRING = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b""}
+
+
+def _inflated(raw: bytes) -> bytes:
+    try:
+        return zlib.decompressobj().decompress(raw)
+    except zlib.error:
+        return raw
+
+
+def _pdf_bytes(shown: bytes) -> bytes:
+    """What a literal or hexadecimal string of a PDF holds."""
+    if shown[:1] == b"<":
+        digits = re.sub(rb"\s", b"", shown[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\([0-7]{1,3}|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1][:1].isdigit() else _PDF_ESCAPES.get(e[1], e[1]), shown[1:-1], flags=re.S)
+
+
+def _to_unicode(cmap: bytes) -> tuple[int, dict[int, str]]:
+    """Bytes of a code, and the text of each code, from a font's table."""
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    out, width = {}, 1
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        for code, value in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            out[int(code, 16)], width = text(value), max(width, len(code) // 2)
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for low, high, value, listed in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", block, re.S):
+            width = max(width, len(low) // 2)
+            values = re.findall(rb"<([0-9A-Fa-f]+)>", listed)
+            for k, code in enumerate(range(int(low, 16), min(int(high, 16), int(low, 16) + 65535) + 1)):
+                if value:
+                    first = text(value)
+                    out[code] = first[:-1] + chr(ord(first[-1]) + k)
+                elif k < len(values):
+                    out[code] = text(values[k])
+    return width, out
+
+
 def pdf_text(data: bytes) -> str:
-    """Text shown by simple PDF pages: literal strings of Tj and TJ in plain or deflated streams.
+    """Text that the pages of a PDF show: strings of Tj, TJ and their kin in plain or deflated streams.
 
-    Fonts with encodings of their own come out as their codes; no text gives the empty text.
+    Codes of fonts with a table to Unicode are read by it, others as Latin-1. Streams that don't show
+    text give none; pages are separated by a blank line. Encrypted files give no sensible text.
     """
     if not data.startswith(b"%PDF"):
         return ""
+    objects: dict[int, bytes] = {int(n): body for n, body in re.findall(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
+    stream = lambda body: _inflated(m[1]) if (m := re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)) else b""
+    for body in list(objects.values()):  # objects that are packed in streams
+        if re.search(rb"/Type\s*/ObjStm", body) and (first := re.search(rb"/First\s+(\d+)", body)):
+            packed, start = stream(body), int(first[1])
+            heads = [int(x) for x in packed[:start].split()]
+            places = list(zip(heads[::2], heads[1::2], strict=False))
+            for (n, at), (_, end) in zip(places, [*places[1:], (0, len(packed) - start)], strict=True):
+                objects.setdefault(n, packed[start + at : start + end])
+    fonts: dict[bytes, tuple[int, dict[int, str]]] = {}
+    for body in [*objects.values()]:
+        for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+0\s+R", body):
+            if (font := objects.get(int(n))) and (table := re.search(rb"/ToUnicode\s+(\d+)\s+0\s+R", font)) and int(table[1]) in objects:
+                fonts[name] = _to_unicode(stream(objects[int(table[1])]))
+
+    def said(shown: bytes, font: bytes | None) -> str:
+        raw = _pdf_bytes(shown)
+        if font not in fonts:
+            return raw.decode("latin-1")
+        width, table = fonts[font]
+        return "".join(table.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width))
+
     pages = []
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        raw = m[1]
-        try:
-            raw = zlib.decompress(raw)
-        except zlib.error:
-            pass
+    for m in re.finditer(rb"stream\r?\n(.*?)\r?\n?endstream", data, re.S):
+        raw = _inflated(m[1])
         if b"BT" not in raw:
             continue
-        lines = []
-        for shown in re.finditer(rb"\[((?:[^\[\]\\]|\\.)*)\]\s*TJ|(\((?:[^()\\]|\\.)*\))\s*(?:Tj|'|\")|(T\*|Td|TD|ET)", raw):
-            if shown[3]:
+        lines, font = [], None
+        for shown in _PDF_SHOWN.finditer(raw):
+            if shown[1]:
+                font = shown[1]
+            elif shown[5]:
                 lines.append("\n")
-                continue
-            for s in re.finditer(rb"\(((?:[^()\\]|\\.)*)\)", shown[1] or shown[2]):
-                lines.append(re.sub(rb"\\([0-7]{1,3}|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1].isdigit() else {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(e[1], e[1]), s[1]).decode("latin-1"))
+            else:
+                lines += [said(x, font) for x in ([shown[3]] if shown[3] else _PDF_STRING.findall(shown[2]))]
         text = re.sub(r"\n+", "\n", "".join(lines)).strip()
         if text:
             pages.append(text)

@@ -5,6 +5,7 @@ import csv
 import io
 import json
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,23 @@ def test_document_readers(spark, folder):
     assert list(csv.reader(io.StringIO("a,b")))  # the format itself
 
 
+def pdf(content, fonts=b"", extra=b""):
+    body = zlib.compress(content)
+    return b"%PDF-1.5\n1 0 obj\n<< /Type /Page /Resources << /Font << " + fonts + b" >> >> /Contents 2 0 R >>\nendobj\n2 0 obj\n<< /Length " + str(len(body)).encode() + b" /Filter /FlateDecode >>\nstream\n" + body + b"\nendstream\nendobj\n" + extra + b"%%EOF"
+
+
+def test_pdf():
+    cmap = "1 beginbfchar\n<0003> <0020>\nendbfchar\n2 beginbfrange\n<0024> <003D> <0041>\n<0050> <0051> [<1EA5> <00E9>]\nendbfrange".encode()
+    table = b"3 0 obj\n<< /Type /Font /ToUnicode 4 0 R >>\nendobj\n4 0 obj\n<< >>\nstream\n" + cmap + b"\nendstream\nendobj\n"
+    assert files.pdf_text(pdf(b"BT /F1 12 Tf <0024002500030050> Tj 0 -14 Td [<0051> -20 <0026>] TJ ET", b"/F1 3 0 R", table)) == "AB \u1ea5\n\u00e9C"
+    assert files.pdf_text(pdf(b"BT (a\\(b\\)) Tj T* [(c) 5 (d\\101)] TJ (e) ' ET")) == "a(b)\ncdAe"
+    packed = b"3 0 " + b"<< /Type /Font /ToUnicode 4 0 R >>"
+    held = zlib.compress(packed)
+    stored = b"9 0 obj\n<< /Type /ObjStm /N 1 /First 4 /Filter /FlateDecode >>\nstream\n" + held + b"\nendstream\nendobj\n4 0 obj\n<< >>\nstream\n" + cmap + b"\nendstream\nendobj\n"
+    assert files.pdf_text(pdf(b"BT /F1 9 Tf <0026> Tj ET", b"/F1 3 0 R", stored)) == "C"
+    assert files.pdf_text(b"%PDF-1.4 nothing") == files.pdf_text(b"no pdf") == ""
+
+
 def test_ingestion_and_graph(spark, folder):
     found = silver.run(files.objects(spark, folder))
     mails = found["communications"].collect()
