@@ -1,4 +1,4 @@
-"""Command line: ``python -m tessera silver|gold|stats|search|similar|lineage|validate ...``."""
+"""Command line: ``python -m tessera init|silver|gold|show|stats|detail|health|search|similar|lineage|validate ...``."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import argparse
 
 from pyspark.sql import functions as F
 
+from tessera import schemas
 from tessera.functions import vectors
-from tessera.operators import quality, relational, search
+from tessera.operators import graph, observe, quality, relational, search
 from tessera.plans import gold, silver
 from tessera.session import session
 from tessera.sources import files, sinks
@@ -24,7 +25,15 @@ def parser() -> argparse.ArgumentParser:
     g = sub.add_parser("gold", help="entity tables to the graph")
     g.add_argument("--silver", required=True)
     g.add_argument("--out", required=True)
-    for name in ("stats", "validate"):
+    i = sub.add_parser("init", help="empty tables of every layer, where there are none")
+    i.add_argument("--out", required=True)
+    w = sub.add_parser("show", help="counts and the latest rows of the entity tables")
+    w.add_argument("--silver", required=True)
+    w.add_argument("--most", type=int, default=10)
+    d = sub.add_parser("detail", help="a node, its edges in both directions and its times")
+    d.add_argument("--gold", required=True)
+    d.add_argument("id")
+    for name in ("stats", "validate", "health"):
         c = sub.add_parser(name)
         c.add_argument("--gold", required=True)
     q = sub.add_parser("search")
@@ -50,6 +59,32 @@ def main(argv: list[str] | None = None) -> None:
         for name, df in built.items():
             df.write.mode("overwrite").parquet(f"{a.out}/{name}")
         gold.chunks(read(a.out, "gold_nodes")).write.mode("overwrite").parquet(f"{a.out}/chunks")
+        gold.save({n: read(a.out, n) for n in ("gold_nodes", "gold_edges", "gold_timeline")}, f"{a.out}/store")
+    elif a.command == "init":
+        for name in schemas.TABLES:
+            if not sinks.exists(spark, f"{a.out}/{name}"):
+                spark.createDataFrame([], schemas.schema(name)).write.parquet(f"{a.out}/{name}")
+            print(name)
+    elif a.command == "show":
+        latest = {"documents": "created_time", "communications": "received_at", "events": "start_time", "files": "filename"}
+        for name, by in latest.items():
+            rows = read(a.silver, name)
+            print(name, rows.count())
+            shown = [c for c in ("id", "title", "subject", "filename", "processing_status", by) if c in rows.columns]
+            relational.top(rows.select(*dict.fromkeys(shown)), a.most, F.desc_nulls_last(by), "id").show(truncate=60)
+    elif a.command == "detail":
+        nodes, edges = read(a.gold, "gold_nodes"), read(a.gold, "gold_edges")
+        nodes.filter(F.col("id") == a.id).select("id", "type", "subtype", "name", "status", "importance", "content").show(1, 400, vertical=True)
+        near = graph.edge_details(graph.neighbours(edges, a.id), nodes.select("id", "name"))
+        near.select("source_name", "predicate", "target_name").orderBy("predicate", "source_name", "target_name").show(100, 80)
+        read(a.gold, "gold_timeline").filter(F.col("node_id") == a.id).select("field", "new_value").show()
+    elif a.command == "health":
+        nodes, edges = read(a.gold, "gold_nodes"), read(a.gold, "gold_edges")
+        observe.health(spark, []).show()
+        print("nodes", nodes.count(), "edges", edges.count(), "blocked", read(a.gold, "blocked").count())
+        relational.missing_rates(nodes, ["content", "embedding_text"]).show()
+        for end in ("source_node_id", "target_node_id"):
+            quality.integrity(edges, end, nodes, "id").show()
     elif a.command == "stats":
         gold.statistics(read(a.gold, "gold_nodes"), read(a.gold, "gold_edges")).orderBy("what", F.desc("n")).show(100, False)
         relational.missing_rates(read(a.gold, "gold_nodes"), ["content", "embedding_text"]).show()

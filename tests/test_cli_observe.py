@@ -15,7 +15,20 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["search", "--gold", str(tmp_path / "g"), "invoice?"])
     cli.main(["similar", "--gold", str(tmp_path / "g"), "invoice platform"])
     cli.main(["validate", "--gold", str(tmp_path / "g")])
+    cli.main(["init", "--out", str(tmp_path / "empty")])
+    cli.main(["init", "--out", str(tmp_path / "empty")])
+    assert spark.read.parquet(str(tmp_path / "empty" / "gold_nodes")).count() == 0
+    cli.main(["show", "--silver", str(tmp_path / "s")])
+    cli.main(["health", "--gold", str(tmp_path / "g")])
+    node = spark.read.parquet(str(tmp_path / "g" / "gold_nodes")).filter("type = 'document'").first().id
+    capsys.readouterr()
+    cli.main(["detail", "--gold", str(tmp_path / "g"), node])
+    assert "a.txt" in capsys.readouterr().out
+    cli.main(["stats", "--gold", str(tmp_path / "g")])
+    cli.main(["search", "--gold", str(tmp_path / "g"), "invoice?"])
+    cli.main(["validate", "--gold", str(tmp_path / "g")])
     said = capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "g" / "store" / "gold_nodes")).count() == spark.read.parquet(str(tmp_path / "g" / "gold_nodes")).count()
     assert "document" in said
     assert "a.txt" in said
     assert "good" in said
