@@ -210,3 +210,35 @@ def blocked_rows(t):
     rows = t("documents").select("doc_id", kind.alias("type"), ref.alias("source_ref"), F.lit("").alias("name"), F.lit("long enough").alias("embedding_text"))
     good, bad = quality.split_blocked(rows, "silver_to_gold")
     return good.select("doc_id", F.lit(True).alias("passed")).unionByName(bad.select("doc_id", F.lit(False).alias("passed")))
+
+
+def _files(t):
+    return t("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("dir/"), "c_name").alias("path"), F.col("c_nationkey").alias("parent_id"))
+
+
+@query("SELECT c_custkey AS id, 'dir/' || c_name AS path, 'parent' AS way FROM customer WHERE c_nationkey = 7 UNION ALL SELECT c_custkey, 'dir/' || c_name, 'path' FROM customer WHERE c_name = (SELECT min(c_name) FROM customer)")
+def file_lookup(t):
+    least = t("customer").agg(F.min("c_name")).first()[0]  # one name
+    of = api.files_of(_files(t), 7).withColumn("way", F.lit("parent"))
+    return of.unionByName(api.file_at(_files(t), f"dir/{least}").withColumn("way", F.lit("path"))).select("id", "path", "way")
+
+
+@query("SELECT event_id AS id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10' ORDER BY ts, event_id LIMIT 25")
+def next_events(t):
+    rows = t("events").select(F.col("event_id").alias("id"), F.col("ts").alias("start_time"), "event_type")
+    return api.events_from(rows, "2024-01-10", 25).select("id", "event_type")
+
+
+@query("""SELECT doc_id AS attachment_id, length(text) AS raw_chars, CASE WHEN doc_id % 3 <> 0 THEN length(replace(text, ' ', '')) END AS clean_chars FROM documents""", longs=("raw_chars", "clean_chars"))
+def attachments_raw_and_clean(t):
+    raw = t("documents").select(F.col("doc_id").alias("attachment_id"), F.col("text").alias("raw_text"))
+    cleaned = raw.filter("attachment_id % 3 != 0").withColumn("cleaned_text", F.replace("raw_text", F.lit(" "), F.lit("")))
+    return silver.raw_and_clean(raw, cleaned).select("attachment_id", "raw_chars", "clean_chars")
+
+
+@query("""SELECT doc_id, length(text) >= 200 AND lang <> 'en' AS is_valid, array_to_string(list_filter([CASE WHEN length(text) < 200 THEN 'short' END, CASE WHEN lang = 'en' THEN 'language' END], lambda x: x IS NOT NULL), ';') AS errors, CASE WHEN source = 'web' THEN 1 ELSE 0 END AS n_warnings FROM documents""", longs=("n_warnings",))
+def validator_hook(t):
+    sizes = lambda df: ([F.when(F.length("text") < 200, "short")], [])
+    named = lambda df: ([F.when(F.col("lang") == "en", "language")], [F.when(F.col("source") == "web", "web")])
+    found = t("documents").transform(quality.validation(sizes, named))
+    return found.select("doc_id", "validation.is_valid", F.array_join("validation.errors", ";").alias("errors"), F.size("validation.warnings").alias("n_warnings"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.enrich import words
+from tessera.functions.text import let
 
 
 def doubles(v: Column) -> Column:
@@ -44,8 +45,22 @@ def hashed(c: Column, dimensions: int = 384) -> Column:
     """A deterministic stand-in for an embedding model: hashed word counts, normalised.
 
     No model is at hand without a network; the vector says which words a text has, not what it means.
+    Slots are sorted once behind one of each, so a long text costs a sort and not a pass for each slot.
     """
     slots = F.transform(words(c), lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(counts, lambda x: x / length))
+    ordered = F.sort_array(F.concat(slots, F.sequence(F.lit(0).cast("long"), F.lit(dimensions - 1).cast("long"))))
+
+    def counted(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0)))))
+        return let(first, lambda a: F.zip_with(a, F.concat(F.slice(a, 2, dimensions), F.array(F.size(s))), lambda x, y: (y - x - 1).cast("double")))
+
+    def scaled(n: Column) -> Column:
+        length = F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + x * x))
+        return let(length, lambda d: F.when(d > 0, F.transform(n, lambda x: x / d)))
+
+    return let(let(ordered, counted), scaled)
+
+
+def sound(v: Column, dimensions: int) -> Column:
+    """A model's vector, normalised; null where it has another size, a broken element or no length."""
+    return let(doubles(v), lambda x: F.when((F.size(x) == dimensions) & ~broken(x) & (norm(x) > 0), let(norm(x), lambda d: F.transform(x, lambda e: e / d))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,6 +188,18 @@ def schema_errors(df: DataFrame, spec: dict | str) -> Column:
     return F.array_compact(F.array(*checks, F.lit(None).cast("string")))
 
 
+def validation(*validators: Callable[[DataFrame], tuple[list[Column], list[Column]]]):
+    """A step for ``DataFrame.transform``: the column validation, a struct of is_valid, errors and warnings,
+    from any number of validators, functions of the rows to expressions that are a message or null."""
+
+    def step(df: DataFrame) -> DataFrame:
+        found = [v(df) for v in validators]
+        said = [F.array_compact(F.array(*(c for f in found for c in f[k]), F.lit(None).cast("string"))) for k in (0, 1)]
+        return df.withColumn("validation", F.struct((F.size(said[0]) == 0).alias("is_valid"), said[0].alias("errors"), said[1].alias("warnings")))
+
+    return step
+
+
 def contract_violations(df: DataFrame, contract: list[dict] | str) -> Column:
     """Array of structs (field, severity, message) of each row against a contract.
 

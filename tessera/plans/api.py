@@ -26,6 +26,20 @@ def document(docs: DataFrame, key, column: str = "id") -> DataFrame:
     return docs.filter(F.col(column) == key)
 
 
+def files_of(files: DataFrame, parent) -> DataFrame:
+    """The files of a parent, by path."""
+    return files.filter(F.col("parent_id") == parent).orderBy("path", "id")
+
+
+def file_at(files: DataFrame, path: str) -> DataFrame:
+    return files.filter(F.col("path") == path)
+
+
+def events_from(events: DataFrame, at, most: int = 10) -> DataFrame:
+    """The next events from a time on."""
+    return events.filter(F.col("start_time") >= F.lit(at).cast(events.schema["start_time"].dataType)).orderBy("start_time", "id").limit(most)
+
+
 def content(docs: DataFrame, key) -> DataFrame:
     return document(docs, key).select("id", "title", "content", F.coalesce(F.length("content"), F.lit(0)).alias("content_length"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import enrich, text, vectors
@@ -36,9 +38,12 @@ def enriched(rows: DataFrame) -> DataFrame:
     return found.withColumn("embedding_text", enrich.embedding_text(F.col("name"), F.col("summary"), F.col("content"), F.col("traits"), F.col("keywords")))
 
 
-def embedded(rows: DataFrame, dimensions: int = 384) -> DataFrame:
-    """With hashed word vectors: a stand-in where there is no model."""
-    return rows.withColumn("embedding_vector", vectors.hashed(F.col("embedding_text"), dimensions))
+def embedded(rows: DataFrame, dimensions: int = 384, model: Callable[[Column], Column] | None = None) -> DataFrame:
+    """With the vectors of ``model``, a function of the text (such as a pandas UDF that loads its weights
+    once in a worker); a vector of another size, or with broken elements, is null. Without a model
+    hashed word vectors stand in."""
+    text = F.col("embedding_text")
+    return rows.withColumn("embedding_vector", vectors.sound(model(text), dimensions) if model else vectors.hashed(text, dimensions))
 
 
 def scheduled(document_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +78,7 @@ def discovered(node_rows: DataFrame, said: DataFrame, threads: DataFrame, cap: i
     return by_concept.unionByName(by_person).unionByName(by_thread)
 
 
-def build(docs: DataFrame, comms: DataFrame, events: DataFrame, cap: int = 100, dimensions: int = 384, folder: str | None = None) -> dict[str, DataFrame]:
+def build(docs: DataFrame, comms: DataFrame, events: DataFrame, cap: int = 100, dimensions: int = 384, folder: str | None = None, model: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
     """All graph tables by name, and the nodes that break their contract. No edge leads to a blocked node.
 
     Parsing and concepts feed five results: with a ``folder`` they are written there once, and read.
@@ -90,7 +95,7 @@ def build(docs: DataFrame, comms: DataFrame, events: DataFrame, cap: int = 100,
     null = F.lit(None).cast("string")
     edges = contains.withColumn("shared", null).unionByName(graph.role_edges(said, people).withColumn("shared", null)).unionByName(discovered(passed, said, threads, cap))
     edges = dedup.first_by(edges, ["source_node_id", "predicate", "target_node_id"], "weight")
-    every = embedded(passed, dimensions).unionByName(inside, allowMissingColumns=True).unionByName(people.drop("email", "source"), allowMissingColumns=True)
+    every = embedded(passed, dimensions, model).unionByName(inside, allowMissingColumns=True).unionByName(people.drop("email", "source"), allowMissingColumns=True)
     return {"gold_nodes": every, "gold_edges": edges, "gold_timeline": graph.timeline(every), "blocked": blocked}
 
 

@@ -121,3 +121,9 @@ def mail_records(emails: DataFrame, attachments: DataFrame) -> dict[str, DataFra
     }).drop("__a", "sender")
     chunks = rec.select("email_id", F.posexplode(chunk.paragraphs(F.col("all_text"))).alias("chunk_index", "text")).withColumn("length", F.length("text"))
     return {"silver_records": rec.drop("all_text"), "silver_texts": rec.select("email_id", "all_text"), "silver_attachments": att.drop("data", "raw_text"), "silver_chunks": chunks}
+
+
+def raw_and_clean(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """Every raw attachment beside its cleaned text (null where it has none), by attachment_id."""
+    beside = cleaned.select("attachment_id", "cleaned_text")
+    return raw.select("attachment_id", "raw_text").join(beside, "attachment_id", "left").select("attachment_id", "raw_text", "cleaned_text", F.length("raw_text").alias("raw_chars"), F.length("cleaned_text").alias("clean_chars"))

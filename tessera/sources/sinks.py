@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators import dedup
 
@@ -93,3 +94,18 @@ def create_table(spark: SparkSession, name: str, schema: str, path: str | None =
 
 def reset_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"TRUNCATE TABLE {name}")
+
+
+def migrate(spark: SparkSession, path: str, schema: T.StructType) -> list[str]:
+    """Adds an empty file with ``schema`` to a table that lacks columns of it, and names those columns: older
+    rows have them as null when the table is read with :func:`current`, and no row is rewritten."""
+    have = set(spark.read.option("mergeSchema", "true").parquet(path).columns)
+    new = [f.name for f in schema if f.name not in have]
+    if new:
+        append(spark.createDataFrame([], schema).coalesce(1), path)
+    return new
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """A table whose files may be of several versions, with the columns of all."""
+    return spark.read.option("mergeSchema", "true").parquet(path)

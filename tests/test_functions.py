@@ -194,3 +194,21 @@ def test_similar_pairs_of_common_elements(spark, monkeypatch):
     want = [(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a in keys for b in keys if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.6]
     assert first == want
     assert len(want) > 5
+
+
+def test_vectors_of_models(spark):
+    made = value(spark, lambda c: vectors.sound(F.from_json(c, "array<double>"), 2), "[3, 4]")
+    assert [round(x, 9) for x in made] == [0.6, 0.8]
+    for broken in ("[3, 4, 5]", "[0, 0]", "[null, 1]", "nothing"):
+        assert value(spark, lambda c: vectors.sound(F.from_json(c, "array<double>"), 2), broken) is None
+
+
+def test_hashed_counts_words(spark):
+    rng = random.Random(5)
+    said = [rng.choice("abcdefgh") for _ in range(400)]
+    slots = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(16))).first()[0] for w in set(said)}
+    want = [0.0] * 16
+    for w in said:
+        want[slots[w]] += 1
+    length = sum(x * x for x in want) ** 0.5
+    assert value(spark, lambda c: vectors.hashed(c, 16), " ".join(said)) == pytest.approx([x / length for x in want])

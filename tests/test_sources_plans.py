@@ -9,6 +9,7 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import schemas
 from tessera.operators import chunk, dedup, graph, quality, relational, schedule, search, telemetry, trace
@@ -300,3 +301,12 @@ def test_mail_without_parts(spark):
     df = spark.createDataFrame([(json.dumps({"id": "1"}),), ("{bad",), (None,)], "content string")
     rows = mail.messages(df).collect()
     assert [r.body for r in rows if r.message_key == "1"] == [""]
+
+
+def test_migration_adds_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a", 1)], "id string, n long").write.parquet(path)
+    wanted = T.StructType.fromDDL("id string, n long, status string")
+    assert sinks.migrate(spark, path, wanted) == ["status"]
+    assert sinks.migrate(spark, path, wanted) == []
+    assert sinks.current(spark, path).collect()[0].asDict() == {"id": "a", "n": 1, "status": None}
