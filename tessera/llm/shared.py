@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -146,7 +151,7 @@ def mapped(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
 def carried(docs: DataFrame, keep: list[str] | tuple[str, ...], text: str) -> DataFrame:
     """k, a struct of the columns ``keep`` as they are, and t, the text: whatever a user's columns are
     called, no name of ours meets them."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("k"), F.col(f"`{text}`").alias("t"))
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in keep]).alias("k"), F.col(quoted(text)).alias("t"))
 
 
 def with_results(rows: DataFrame, results: str) -> T.StructType:
