@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, html_text, linededup, quality, rules, simhash, tokencount, tokenfile, toxicity
+from tessera.llm import bpe, chat, decontaminate, divergence, html_text, linededup, quality, rules, simhash, tokencount, tokenfile, toxicity
 
 QUERIES = {
     "op1_token_counts": tokencount.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_file": tokenfile.op9_token_file,
     "op10_quality_rules": rules.op10_quality_rules,
     "op12_line_dedup": linededup.op12_line_dedup,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 #: The other queries are held against brute force, exact round trips or held-out labels by tests.
-ORACLES: dict[str, str] = {"op10_quality_rules": rules.ORACLE, "op12_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op10_quality_rules": rules.ORACLE, "op12_line_dedup": linededup.ORACLE, "op13_source_divergence": divergence.ORACLE}

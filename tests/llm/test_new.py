@@ -12,7 +12,7 @@ from oracle import same
 from pyspark.sql import functions as F
 from test_llm import ODD, odd_documents
 
-from tessera.llm import linededup, queries
+from tessera.llm import divergence, linededup, queries
 
 # ---- line deduplication (12) -------------------------------------------------------------------
 
@@ -57,6 +57,63 @@ def test_lines_of_odd_tables(spark):
     assert all(x.b == 0 for x in got)  # repeated rows are one document, and nothing else is alike
 
 
-@pytest.mark.parametrize("name", ["op12_line_dedup"])
+@pytest.mark.parametrize("name", ["op12_line_dedup", "op13_source_divergence"])
 def test_new_queries_by_sql(spark, sf_dir, name):
     same(queries.QUERIES[name](spark, sf_dir), queries.ORACLES[name], sf_dir)
+
+
+# ---- source divergence (13) --------------------------------------------------------------------
+
+
+def divergence_by_force(rows, min_documents, top):
+    """Of (lang, source, text) rows, cell by cell in Python's integers."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    docs = [(a or "", b or "", [w.translate(lower) for w in re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", t or "")]) for a, b, t in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        mine = [d for d in docs if d[0] == lang]
+        df = Counter(w for d in mine for w in set(d[2]))
+        kept = {w for w, n in df.items() if n >= min_documents}
+        counts = {g: Counter(w for d in mine if d[1] == g for w in d[2] if w in kept) for g in {d[1] for d in mine}}
+        p = lambda c, w: 1 + 10**9 * (c[w] + 5) // (sum(c.values()) + 5 * len(kept))
+        whole = sum(counts.values(), Counter())
+        for g, c in counts.items():
+            pairs = [(s, sum(abs(p(c, w) - p(o, w)) for w in kept)) for s, o in counts.items() if s != g]
+            terms = [(w, p(c, w) - p(whole, w)) for w in c if p(c, w) > p(whole, w)]
+            for part, items, most in (("pair", pairs, len(pairs)), ("term", terms, top)):
+                items.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, g, part, w, v, k + 1) for k, (w, v) in enumerate(items[:most])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("heavy, block, held", [(4, 256, 200_000), (1, 4, 7), (1000, 3, 50)])
+def test_divergence_by_force(spark, monkeypatch, heavy, block, held):
+    monkeypatch.setattr(divergence, "BLOCK", block)
+    monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "LEAST_TERMS", 5)
+    monkeypatch.setattr(divergence, "CELLS", 20)
+    monkeypatch.setattr(divergence, "POSTINGS", 40)
+    r = random.Random(heavy)
+    words = ["the", "The", "été", "ÉTÉ", "ﬁn", "z", "日本", *(f"w{chr(97 + k)}" for k in range(26))]
+    rows = [(r.choice(["en", "fr", None]), r.choice([None, *(f"s{k}" for k in range(11))]), " ".join(r.choice(words[: 3 + k % 30]) for _ in range(r.randint(0, 25)))) for k in range(300)]
+    rows += [("xx", "one", "alone"), ("yy", "a", None), ("yy", "b", "1 2 3"), ("yy", "c", ""), ("en", "empty", "12"), ("en", "s1", "the-the_the " * 2000)]
+    docs = spark.createDataFrame([(*row, 1, "t") for row in rows], "lang string, source string, text string, n int, term string")
+    for min_documents in (3, 30):
+        got = divergence.divergence(docs, min_documents=min_documents, top=7, heavy=heavy)
+        assert sorted(map(tuple, got.collect())) == divergence_by_force(rows, min_documents, 7)
+    assert divergence.divergence(docs.limit(0)).count() == 0
+
+
+def test_parts_of_sums_by_force():
+    """Dense tiles, one-sided sums and posting pairs, number by number."""
+    r = np.random.default_rng(3)
+    zx, zy = r.integers(1, 9, 5), r.integers(1, 9, 4)
+    x, y = r.integers(1, 50, (5, 30)), r.integers(1, 50, (4, 30))
+    want = np.array([[sum(abs(int(a) - int(b)) - abs(int(zx[i]) - int(zy[j])) for a, b in zip(x[i], y[j], strict=True)) for j in range(4)] for i in range(5)])
+    assert (divergence.dense_sums(x, y, zx, zy) == want).all()
+    has_x, has_y = r.random((5, 30)) < 0.3, r.random((4, 30)) < 0.3
+    x, y = np.where(has_x, x, zx[:, None]), np.where(has_y, y, zy[:, None])
+    (tx, gx), (ty, gy) = np.nonzero(has_x.T), np.nonzero(has_y.T)
+    sums = divergence.one_sided(gx, x[gx, tx], zx, zy) + divergence.one_sided(gy, y[gy, ty], zy, zx).T
+    for at_once in (1, 7, 1 << 20):
+        assert (sums + divergence.posting_pairs(tx, gx, x[gx, tx], ty, gy, y[gy, ty], zx, zy, at_once) == divergence.dense_sums(x, y, zx, zy)).all()
