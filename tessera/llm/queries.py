@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, divergence, html_text, linededup, quality, rules, simhash, tokencount, tokenfile, toxicity
+from tessera.llm import bpe, chat, decontaminate, divergence, html_text, linededup, quality, rules, simhash, tokencount, tokenfile, toxicity, trie
 
 QUERIES = {
     "op1_token_counts": tokencount.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_near_duplicates": simhash.op8_simhash_near_duplicates,
     "op9_token_file": tokenfile.op9_token_file,
     "op10_quality_rules": rules.op10_quality_rules,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_line_dedup": linededup.op12_line_dedup,
     "op13_source_divergence": divergence.op13_source_divergence,
 }

@@ -12,7 +12,7 @@ from oracle import same
 from pyspark.sql import functions as F
 from test_llm import ODD, odd_documents
 
-from tessera.llm import divergence, linededup, queries
+from tessera.llm import divergence, linededup, queries, trie
 
 # ---- line deduplication (12) -------------------------------------------------------------------
 
@@ -117,3 +117,86 @@ def test_parts_of_sums_by_force():
     sums = divergence.one_sided(gx, x[gx, tx], zx, zy) + divergence.one_sided(gy, y[gy, ty], zy, zx).T
     for at_once in (1, 7, 1 << 20):
         assert (sums + divergence.posting_pairs(tx, gx, x[gx, tx], ty, gy, y[gy, ty], zx, zy, at_once) == divergence.dense_sums(x, y, zx, zy)).all()
+
+
+# ---- prefix tries (11) -------------------------------------------------------------------------
+
+
+def trie_by_force(rows, whole=False):
+    """Of (conv_id, turn, role, text) rows: the nodes, by dictionaries of prefixes."""
+    own = defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            own[c].append((t is not None, t or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+    paths = {}
+    for c, v in own.items():
+        h = 0 if whole else zlib.crc32(str(c).encode()) % 6
+        paths[c] = tuple(own.get(int(c / 100) * 100, [])[:h] + v[h:])
+    members = defaultdict(list)
+    for c, p in paths.items():
+        for d in range(len(p) + 1):
+            members[p[:d]].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(m) - 1) * len(p[-1][1]) if p else 0
+    out = []
+    for p, m in members.items():
+        ends = ",".join(str(c) for c in sorted(m) if len(paths[c]) == len(p))
+        out.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=lambda r: r[:2])
+
+
+def trie_rows(df):
+    return sorted(map(tuple, df.collect()), key=lambda r: r[:2])
+
+
+def odd_conversations(seed=1):
+    r = random.Random(seed)
+    rows = []
+    for c in [*range(-3, 60), *range(100, 160), *range(305, 330), 1000, 1001]:
+        for t in range(r.choice([1, 2, 3, 5, 8])):
+            rows.append((c, r.choice([t, t, None, 0]), r.choice(["user", "assistant", "", None]), r.choice(["a", "bb", "", None, "é" * 3])))
+    rows += [(7, 1, "user", "x")] * 3 + [(None, 1, "user", "no conversation")]
+    rows += [(c, t, "user", f"turn {t}") for c in (200, 201, 277) for t in range(40)]
+    return rows
+
+
+@pytest.mark.parametrize("heavy, packed, chained", [(2000, 100_000, 1024), (3, 10, 4), (1, 1, 1), (20, 50, 7)])
+def test_trie_by_force(spark, monkeypatch, heavy, packed, chained):
+    monkeypatch.setattr(trie, "CHUNK", 20)
+    rows = odd_conversations(heavy)
+    turns = spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, c int").repartition(5)
+    assert trie_rows(trie.prefix_trie(*trie.rebuilt(turns), heavy, packed, chained)) == trie_by_force(rows)
+    if heavy == 3:
+        assert trie_rows(trie.prefix_trie(*trie.whole(turns), heavy, packed, chained)) == trie_by_force(rows, whole=True)
+
+
+def test_trie_of_nothing(spark):
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert trie.prefix_trie(*trie.rebuilt(turns)).count() == 0
+
+
+def test_op11_by_force(spark, sf_dir):
+    rows = list(map(tuple, spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()))
+    assert trie_rows(trie.op11_prefix_trie(spark, sf_dir)) == trie_by_force(rows)
+
+
+def test_louds_of_random_forests():
+    r = np.random.default_rng(2)
+    for count in (1, 2, 9, 200):
+        parent = np.array([r.integers(-1, i) if i else -1 for i in range(count)])
+        shuffled = r.permutation(count)
+        mixed = np.full(count, -1)
+        mixed[shuffled] = np.where(parent < 0, -1, shuffled[parent])
+        order = r.permutation(count)
+        found, bits = trie.louds(mixed, order)
+        up, degree, spans = trie.navigated(bits)
+        assert sorted(found) == list(range(count))
+        assert [found[p] if p >= 0 else -1 for p in up] == [mixed[i] for i in found]
+        assert degree.tolist() == [int((mixed == i).sum()) for i in found]
+        assert spans[-1][1] == count
+        assert all(order[found[i]] < order[found[i + 1]] for i in range(count - 1) if up[i] == up[i + 1])
