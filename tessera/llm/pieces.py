@@ -15,22 +15,39 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 #: Characters that are cut at once: a longer text is cut in runs of about so many.
 RUN = 1 << 20
+#: Code points of remembered pieces above which a table starts anew.
+POINTS = 1 << 24
 _PLACE = re.compile(r"[^\s](?=[ \n])")
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
+@cache
+def unassigned() -> np.ndarray:
+    """Whether Python's own tables lack a code point; the tables of the tokenizers library may be newer."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool)
+
+
 @cache
 def classes() -> np.ndarray:
-    """The class of every code point: letter, number, white space or other."""
+    """The class of every code point: letter, number, white space or other. Of code points that Python doesn't know
+    yet, the library's regular expressions say it, but for planes 4 to 13, which no version of Unicode uses."""
     kinds = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8)
     # The code points with the Unicode property White_Space.
     out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    new = np.flatnonzero(unassigned())
+    new = new[(new < 0x40000) | (new >= 0xE0000)]
+    text = "".join(map(chr, new.tolist()))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for _, (first, end) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            out[new[first:end]] = kind
     return out
 
 
@@ -108,7 +125,8 @@ def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of every points[start:end] (sorted, not overlapping), by prefix sums modulo 2**64."""
+    """A 64-bit hash of every points[start:end] (sorted, not overlapping), by prefix sums modulo 2**64. Texts of equal
+    hashes can be made; who uses these compares the texts as well."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):  # so many pieces at once as lie within a run
@@ -129,11 +147,15 @@ def hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
 
 
 class Known:
-    """Numbers of pieces by their hashes of 128 bits, in arrays that are probed for many pieces at once;
-    strings are made of new pieces only."""
+    """Numbers of pieces, found by hashes in arrays that are probed for many pieces at once. Hashes only propose: the code
+    points of every piece are compared with those of the number found, and pieces that another one's
+    hashes hide are looked up by their text."""
 
     def __init__(self) -> None:
         self.count = 0
+        self.points, self.used = np.empty(1 << 12, np.uint32), 0
+        self.begin = np.zeros(1, np.int64)
+        self.hidden: dict[bytes, int] = {}
         self._sized(16)
 
     def _sized(self, bits: int) -> None:
@@ -166,26 +188,65 @@ class Known:
             rest = rest[~won]
             slot[rest] = (slot[rest] + 1) & self.mask
 
+    def _stored(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Keeps the code points of new pieces, in the order of their numbers."""
+        sizes = ends - starts
+        total = np.cumsum(sizes)
+        need = self.used + int(total[-1])
+        if need > len(self.points):
+            self.points = np.concatenate([self.points[: self.used], np.empty(2 * need - self.used, np.uint32)])
+        self.points[self.used : need] = points[np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1])]
+        self.begin = np.concatenate([self.begin, self.used + total])
+        self.used = need
+        self.count += len(starts)
+
+    def _differing(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Places of the pieces whose code points aren't those of their numbers."""
+        sizes, own = ends - starts, self.begin[numbers]
+        bad = sizes != self.begin[numbers + 1] - own
+        found, at = [np.flatnonzero(bad)], 0
+        total = np.concatenate([[0], np.cumsum(np.where(bad, 0, sizes))])
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + RUN, "right")) - 1)
+            of = at + np.flatnonzero(~bad[at:to])
+            if len(of):
+                n = sizes[of]
+                begins = np.cumsum(n) - n
+                within = np.arange(begins[-1] + n[-1])
+                same = points[np.repeat(starts[of] - begins, n) + within] == self.points[np.repeat(own[of] - begins, n) + within]
+                if not same.all():
+                    found.append(of[~np.logical_and.reduceat(same, begins)])
+            at = to
+        return np.concatenate(found)
+
     def numbers(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each piece, and for each new number, in order, a place where it stands."""
         first, second = hashes(points, starts, ends), hashes(points, starts, ends, 1)
         out = self._find(first, second)
         missing = np.flatnonzero(out < 0)
-        if not len(missing):
-            return out, missing
-        order = missing[np.lexsort((second[missing], first[missing]))]
-        a, b = first[order], second[order]
-        fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        out[order] = self.count + np.cumsum(fresh) - 1
-        new = order[fresh]
-        if 2 * (self.count + len(new)) > len(self.number):
-            old = np.flatnonzero(self.number >= 0)
-            kept = self.first[old], self.second[old], self.number[old]
-            self._sized((3 * (self.count + len(new))).bit_length())
-            self._insert(*kept)
-        self._insert(first[new], second[new], out[new])
-        self.count += len(new)
-        return out, new
+        new = missing
+        if len(missing):
+            order = missing[np.lexsort((second[missing], first[missing]))]
+            a, b = first[order], second[order]
+            fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            out[order] = self.count + np.cumsum(fresh) - 1
+            new = order[fresh]
+            if 2 * (self.count + len(new)) > len(self.number):
+                old = np.flatnonzero(self.number >= 0)
+                kept = self.first[old], self.second[old], self.number[old]
+                self._sized((3 * (self.count + len(new))).bit_length())
+                self._insert(*kept)
+            self._insert(first[new], second[new], out[new])
+            self._stored(points, starts[new], ends[new])
+        more = []
+        for i in self._differing(points, starts, ends, out).tolist():
+            text = points[starts[i] : ends[i]].tobytes()
+            if text not in self.hidden:
+                self.hidden[text] = self.count
+                self._stored(points, starts[i : i + 1], ends[i : i + 1])
+                more.append(i)
+            out[i] = self.hidden[text]
+        return out, np.concatenate([new, np.array(more, np.int64)]) if more else new
 
 
 class Remembered:
@@ -203,7 +264,7 @@ class Remembered:
 
     def of(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces text[start:end] in one array, and how many each has."""
-        if self.known.count > self.limit:
+        if self.known.count > self.limit or self.known.used > POINTS:
             self.forget()
         words, new = self.known.numbers(points, starts, ends)
         if len(new):

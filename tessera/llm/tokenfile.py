@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from tessera.llm import pieces, shared
 from tessera.llm.bpe import byte_letters
@@ -44,15 +44,17 @@ class WordEncoder:
         self.special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.letters = dict(enumerate(byte_letters()))
+        self.newer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.pieces = pieces.Remembered(self._merged, remembered)
 
     def forget(self) -> None:
         self.pieces.forget()
 
-    @staticmethod
-    def normal(text: str) -> str:
+    def normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()
+        if pieces.unassigned()[pieces.code_points(text)].any():  # newer than Python's tables
+            return self.newer.normalize_str(text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()  # no final sigma: letters are lowered one by one

@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
-from test_llm import ODD, odd_documents
+from test_llm import BYTE, ODD, WORD, odd_documents
+from tokenizers import Tokenizer
 
-from tessera.llm import divergence, linededup, queries, trie
+from tessera.llm import bpe, divergence, linededup, pieces, queries, tokenfile, trie
 
 # ---- line deduplication (12) -------------------------------------------------------------------
 
@@ -200,3 +201,46 @@ def test_louds_of_random_forests():
         assert degree.tolist() == [int((mixed == i).sum()) for i in found]
         assert spans[-1][1] == count
         assert all(order[found[i]] < order[found[i + 1]] for i in range(count - 1) if up[i] == up[i + 1])
+
+
+# ---- pieces of tokens (1, 2, 9) ----------------------------------------------------------------
+
+
+def same_as_library(path, texts):
+    lib, own = Tokenizer.from_file(path), (bpe.Encoder(path) if path == BYTE else tokenfile.WordEncoder(path))
+    ids, counts = own.encode(texts)
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    at = np.concatenate([[0], np.cumsum(counts)])
+    assert len(counts) == len(texts)
+    return [t for t, w, a, b in zip(texts, want, at[:-1], at[1:], strict=True) if ids[a:b].tolist() != w]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_pieces_whose_hashes_agree(path):
+    """Thue-Morse words and their complements agree under every polynomial hash modulo 2**64."""
+    texts = []
+    for size in (1024, 2048):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+        texts += [word, word.translate(str.maketrans("ab", "ba")), f"x {word} y {word.translate(str.maketrans('ab', 'ba'))}"]
+    own = pieces.Known()
+    points = pieces.code_points("".join(texts[:2]))
+    numbers, new = own.numbers(points, np.array([0, 1024]), np.array([1024, 2048]))
+    assert numbers.tolist() == [0, 1]
+    assert new.tolist() == [0, 1]
+    assert pieces.hashes(points, np.array([0, 1024]), np.array([1024, 2048]))[0] == pieces.hashes(points, np.array([1024]), np.array([2048]))[0]
+    assert same_as_library(path, texts) == []
+    assert same_as_library(path, [*texts[::-1], *texts]) == []
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_long_random_pieces(path):
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdeé", k=r.randint(50, 400))) for _ in range(10_000)]
+    assert same_as_library(path, texts) == []
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_code_point(path):
+    """Letters, numbers, blanks, normal forms and case are the library's, also of what is newer than Python's tables."""
+    points = [*range(1, 0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200)]
+    assert same_as_library(path, [f"a{c} {c}1{c}b" for c in map(chr, points)]) == []
