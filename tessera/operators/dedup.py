@@ -64,24 +64,30 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """key, n and e: the elements of each set (key, set, n) of which similar sets share one. Elements are counted first:
+    if none is in more than COMMON sets the order is by hash, within the row; else it is from rare to common."""
+    length = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
+    frequency = sets.select(F.explode("set").alias("e")).groupBy("e").agg(F.count("*").alias("f"))
+    if frequency.filter(F.col("f") > COMMON).isEmpty():
+        prefix = sets.select("key", "n", F.explode(F.slice("set", F.lit(1), length)).alias("e"))
+    else:
+        ordered = sets.select("key", "n", F.explode("set").alias("e")).join(frequency, "e").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
+        prefix = ordered.select("key", "n", F.explode(F.slice("order", F.lit(1), length)["e"]).alias("e"))
+    return prefix
+
+
 def similar_pairs(df: DataFrame, key: str, elements: Callable[[Column], Column], text: str, threshold: float, strict: bool = True) -> DataFrame:
     """Pairs (a < b) of rows whose element sets have a Jaccard similarity above the threshold, exactly.
 
     ``elements`` gives an array of distinct 64-bit hashes. Rows of equal sets are one before the join: pairs
     come between distinct sets, and :func:`set_members` tells the rows of each. Prefix filtering: in any
     fixed order of elements, similar sets share one of the first ``|A| - ceil(t |A|) + 1``. Only those
-    are joined, with the length bound, and candidates are verified on the whole sets. Elements are counted
-    first: if none is in more than COMMON sets the order is by hash, within the row; else it is from rare to
-    common, so that what all have in common is joined only where sets have nothing else.
+    are joined, with the length bound, and candidates are verified on the whole sets. What all have in common
+    is joined only where sets have nothing else, see :func:`prefixes`.
     """
     sets = kept(set_classes(df, key, elements, text).select("key", "set", F.size("set").alias("n")))
-    length = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    frequency = sets.select(F.explode("set").alias("e")).groupBy("e").agg(F.count("*").alias("f"))
-    if frequency.filter(F.col("f") > COMMON).isEmpty():
-        prefix = sets.select("key", "n", F.explode(F.slice("set", F.lit(1), length)).alias("e"))
-    else:
-        ordered = sets.select("key", "n", F.explode("set").alias("e")).join(frequency, "e").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
-        prefix = ordered.select("key", "n", F.explode(F.slice("order", F.lit(1), length)["e"]).alias("e"))
+    prefix = prefixes(sets, threshold)
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.key") < F.col("b.key")) & (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
     pairs = a.join(b, (F.col("a.e") == F.col("b.e")) & near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
