@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalogue.registry import query
 from tessera.functions import enrich, vectors
-from tessera.operators import relational, search
+from tessera.operators import relational, search, vector_index
 from tessera.plans import api
 
 #: A fixed query vector of 64 dimensions.
@@ -21,6 +21,29 @@ def cosine_topk(t):
     return rows.orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", "score")
 
 
+_UNIT = """WITH v AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),"""
+
+
+@query(_UNIT + """
+s AS (SELECT q.vec_id AS query, v.vec_id AS key, round(list_dot_product(q.e, v.e), 6) AS score FROM v AS q, v WHERE q.vec_id % 50 = 0)
+SELECT query, key, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM s) WHERE rank <= 10""")
+def vector_index_exact(t):
+    """Every vector whose id is divisible by 50 against all, from a new index; cells that can't hold a neighbour
+    aren't read."""
+    rows = t("embeddings")
+    made = vector_index.VectorIndex.build(rows, "vec_id", "embedding", vector_index.new_folder(rows.sparkSession), 64, cells=32)
+    hits = made.search(rows.filter("vec_id % 50 = 0"), "vec_id", "embedding", most=10, exact=True)
+    return hits.select("query", "key", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def vector_index_topk(t):
+    """The same searches by codes, with an exact rerank; see the test of their recall."""
+    rows = t("embeddings")
+    made = vector_index.VectorIndex.build(rows, "vec_id", "embedding", vector_index.new_folder(rows.sparkSession), 64, cells=32)
+    return made.search(rows.filter("vec_id % 50 = 0"), "vec_id", "embedding", most=10, probes=16, rerank=100)
+
+
 @query(f"SELECT vec_id, {_COS} AS score FROM embeddings WHERE {_COS} > 0.1")
 def cosine_threshold(t):
     rows = t("embeddings").withColumn("score", F.round(vectors.cosine_to(F.col("embedding"), QUERY), 6))
