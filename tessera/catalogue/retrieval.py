@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalogue.registry import query
 from tessera.functions import enrich, vectors
-from tessera.operators import relational, search, vector_index
+from tessera.operators import fulltext, relational, search, vector_index
 from tessera.plans import api
 
 #: A fixed query vector of 64 dimensions.
@@ -61,9 +61,23 @@ def fts_simple_and(t):
     return t("documents").filter(search.has_all(F.col("text"), "The worthless")).select("doc_id")
 
 
-@query()
+def _ranked_sql(terms: dict[str, str], most: int) -> str:
+    """The rank by distances of two terms, each a pattern of its word forms, pair by pair of positions."""
+    a, b = terms.values()
+    share = "CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) END"
+    return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM w),
+d AS (SELECT a.doc_id, abs(a.p - b.p) AS d FROM t a JOIN t b USING (doc_id) WHERE regexp_full_match(a.w, '{a}') AND regexp_full_match(b.w, '{b}'))
+SELECT doc_id, round(1 - exp(sum(ln(1 - 0.1 * sqrt({share})))), 6) AS score FROM d WHERE d > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {most}"""
+
+
+@query(_ranked_sql({"worthless": "worthless(ly|ness)?", "idiot": "idiots?"}, 10))
 def fts_english_topk(t):
-    return search.english_search(t("documents"), "the worthless idiots", "text", "doc_id", 10).select("doc_id", F.round("score", 6).alias("score"))
+    """The best documents of two words, of which one is a stop-word, from new postings."""
+    docs = t("documents")
+    index = fulltext.PostingsIndex(docs.sparkSession, vector_index.new_folder(docs.sparkSession, "postings"))
+    index.insert(docs, "doc_id", "text")
+    return index.search("the worthless idiots", 10).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH v AS (SELECT vec_id AS id, {_COS} AS v FROM embeddings ORDER BY v DESC, id LIMIT 20),

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import functools
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions import vectors
 from tessera.functions.enrich import words
+from tessera.functions.stems import stem  # noqa: F401  (part of this module's interface)
+from tessera.operators import fulltext
 from tessera.operators.relational import keyword_match, query_terms
 
-# English stop-words of full-text search.
-ENGLISH_STOP_WORDS = """
-i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
-itself they them their theirs themselves what which who whom this that these those am is are was were be been being have
-has had having do does did doing a an the and but if or because as until while of at by for with about against between
-into through during before after above below to from up down in out on off over under again further then once here there
-when where why how all any both each few more most other some such no nor not only own same so than too very s t can will
-just don should now
-""".split()
-
-
 def keyword_search(df: DataFrame, question: str, columns: list[str], order: list, most: int = 10) -> DataFrame:
     """Rows that have one of the question's words in a column, the first by ``order``. If there are
     none, rows that have all its words as tokens."""
@@ -42,57 +30,9 @@ def has_all(c: Column, query: str) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), words(c))) == 0 if wanted else F.lit(False)
 
 
-@functools.cache
-def stem(word: str) -> str:
-    """An English stem: plural, past and gerund endings, then common suffixes.
-
-    An approximation: ranks agree with other engines only roughly.
-    """
-    vowel = lambda s: any(c in "aeiouy" for c in s)
-    for end, by in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(end):
-            word = word[: len(word) - len(end)] + by
-            break
-    for end in ("ing", "ed"):
-        if word.endswith(end) and vowel(word[: -len(end)]):
-            word = word[: -len(end)]
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif len(word) > 1 and word[-1] == word[-2] and word[-1] not in "lsz":
-                word = word[:-1]
-            break
-    if word.endswith("y") and vowel(word[:-1]):
-        word = word[:-1] + "i"
-    for end, by in (("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("entli", "ent"), ("ment", ""), ("ness", "")):
-        if word.endswith(end) and len(word) - len(end) > 2:
-            word = word[: len(word) - len(end)] + by
-            break
-    return word
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems(tokens: pd.Series) -> pd.Series:
-    stop = set(ENGLISH_STOP_WORDS)
-    return tokens.map(lambda ts: [stem(t) for t in ts if t not in stop] if ts is not None else [])
-
-
-def english_rank(c: Column, query: str) -> Column:
-    """Sum of log(1 + frequency) of the query's stems, null unless the text has them all."""
-    wanted = list(dict.fromkeys(stem(w) for w in re.findall(r"\w+", query.lower()) if w not in ENGLISH_STOP_WORDS))
-    if not wanted:
-        return F.lit(None).cast("double")
-    tokens = _stems(words(c))
-
-    def count(w: str) -> Column:
-        return F.log1p(F.size(F.filter(tokens, lambda t: t == F.lit(w))).cast("double"))
-
-    score = sum((count(w) for w in wanted), F.lit(0.0))
-    return F.when(F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), tokens)) == 0, score)
-
-
 def english_search(df: DataFrame, query: str, text: str, key: str, most: int = 5) -> DataFrame:
-    # The stems are a step of their own: each text goes to Python once.
-    return df.withColumn("score", english_rank(F.col(text), query)).filter("score is not null").orderBy(F.desc("score"), key).limit(most)
+    """English full text without an index, see :func:`tessera.operators.fulltext.search`."""
+    return fulltext.search(df, query, text, key, most)
 
 
 def vector_search(df: DataFrame, query: list[float], vector: str, key: str, most: int = 5, threshold: float | None = None) -> DataFrame:

@@ -211,9 +211,9 @@ class VectorIndex:
         return hits.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def new_folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession, name: str = "vectors") -> str:
     """A folder for an index of one session, below the shared one."""
-    return f"{scratch.shared_folder(spark)}/tessera/vectors-{uuid.uuid4().hex}"
+    return f"{scratch.shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
 def recall(found: DataFrame, truth: DataFrame) -> float:
