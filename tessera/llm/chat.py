@@ -184,7 +184,7 @@ def reply_trees(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as reply trees: each turn replies to the one before it.
 
     Rows of one conversation and turn are told apart by role and text, and rows that repeat whole
-    by number; rows of a null conv_id aren't a conversation and are left out. The score prefers nothing.
+    by number; rows of a null conv_id are left out, unless the key is a struct around it. The score prefers nothing.
     """
     rows = turns.filter("conv_id is not null").select(F.col("conv_id").alias("tree"), "turn", "role", "text")
     w = Window.partitionBy("tree").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
@@ -193,10 +193,11 @@ def reply_trees(turns: DataFrame) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, formatted, and their digests as read back."""
+    """All conversations and conversation -1, formatted, and their digests as read back. Rows of a null conv_id are a
+    conversation too: keys travel as structs, which are never null themselves."""
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = shared.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    messages = shared.written(reply_trees(rows), "messages")
-    out = shared.written(format_paths(conversations(messages)), "formatted")
-    return read_back(out)
+    messages = shared.written(reply_trees(rows.withColumn("conv_id", F.struct("conv_id"))), "messages")
+    out = read_back(shared.written(format_paths(conversations(messages)), "formatted"))
+    return out.withColumn("conv_id", F.col("conv_id.conv_id"))

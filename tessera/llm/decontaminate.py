@@ -8,6 +8,7 @@ word and compared exactly.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -94,6 +95,11 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.blob[self.starts[i] : self.ends[i]]
 
+    def said(self, k: int, at: np.ndarray) -> list[bytes]:
+        """The k words from each place ``at``, with a space between."""
+        blob, starts, ends = self.blob, self.starts, self.ends
+        return [b" ".join([blob[a:b] for a, b in zip(starts[i : i + k].tolist(), ends[i : i + k].tolist(), strict=True)]) for i in at.tolist()]
+
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each place; where the text ends before, the largest value."""
         n = len(self.hashes)
@@ -230,12 +236,23 @@ def _row(n: int, spans: list[tuple[int, int]], items: set) -> tuple:
     return n, hit, len(items), _digest(items), hit > 0 and 20 * hit >= n
 
 
+#: The index that this worker has built last, under the name of its benchmark.
+_LAST: dict[str, Index] = {}
+
+
+def _index(name: str, items: list[tuple[str, bytes]], span: int, gram: int) -> Index:
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Index(items, span, gram)
+    return _LAST[name]
+
+
 def _sent(rows: DataFrame, items: list[tuple[str, bytes]], span: int, gram: int) -> DataFrame:
     """Overlap of every row (k, t) with a benchmark that all executors hold."""
-    held = rows.sparkSession.sparkContext.broadcast(items)
+    held, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(held.value, span, gram)
+        index = _index(name, held.value, span, gram)
         for batch, texts in shared.bounded(batches, "t"):
             words = Words([t.encode() for t in texts])
             spans, seen = defaultdict(list), defaultdict(set)
@@ -252,8 +269,8 @@ def _sent(rows: DataFrame, items: list[tuple[str, bytes]], span: int, gram: int)
 
 
 def _windows(rows: DataFrame, span: int, gram: int, sizes: list[int], of_items: bool) -> DataFrame:
-    """id, size, fp of each distinct fingerprint of the texts (id, t); of items also the hashes a and b
-    of each distinct window, which stands under the minimum of its k-grams."""
+    """id, size, fp of each distinct fingerprint of the texts (id, t); of items also the hashes a and b and the
+    words w of each distinct window, which stands under the minimum of its k-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in shared.bounded(batches, "t"):
@@ -265,20 +282,25 @@ def _windows(rows: DataFrame, span: int, gram: int, sizes: list[int], of_items:
                     own = counts[words.owner[at]] == length
                     at, fp = at[own], fp[own]
                 parts = [words.owner[at].astype(np.int64), fp.view(np.int64)]
-                if of_items:
+                if of_items:  # windows of equal hashes and different words stay apart
+                    said = {w: i for i, w in enumerate(dict.fromkeys(words.said(length, at)))}
+                    number = np.array([said[w] for w in words.said(length, at)], np.int64)
                     parts += [h.view(np.int64) for h in words.spans(length, at)]
+                    parts.append(number)
                 order = np.lexsort(parts[::-1])
                 parts = [c[order] for c in parts]
                 fresh = np.r_[True, np.any([c[1:] != c[:-1] for c in parts], axis=0)] if len(at) else np.empty(0, bool)
-                owner, *rest = (c[fresh] for c in parts)
+                owner, *rest = (c[fresh] for c in (parts[:-1] if of_items else parts))
                 columns = [batch.column(0).take(pa.array(owner)), pa.array(np.full(len(owner), length, np.int32)), *map(pa.array, rest)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "fp", "a", "b"][: len(columns)])
+                if of_items:
+                    columns.append(pa.array(words.said(length, at[order][fresh]), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "fp", "a", "b", "w"][: len(columns)])
 
-    return shared.mapped(rows, run, shared.with_results(rows, "size int, fp long" + (", a long, b long" if of_items else "")))
+    return shared.mapped(rows, run, shared.with_results(rows, "size int, fp long" + (", a long, b long, w binary" if of_items else "")))
 
 
 def _candidates(rows: DataFrame, span: int, gram: int, sizes: list[int]) -> DataFrame:
-    """id, size, start and the hashes a and b of the windows of the texts (id, fps, t) whose minimum is
+    """id, size, start, the hashes a and b and the words w of the windows of the texts (id, fps, t) whose minimum is
     among ``fps``: what a fingerprint has hit is extended to the windows around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,10 +313,10 @@ def _candidates(rows: DataFrame, span: int, gram: int, sizes: list[int]) -> Data
                 at = at[np.isin(fp, known)]
                 owner = words.owner[at]
                 a, b = words.spans(length, at)
-                columns = [batch.column(0).take(pa.array(owner.astype(np.int64))), pa.array(np.full(len(at), length, np.int32)), pa.array(at - words.first[owner]), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "start", "a", "b"])
+                columns = [batch.column(0).take(pa.array(owner.astype(np.int64))), pa.array(np.full(len(at), length, np.int32)), pa.array(at - words.first[owner]), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(words.said(length, at), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "start", "a", "b", "w"])
 
-    return shared.mapped(rows.select("id", "fps", "t"), run, "id long, size int, start long, a long, b long")
+    return shared.mapped(rows.select("id", "fps", "t"), run, "id long, size int, start long, a long, b long, w binary")
 
 
 def _salted(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
@@ -308,8 +330,8 @@ def _joined(rows: DataFrame, items: DataFrame, span: int, gram: int) -> DataFram
     """Overlap of every row (k, t) with a benchmark of any size, of rows (item, t).
 
     The fingerprints of all texts meet the distinct ones of the benchmark; texts with a hit are fetched
-    once, and those of their windows that a hit extends to meet the benchmark's windows, on 128 bits. A
-    passage that is in very many texts is spread over salted keys.
+    once, and those of their windows that a hit extends to meet the benchmark's windows by hashes, and are
+    compared word by word. A passage that is in very many texts is spread over salted keys.
     """
     rows = shared.written(rows.withColumn("id", F.monotonically_increasing_id()), "texts")
 
@@ -323,7 +345,7 @@ def _joined(rows: DataFrame, items: DataFrame, span: int, gram: int) -> DataFram
     met = _salted(_windows(rows.select("id", "t"), span, gram, sizes, False), own.select("size", "fp").distinct(), ["size", "fp"])
     met = met.groupBy("id").agg(F.collect_set("fp").alias("fps"))
     found = _candidates(rows.select("id", "t").join(met, "id").select("id", "fps", "t"), span, gram, sizes)
-    hits = _salted(found, own.select(F.col("id").alias("item"), "size", "a", "b").distinct(), ["size", "a", "b"])
+    hits = _salted(found, own.select(F.col("id").alias("item"), "size", "a", "b", F.col("w").alias("said")).distinct(), ["size", "a", "b"]).filter("w = said")
     spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
     hits = hits.groupBy("id").agg(spans.alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("reach"))
@@ -346,7 +368,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     ``sent_bytes`` (counted first) is sent to the executors, a larger one is joined by fingerprints.
     """
     rows = shared.carried(docs, [key], text)
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("t")).filter("item is not null and t is not null")
+    items = benchmark.select(F.col(shared.quoted(item)).cast("string").alias("item"), F.col(shared.quoted(item_text)).alias("t")).filter("item is not null and t is not null")
     size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     found = _joined(rows, items, span, gram) if size > sent_bytes else _sent(rows, [(r["item"], r["t"].encode()) for r in items.collect()], span, gram)
     return found.select("k.*", *found.columns[1:])
@@ -355,13 +377,15 @@ def overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, unchanged, whatever their columns are called.
 
-    Null and empty texts stay; repeated rows have one fate. The texts that go are found first and written by hash; only if they are few are they broadcast.
+    Null and empty texts stay; repeated rows have one fate. The texts that go are found first and written by
+    their SHA-256; only if they are few are they broadcast.
     """
-    bad = overlap(docs.select(F.xxhash64(F.col(text)).alias("__of"), F.col(text)), benchmark, text, "__of").filter("contaminated")
+    of = F.sha2(F.col(shared.quoted(text)), 256)
+    bad = overlap(docs.select(of.alias("__of"), F.col(shared.quoted(text)).alias("__text")), benchmark, "__text", "__of").filter("contaminated")
     bad = shared.written(bad.select("__of").distinct(), "contaminated")
-    if shared.fits(bad, 32):
+    if shared.fits(bad, 112):
         bad = F.broadcast(bad)
-    return docs.join(bad, F.xxhash64(docs[text]) == bad["__of"], "left_anti")
+    return docs.join(bad, of == bad["__of"], "left_anti")
 
 
 def op3_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

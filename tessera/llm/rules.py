@@ -26,7 +26,7 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null and empty texts have no words: all counts are 0 and base_failed is true.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(shared.quoted(text)), F.lit(""))
     out = docs.withColumns({"__text": t, "__words": words_of(t)})
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.size("__words")
@@ -61,8 +61,8 @@ def normal_lines(text: Column) -> Column:
 def _texts(docs: DataFrame, text: str, host: str) -> DataFrame:
     """Host, text hash and distinct line hashes of each distinct text of a host: exact copies are one
     document, here before anything is shuffled or counted."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(host).alias("host"), F.xxhash64(t).alias("of"), F.array_distinct(F.transform(normal_lines(t), lambda x: x["h"])).alias("hs"))
+    t = F.coalesce(F.col(shared.quoted(text)), F.lit(""))
+    rows = docs.select(F.col(shared.quoted(host)).alias("host"), F.xxhash64(t).alias("of"), F.array_distinct(F.transform(normal_lines(t), lambda x: x["h"])).alias("hs"))
     return rows.groupBy("host", "of").agg(F.first("hs").alias("hs"))
 
 
@@ -104,7 +104,7 @@ def _marked(rows: DataFrame, often: DataFrame, sent_bytes: int) -> DataFrame:
 
 def _lost(text: str, bad: str) -> Column:
     """Words of the lines of ``text`` that are ``bad``."""
-    lines = normal_lines(F.col(text))
+    lines = normal_lines(F.col(shared.quoted(text)))
     hit = F.filter(lines, lambda x: F.array_contains(bad, x["h"]))
     return F.when(F.col(bad).isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(hit, F.lit(0).cast("long"), lambda a, x: a + x["w"]))
 
@@ -112,7 +112,7 @@ def _lost(text: str, bad: str) -> Column:
 def _verdicts(docs: DataFrame, keep: Column, text: str, host: str, key: str, min_documents: int, line_percent: int, depleted_percent: int, sent_bytes: int) -> DataFrame:
     """``keep``, __t, __bad and the base statistics of every row, and whether the rules keep it."""
     often = frequent_lines(docs, text, host, min_documents, line_percent)
-    rows = docs.select(keep, F.coalesce(F.col(text), F.lit("")).alias("__t"), F.col(host).alias("__host"), F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("__salt"))
+    rows = docs.select(keep, F.coalesce(F.col(shared.quoted(text)), F.lit("")).alias("__t"), F.col(shared.quoted(host)).alias("__host"), F.pmod(F.xxhash64(F.col(shared.quoted(key))), F.lit(SALTS)).alias("__salt"))
     rows = _marked(rows, often, sent_bytes).withColumn("__lost", _lost("__t", "__bad"))
     stats = base_statistics(rows, "__t")
     return stats.withColumn("__kept", ~F.col("base_failed") & (F.col("__lost") * 100 <= F.col("n_words") * depleted_percent))
@@ -125,14 +125,14 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", key: str =
     Null and empty texts fail the base rules. Repeated rows each keep their row, and count as one
     document in line frequencies. Rows of a null host form a host. Extra columns are ignored.
     """
-    found = _verdicts(docs, F.col(key).alias("__key"), text, host, key, min_documents, line_percent, depleted_percent, sent_bytes)
+    found = _verdicts(docs, F.col(shared.quoted(key)).alias("__key"), text, host, key, min_documents, line_percent, depleted_percent, sent_bytes)
     return found.select(F.col("__key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("__kept").alias("kept"), F.col("__lost").alias("n_lost_words"))
 
 
 def without_lines(text: str, bad: str) -> Column:
     """``text`` without the lines whose hashes are in the array ``bad``; other lines stay as they are."""
     h = lambda x: F.xxhash64(F.trim(F.regexp_replace(F.lower(x), BLANKS, " ")))
-    return F.when(F.col(bad).isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(bad, h(x))), "\n"))
+    return F.when(F.col(bad).isNull(), F.col(shared.quoted(text))).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(bad, h(x))), "\n"))
 
 
 def accepted(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", length: str | None = None, min_documents: int = MIN_DOCUMENTS, line_percent: int = LINE_PERCENT, depleted_percent: int = DEPLETED_PERCENT, sent_bytes: int = SENT_BYTES) -> DataFrame:
@@ -141,7 +141,7 @@ def accepted(docs: DataFrame, text: str = "text", host: str = "source", key: str
     All other columns, whatever their names, are as they were, but for ``length``, which is set to the
     code points of the text that stays. Null and empty texts go; repeated rows stay, both of them.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__row")
+    row = F.struct(*[F.col(shared.quoted(c)) for c in docs.columns if c != text]).alias("__row")
     found = _verdicts(docs, row, text, host, key, min_documents, line_percent, depleted_percent, sent_bytes)
     # Catalyst would push a plain filter below the steps of the statistics and repeat them in it, once
     # for each word; past an id that isn't deterministic it pushes none.

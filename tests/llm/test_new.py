@@ -10,10 +10,10 @@ import numpy as np
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
-from test_llm import BYTE, ODD, WORD, odd_documents
+from test_llm import BYTE, ODD, WORD, odd_documents, overlap_by_force
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, divergence, linededup, pieces, queries, tokenfile, trie
+from tessera.llm import bpe, chat, decontaminate, divergence, linededup, pieces, queries, rules, tokenfile, trie
 
 # ---- line deduplication (12) -------------------------------------------------------------------
 
@@ -244,3 +244,38 @@ def test_every_code_point(path):
     """Letters, numbers, blanks, normal forms and case are the library's, also of what is newer than Python's tables."""
     points = [*range(1, 0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200)]
     assert same_as_library(path, [f"a{c} {c}1{c}b" for c in map(chr, points)]) == []
+
+
+# ---- what earlier operators left open (3, 6, 10) -----------------------------------------------
+
+
+@pytest.mark.parametrize("sent", [1 << 24, 0])
+def test_overlap_compares_words(spark, sent):
+    """Words whose hashes agree, in windows of one word, of 13, and on both sides."""
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    y = x.translate(str.maketrans("ab", "ba"))
+    docs = [(0, f"w1 w2 {x} w3"), (1, f"w1 w2 {y} w3"), (2, " ".join([x, y] * 20)), (3, " ".join([x] * 40)), (4, f"{x} a b c d e f g h i j k l m"), (5, f"{y} a b c d e f g h i j k l m"), (6, None), (7, ""), (8, x.upper())]
+    items = [(1, y), (2, " ".join([x, y] * 7)), (3, f"{y} a b c d e f g h i j k l m n"), (4, " ".join([y] * 13)), (5, None), (6, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.overlap(d, b, sent_bytes=sent).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == overlap_by_force(docs, items)
+    assert next(r for r in got if r.doc_id == 0).n_hit == 0
+
+
+def test_chat_keeps_a_null_key(spark, tmp_path):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (None, 1, "assistant", "</s>"), (None, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.op6_chat_formatting(spark, str(tmp_path)).collect()}
+    assert set(got) == {None, 1, -1}
+    assert (got[None].n_turns, got[None].loss_chars) == (2, 4)
+    assert got[None].turns_sha256 == hashlib.sha256(b"user\n\nassistant\n</s>\n").hexdigest()
+
+
+def test_names_with_dots_and_backticks(spark):
+    docs = spark.createDataFrame([(1, "a b " * 60, "h")], ["d.`k", "t.x", "s`"])
+    benchmark = spark.createDataFrame([("i", "z")], ["i.d", "t`"])
+    assert rules.judged(docs, "t.x", "s`", "d.`k").first()["n_words"] == 120
+    assert rules.accepted(docs, "t.x", "s`", "d.`k").columns == docs.columns
+    assert decontaminate.overlap(docs, benchmark, "t.x", "d.`k", "t`", "i.d").first()["n_words"] == 120
+    assert linededup.deduplicated(docs, "d.`k", "t.x").first() == docs.first()
+    assert decontaminate.clean(docs, benchmark.withColumnsRenamed({"t`": "text", "i.d": "item_id"}), "t.x", "d.`k").count() == 1
