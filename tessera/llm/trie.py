@@ -20,7 +20,7 @@ from tessera.llm import shared
 
 #: Conversations above which a node belongs to the upper levels; nodes that are packed into one trie, unless one
 #: shard has more; turns of a conversation that are chained in one go; characters of ids that make a chunk.
-HEAVY, PACKED, CHAINED, CHUNK = 2000, 100_000, 1024, 1 << 16
+HEAVY, PACKED, CHAINED, CHUNK = 200, 100_000, 1024, 1 << 16
 #: Turns that a conversation has from the first of its hundred at most, plus one.
 HEADS, HUNDRED = 6, 100
 ROOT = b"\0" * 16
