@@ -21,6 +21,8 @@ CLOSES = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
+#: What a container of main text holds.
+PLAIN = frozenset("# p h1 h2 h3 h4 h5 h6 ul ol blockquote pre".split())
 #: Elements in which a block doesn't end a paragraph that began outside.
 KEEPS = ("button", "table", "td", "th", "caption")
 
@@ -41,6 +43,16 @@ class Page:
         self.label: list[int | None] = [0]
         self.text: list[str] = [""]
         self.linked: list[int] = [0]
+        self._outline: tuple[frozenset[int], bool, frozenset[int]] | None = None
+
+    def outline(self) -> tuple[frozenset[int], bool, frozenset[int]]:
+        """The elements that hold text, paragraphs, headings or lists themselves, whether any element is made for main
+        text, and the elements that hold paragraphs."""
+        if self._outline is None:
+            plain = [t in PLAIN for t in self.tag]
+            direct = frozenset(p for p, own in zip(self.parent, plain, strict=True) if own)
+            self._outline = direct, any(t in ("article", "main") for t in self.tag), frozenset(p for p, t in zip(self.parent, self.tag, strict=True) if t == "p")
+        return self._outline
 
     def add(self, parent: int, tag: str, hints: tuple[str, ...] = (), label: int | None = None, text: str = "", linked: int = 0) -> int:
         self.parent.append(parent)
@@ -149,9 +161,17 @@ def parse(source: str, labelled: bool = False) -> Page:
             pieces.clear()
         linked = 0
 
+    def implied() -> None:
+        """Content outside of ``body`` opens one, as in browsers."""
+        if stack[-1][0] in ("#page", "html"):
+            places["body"].append(len(stack))
+            stack.append(("body", page.add(stack[-1][1], "body"), False))
+
     def said(raw: str) -> None:
         nonlocal linked
         if raw and not stack[-1][2]:
+            if stack[-1][0] in ("#page", "html") and not raw.isspace():
+                implied()
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if in_link:
@@ -209,6 +229,8 @@ def parse(source: str, labelled: bool = False) -> Page:
                 close(last)
                 if tag != "tr":
                     break
+        if tag not in HIDDEN and tag not in ("html", "body"):
+            implied()
         hidden = stack[-1][2] or tag in HIDDEN
         node = stack[-1][1]
         if block and not hidden:

@@ -23,6 +23,8 @@ SMOOTH = 0.5
 #: Most that one text block may say, as a logarithm: blocks of a page resemble each other, and what
 #: many of them say would else outweigh the elements around.
 TEXT_REACH = 2.5
+#: Text blocks of one shape that count in full on a page: more of them share what these say.
+ALIKE = 4
 
 
 def _bucket(n: int) -> int:
@@ -32,14 +34,19 @@ def _bucket(n: int) -> int:
 def features(page: dom.Page, i: int) -> list[str]:
     """What is seen of a node: of an element its tag and hints, of a text its shape."""
     tag = page.tag[i]
+    if tag == "body":  # does it hold the blocks itself, or elements that do?
+        direct, inner, _ = page.outline()
+        return [f"body {i in direct} {inner}", *(f"hint {h}" for h in page.hints[i])]
     if tag != "#":
-        return [f"tag {tag}", *(f"hint {h}" for h in page.hints[i])]
+        named = " named" if tag in ("article", "main") and page.hints[i] else " p" if tag == "td" and i in page.outline()[2] else ""
+        return [f"tag {tag}{named}", *(f"hint {h}" for h in page.hints[i])]
     text = page.text[i]
     words = text.count(" ") + 1
     density = min(4, 5 * page.linked[i] // max(1, len(text)))
     ends = text[-1] in ".!?…:;\"'”»"
     # What depends on each other is one feature, so that it doesn't count twice.
-    return [f"in {page.tag[page.parent[i]]}", f"shape {min(6, _bucket(words))} {ends} {density}", f"sign {'©' in text}"]
+    around = page.tag[page.parent[i]] + " links" * (density >= 4)
+    return [f"in {around}", f"shape {min(6, _bucket(words))} {ends} {density}", f"sign {'©' in text}"]
 
 
 class Model:
@@ -85,26 +92,38 @@ class Model:
         return self
 
     def marginals(self, page: dom.Page) -> list[float]:
-        """Probability of main text of every node: one pass upwards, one downwards."""
+        """Probability of main text of every node."""
+        return self.passed(page)[0]
+
+    def passed(self, page: dom.Page) -> tuple[list[float], float]:
+        """Probability of main text of every node, and that the page has none at all: one pass upwards, one downwards."""
         n = len(page.tag)
         own0, own1 = [1.0] * n, [1.0] * n  # evidence of the subtree below, for label 0 and 1
         up0, up1 = [1.0] * n, [1.0] * n  # message of a node to its parent
         moves = [self.pass_on[""]] * n
         get, parent, tags = self.ratio.get, page.parent, page.tag
+        seen = [features(page, i) if i else [] for i in range(n)]
+        alike = Counter(f[1] for f, tag in zip(seen, tags, strict=True) if tag == "#")
         for i in range(1, n):
-            reach = TEXT_REACH if tags[i] == "#" else 12.0
-            own1[i] = math.exp(max(-reach, min(reach, sum(get(f, 0.0) for f in features(page, i)))))
+            said = sum(get(f, 0.0) for f in seen[i])
+            if tags[i] == "#":
+                own1[i] = math.exp(max(-TEXT_REACH, min(TEXT_REACH, said)) * min(1.0, ALIKE / alike[seen[i][1]]))
+            else:
+                own1[i] = math.exp(max(-12.0, min(12.0, said)))
             moves[i] = self.pass_on.get(self.kind(tags[i]), moves[i])
         own1[0] = 1e-9
+        none = 0.0  # logarithm of the weight of no main text, as a share of all weights
         for i in range(n - 1, 0, -1):
             (a, b), (c, d) = moves[i]
             x, y = own0[i], own1[i]
             m0, m1 = a * x + b * y, c * x + d * y
             s = m0 + m1
+            none += math.log(a) - math.log(s)
             up0[i], up1[i] = m0 / s, m1 / s
             p = parent[i]
             x, y = own0[p] * up0[i], own1[p] * up1[i]
             s = x + y
+            none -= math.log(s)
             own0[p], own1[p] = x / s, y / s
         out = [0.0] * n
         belief0, belief1 = own0[:], own1[:]
@@ -119,12 +138,14 @@ class Model:
             s = u + v
             belief0[i], belief1[i] = u / s, v / s
             out[i] = belief1[i]
-        return out
+        return out, math.exp(min(0.0, none))
 
     def extract(self, source: str, least: float = 0.5) -> str:
-        """The blocks whose marginal is ``least`` or more, in page order, one a line."""
+        """The blocks whose marginal is ``least`` or more, in page order, one a line. Marginals are those of a page that has
+        main text somewhere, if only in an element without any."""
         page = dom.parse(source)
-        found = self.marginals(page)
+        found, none = self.passed(page)
+        least *= 1 - none
         return "\n".join(t for tag, t, p in zip(page.tag, page.text, found, strict=True) if tag == "#" and p >= least)
 
 

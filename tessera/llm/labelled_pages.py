@@ -22,9 +22,10 @@ PARTS = {
 TAGS = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"], "ad": ["div", "aside", "ins"], "notice": ["div", "section", "aside"], "comments": ["section", "div", "ol"], "form": ["form", "form", "div"], "share": ["div", "ul"]}
 
 
-#: Layouts of pages: nested blocks, rows and cells of tables, a short article among forms and comments, and
-#: blocks without any names. The first is the commonest.
-LAYOUTS = ("blocks", "table", "short", "plain")
+#: Layouts of pages: nested blocks, rows and cells of tables, a short article among forms and comments, blocks
+#: without any names, and articles that stand in the body without an element of their own. The first is the
+#: commonest.
+LAYOUTS = ("blocks", "table", "short", "plain", "bare")
 
 
 class Grammar:
@@ -116,6 +117,8 @@ class Grammar:
             out.append(f"<h1>{title}</h1>")
         for _ in range(r.randint(1, 12) if r.random() < 0.8 else r.randint(12, 40)):
             out.append(self.block())
+            if r.random() < 0.04:
+                out.append(self.link_list())
             if r.random() < 0.08:
                 out.append(self.part(r.choice(["ad", "share", "aside", "notice", "form"])))
         if r.random() < 0.15:
@@ -151,18 +154,54 @@ class Grammar:
             rows.append(self.cell("footer", ' colspan="2"'))
         return f"<table{r.choice(['', ' width=100%', ' border=0'])} data-y=\"0\">" + "".join(f"<tr>{x}</tr>" for x in rows) + "</table>"
 
+    def bare(self) -> str:
+        """Blocks of main text as children of the body: from a single line of text to a long page."""
+        r = self.r
+        share = r.choice([0.0, 0.15, 0.3])
+        around = lambda names: [self.part(p) for p in names if r.random() < share]
+        before = around(("notice", "header", "nav", "form", "ad", "aside"))
+        out = []
+        if r.random() < 0.6:
+            title = " ".join(self.words(2, 9))
+            self.expected.append(title)
+            out.append(f"<h1>{title}</h1>")
+        if r.random() < 0.25:  # text without an element
+            text = " ".join(self.sentence() for _ in range(r.randint(1, 9)))
+            self.expected.append(text)
+            out.append(text)
+        for _ in range(r.choice([0, 1, 1, 2, 4, 10, 25]) if out else r.choice([1, 1, 2, 4, 10, 25])):
+            out.append(self.block())
+            if r.random() < 0.04:
+                out.append(self.link_list())
+        after = around(("share", "comments", "ad", "aside", "form", "notice", "footer"))
+        return f"<html><head><title>x</title></head><body{self.names(AROUND)} data-y=\"1\">{''.join([*before, *out, *after])}</body></html>"
+
+    def link_list(self) -> str:
+        """A list of links that belongs to the article: sources, contents, further pages."""
+        r = self.r
+        items = [" ".join(self.words(1, r.choice([1, 3, 8]))) for _ in range(r.choice([1, 2, 4, 8, 16, 30]))]
+        self.expected += items
+        tag = r.choice(["ul", "ul", "ol"])
+        return f"<{tag}>" + "".join(f"<li><a href='/{i}'>{x}</a></li>" for i, x in enumerate(items)) + f"</{tag}>"
+
     def page(self, layout: str | None = None) -> tuple[str, list[str]]:
         r = self.r
         self.expected = []
         self.plain, self.short = r.random() < 0.2, r.random() < 0.15
-        layout = layout or r.choices(LAYOUTS, (70, 12, 10, 8))[0]
+        layout = layout or r.choices(LAYOUTS, (58, 11, 9, 8, 14))[0]
         self.unnamed = layout == "plain"
         if layout == "table":
             body = self.table()
             return f"<html><head><title>x</title></head><body data-y=\"0\">{body}</body></html>", list(self.expected)
+        if layout == "bare":
+            return self.bare(), list(self.expected)
         before = [self.part(p) for p in ("notice", "header", "nav", "form", "ad", "aside") if r.random() < 0.45]
         main = self.main(short=layout == "short")
         after = [self.part(p) for p in ("share", "comments", "ad", "aside", "form", "notice", "footer") if r.random() < 0.45]
+        if r.random() < 0.12:  # lines around the article that have no element of their own
+            before.insert(0, f'<{(t := r.choice(["h1", "p", "p"]))} data-y="0">{" ".join(self.words(1, 6))}</{t}>')
+        if r.random() < 0.12:
+            after.append(f'<p data-y="0">{r.choice(["&copy; ", ""])}{" ".join(self.words(1, 6))}</p>')
         body = "".join([*before, main, *after])
         for _ in range(r.randint(0, 2)):
             body = f"<div{self.names(AROUND)}>{body}</div>"

@@ -8,12 +8,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hand_pages import PAGES
 from oracle import same
 from pyspark.sql import functions as F
 from test_llm import BYTE, ODD, WORD, odd_documents, overlap_by_force
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, chat, decontaminate, divergence, linededup, pieces, queries, rules, tokenfile, trie
+from tessera.llm import bpe, chat, decontaminate, divergence, html_text, labelled_pages, linededup, pieces, queries, rules, tokenfile, trie
 
 # ---- line deduplication (12) -------------------------------------------------------------------
 
@@ -279,3 +280,37 @@ def test_names_with_dots_and_backticks(spark):
     assert decontaminate.overlap(docs, benchmark, "t.x", "d.`k", "t`", "i.d").first()["n_words"] == 120
     assert linededup.deduplicated(docs, "d.`k", "t.x").first() == docs.first()
     assert decontaminate.clean(docs, benchmark.withColumnsRenamed({"t`": "text", "i.d": "item_id"}), "t.x", "d.`k").count() == 1
+
+
+# ---- main text of pages (5) --------------------------------------------------------------------
+
+
+def test_pages_that_no_grammar_made():
+    model = html_text.trained()
+    hit = found = wanted = 0
+    for source, blocks in PAGES:
+        got, want = Counter(b for b in model.extract(source).split("\n") if b), Counter(blocks)
+        hit, found, wanted = hit + (got & want).total(), found + got.total(), wanted + want.total()
+    assert len(PAGES) >= 40
+    assert hit / wanted >= 0.95
+    assert hit / found >= 0.95
+
+
+def test_bare_pages_of_the_grammar():
+    model = html_text.trained()
+    hit = found = wanted = 0
+    for source, blocks in labelled_pages.pages(200, seed=77, layout="bare"):
+        got, want = set(model.extract(re.sub(r' data-y="\d"', "", source)).split("\n")) - {""}, {" ".join(b.split()) for b in blocks}
+        hit, found, wanted = hit + len(got & want), found + len(got), wanted + len(want)
+    assert hit / found >= 0.95
+    assert hit / wanted >= 0.95
+
+
+@pytest.mark.parametrize("count", [1, 2, 5, 10, 30, 100])
+def test_long_and_short_articles(count):
+    text = "Rain fell all day in the valley. Nobody went out."
+    model = html_text.trained()
+    for around in ("<body><h1>A day of rain</h1>{}</body>", "<article><h1>A day of rain</h1>{}</article>", "<h1>A day of rain</h1>{}"):
+        assert model.extract(around.format(f"<p>{text}</p>" * count)) == "\n".join(["A day of rain", *[text] * count])
+    links = "".join(f"<li><a href='/{i}'>page {i}</a></li>" for i in range(min(count, 30)))
+    assert model.extract(f"<html><body><article><p>{text}</p><ul>{links}</ul></article></body></html>").startswith(text)
