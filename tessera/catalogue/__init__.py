@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.catalogue import graphs, ingestion, quality, relational, retrieval, similarity, telemetry, texts
+from tessera.catalogue import graphs, ingestion, quality, relational, retrieval, similarity, stored, telemetry, texts
 from tessera.catalogue.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graphs", "ingestion", "quality", "relational", "retrieval", "similarity", "telemetry", "texts"]
+__all__ = ["ORACLES", "QUERIES", "graphs", "ingestion", "quality", "relational", "retrieval", "similarity", "stored", "telemetry", "texts"]

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+import zlib
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.catalogue.registry import query
 from tessera.functions import text
-from tessera.operators import dedup, observe, quality, relational
+from tessera.operators import dedup, observe, quality, relational, vector_index
 from tessera.plans import api, silver
 from tessera.sources import files, mail, sinks
 
@@ -50,6 +58,89 @@ def documents_read(t):
     return found.select("doc_id", F.md5("text").alias("text"), F.coalesce(F.substring_index("read_error", ":", 1), F.lit("")).alias("error"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _packed(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+    """Texts as the smallest real files of their kind, a paragraph, row or shown string for each line."""
+
+    def zipped(parts: dict[str, str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, part in parts.items():
+                z.writestr(name, part)
+        return out.getvalue()
+
+    def docx(lines: list[str]) -> bytes:
+        body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in lines)
+        return zipped({"word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'})
+
+    def xlsx(lines: list[str]) -> bytes:
+        main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        rows = "".join(f'<row><c r="A{i}" t="s"><v>{i - 1}</v></c><c r="C{i}"><v>{i}</v></c></row>' for i in range(1, len(lines) + 1))
+        strings = "".join(f"<si><t>{escape(x)}</t></si>" for x in lines)
+        return zipped({
+            "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Lines" sheetId="1" r:id="r1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/one.xml"/></Relationships>',
+            "xl/sharedStrings.xml": f'<sst xmlns="{main}">{strings}</sst>',
+            "xl/worksheets/one.xml": f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>',
+        })
+
+    def pdf(lines: list[str]) -> bytes:
+        shown = "\n".join("(" + re.sub(r"([()\\])", r"\\\1", x) + ") Tj T*" for x in lines)
+        packed = zlib.compress(f"BT /F1 12 Tf\n{shown}\nET".encode())
+        head = f"%PDF-1.4\n1 0 obj\n<< /Length {len(packed)} /Filter /FlateDecode >>\nstream\n".encode()
+        return head + packed + b"\nendstream\nendobj\n%%EOF\n"
+
+    make = {".docx": docx, ".xlsx": xlsx, ".pdf": pdf}
+    return pd.Series([make[k](t.split("\n")) for k, t in zip(kinds, texts, strict=True)])
+
+
+_PLAIN = "regexp_replace(text, '[^ -~\\n]', '?', 'g')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, list_filter(string_split({_PLAIN}, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
+SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN array_to_string(ls, chr(10)) WHEN 1 THEN array_to_string(list_prepend('=== Sheet: Lines ===', list_transform(ls, lambda x, i: x || ' |  | ' || i)), chr(10)) ELSE trim(array_to_string(ls, chr(10)), ' ') END) AS text, true AS read FROM documents JOIN d USING (doc_id)""")
+def office_files_read(t):
+    """Every document as a real DOCX, XLSX or PDF file, read again."""
+    plain = F.regexp_replace("text", r"[^ -~\n]", "?")
+    lines = F.array_join(F.filter(F.split(plain, "\n"), lambda x: F.trim(x) != ""), "\n")
+    kind = F.get(F.array(F.lit(".docx"), F.lit(".xlsx"), F.lit(".pdf")), (F.col("doc_id") % 3).cast("int"))
+    rows = t("documents").select("doc_id", kind.alias("extension"), _packed(kind, lines).alias("content"))
+    found = files.document_text(rows)
+    return found.select("doc_id", F.md5("text").alias("text"), F.col("read_error").isNull().alias("read"))
+
+
+@query("SELECT doc_id, reverse(text) AS text FROM documents WHERE source = 'src3'")
+def reader_hook(t):
+    """A reader of an extension of one's own, registered for this query."""
+    rows = t("documents").filter("source = 'src3'").select("doc_id", F.lit(".rev").alias("extension"), F.col("text").cast("binary").alias("content"))
+    files.register_reader(".rev", lambda c: F.reverse(c.cast("string")))
+    found = files.document_text(rows, (".rev",)).select("doc_id", "text")
+    files.READERS.pop(".rev")
+    return found
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, role, text FROM conversations WHERE role = 'user'")
+def json_lines_round_trip(t):
+    """Two backups into one folder, read back."""
+    rows = t("conversations").select("conv_id", "turn", "role", "text")
+    folder = vector_index.new_folder(rows.sparkSession, "backup")
+    sinks.json_lines(rows, folder)
+    sinks.json_lines(rows.filter("role = 'user'"), folder)
+    return files.jsonl(rows.sparkSession, folder, "conv_id long, turn long, role string, text string")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS price, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 'second ' || o_orderkey END AS VARCHAR) AS note FROM orders")
+def migrated_table(t):
+    """A stored table that gets a column between two batches."""
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    folder, spark = vector_index.new_folder(rows.sparkSession, "migrated"), rows.sparkSession
+    sinks.append(rows.filter("id % 2 = 1"), folder)
+    wider = rows.filter("id % 2 = 0").withColumn("note", F.concat(F.lit("second "), "id"))
+    sinks.migrate(spark, folder, wider.schema)
+    sinks.append(wider, folder)
+    return sinks.current(spark, folder)
+
+
 def _mails(t):
     """Conversations' turns as mails in JSON: headers, a plain text in parts, three levels of attachments."""
     n = F.concat_ws("x", "conv_id", "turn")
@@ -102,7 +193,12 @@ def silver_tables(t):
     mails = mails.select(F.concat(F.lit("file:/x/"), key).alias("uri"), F.lit("box").alias("bucket"), key.alias("object_key"), F.regexp_extract(key, "([^/]*)$", 1).alias("filename"), F.lit("2024-01-01").cast("timestamp").alias("modified"), "content", F.octet_length("content").cast("long").alias("size_bytes"))
     found = silver.run(docs.unionByName(mails))
     kept = found["documents"].agg(F.count_if(~F.col("source").endswith(".Json")).alias("documents"), F.count_if(F.col("source").endswith(".Json")).alias("others"))
-    return kept.join(found["communications"].agg(F.count("*").alias("communications"))).join(found["files"].agg(F.count("*").alias("files")))
+    null = F.lit(None).cast("long")
+    rows = [kept.withColumns({"communications": null, "files": null})]
+    for name in ("communications", "files"):
+        rows.append(found[name].agg(F.count("*").alias(name)).withColumns({c: null for c in ("documents", "others", "communications", "files") if c != name}))
+    whole = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return whole.agg(*[F.max(c).alias(c) for c in ("documents", "others", "communications", "files")])
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'store ' || doc_id WHEN doc_id % 3 = 0 THEN 'mirror ' || doc_id WHEN doc_id % 5 = 0 THEN 'folder ' || doc_id END AS content FROM documents""")
@@ -115,8 +211,7 @@ def tiered_fetch(t):
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000.5 AND o_orderkey % 2 = 0")
 def raw_query(t):
     rows = t("orders")
-    rows.createOrReplaceTempView("raw_orders")
-    return files.query(rows.sparkSession, "SELECT o_orderkey, o_totalprice FROM raw_orders WHERE o_totalprice > :low AND o_orderkey % :m = 0", low=100000.5, m=2)
+    return files.query(rows.sparkSession, "SELECT o_orderkey, o_totalprice FROM {raw_orders} WHERE o_totalprice > :low AND o_orderkey % :m = 0", {"raw_orders": rows}, low=100000.5, m=2)
 
 
 @query("""SELECT vec_id, CASE WHEN vec_id % 3 = 2 THEN NULL ELSE len(embedding) END AS n, CASE WHEN vec_id % 3 = 2 THEN NULL ELSE round(CAST(embedding[1] AS DOUBLE), 4) END AS first FROM embeddings""")
@@ -166,7 +261,7 @@ def catalog_health(t):
 
 
 @query("SELECT doc_id AS id, source AS path FROM documents WHERE lang = 'en' AND source = 'src3' ORDER BY doc_id")
-def file_lookup(t):
+def filtered_lookup(t):
     return relational.where_equal(t("documents"), lang="en", source="src3").orderBy("doc_id").select(F.col("doc_id").alias("id"), F.col("source").alias("path"))
 
 
@@ -218,9 +313,9 @@ def _files(t):
 
 @query("SELECT c_custkey AS id, 'dir/' || c_name AS path, 'parent' AS way FROM customer WHERE c_nationkey = 7 UNION ALL SELECT c_custkey, 'dir/' || c_name, 'path' FROM customer WHERE c_name = (SELECT min(c_name) FROM customer)")
 def file_lookup(t):
-    least = t("customer").agg(F.min("c_name")).first()[0]  # one name
+    least = t("customer").agg(F.concat(F.lit("dir/"), F.min("c_name")).alias("path"))  # one row
     of = api.files_of(_files(t), 7).withColumn("way", F.lit("parent"))
-    return of.unionByName(api.file_at(_files(t), f"dir/{least}").withColumn("way", F.lit("path"))).select("id", "path", "way")
+    return of.unionByName(_files(t).join(F.broadcast(least), "path").withColumn("way", F.lit("path"))).select("id", "path", "way")
 
 
 @query("SELECT event_id AS id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10' ORDER BY ts, event_id LIMIT 25")

@@ -22,6 +22,8 @@ def query(oracle: str | None = None, longs: tuple[str, ...] = ()):
             df = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
             return df.withColumns({c: F.col(c).cast("long") for c in longs}) if longs else df
 
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = run
         if oracle:
             ORACLES[f.__name__] = oracle

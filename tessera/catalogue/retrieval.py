@@ -68,7 +68,8 @@ def _ranked_sql(terms: dict[str, str], most: int) -> str:
     return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_]+') AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM w),
 d AS (SELECT a.doc_id, abs(a.p - b.p) AS d FROM t a JOIN t b USING (doc_id) WHERE regexp_full_match(a.w, '{a}') AND regexp_full_match(b.w, '{b}'))
-SELECT doc_id, round(1 - exp(sum(ln(1 - 0.1 * sqrt({share})))), 6) AS score FROM d WHERE d > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {most}"""
+SELECT doc_id, round(1 - exp(sum(ln(1 - 0.1 * sqrt({share})))), 6) AS score FROM d WHERE d > 0 GROUP BY doc_id
+ORDER BY round(1 - exp(sum(ln(1 - 0.1 * sqrt({share})))), 9) DESC, doc_id LIMIT {most}"""
 
 
 @query(_ranked_sql({"worthless": "worthless(ly|ness)?", "idiot": "idiots?"}, 10))

@@ -55,7 +55,7 @@ def increase(samples: DataFrame, at: str, value: str, *by: str, size: str = "5 m
     early = F.least(reach(F.col("first_t") - start), to_zero)
     total = F.col("grown") * (sampled + early + reach(end - F.col("last_t"))) / sampled
     window = F.timestamp_seconds(F.col("w") * span).alias("window_start")
-    return found.select(window, *by, F.col("n").alias("samples"), F.round(total, 6).alias("increase"), F.round(total / span, 9).alias("rate"))
+    return found.select(window, *by, F.col("n").alias("samples"), total.alias("increase"), (total / span).alias("rate"))
 
 
 # ---- quantiles ---------------------------------------------------------------------------------

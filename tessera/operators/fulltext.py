@@ -72,7 +72,8 @@ def rank(positions: list[np.ndarray]) -> float:
 
 
 def ranked(rows: DataFrame, terms: list[str], most: int) -> DataFrame:
-    """key and score of the ``most`` best texts that have all ``terms``, from postings; ties are in the order of keys."""
+    """key and score of the ``most`` best texts that have all ``terms``, from postings; ties, by nine decimals, are in the
+    order of keys."""
     key = rows.schema["key"]
     found = rows.filter(F.col("term").isin(terms)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "positions"))).alias("of")).filter(F.size("of") == len(terms))
 
@@ -81,7 +82,7 @@ def ranked(rows: DataFrame, terms: list[str], most: int) -> DataFrame:
             scores = [rank([np.array(t["positions"], np.int64) for t in of]) for of in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["key", "score"])
 
-    scored = found.mapInArrow(run, T.StructType([key, T.StructField("score", T.DoubleType())]))
+    scored = found.mapInArrow(run, T.StructType([key, T.StructField("score", T.DoubleType())])).withColumn("score", F.round("score", 9))
     return scored.orderBy(F.desc("score"), "key").limit(most)
 
 

@@ -288,9 +288,9 @@ def jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
     return reader.json(path)
 
 
-def query(spark: SparkSession, sql: str, **params) -> DataFrame:
-    """SQL with named parameters."""
-    return spark.sql(sql, args=params)
+def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None, **params) -> DataFrame:
+    """SQL with named parameters; ``tables`` stand for the names in braces, without a view that others would see."""
+    return spark.sql(sql, args=params or None, **(tables or {}))
 
 
 def blank(c: Column) -> Column:

@@ -212,3 +212,11 @@ def test_hashed_counts_words(spark):
         want[slots[w]] += 1
     length = sum(x * x for x in want) ** 0.5
     assert value(spark, lambda c: vectors.hashed(c, 16), " ".join(said)) == pytest.approx([x / length for x in want])
+
+
+def test_projects(spark):
+    from tessera.functions import enrich
+
+    said = "Our Data Platform and the Blue Sky Project run on Docker; see Nền tảng. Release Alpha 12 Project uses RAG."
+    assert value(spark, enrich.projects, said) == sorted({"Our Data Platform", "Blue Sky Project", "Docker", "Alpha 12 Project", "RAG"})
+    assert value(spark, enrich.projects, None) == []
