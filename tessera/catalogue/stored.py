@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessera import scratch
 from tessera.catalogue.registry import ORACLES, query
 from tessera.operators import counters
+from tessera.operators.pages import PageTable
+from tessera.operators.substring_index import SubstringIndex
 from tessera.operators.vector_index import new_folder
 from tessera.sources.keyed import KeyedTable
 
@@ -74,3 +76,20 @@ def quantiles_of_days_from_hours(t):
     within = lambda p, q: ((below(p) <= q + counters.RANK_ERROR) & (upto(p) >= q - counters.RANK_ERROR)).alias(f"{p}_within")
     out = same.groupBy("window_start", "event_type").agg(F.count("*").alias("n"), within("p50", 0.5), within("p95", 0.95))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""SELECT doc_id FROM documents WHERE text ILIKE '%worthless%' OR source ILIKE '%worthless%' OR text ILIKE '%idi_t%' OR source ILIKE '%idi_t%' OR text ILIKE '%c17%' OR source ILIKE '%c17%'""")
+def substring_index_search(t):
+    """Words in any case, one with a wild character and one that only sources have, from a new index."""
+    docs = t("documents").select("doc_id", "text", "source")
+    index = SubstringIndex(docs.sparkSession, new_folder(docs.sparkSession, "substrings"), docs.schema, ["text", "source"])
+    index.insert(docs, "source")
+    return index.search(["Worthless", "idi_t", "c17"]).select("doc_id")
+
+
+@query("SELECT o_orderkey AS id, round(o_totalprice, 2) AS price FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 1000")
+def deep_page(t):
+    """Page 51 of all orders by price, from a table of ranges."""
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    table = PageTable.build(rows, new_folder(rows.sparkSession, "pages"), "price", allowed=("price", "id"))
+    return table.page(51, 20).withColumn("price", F.round("price", 2))
