@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalogue.registry import query
 from tessera.functions import enrich, vectors
-from tessera.operators import fulltext, relational, search, vector_index
+from tessera.operators import fulltext, latent, relational, search, vector_index
 from tessera.plans import api
 
 #: A fixed query vector of 64 dimensions.
@@ -36,6 +36,14 @@ def vector_index_exact(t):
     return hits.select("query", "key", F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def latent_vectors(t):
+    """Vectors of all documents in 64 dimensions that the documents themselves teach."""
+    docs = t("documents").select("doc_id", "text")
+    found = latent.Latent.fitted(docs, "text", 64).embedded(docs, "text")
+    return found.select("doc_id", F.transform("embedding_vector", lambda x: F.round(x, 4)).alias("embedding_vector"))
+
+
 @query()
 def vector_index_topk(t):
     """The same searches by codes, with an exact rerank; see the test of their recall."""
