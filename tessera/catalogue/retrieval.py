@@ -153,6 +153,19 @@ def retrieval_quality(t):
     return search.retrieval_quality(hits, e.filter("id % 3 = 0")).select("query", "precision", "recall", "mrr")
 
 
+@query("""WITH h AS (SELECT label AS q, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings),
+n AS (SELECT label AS q, count(*) AS n FROM embeddings WHERE vec_id % 3 = 0 GROUP BY label),
+d AS (SELECT q, sum(CASE WHEN id % 3 = 0 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM h WHERE rank <= 10 GROUP BY q)
+SELECT d.q AS "query", round(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= n.n), 5) AS ndcg FROM d JOIN n ON n.q = d.q""")
+def retrieval_ndcg(t):
+    """The discounted gain of the same rankings."""
+    from pyspark.sql import Window
+
+    e = t("embeddings").select(F.col("label").alias("query"), F.col("vec_id").alias("id"))
+    hits = e.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("id")))
+    return search.retrieval_quality(hits, e.filter("id % 3 = 0")).select("query", F.round("ndcg", 5).alias("ndcg"))
+
+
 @query("""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS name, substr(text, 1, 80) AS summary, text, doc_id % 4 AS importance FROM documents),
 i AS (SELECT '  name: ' || name || ' | summary: ' || summary || ' | importance: ' || importance AS l, row_number() OVER (ORDER BY importance DESC, id) AS r FROM n WHERE importance >= 2),
 k AS (SELECT '  name: ' || name || ' | type: document | summary: ' || summary || ' | importance: ' || importance AS l, row_number() OVER (ORDER BY importance DESC, id) AS r FROM n WHERE text ILIKE '%worthless%' OR text ILIKE '%idiot%')

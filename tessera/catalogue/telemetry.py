@@ -67,6 +67,13 @@ def predict_linear_6h(t):
     return _naive(out, "window_start").select("window_start", "slope")
 
 
+@query(f"""WITH r AS (SELECT {_W.format('6 hours')} AS s, epoch_us(ts) / 1e6 - epoch_us({_W.format('6 hours')}) / 1e6 AS t, value FROM events)
+SELECT s AS window_start, round(regr_intercept(value, t) + regr_slope(value, t) * (21600 + 86400), 4) AS predicted FROM r GROUP BY 1""")
+def predict_linear_ahead(t):
+    """Where the line of each six hours is a day after their end."""
+    return _naive(telemetry.predict_linear(_events(t), "ts", "value", 86400), "window_start").select("window_start", "predicted")
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY event_type")
 def aggregate_by_type(t):
     return telemetry.aggregate_by(t("events"), "value", "event_type")

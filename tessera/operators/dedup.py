@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.functions import similarity
 
 
@@ -56,25 +57,17 @@ def duplicate_groups(df: DataFrame, checksum: Column, key: str) -> DataFrame:
 COMMON = 1000
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` made once for several uses: in the checkpoint folder if the session has one, else stored by
-    the executors."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist()
-
-
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """key, n and e: the elements of each set (key, set, n) of which similar sets share one. Elements are counted first:
-    if none is in more than COMMON sets the order is by hash, within the row; else it is from rare to common."""
+    """key, n and e: the elements of each set (key, set, n) of which similar sets share one. The order of elements is by
+    hash, within the row, if no element is in the prefixes of more than COMMON sets, which are counted; else it
+    is from rare to common."""
     length = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
+    plain = sets.select("key", "n", F.explode(F.slice("set", F.lit(1), length)).alias("e"))
+    if plain.groupBy("e").agg(F.count("*").alias("f")).filter(F.col("f") > COMMON).isEmpty():
+        return plain
     frequency = sets.select(F.explode("set").alias("e")).groupBy("e").agg(F.count("*").alias("f"))
-    if frequency.filter(F.col("f") > COMMON).isEmpty():
-        prefix = sets.select("key", "n", F.explode(F.slice("set", F.lit(1), length)).alias("e"))
-    else:
-        ordered = sets.select("key", "n", F.explode("set").alias("e")).join(frequency, "e").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
-        prefix = ordered.select("key", "n", F.explode(F.slice("order", F.lit(1), length)["e"]).alias("e"))
-    return prefix
+    ordered = sets.select("key", "n", F.explode("set").alias("e")).join(frequency, "e").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
+    return ordered.select("key", "n", F.explode(F.slice("order", F.lit(1), length)["e"]).alias("e"))
 
 
 def similar_pairs(df: DataFrame, key: str, elements: Callable[[Column], Column], text: str, threshold: float, strict: bool = True) -> DataFrame:
@@ -86,7 +79,7 @@ def similar_pairs(df: DataFrame, key: str, elements: Callable[[Column], Column],
     are joined, with the length bound, and candidates are verified on the whole sets. What all have in common
     is joined only where sets have nothing else, see :func:`prefixes`.
     """
-    sets = kept(set_classes(df, key, elements, text).select("key", "set", F.size("set").alias("n")))
+    sets = scratch.Scratch(df.sparkSession, "sets").table(set_classes(df, key, elements, text).select("key", "set", F.size("set").alias("n")), "sets")
     prefix = prefixes(sets, threshold)
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.key") < F.col("b.key")) & (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
