@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from tessera.sources import sinks
 
 #: Rows of a block, blocks of a folder, folders of trigrams, and candidate blocks that are named to the scan.
 ROWS, BLOCKS, BUCKETS, NAMED = 256, 1024, 64, 2000
+#: Block numbers that the tasks of an insert have each: more than a task has rows for.
+TASK = 1 << 25
 
 
 def trigrams(query: str) -> list[str]:
@@ -49,16 +51,14 @@ class SubstringIndex:
     def insert(self, df: DataFrame, near: str) -> None:
         """Adds rows in new blocks. Rows that are next to each other in the order of the column ``near`` share blocks:
         the more alike they are, the fewer blocks a search reads."""
-        first = (self.rows().agg(F.max("block")).first()[0] or 0) + 1
+        last = self.rows().agg(F.max("block")).first()[0]
+        first = 0 if last is None else last // TASK + 1
         space = scratch.Scratch(self.spark, "blocks")
         at = F.monotonically_increasing_id()
-        # In each task rows are numbered in order; blocks of different tasks are told apart by the upper bits.
-        rows = df.repartitionByRange(near).sortWithinPartitions(near).withColumn("block", F.floor(at / self.size).cast("long"))
-        rows = space.table(rows, "numbered")
-        # A line for each block: one in so many rows.
-        numbers = space.table(rows.select("block").distinct().withColumn("new", F.row_number().over(Window.orderBy("block")) + F.lit(first - 1)), "numbers")
-        rows = space.table(rows.join(F.broadcast(numbers) if scratch.fits(numbers, 32) else numbers, "block").drop("block").withColumnRenamed("new", "block"), "rows")
-        rows = rows.withColumns({"block": F.col("block").cast("long"), "part": F.floor(F.col("block") / BLOCKS).cast("long")})
+        # Each task numbers its rows in order, in a span of block numbers of its own.
+        block = (F.lit(first) + F.shiftright(at, 33)) * TASK + F.floor(at.bitwiseAND((1 << 33) - 1) / self.size)
+        rows = df.repartitionByRange(near).sortWithinPartitions(near).withColumn("block", block.cast("long"))
+        rows = space.table(rows.withColumn("part", F.floor(F.col("block") / BLOCKS).cast("long")), "rows")
         # Small row groups, in the order of blocks: statistics let a scan skip the others.
         rows.repartitionByRange("block").sortWithinPartitions("block").write.mode("append").option("parquet.block.size", 1 << 20).partitionBy("part").parquet(f"{self.folder}/rows")
         found = self._block_grams(rows).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
