@@ -109,12 +109,12 @@ def office_files_read(t):
     return found.select("doc_id", F.md5("text").alias("text"), F.col("read_error").isNull().alias("read"))
 
 
-@query("SELECT doc_id, reverse(text) AS text FROM documents WHERE source = 'src3'")
+@query("SELECT doc_id, md5(reverse(text)) AS text FROM documents")
 def reader_hook(t):
     """A reader of an extension of one's own, registered for this query."""
-    rows = t("documents").filter("source = 'src3'").select("doc_id", F.lit(".rev").alias("extension"), F.col("text").cast("binary").alias("content"))
+    rows = t("documents").select("doc_id", F.lit(".rev").alias("extension"), F.col("text").cast("binary").alias("content"))
     files.register_reader(".rev", lambda c: F.reverse(c.cast("string")))
-    found = files.document_text(rows, (".rev",)).select("doc_id", "text")
+    found = files.document_text(rows, (".rev",)).select("doc_id", F.md5("text").alias("text"))
     files.READERS.pop(".rev")
     return found
 

@@ -25,6 +25,8 @@ from tessera.functions.enrich import words
 TERMS, MIN_TEXTS = 20_000, 2
 #: Directions besides those that are kept, rounds, and terms whose sums travel together.
 SPARE, ROUNDS, CHUNK = 16, 4, 512
+#: Products that are held at once.
+CELLS = 1 << 22
 
 
 class Latent:
@@ -71,12 +73,18 @@ class Latent:
             total = np.zeros_like(m)
             for batch in batches:
                 t, w, n = _flat(batch)
-                owner = np.repeat(np.arange(len(n)), n)
-                y = np.zeros((len(n), width))
-                for part in np.array_split(np.arange(len(t)), max(1, len(t) * width // (1 << 22))):
-                    np.add.at(y, owner[part], w[part, None] * m[t[part]])
-                for part in np.array_split(np.arange(len(t)), max(1, len(t) * width // (1 << 22))):
-                    np.add.at(total, t[part], w[part, None] * y[owner[part]])
+                ends = np.cumsum(n)
+                rows_at_once = np.searchsorted(ends, np.arange(0, len(t), max(1, CELLS // width))[1:], "right")
+                for own in np.split(np.arange(len(n)), np.unique(rows_at_once)):
+                    if not len(own):
+                        continue
+                    low, high = ends[own[0]] - n[own[0]], ends[own[-1]]
+                    begin = ends[own] - n[own] - low
+                    terms, weight = t[low:high], w[low:high, None]
+                    y = np.add.reduceat(weight * m[terms], begin)
+                    order = np.argsort(terms, kind="stable")
+                    found, first = np.unique(terms[order], return_index=True)
+                    total[found] += np.add.reduceat(weight[order] * np.repeat(y, n[own], 0)[order], first)
             for at in range(0, size, CHUNK):
                 chunk = total[at : at + CHUNK]
                 if chunk.any():
