@@ -126,7 +126,10 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", key: str =
     document in line frequencies. Rows of a null host form a host. Extra columns are ignored.
     """
     found = _verdicts(docs, F.col(shared.quoted(key)).alias("__key"), text, host, key, min_documents, line_percent, depleted_percent, sent_bytes)
-    return found.select(F.col("__key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("__kept").alias("kept"), F.col("__lost").alias("n_lost_words"))
+    # As in :func:`accepted`: a filter on the verdict would else be pushed below the statistics and repeat them for each word.
+    found = found.withColumn("__at", F.monotonically_increasing_id())
+    kept = (F.col("__kept") & (F.col("__at") >= 0)).alias("kept")
+    return found.select(F.col("__key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept, F.col("__lost").alias("n_lost_words"))
 
 
 def without_lines(text: str, bad: str) -> Column:
