@@ -27,7 +27,7 @@ def _with_minimum(pairs: DataFrame, of: DataFrame, few: bool) -> DataFrame:
     return shared.joined_evenly(pairs, least, "u")
 
 
-def components(edges: DataFrame, few: int = 500_000) -> DataFrame:
+def components(edges: DataFrame, few: int = 100_000) -> DataFrame:
     """Node and the least node of its component, for every node that an edge (a, b) has.
 
     Large-star joins each greater neighbour to the least one, small-star does so for the lesser

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tessera.llm import graph, shared
 
 SHINGLE_WORDS, MAX_BITS = 3, 2
-#: Fingerprints under one signature that are compared with each other; more take the exact way of
-#: ``_crowded_links``.
-COMPARED = 64
+#: Fingerprints under one signature of which all pairs are compared at once; up to WALKED are walked for
+#: a spanning forest of their links, and more take the exact way of ``_crowded_links``.
+COMPARED, WALKED = 64, 8192
 
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -72,6 +72,23 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def _forest(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all distinct fingerprints that differ in ``max_bits`` or fewer bits, one for each
+    that is reached: memory grows with the fingerprints, not with their pairs."""
+    rest, left, right = np.unique(fp), [], []
+    while len(rest):
+        reached, rest = [rest[0]], rest[1:]
+        while reached and len(rest):
+            own = reached.pop()
+            near = _distance(rest.view(np.uint64), own.view(np.uint64)) <= max_bits
+            if near.any():
+                right.append(rest[near])
+                left.append(np.full(len(right[-1]), own))
+                reached.extend(right[-1])
+                rest = rest[~near]
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
+
+
 def _compared(max_bits: int):
     """Walks rows sorted by signature; yields links, and the rows of crowded signatures."""
 
@@ -97,7 +114,7 @@ def _compared(max_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_k = kept_fp = np.empty(0, np.int64)
-        crowd = None  # the signature that ran on beyond COMPARED
+        crowd = None  # the signature that ran on beyond WALKED
         for batch in batches:
             k = np.concatenate([kept_k, batch.column(0).to_numpy(zero_copy_only=False)])
             fp = np.concatenate([kept_fp, batch.column(1).to_numpy(zero_copy_only=False)])
@@ -114,7 +131,7 @@ def _compared(max_bits: int):
             tail = np.searchsorted(k, k[-1], "left")
             kept_k, kept_fp = k[tail:], fp[tail:]
             yield from settled(k[:tail], fp[:tail])
-            if len(kept_k) > COMPARED:
+            if len(kept_k) > WALKED:
                 crowd = kept_k[0]
                 yield out(kept_k, kept_fp, True)
                 kept_k = kept_fp = np.empty(0, np.int64)
@@ -124,10 +141,15 @@ def _compared(max_bits: int):
         if not len(k):
             return
         _, begin, size = np.unique(k, return_index=True, return_counts=True)
-        crowded = np.repeat(size > COMPARED, size)
+        crowded = np.repeat(size > WALKED, size)
         if crowded.any():
             yield out(k[crowded], fp[crowded], True)
-        a, b = links(k[~crowded], fp[~crowded])
+        for i in np.flatnonzero((size > COMPARED) & (size <= WALKED)):
+            a, b = _forest(fp[begin[i] : begin[i] + size[i]], max_bits)
+            if len(a):
+                yield out(a, b, False)
+        few = np.repeat(size <= COMPARED, size)
+        a, b = links(k[few], fp[few])
         if len(a):
             yield out(a, b, False)
 
@@ -169,7 +191,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError("two segments find links of one to three bits")
     spark = fps.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = signatures(fps.select("fp").distinct()).select("k", "fp")
+    # A number of partitions is named, as few small rows would be one task's that become 64 times as many.
+    rows = signatures(fps.select("fp").repartition(n, "fp").distinct()).select("k", "fp")
     found = shared.mapped(rows.repartition(n, "k").sortWithinPartitions("k", "fp"), _compared(max_bits), "a long, b long, crowded boolean")
     found = shared.written(found, "links")
     near = found.filter("not crowded").select("a", "b")

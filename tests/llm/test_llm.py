@@ -14,7 +14,7 @@ from oracle import same
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, chat, decontaminate, dom, html_text, labelled_pages, quality, queries, rules, simhash, tokencount, tokenfile, toxicity
+from tessera.llm import bpe, chat, decontaminate, dom, html_text, labelled_pages, quality, queries, rules, shared, simhash, tokencount, tokenfile, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " ", "x", "it's 'sa '' 's \n's x'll'd !'re  a\t\tb \n\n c  ", "<|endoftext|>a<|endoftext|> b", "aaaa aaaaaaa", "a b　 c 12３٣ x²", "\U0001f600‍ x́ — “q”'ve", "\x1c\x1d a\x85b", "ΑΣ İstanbul Å", "line\n" * 40, "word " * 30_000]
@@ -298,6 +298,30 @@ def test_links_are_exact(spark, monkeypatch, compared, bits):
     assert groups({s: stars.get(s, s) for s in signed}) == groups(want)
 
 
+@pytest.mark.parametrize(("compared", "walked"), [(2, 8192), (2, 10), (64, 64)])
+def test_crowded_signatures_are_walked(spark, monkeypatch, compared, walked):
+    """Without a forest 200 variants of one text made 528 rows for each signature of each."""
+    from tessera.llm import graph
+
+    r = random.Random(walked)
+    base = r.getrandbits(64)
+    fps = [*{base ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 4))) for _ in range(200)}]
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    monkeypatch.setattr(simhash, "COMPARED", compared)
+    monkeypatch.setattr(simhash, "WALKED", walked)
+    if walked == 8192:
+        monkeypatch.setattr(simhash, "_crowded_links", None)
+    stars = {x.node: x.root for x in graph.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))).collect()}
+    want = classes_by_force([*zip(signed, fps, strict=True)], 2)
+    groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
+    assert groups({s: stars.get(s, s) for s in signed}) == groups(want)
+
+
+def test_broadcasts_are_small(spark):
+    """A million rows of 32 bytes are more than the driver should hold."""
+    assert not shared.fits(spark.range(200_000), 32)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     odd = odd_documents(spark)
     rows = simhash.near_duplicates(odd).collect()
