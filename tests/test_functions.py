@@ -220,3 +220,14 @@ def test_projects(spark):
     said = "Our Data Platform and the Blue Sky Project run on Docker; see Nền tảng. Release Alpha 12 Project uses RAG."
     assert value(spark, enrich.projects, said) == sorted({"Our Data Platform", "Blue Sky Project", "Docker", "Alpha 12 Project", "RAG"})
     assert value(spark, enrich.projects, None) == []
+
+
+def test_concepts_search_a_text_once(spark):
+    """Projects were searched nine times over, and for traits, keywords and projects each time anew."""
+    plan = spark.createDataFrame([("a", "b")], "t string, n string").select(enrich.concepts(F.col("t"), F.col("n")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("|Kubernetes)") == 1
+    text = "Data Flow Project and Foo 12 Projects, Foo 3 Platform; Red  Green System"
+    assert value(spark, enrich.projects, text) == ["Data Flow Project", "Foo 12", "Foo 3 Platform", "Red  Green System"]
+    ranked = value(spark, lambda c: enrich.ranked(F.split(c, " ")), "b a b c a d")
+    assert [(r["word"], r["count"], r["first"]) for r in ranked] == [("b", 2, 0), ("a", 2, 1), ("c", 1, 3), ("d", 1, 5)]
+    assert value(spark, lambda c: enrich.ranked(F.filter(F.split(c, " "), lambda w: w == "z")), "b") == []
