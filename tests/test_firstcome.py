@@ -96,3 +96,24 @@ def test_large_cluster_of_variants(spark):
     assert out.count() == 20_000
     assert sum(links.count() for links in picked.links) < 2_000_000
     assert len(picked.rounds) < 20
+
+
+def test_parities_rule_out_only_what_is_not_similar(spark):
+    """Every pair that shared a prefix element met the whole sets; now only pairs that the bound leaves."""
+    import random
+
+    from tessera.operators import dedup
+
+    r = random.Random(3)
+    base = [r.getrandbits(63) - (1 << 62) for _ in range(300)]
+    sets = []
+    for i in range(60):
+        gone = r.choice([0, 2, 5, 12, 20, 40, 150])
+        sets.append((i, sorted([*base[gone:], *(r.getrandbits(63) for _ in range(r.choice([0, gone])))])))
+    df = dedup.with_parities(spark.createDataFrame(sets, "key long, set array<long>").withColumn("n", F.size("set")))
+    both = df.alias("a").join(df.alias("b"), F.col("a.key") < F.col("b.key")).select(F.col("a.key").alias("x"), F.col("b.key").alias("y"), dedup.may_be_similar("a", "b", 0.9).alias("maybe")).collect()
+    of = {k: set(s) for k, s in sets}
+    share = lambda x, y: len(of[x] & of[y]) / len(of[x] | of[y])
+    assert all(p.maybe for p in both if share(p.x, p.y) >= 0.9)
+    far = [p for p in both if share(p.x, p.y) < 0.6]
+    assert far and not any(p.maybe for p in far)
