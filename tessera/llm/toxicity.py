@@ -219,7 +219,11 @@ def featured(rows: DataFrame, table: DataFrame, sent_bytes: int = SENT_BYTES) ->
         found = table.toArrow()
         key, ratio = found.column("key").to_numpy().view(np.uint64), found.column("ratio").to_numpy().astype(np.float32)
         order = np.argsort(key, kind="stable")
-        held = rows.sparkSession.sparkContext.broadcast((key[order], ratio[order]))
+        pair = key[order], ratio[order]
+        del found, key, ratio, order  # the driver pickles the pair: no other copies beside it
+        pa.default_memory_pool().release_unused()
+        held = rows.sparkSession.sparkContext.broadcast(pair)
+        del pair
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lookup = Lookup(*held.value)
