@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ from tessera.functions import vectors
 
 #: Rows that cells and codes are fitted on at most, rounds of k-means, queries that are searched at once.
 SAMPLE, ROUNDS, AT_ONCE = 20_000, 12, 4096
+#: Rows that a task compares with the queries at once, and hits that it holds.
+ROWS, HELD = 10_000, 1 << 17
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,25 +179,53 @@ class VectorIndex:
         """Ranked rows of the cells of ``asked`` (queries by cell)."""
         codes, size = self.codes, self.size
 
+        cells_of: dict[int, list[int]] = {}
+        for c, queries in asked.items():
+            for i in queries:
+                cells_of.setdefault(i, []).append(c)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
+                batch = batch.take(pc.sort_indices(batch.column(0)))  # so that rows of equal distance are in the order of keys
                 cells = batch.column(3).to_numpy()
                 dirs = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                at, of, near = [], [], []
-                for c in np.unique(cells).tolist():
-                    own = np.flatnonzero(cells == c)
-                    code = np.frombuffer(b"".join(batch.column(2).take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), -1)
-                    for i in asked.get(c, ()):
-                        d = codes.tables(x[i], c)[np.arange(code.shape[1]), code].sum(1) if rerank else -(dirs[own] @ x[i])
-                        best = np.argsort(d, kind="stable")[: rerank or len(d)]
-                        if not rerank and len(best) > most:  # ties of the last place stay
-                            best = best[d[best] <= d[best[most - 1]] + 1e-9]
-                        at.append(own[best])
-                        of += [i] * len(best)
-                        near.append(d[best])
-                at = np.concatenate(at) if at else np.empty(0, np.int64)
-                score = np.einsum("ij,ij->i", dirs[at], x[of]) if len(at) else np.empty(0)
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), batch.column(0).take(pa.array(at)), pa.array(score, pa.float64()), pa.array(np.concatenate(near) if near else np.empty(0))], names=["i", "key", "score", "d"])
+                code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), -1)
+                places = {c: np.flatnonzero(cells == c) for c in np.unique(cells).tolist()}
+                parts, at, of, near, held = np.arange(code.shape[1]), [], [], [], 0
+
+                def found() -> pa.RecordBatch:
+                    where, which = np.concatenate(at), np.repeat(np.array(of, np.int32), [len(x) for x in at])
+                    score = np.empty(len(where))
+                    for k in range(0, len(where), ROWS):  # two copies of a row's vector for each hit
+                        score[k : k + ROWS] = np.einsum("ij,ij->i", dirs[where[k : k + ROWS]], x[which[k : k + ROWS]])
+                    return pa.RecordBatch.from_arrays([pa.array(which), batch.column(0).take(pa.array(where)), pa.array(score), pa.array(np.concatenate(near))], names=["i", "key", "score", "d"])
+
+                for i, wanted in cells_of.items():
+                    own = [places[c] for c in wanted if c in places]
+                    if not own:
+                        continue
+                    if rerank:
+                        d = np.concatenate([codes.tables(x[i], c)[parts, code[places[c]]].sum(1) for c in wanted if c in places])
+                        own = np.concatenate(own)
+                    else:
+                        own = np.concatenate(own)
+                        d = -(dirs[own] @ x[i])
+                    last = rerank or most
+                    if len(d) > last:  # ties of the last place stay
+                        kept = np.flatnonzero(d <= np.partition(d, last - 1)[last - 1] + (0 if rerank else 1e-9))
+                        own, d = own[kept], d[kept]
+                    if rerank and len(d) > rerank:
+                        kept = np.lexsort((own, d))[:rerank]
+                        own, d = own[kept], d[kept]
+                    at.append(own)
+                    of.append(i)
+                    near.append(d)
+                    held += len(own)
+                    if held >= HELD:
+                        yield found()
+                        at, of, near, held = [], [], [], 0
+                if at:
+                    yield found()
 
         rows = self.rows(sorted(asked)).select("key", "direction", "code", "cell")
         schema = T.StructType([T.StructField("i", T.IntegerType()), rows.schema["key"], *T.StructType.fromDDL("score double, d double").fields])

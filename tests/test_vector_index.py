@@ -85,3 +85,14 @@ def test_many_equal_vectors_and_blocks(spark, tmp_path, monkeypatch):
     assert vector_index.recall(got, got) == 1
     with pytest.raises(ValueError, match="no row"):
         VectorIndex.build(df.filter(F.lit(False)), "id", "v", f"{tmp_path}/j", 4)
+
+
+def test_rows_of_equal_distance_are_ranked_by_key(spark, tmp_path, monkeypatch):
+    """Of very many copies the least keys are found, however few hits a task holds."""
+    monkeypatch.setattr(vector_index, "HELD", 8)
+    monkeypatch.setattr(vector_index, "ROWS", 64)
+    rows = [(i, [1.0, 1.0, 0.0, 0.0]) for i in range(400, 0, -1)] + [(1000 + i, [0.0, 1.0, float(i), 3.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    made = VectorIndex.build(df, "id", "v", f"{tmp_path}/index", 4, cells=2, parts=2)
+    hits = found(made.search(df.filter("id in (7, 300)"), "id", "v", most=5, probes=2, rerank=20))
+    assert hits == {7: [1, 2, 3, 4, 5], 300: [1, 2, 3, 4, 5]}
