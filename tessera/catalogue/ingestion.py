@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 import zlib
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -59,7 +60,7 @@ def documents_read(t):
 
 
 @F.pandas_udf(T.BinaryType())
-def _packed(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+def _packed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Texts as the smallest real files of their kind, a paragraph, row or shown string for each line."""
 
     def zipped(parts: dict[str, str]) -> bytes:
@@ -91,7 +92,9 @@ def _packed(kinds: pd.Series, texts: pd.Series) -> pd.Series:
         return head + packed + b"\nendstream\nendobj\n%%EOF\n"
 
     make = {".docx": docx, ".xlsx": xlsx, ".pdf": pdf}
-    return pd.Series([make[k](t.split("\n")) for k, t in zip(kinds, texts, strict=True)])
+    for kinds, texts in batches:
+        for begin, end in files.slices(texts):
+            yield pd.Series([make[k](t.split("\n")) for k, t in zip(kinds.iloc[begin:end], texts.iloc[begin:end], strict=True)])
 
 
 _PLAIN = "regexp_replace(text, '[^ -~\\n]', '?', 'g')"

@@ -7,6 +7,7 @@ import json
 import zipfile
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -310,3 +311,10 @@ def test_migration_adds_columns(spark, tmp_path):
     assert sinks.migrate(spark, path, wanted) == ["status"]
     assert sinks.migrate(spark, path, wanted) == []
     assert sinks.current(spark, path).collect()[0].asDict() == {"id": "a", "n": 1, "status": None}
+
+
+def test_documents_are_read_in_slices_of_bytes(spark):
+    sizes = [3, 3, 3, 20, None, 1]
+    contents = pd.Series([None if n is None else b"x" * n for n in sizes])
+    assert list(files.slices(contents, 6)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(files.slices(pd.Series([], dtype=object), 6)) == []
