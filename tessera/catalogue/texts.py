@@ -176,9 +176,11 @@ def readability(t):
 SELECT doc_id, sha256(c) AS cleaned, sha256({_numbers("n")}) AS normalized, array_to_string(list_filter([CASE WHEN text <> c AND length(text) <> length(c) THEN 'removed_control_chars' END,
 CASE WHEN text <> c AND contains(text, chr(13) || chr(10)) THEN 'normalized_line_endings' END, CASE WHEN text <> c AND regexp_matches(text, '&[#a-zA-Z0-9]+;') THEN 'removed_html_entities' END], lambda x: x IS NOT NULL), ',') AS ops FROM n""")
 def mail_text_pipeline(t):
-    c = text.clean_mail_text(F.col("text"))
-    n = text.normalize_numbers(text.normalize(c))
-    return t("documents").select("doc_id", F.sha2(c, 256).alias("cleaned"), F.sha2(n, 256).alias("normalized"), F.array_join(text.cleaning_operations(F.col("text"), c), ",").alias("ops"))
+    # Each step is a column of its own: Spark keeps apart what a later step uses more than once.
+    rows = t("documents").select("doc_id", "text", text.clean_mail_text(F.col("text")).alias("c"))
+    ops = F.array_join(text.cleaning_operations(F.col("text"), F.col("c")), ",")
+    rows = rows.select("doc_id", F.sha2("c", 256).alias("cleaned"), ops.alias("ops"), text.normalize_numbers(text.normalize(F.col("c"))).alias("n"))
+    return rows.select("doc_id", "cleaned", F.sha2("n", 256).alias("normalized"), "ops")
 
 
 @query("""SELECT doc_id, i AS chunk_index, md5(substr(text, i * 450 + 1, 500)) AS content, CASE WHEN length(text) <= 500 THEN 1 ELSE CAST(floor((length(text) - 1) / 450) + 1 AS INT) END AS chunk_count

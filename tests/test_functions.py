@@ -231,3 +231,11 @@ def test_concepts_search_a_text_once(spark):
     ranked = value(spark, lambda c: enrich.ranked(F.split(c, " ")), "b a b c a d")
     assert [(r["word"], r["count"], r["first"]) for r in ranked] == [("b", 2, 0), ("a", 2, 1), ("c", 1, 3), ("d", 1, 5)]
     assert value(spark, lambda c: enrich.ranked(F.filter(F.split(c, " "), lambda w: w == "z")), "b") == []
+
+
+def test_mail_texts_are_cleaned_once_a_row(spark, sf_dir):
+    """What cleaning makes is used four times and made once."""
+    from tessera.catalogue.registry import QUERIES
+
+    plan = QUERIES["mail_text_pipeline"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{3,}$") == 1
