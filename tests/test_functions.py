@@ -239,3 +239,14 @@ def test_mail_texts_are_cleaned_once_a_row(spark, sf_dir):
 
     plan = QUERIES["mail_text_pipeline"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("{3,}$") == 1
+
+
+def test_sets_of_members_are_made_once(spark):
+    """No text is read again where rows meet the first of their class; the least key names it."""
+    from tessera.functions import similarity
+    from tessera.operators import dedup
+
+    df = spark.createDataFrame([(3, "a b c d e f"), (2, "A b c d e f"), (5, "a b"), (4, None), (1, "f e d c b a")], "id long, text string")
+    found = dedup.set_members(df, "id", similarity.shingle_hashes, "text")
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 2), (3, 2), (4, 4), (5, 5)]
