@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.enrich import words
-from tessera.functions.stems import stem, stemmed
+from tessera.functions.stems import stem
 
 # English stop-words of full-text search.
 ENGLISH_STOP_WORDS = """
@@ -27,8 +29,9 @@ just don should now
 # limit of the sum of inverse squares, of the published rank.
 WEIGHT, FARTHEST, FAR, SQUARES = 0.1, 100, 1e-30, 1.64493406685
 
-#: Folders into which terms are dealt.
-BUCKETS = 64
+#: Folders into which terms are dealt, and words of texts that are inverted together.
+BUCKETS, TOKENS = 64, 1 << 21
+_STOPS = frozenset(ENGLISH_STOP_WORDS)
 
 
 def query_stems(query: str) -> list[str]:
@@ -36,15 +39,71 @@ def query_stems(query: str) -> list[str]:
     return sorted({stem(w) for w in re.findall(r"\w+", query.lower()) if w not in ENGLISH_STOP_WORDS})
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, positions: where each stem stands in each text, from 1; stop-words have a place and no posting.
+def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """term, keys, starts, positions: where each stem stands in the texts of a block, from 1. Posting i is that of
+    ``keys[i]``, with ``positions[starts[i]]`` up to ``starts[i + 1]``; stop-words have a place and no posting.
 
-    Every distinct word of a text goes to Python once. Null and empty texts have no postings.
+    A text is read once and whole, so that nothing is shuffled to find its postings; each distinct word of a block is
+    stemmed once. Null and empty texts have no postings.
     """
-    each = df.select(F.col(key).alias("key"), F.posexplode(words(F.col(text))).alias("pos", "word")).filter(~F.col("word").isin(ENGLISH_STOP_WORDS))
-    by_word = each.groupBy("key", "word").agg(F.collect_list(F.col("pos") + 1).alias("at"))
-    by_term = by_word.withColumn("term", stemmed("word")).groupBy("key", "term").agg(F.flatten(F.collect_list("at")).alias("at"))
-    return by_term.select("key", "term", F.array_sort("at").alias("positions"))
+    rows = df.select(F.col(key).alias("key"), words(F.col(text)).alias("ws"))
+    fields = [T.StructField("term", T.StringType()), T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)), *T.StructType.fromDDL("starts array<int>, positions array<int>").fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < len(ends):  # as many texts as have TOKENS words together, one at least
+                before = ends[begin - 1] if begin else 0
+                until = max(begin + 1, int(np.searchsorted(ends, before + TOKENS, "right")))
+                if (found := _inverted(batch.slice(begin, until - begin))).num_rows:
+                    yield found
+                begin = until
+
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def _inverted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One row for each stem of a batch of keys and words."""
+    flat = batch.column(1).flatten().dictionary_encode()
+    stems = [None if w in _STOPS else stem(w) for w in flat.dictionary.to_pylist()]
+    terms = pa.array(dict.fromkeys(s for s in stems if s is not None), pa.string())
+    number = pc.fill_null(pc.index_in(pa.array(stems, pa.string()), terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    owner, place = np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    term = number[flat.indices.to_numpy(zero_copy_only=False)]
+    at = np.flatnonzero(term >= 0)
+    order = np.sort(term[at] * len(flat) + at) % max(len(flat), 1)  # by term, text and place
+    term, owner = term[order], owner[order]
+    new_term = np.diff(term, prepend=-1) != 0
+    first = np.flatnonzero(new_term | (np.diff(owner, prepend=-1) != 0))  # of each posting
+    top = np.flatnonzero(new_term[first])  # the first posting of each term
+    last = np.append(top[1:], len(first))
+    # A row's starts are those of its postings and its end, counted from its own first position.
+    own = np.insert(first, last, np.append(first, len(order))[last]) - np.repeat(first[top], last - top + 1)
+    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+    return pa.RecordBatch.from_arrays(
+        [
+            terms.take(pa.array(term[first[top]])),
+            lists(np.append(top, len(first)), batch.column(0).take(pa.array(owner[first]))),
+            lists(np.append(top, len(first)) + np.arange(len(top) + 1), pa.array(own, pa.int32())),
+            lists(np.append(first[top], len(order)), pa.array(place[order] + 1, pa.int32())),
+        ],
+        names=["term", "keys", "starts", "positions"],
+    )
+
+
+def opened(rows: DataFrame, *keep: str) -> DataFrame:
+    """key, term, positions and the columns ``keep`` of blocks; rows of one key, and of equal ``keep``, are one text."""
+    own = lambda k, i: F.struct(k.alias("key"), F.slice("positions", F.get("starts", i) + 1, F.get("starts", i + 1) - F.get("starts", i)).alias("at"))
+    each = rows.select("term", *keep, F.explode(F.transform("keys", own)).alias("p")).select("p.key", "term", *keep, "p.at")
+    return each.groupBy("key", "term", *keep).agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+
+
+def postings(df: DataFrame, key: str, text: str, terms: list[str] | None = None) -> DataFrame:
+    """key, term, positions of all stems of ``df``, or of ``terms``; rows of one key are one text."""
+    rows = blocks(df, key, text)
+    return opened(rows if terms is None else rows.filter(F.col("term").isin(terms)))
 
 
 def pair_rank(a: np.ndarray, b: np.ndarray) -> float:
@@ -91,12 +150,12 @@ def search(df: DataFrame, query: str, text: str, key: str, most: int = 5) -> Dat
     terms = query_stems(query)
     if not terms:
         return df.withColumn("score", F.lit(None).cast("double")).limit(0)
-    best = ranked(postings(df, key, text), terms, most)
+    best = ranked(postings(df, key, text, terms), terms, most)
     return df.join(F.broadcast(best.withColumnRenamed("key", key)), key).orderBy(F.desc("score"), key)  # ``most`` rows
 
 
 class PostingsIndex:
-    """Postings in folders by hash of the term, within them in the order of terms.
+    """Blocks of postings in folders by hash of the term, within their files in the order of terms.
 
     A search opens the folders of its terms, and of their files the row groups that may hold them. New texts
     are added without touching what is there; a text that is added twice counts as its first.
@@ -106,24 +165,23 @@ class PostingsIndex:
         self.spark, self.folder, self.key_type, self.buckets = spark, folder, key_type, buckets
 
     def insert(self, df: DataFrame, key: str, text: str) -> None:
-        rows = postings(df, key, text).withColumn("bucket", self._bucket("term"))
-        # By ranges of bucket, term and key: a term that all texts have is many files, rare ones share one.
-        rows = rows.repartitionByRange("bucket", "term", F.xxhash64("key")).sortWithinPartitions("bucket", "term", "key")
+        rows = blocks(df, key, text).select("*", F.lit(uuid.uuid4().hex).alias("added"), self._bucket("term").alias("bucket"))
+        # A folder that is large is split over tasks, small ones share one.
+        rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         rows.write.mode("append").partitionBy("bucket").parquet(self.folder)
 
     def _bucket(self, term: str):
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def postings(self, terms: list[str]) -> DataFrame:
+        """key, term, added (a value for each insertion) and positions of ``terms``."""
         names = self.spark.createDataFrame([(t,) for t in terms], "term string")
         buckets = sorted({r[0] for r in names.select(self._bucket("term")).collect()})  # of the terms of one query
-        rows = self.spark.read.schema(f"key {self.key_type}, term string, positions array<int>, bucket int").parquet(self.folder)
-        return rows.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).select("key", "term", "positions")
+        rows = self.spark.read.schema(f"term string, keys array<{self.key_type}>, starts array<int>, positions array<int>, added string, bucket int").parquet(self.folder)
+        return opened(rows.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms)), "added")
 
     def search(self, query: str, most: int = 5) -> DataFrame:
         """key and score of the best texts that have all words of the query."""
         terms = query_stems(query)
-        rows = self.postings(terms)
-        first = Window.partitionBy("key", "term").orderBy("positions")
-        rows = rows.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
+        rows = self.postings(terms).groupBy("key", "term").agg(F.min("positions").alias("positions"))
         return ranked(rows, terms, most) if terms else rows.select("key", F.lit(0.0).alias("score")).limit(0)

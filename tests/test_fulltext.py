@@ -89,3 +89,30 @@ def test_index_by_force(spark, tmp_path):
     plan = index.postings(["connect"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
     assert "EqualTo(term,connect)" in plan or "In(term" in plan
+
+
+def test_postings_are_found_without_a_shuffle(spark, tmp_path):
+    """Blocks hold what a loop over words gives, whatever their size; rows of one key are one text in one insertion."""
+    r = random.Random(4)
+    stock = ["connect", "connected", "the", "runs", "running", "été", "x1", "worthless"]
+    texts = [(k % 25, " ".join(r.choice(stock) for _ in range(r.randint(0, 40)))) for k in range(40)] + [(30, None), (31, ""), (32, "the the"), (33, "x1 " * 300)]
+    docs = spark.createDataFrame(texts, "id long, t string").coalesce(1)
+    want = {}
+    for k, t in texts:
+        for p, w in enumerate((t or "").split(), 1):
+            if w not in fulltext.ENGLISH_STOP_WORDS:
+                want.setdefault((k, stem(w)), []).append(p)
+    want = {k: sorted(v) for k, v in want.items()}
+    most, fulltext.TOKENS = fulltext.TOKENS, 64
+    try:
+        small = {(x.key, x.term): x.positions for x in fulltext.postings(docs, "id", "t").collect()}
+    finally:
+        fulltext.TOKENS = most
+    assert small == want
+    assert {(x.key, x.term): x.positions for x in fulltext.postings(docs, "id", "t").collect()} == want
+    assert "Exchange" not in fulltext.blocks(docs, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    index = fulltext.PostingsIndex(spark, f"{tmp_path}/postings", buckets=4)
+    index.insert(docs, "id", "t")
+    index.insert(docs, "id", "t")
+    assert {(x.key, x.positions[0]) for x in index.postings(["connect"]).collect()} == {(k, v[0]) for (k, t), v in want.items() if t == "connect"}
+    assert {x.key: x.score for x in index.search("worthless", 100).collect()} == pytest.approx({k: round(rank_by_force([v]), 9) for (k, t), v in want.items() if t == "worthless"})
