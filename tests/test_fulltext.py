@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from tessera.functions import stems
 from tessera.functions.stems import stem
 from tessera.operators import fulltext
 
@@ -116,3 +117,18 @@ def test_postings_are_found_without_a_shuffle(spark, tmp_path):
     index.insert(docs, "id", "t")
     assert {(x.key, x.positions[0]) for x in index.postings(["connect"]).collect()} == {(k, v[0]) for (k, t), v in want.items() if t == "connect"}
     assert {x.key: x.score for x in index.search("worthless", 100).collect()} == pytest.approx({k: round(rank_by_force([v]), 9) for (k, t), v in want.items() if t == "worthless"})
+
+
+def test_words_that_no_step_changes_are_left_early(monkeypatch):
+    """What is left early is what all steps would leave, and it is left before any of them."""
+    r = random.Random(8)
+    endings = [e for e in (*stems.STEP_2, *stems.STEP_3, *stems.STEP_4, *stems.PLURAL, *stems.PAST, *stems.OWNED, "y", "e", "ll", "")]
+    made = ["".join(r.choice("abehiklostuyxz'9é") for _ in range(r.randint(1, 7))) + r.choice(endings) for _ in range(3000)]
+    short = [stem(w) for w in made]
+    stem.cache_clear()
+    monkeypatch.setattr(stems, "LAST", frozenset({w[-1] for w in made} | {""}))
+    assert short == [stem(w) for w in made]
+    stem.cache_clear()
+    monkeypatch.undo()
+    monkeypatch.setattr(stems, "_regions", lambda w: 1 / 0)
+    assert [stem(w) for w in ("c17x5", "kayaq", "'étoilé")] == ["c17x5", "kayaq", "étoilé"]
