@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,9 @@ from tessera.functions.enrich import words
 TERMS, MIN_TEXTS = 20_000, 2
 #: Directions besides those that are kept, rounds, and terms whose sums travel together.
 SPARE, ROUNDS, CHUNK = 16, 4, 512
-#: Products that are held at once.
-CELLS = 1 << 22
+#: Rows and their terms that are multiplied at once; the most frequent terms, whose columns are multiplied as a dense
+#: matrix, as most terms of a text are among them; tasks for each core.
+ROWS, ITEMS, DENSE, TASKS = 1024, 1 << 17, 2048, 3
 
 
 class Latent:
@@ -40,15 +42,24 @@ class Latent:
         """Learns from all texts of ``df``. A corpus of fewer directions than ``dimensions`` leaves the rest zero."""
         spark = df.sparkSession
         space = scratch.Scratch(spark, "latent")
-        texts = df.select(F.monotonically_increasing_id().alias("id"), words(F.col(text)).alias("ws"))  # numbered before they are exploded
-        counts = texts.select("id", F.explode("ws").alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
-        counts = space.table(counts, "counts")
-        total = counts.select("id").distinct().count()
-        known = counts.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_texts).orderBy(F.desc("df"), "term").limit(terms).toPandas()  # ``terms`` rows
+        counts = space.table(df.select(words(F.col(text)).alias("ws")).mapInArrow(_counted, "terms array<string>, n array<int>"), "counts")
+        total = counts.count()
+        known = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_texts).orderBy(F.desc("df"), "term").limit(terms).toPandas()  # ``terms`` rows
         names, idf = known["term"].tolist(), np.log((1 + total) / (1 + known["df"].to_numpy(np.float64))) + 1 if len(known) else np.empty(0)
-        numbers = spark.createDataFrame(pd.DataFrame({"term": names, "t": np.arange(len(names)), "idf": idf}), "term string, t int, idf double")
-        weighted = counts.join(F.broadcast(numbers), "term").select("id", "t", (F.log1p("n") * F.col("idf")).alias("w"))
-        rows = space.table(weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("tw")).select("tw.t", "tw.w"), "rows")
+        held = spark.sparkContext.broadcast((pa.array(names, pa.string()), idf))
+
+        def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                terms, n = batch.column(0), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                t = pc.fill_null(pc.index_in(terms.flatten(), held.value[0]), -1).to_numpy(zero_copy_only=False)
+                sizes = np.bincount(_owners(terms)[t >= 0], minlength=len(terms))
+                w = np.log1p(n[t >= 0]) * held.value[1][t[t >= 0]]
+                offsets = pa.array(np.append(0, np.cumsum(sizes[sizes > 0])), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(t[t >= 0], pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(w))], names=["t", "w"])
+
+        rows = space.table(counts.mapInArrow(weighted, "t array<int>, w array<double>"), "rows")
+        # Each task gives sums of all terms: few tasks, that what is added up doesn't grow with the input.
+        rows = rows.coalesce(TASKS * spark.sparkContext.defaultParallelism)
         width = min(dimensions + SPARE, max(len(names), 1))
         basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(names), width)))[0] if names else np.zeros((0, width))
         for _ in range(rounds if names else 0):
@@ -73,18 +84,9 @@ class Latent:
             total = np.zeros_like(m)
             for batch in batches:
                 t, w, n = _flat(batch)
-                ends = np.cumsum(n)
-                rows_at_once = np.searchsorted(ends, np.arange(0, len(t), max(1, CELLS // width))[1:], "right")
-                for own in np.split(np.arange(len(n)), np.unique(rows_at_once)):
-                    if not len(own):
-                        continue
-                    low, high = ends[own[0]] - n[own[0]], ends[own[-1]]
-                    begin = ends[own] - n[own] - low
-                    terms, weight = t[low:high], w[low:high, None]
-                    y = np.add.reduceat(weight * m[terms], begin)
-                    order = np.argsort(terms, kind="stable")
-                    found, first = np.unique(terms[order], return_index=True)
-                    total[found] += np.add.reduceat(weight[order] * np.repeat(y, n[own], 0)[order], first)
+                for own in _slices(n):
+                    low, high = int(n[: own.start].sum()), int(n[: own.stop].sum())
+                    _added(total, m, t[low:high], w[low:high], n[own])
             for at in range(0, size, CHUNK):
                 chunk = total[at : at + CHUNK]
                 if chunk.any():
@@ -104,19 +106,24 @@ class Latent:
     def model(self):
         """A function of a text column to its vector, for :func:`tessera.plans.gold.build`: normalised, null where no word
         is known."""
-        held = self.spark.sparkContext.broadcast(({t: i for i, t in enumerate(self.terms)}, self.idf, self.right))
+        held = self.spark.sparkContext.broadcast((pa.array(self.terms, pa.string()), self.idf, self.right))
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def folded(tokens: pd.Series) -> pd.Series:
-            numbers, idf, right = held.value
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def folded(tokens: pa.Array) -> pa.Array:
+            names, idf, right = held.value
             out = []
-            for own in tokens:
-                known = [numbers[w] for w in own if w in numbers] if own is not None else []
-                t, n = np.unique(np.array(known, np.int64), return_counts=True)
-                v = (np.log1p(n) * idf[t]) @ right[t] if len(t) else np.zeros(right.shape[1])
-                length = np.sqrt(v @ v)
-                out.append((v / length).tolist() if length > 0 else None)
-            return pd.Series(out)
+            for own in _slices(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)):
+                piece = tokens.slice(own.start, own.stop - own.start)
+                t = pc.fill_null(pc.index_in(piece.flatten(), names), -1).to_numpy(zero_copy_only=False)
+                cells, n = np.unique(_owners(piece)[t >= 0] * len(idf) + t[t >= 0], return_counts=True)
+                owner, t = np.divmod(cells, max(len(idf), 1))
+                sizes = np.bincount(owner, minlength=len(piece))
+                v = _times(right, t, np.log1p(n) * idf[t], sizes)[0]
+                length = np.sqrt((v * v).sum(1))
+                offsets = np.append(0, np.cumsum(length > 0)) * right.shape[1]
+                v = v[length > 0] / length[length > 0, None]
+                out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(length <= 0, False)), v.ravel()))
+            return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float64()))
 
         return lambda text: folded(words(text))
 
@@ -141,3 +148,55 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = np.sqrt(np.bincount(owner, w * w, len(n)))
     return t, w / np.maximum(length, 1e-300)[owner], n
 
+
+
+def _owners(lists: pa.Array) -> np.ndarray:
+    """The row of each element of an array of lists."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+
+
+def _slices(n: np.ndarray) -> Iterator[slice]:
+    """Slices of at most ROWS rows with ITEMS elements together, or of one row."""
+    ends, begin = np.cumsum(n), 0
+    while begin < len(n):
+        until = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + ITEMS, "right"))
+        until = max(begin + 1, min(until, begin + ROWS))
+        yield slice(begin, until)
+        begin = until
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each text that has any, and how often it has them."""
+    for batch in batches:
+        lists = batch.column(0)
+        flat = lists.flatten().dictionary_encode()
+        size = max(len(flat.dictionary), 1)
+        cells, n = np.unique(_owners(lists) * size + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        sizes = np.bincount(cells // size, minlength=len(lists))
+        offsets = pa.array(np.append(0, np.cumsum(sizes[sizes > 0])), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, flat.dictionary.take(pa.array(cells % size))), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))], names=["terms", "n"])
+
+
+def _times(m: np.ndarray, t: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The product of rows (terms, weights, and how many a row has) with ``m``; the rows' dense part, and row and place
+    of what is not in it."""
+    owner = np.repeat(np.arange(len(n)), n)
+    often = t < DENSE
+    dense = np.zeros((len(n), min(DENSE, len(m))))
+    dense[owner[often], t[often]] = w[often]
+    y = dense @ m[:DENSE]
+    rest = np.flatnonzero(~often)
+    if len(rest):
+        found, first = np.unique(owner[rest], return_index=True)
+        y[found] += np.add.reduceat(w[rest, None] * m[t[rest]], first)
+    return y, dense, owner[rest], rest
+
+
+def _added(total: np.ndarray, m: np.ndarray, t: np.ndarray, w: np.ndarray, n: np.ndarray) -> None:
+    """Adds X^T (X m) of the rows X to ``total``."""
+    y, dense, owner, rest = _times(m, t, w, n)
+    total[:DENSE] += dense.T @ y
+    if len(rest):
+        order = np.argsort(t[rest], kind="stable")
+        found, first = np.unique(t[rest][order], return_index=True)
+        total[found] += np.add.reduceat(w[rest][order, None] * y[owner[order]], first)

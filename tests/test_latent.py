@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors
+from tessera.operators import latent
 from tessera.operators.latent import Latent
 
 
@@ -63,3 +64,36 @@ def test_few_directions_and_no_texts(spark):
     assert [len(r.v) for r in model.embedded(few, "text", "v").filter("v is not null").collect()] == [5, 5]
     empty = Latent.fitted(few.limit(0), "text", 5)
     assert empty.embedded(few, "text", "v").filter("v is not null").count() == 0
+
+
+@pytest.mark.parametrize(("dense", "rows", "items"), [(2048, 1024, 1 << 17), (5, 3, 7), (0, 1, 1)])
+def test_products_equal_numpy(monkeypatch, dense, rows, items):
+    """Products of slices, whatever part of them is dense, are those of the whole matrix."""
+    for name, value in [("DENSE", dense), ("ROWS", rows), ("ITEMS", items)]:
+        monkeypatch.setattr(latent, name, value)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(40, 12)) * (r.random((40, 12)) < 0.4)
+    x[7] = x[39] = 0
+    m, total, n = r.normal(size=(12, 4)), np.zeros((12, 4)), (x != 0).sum(1)
+    owner, t = np.nonzero(x)
+    parts = []
+    for own in latent._slices(n):
+        low, high = n[: own.start].sum(), n[: own.stop].sum()
+        parts.append(latent._times(m, t[low:high], x[owner, t][low:high], n[own])[0])
+        latent._added(total, m, t[low:high], x[owner, t][low:high], n[own])
+        assert len(parts[-1]) <= rows
+    assert np.concatenate(parts) == pytest.approx(x @ m)
+    assert total == pytest.approx(x.T @ (x @ m))
+
+
+def test_words_are_counted_without_a_shuffle(spark, monkeypatch):
+    """No row for each word of each text is shuffled; only terms are grouped, and sums by chunks of terms."""
+    plans = []
+    table = latent.scratch.Scratch.table
+    monkeypatch.setattr(latent.scratch.Scratch, "table", lambda self, df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or table(self, df, name))
+    docs = spark.createDataFrame([(1, "b a b"), (2, "a c b"), (3, None), (4, "")], "id long, text string")
+    model = Latent.fitted(docs, "text", 2)
+    assert model.terms == ["a", "b"]
+    assert model.idf == pytest.approx([1.0, 1.0])  # of two texts with words
+    assert len(plans) == 2
+    assert not any("Exchange" in p for p in plans)
