@@ -26,9 +26,8 @@ from tessera.functions.enrich import words
 TERMS, MIN_TEXTS = 20_000, 2
 #: Directions besides those that are kept, rounds, and terms whose sums travel together.
 SPARE, ROUNDS, CHUNK = 16, 4, 512
-#: Rows and their terms that are multiplied at once; the most frequent terms, whose columns are multiplied as a dense
-#: matrix, as most terms of a text are among them; tasks for each core.
-ROWS, ITEMS, DENSE, TASKS = 1024, 1 << 17, 2048, 3
+#: Texts and their words that get vectors at once, and tasks of a product for each core.
+ROWS, ITEMS, TASKS = 1024, 1 << 20, 3
 
 
 class Latent:
@@ -83,10 +82,7 @@ class Latent:
             m = held.value
             total = np.zeros_like(m)
             for batch in batches:
-                t, w, n = _flat(batch)
-                for own in _slices(n):
-                    low, high = int(n[: own.start].sum()), int(n[: own.stop].sum())
-                    _added(total, m, t[low:high], w[low:high], n[own])
+                _added(total, m, *_flat(batch))
             for at in range(0, size, CHUNK):
                 chunk = total[at : at + CHUNK]
                 if chunk.any():
@@ -118,7 +114,7 @@ class Latent:
                 cells, n = np.unique(_owners(piece)[t >= 0] * len(idf) + t[t >= 0], return_counts=True)
                 owner, t = np.divmod(cells, max(len(idf), 1))
                 sizes = np.bincount(owner, minlength=len(piece))
-                v = _times(right, t, np.log1p(n) * idf[t], sizes)[0]
+                v = _times(right, t, np.log1p(n) * idf[t], sizes)
                 length = np.sqrt((v * v).sum(1))
                 offsets = np.append(0, np.cumsum(length > 0)) * right.shape[1]
                 v = v[length > 0] / length[length > 0, None]
@@ -177,26 +173,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, flat.dictionary.take(pa.array(cells % size))), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))], names=["terms", "n"])
 
 
-def _times(m: np.ndarray, t: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The product of rows (terms, weights, and how many a row has) with ``m``; the rows' dense part, and row and place
-    of what is not in it."""
-    owner = np.repeat(np.arange(len(n)), n)
-    often = t < DENSE
-    dense = np.zeros((len(n), min(DENSE, len(m))))
-    dense[owner[often], t[often]] = w[often]
-    y = dense @ m[:DENSE]
-    rest = np.flatnonzero(~often)
-    if len(rest):
-        found, first = np.unique(owner[rest], return_index=True)
-        y[found] += np.add.reduceat(w[rest, None] * m[t[rest]], first)
-    return y, dense, owner[rest], rest
+def _times(m: np.ndarray, t: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The product of rows (terms, weights, and how many a row has) with ``m``. A row's part of ``m`` stays in the
+    processor's cache, which that of many rows doesn't."""
+    out = np.zeros((len(n), m.shape[1]))
+    ends = np.cumsum(n).tolist()
+    for i, (low, high) in enumerate(zip([0, *ends], ends, strict=False)):
+        out[i] = w[low:high] @ m.take(t[low:high], 0)
+    return out
 
 
 def _added(total: np.ndarray, m: np.ndarray, t: np.ndarray, w: np.ndarray, n: np.ndarray) -> None:
-    """Adds X^T (X m) of the rows X to ``total``."""
-    y, dense, owner, rest = _times(m, t, w, n)
-    total[:DENSE] += dense.T @ y
-    if len(rest):
-        order = np.argsort(t[rest], kind="stable")
-        found, first = np.unique(t[rest][order], return_index=True)
-        total[found] += np.add.reduceat(w[rest][order, None] * y[owner[order]], first)
+    """Adds X^T (X m) of the rows X to ``total``; no row has a term twice."""
+    ends = np.cumsum(n).tolist()
+    for low, high in zip([0, *ends], ends, strict=False):
+        own, weight = t[low:high], w[low:high]
+        total[own] += np.outer(weight, weight @ m.take(own, 0))

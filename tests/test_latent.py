@@ -66,11 +66,11 @@ def test_few_directions_and_no_texts(spark):
     assert empty.embedded(few, "text", "v").filter("v is not null").count() == 0
 
 
-@pytest.mark.parametrize(("dense", "rows", "items"), [(2048, 1024, 1 << 17), (5, 3, 7), (0, 1, 1)])
-def test_products_equal_numpy(monkeypatch, dense, rows, items):
-    """Products of slices, whatever part of them is dense, are those of the whole matrix."""
-    for name, value in [("DENSE", dense), ("ROWS", rows), ("ITEMS", items)]:
-        monkeypatch.setattr(latent, name, value)
+@pytest.mark.parametrize(("rows", "items"), [(1024, 1 << 20), (3, 7), (1, 1)])
+def test_products_equal_numpy(monkeypatch, rows, items):
+    """Products of slices are those of the whole matrix."""
+    monkeypatch.setattr(latent, "ROWS", rows)
+    monkeypatch.setattr(latent, "ITEMS", items)
     r = np.random.default_rng(5)
     x = r.normal(size=(40, 12)) * (r.random((40, 12)) < 0.4)
     x[7] = x[39] = 0
@@ -79,7 +79,7 @@ def test_products_equal_numpy(monkeypatch, dense, rows, items):
     parts = []
     for own in latent._slices(n):
         low, high = n[: own.start].sum(), n[: own.stop].sum()
-        parts.append(latent._times(m, t[low:high], x[owner, t][low:high], n[own])[0])
+        parts.append(latent._times(m, t[low:high], x[owner, t][low:high], n[own]))
         latent._added(total, m, t[low:high], x[owner, t][low:high], n[own])
         assert len(parts[-1]) <= rows
     assert np.concatenate(parts) == pytest.approx(x @ m)
