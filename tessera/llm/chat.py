@@ -71,37 +71,40 @@ def _climbed(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     Each round joins what is known of a message with what is known of the ancestor where that ends, so that
     a chain of a thousand replies takes ten rounds of one row a message; each round is written to the
-    shared folder. Messages below a missing parent vanish on the way, circles never reach a root.
+    shared folder, and its rows are counted on the way. Messages below a missing parent vanish on the way, circles
+    never reach a root.
     """
     score = F.coalesce(F.col("score"), F.lit(0.0)) if "score" in messages.columns else F.lit(0.0)
-    state = shared.written(messages.select("tree", "node", F.col("parent").alias("above"), F.lit(1).cast("long").alias("n"), score.cast("double").alias("total")), "climb")
-    most, reach, ups = state.count(), 1, []
-    while True:
+    count = {"rows": F.count(F.lit(1)), "open": F.count("above")}
+    state, seen = shared.observed(messages.select("tree", "node", F.col("parent").alias("above"), F.lit(1).cast("long").alias("n"), score.cast("double").alias("total")), "climb", **count)
+    most, reach, ups = seen["rows"], 1, []
+    while reach <= most and seen["open"]:
         rest = state.filter("above is not null")
-        if reach > most or rest.isEmpty():
-            break
         ups.append(rest.select("tree", "node", "above"))
         far = state.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("n").alias("m"), F.col("total").alias("more"))
-        further = rest.join(far, ["tree", "above"]).select("tree", "node", F.col("top").alias("above"), (F.col("n") + F.col("m")).alias("n"), (F.col("total") + F.col("more")).alias("total"))
-        state, reach = shared.written(state.filter("above is null").unionByName(further), "climb"), 2 * reach
+        further = shared.matched(rest, far, ["tree", "above"]).select("tree", "node", F.col("top").alias("above"), (F.col("n") + F.col("m")).alias("n"), (F.col("total") + F.col("more")).alias("total"))
+        state, seen = shared.observed(state.filter("above is null").unionByName(further), "climb", **count)
+        reach *= 2
     return state.filter("above is null").select("tree", "node", "n", "total"), ups
 
 
 def _leaves(messages: DataFrame, reached: DataFrame) -> DataFrame:
     """The rows of ``reached`` to which nobody replied."""
     parents = messages.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    return reached.join(parents, ["tree", "node"], "left_anti").withColumnRenamed("node", "leaf")
+    return shared.matched(reached, parents, ["tree", "node"], "left_anti").withColumnRenamed("node", "leaf")
 
 
-def _upwards(leaves: DataFrame, reached: DataFrame, ups: list[DataFrame]) -> DataFrame:
-    """tree, leaf, depth, node of the paths from the roots to ``leaves`` (tree, leaf)."""
-    found = leaves.select("tree", "leaf", F.col("leaf").alias("node"))
-    for up in ups:  # the ancestors known so far, and those as far above them
-        step = shared.written(found.join(up, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node")), "paths")
-        if step.isEmpty():
+def _upwards(leaves: DataFrame, longest: int, ups: list[DataFrame]) -> DataFrame:
+    """depth and node of the paths from the roots to ``leaves`` (tree, leaf, n and others, which stay but for n), of
+    which the largest n is ``longest``."""
+    kept = [c for c in leaves.columns if c != "n"]
+    found = leaves.select(*kept, (F.col("n") - 1).cast("int").alias("depth"), F.col("leaf").alias("node"))
+    for k, up in enumerate(ups):  # the ancestors known so far, and those as far above them
+        if 1 << k >= longest:
             break
-        found = found.unionByName(step)
-    return found.join(reached, ["tree", "node"]).select("tree", "leaf", (F.col("n") - 1).cast("int").alias("depth"), "node")
+        step = shared.matched(found, up, ["tree", "node"]).select(*kept, (F.col("depth") - (1 << k)).alias("depth"), F.col("above").alias("node"))
+        found = found.unionByName(shared.written(step, "paths"))
+    return found
 
 
 def paths(messages: DataFrame) -> DataFrame:
@@ -111,8 +114,8 @@ def paths(messages: DataFrame) -> DataFrame:
     repeats its inner nodes for each leaf; :func:`conversations` makes only those of chosen leaves.
     """
     reached, ups = _climbed(messages)
-    leaves = shared.written(_leaves(messages, reached).select("tree", "leaf"), "leaves")
-    return _upwards(leaves, reached, ups)
+    leaves, seen = shared.observed(_leaves(messages, reached).select("tree", "leaf", "n"), "leaves", longest=F.max("n"))
+    return _upwards(leaves, seen["longest"] or 0, ups).select("tree", "leaf", "depth", "node")
 
 
 #: Windows into which the branches of one tree are dealt before the best are compared.
@@ -125,25 +128,28 @@ def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     ``messages`` has tree, node, parent, role, text and score. A branch scores the mean of its
     messages (null as 0); of equal branches the longer, then that of the lesser leaf is first. Other
     branches aren't formatted; that is the feature. Null roles and texts count as empty. Branches are
-    ranked by sums along the climb, and paths are made of the chosen ones only; a tree of very many
-    branches is ranked in parts first.
+    ranked by sums along the climb, and paths are made of the chosen ones only, a tree's only branch without
+    climbing again; a tree of very many branches is ranked in parts first.
     """
     reached, ups = _climbed(messages)
     leaves = _leaves(messages, reached).withColumn("score", F.col("total") / F.col("n"))
     order = [F.desc("score"), F.desc("n"), F.asc("leaf")]
     if branches == 1:
-        best = leaves.groupBy("tree").agg(F.max(F.struct("score", "n", (-F.col("leaf")).alias("l"))).alias("m"))
-        best = best.select("tree", (-F.col("m.l")).alias("leaf"), F.lit(1).alias("rank"))
+        best = leaves.groupBy("tree").agg(F.max(F.struct("score", "n", (-F.col("leaf")).alias("l"))).alias("m"), (F.count(F.lit(1)) == 1).alias("alone"))
+        best = best.select("tree", (-F.col("m.l")).alias("leaf"), F.lit(1).alias("rank"), "m.n", "alone")
     else:
-        salted = leaves.withColumn("salt", F.pmod(F.xxhash64("leaf"), F.lit(SALTS)))
+        salted, of_tree = leaves.withColumn("salt", F.pmod(F.xxhash64("leaf"), F.lit(SALTS))), Window.partitionBy("tree")
         best = salted.withColumn("rank", F.row_number().over(Window.partitionBy("tree", "salt").orderBy(*order))).filter(F.col("rank") <= branches)
-        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(*order))).filter(F.col("rank") <= branches).select("tree", "leaf", "rank")
-    best = shared.written(best, "branches")
-    found = _upwards(best, reached, ups)
+        best = best.withColumn("rank", F.row_number().over(of_tree.orderBy(*order))).withColumn("alone", F.count(F.lit(1)).over(of_tree) == 1)
+        best = best.filter(F.col("rank") <= branches).select("tree", "leaf", "rank", "n", "alone")
+    best, seen = shared.observed(best, "branches", longest=F.max(F.when(~F.col("alone"), F.col("n"))))
+    # above the only leaf of a tree are all messages that were reached
+    found = shared.matched(reached.select("tree", "node", "n"), best.filter("alone").select("tree", "leaf", "rank"), ["tree"]).select("tree", "leaf", "rank", (F.col("n") - 1).cast("int").alias("depth"), "node")
+    if seen["longest"]:
+        found = found.unionByName(_upwards(best.filter(~F.col("alone")).drop("alone"), seen["longest"], ups))
     turn = F.struct("depth", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    full = found.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
-    rows = full.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return rows.join(best, ["tree", "leaf"]).select("tree", "leaf", "rank", "turns")
+    full = shared.matched(found, messages.select("tree", "node", "role", "text"), ["tree", "node"])
+    return full.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
 def format_paths(rows: DataFrame) -> DataFrame:

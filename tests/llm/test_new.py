@@ -314,3 +314,41 @@ def test_long_and_short_articles(count):
         assert model.extract(around.format(f"<p>{text}</p>" * count)) == "\n".join(["A day of rain", *[text] * count])
     links = "".join(f"<li><a href='/{i}'>page {i}</a></li>" for i in range(min(count, 30)))
     assert model.extract(f"<html><body><article><p>{text}</p><ul>{links}</ul></article></body></html>").startswith(text)
+
+
+def test_chat_sends_no_table(spark, monkeypatch):
+    """However well a table is compressed, it isn't broadcast; rounds need no jobs of their own for counts, and trees of one
+    branch no second climb."""
+    tables, write = [], chat.shared.written
+
+    def watched(df, name, *args, **more):
+        tables.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name, *args, **more)
+
+    monkeypatch.setattr(chat.shared, "written", watched)
+    chain = spark.range(64).selectExpr("id % 2 as tree", "id div 2 as node", "if(id < 2, null, id div 2 - 1) as parent", "'user' as role", "string(id) as text")
+    got = chat.conversations(chain)
+    tables.append(("result", got._jdf.queryExecution().executedPlan().toString()))
+    assert [n for n, _ in tables] == ["climb"] * 6 + ["branches", "result"]
+    assert not [n for n, plan in tables if "Broadcast" in plan]
+    assert {r.tree: [int(t.text) for t in r.turns] for r in got.collect()} == {0: list(range(0, 64, 2)), 1: list(range(1, 64, 2))}
+
+
+@pytest.mark.parametrize("branches", [1, 2, 3])
+def test_chat_of_single_and_many_branches(spark, branches):
+    """Random forests, in which some trees have one branch, against a walk over each."""
+    r = random.Random(branches)
+    rows = [(t, i, (i - 1 if t % 3 == 0 else r.randrange(i)) if i else None, "user", f"{t} {i}", float(r.randrange(3))) for t in range(12) for i in range(r.randint(1, 20))]
+    rows += [(3, 100, 99, "user", "lost", 9.0), (20, 1, 2, "user", "circle", 1.0), (20, 2, 1, "user", "circle", 1.0)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    want = {}
+    for tree in range(12):
+        of = {n: (p, s) for t, n, p, _, _, s in rows if t == tree and n != 100}
+        paths = []
+        for leaf in of.keys() - {p for p, _ in of.values()}:
+            path = [leaf]
+            while of[path[-1]][0] is not None:
+                path.append(of[path[-1]][0])
+            paths.append((-sum(of[n][1] for n in path) / len(path), -len(path), leaf, path[::-1]))
+        want |= {(tree, leaf, k): [f"{tree} {n}" for n in path] for k, (_, _, leaf, path) in enumerate(sorted(paths)[:branches], 1)}
+    assert {(x.tree, x.leaf, x["rank"]): [t.text for t in x.turns] for x in chat.conversations(df, branches).collect()} == want
