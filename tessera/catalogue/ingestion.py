@@ -94,7 +94,7 @@ def _packed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
     make = {".docx": docx, ".xlsx": xlsx, ".pdf": pdf}
     for kinds, texts in batches:
         for begin, end in files.slices(texts):
-            yield pd.Series([make[k](t.split("\n")) for k, t in zip(kinds.iloc[begin:end], texts.iloc[begin:end], strict=True)])
+            yield pd.Series([None if t is None else make[k](t.split("\n") if t else []) for k, t in zip(kinds.iloc[begin:end], texts.iloc[begin:end], strict=True)])
 
 
 _PLAIN = "regexp_replace(text, '[^ -~\\n]', '?', 'g')"
@@ -106,10 +106,11 @@ def office_files_read(t):
     """Every document as a real DOCX, XLSX or PDF file, read again."""
     plain = F.regexp_replace("text", r"[^ -~\n]", "?")
     lines = F.array_join(F.filter(F.split(plain, "\n"), lambda x: F.trim(x) != ""), "\n")
-    kind = F.get(F.array(F.lit(".docx"), F.lit(".xlsx"), F.lit(".pdf")), (F.col("doc_id") % 3).cast("int"))
-    rows = t("documents").select("doc_id", kind.alias("extension"), _packed(kind, lines).alias("content"))
+    kind = F.when(F.col("doc_id") % 3 == 0, ".docx").when(F.col("doc_id") % 3 == 1, ".xlsx").otherwise(".pdf")
+    some = F.col("text").isNotNull() | (kind == ".xlsx")  # a sheet without lines has its name
+    rows = t("documents").select("doc_id", kind.alias("extension"), some.alias("some"), _packed(kind, F.when(some, F.coalesce(lines, F.lit("")))).alias("content"))
     found = files.document_text(rows)
-    return found.select("doc_id", F.md5("text").alias("text"), F.col("read_error").isNull().alias("read"))
+    return found.select("doc_id", F.when(F.col("some"), F.md5("text")).alias("text"), F.col("read_error").isNull().alias("read"))
 
 
 @query("SELECT doc_id, md5(reverse(text)) AS text FROM documents")
