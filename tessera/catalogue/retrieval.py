@@ -32,8 +32,8 @@ def vector_index_exact(t):
     aren't read."""
     rows = t("embeddings")
     made = vector_index.VectorIndex.build(rows, "vec_id", "embedding", vector_index.new_folder(rows.sparkSession), 64, cells=32)
-    hits = made.search(rows.filter("vec_id % 50 = 0"), "vec_id", "embedding", most=10, exact=True)
-    return hits.select("query", "key", F.round("score", 6).alias("score"), "rank")
+    hits = made.search(rows.filter("vec_id % 50 = 0"), "vec_id", "embedding", most=10, exact=True, digits=6)
+    return hits.select("query", "key", "score", "rank")
 
 
 @query()

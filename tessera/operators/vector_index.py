@@ -52,6 +52,11 @@ def means(x: np.ndarray, count: int, seed: int = 1, rounds: int = ROUNDS) -> np.
     return centres
 
 
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """To ``digits`` decimals, halves away from zero, as SQL rounds."""
+    return np.trunc(x * 10.0**digits + np.copysign(0.5, x)) / 10.0**digits
+
+
 @dataclass
 class Codes:
     """Cells and codebooks: ``cells`` (cells, dim), ``books`` (parts, codes, dim / parts)."""
@@ -134,10 +139,10 @@ class VectorIndex:
         lists = self.spark.read.schema(schema).parquet(f"{self.folder}/lists")
         return lists if cells is None else lists.filter(F.col("cell").isin(cells))
 
-    def search(self, queries: DataFrame, key: str, vector: str, most: int = 10, probes: int = 8, rerank: int = 100, threshold: float | None = None, exact: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, key: str, vector: str, most: int = 10, probes: int = 8, rerank: int = 100, threshold: float | None = None, exact: bool = False, digits: int = 9) -> DataFrame:
         """query, key, score, rank: the ``most`` most similar rows of each query, of which ``rerank`` are scored exactly.
 
-        Rows of equal score are in the order of their keys. ``exact``: all rows of the probed cells are scored, and
+        Scores are rounded to ``digits`` before they are ranked; rows of equal score are in the order of their keys. ``exact``: all rows of the probed cells are scored, and
         in a second pass those of every cell that might hold one as good as the last of a query. Queries go in
         blocks of AT_ONCE, each read by the driver to know its cells.
         """
@@ -148,11 +153,11 @@ class VectorIndex:
         found = None
         for k in range(max(1, -(-count // AT_ONCE))):
             block = blocks.filter(F.col("block") == k).select("query", "direction").toPandas()
-            part = self._block(block, asked.schema["query"].dataType, most, probes, rerank, exact)
+            part = self._block(block, asked.schema["query"].dataType, most, probes, rerank, exact, digits)
             found = part if found is None else found.unionByName(part)
         return found if threshold is None else found.filter(F.col("score") > threshold)
 
-    def _block(self, block, kind: T.DataType, most: int, probes: int, rerank: int, exact: bool) -> DataFrame:
+    def _block(self, block, kind: T.DataType, most: int, probes: int, rerank: int, exact: bool, digits: int) -> DataFrame:
         ids = block["query"].tolist()
         x = np.stack(block["direction"].to_numpy()).astype(np.float64) if ids else np.empty((0, self.size))
         far = np.sqrt(np.maximum(((x[:, None] - self.codes.cells[None]) ** 2).sum(2), 0)) if len(x) else np.empty((0, len(self.codes.cells)))
@@ -161,21 +166,21 @@ class VectorIndex:
         for i, cells in enumerate(wanted.tolist()):
             for c in cells:
                 asked.setdefault(c, []).append(i)
-        hits = self._hits(asked, x, ids, kind, most, None if exact else rerank)
+        hits = self._hits(asked, x, ids, kind, most, None if exact else rerank, digits)
         if exact:
             hits = scratch.Scratch(self.spark, "probes").table(hits, "hits")
             last = {r["query"]: r["score"] for r in hits.filter(F.col("rank") == most).select("query", "score").collect()}  # a row a query of the block
             radius = dict(self.rows().groupBy("cell").agg(F.max("off")).collect())
             more: dict[int, list[int]] = {}
             for i, q in enumerate(ids):
-                reach = np.sqrt(max(0.0, 2 - 2 * last[q])) + 1e-9 if q in last else np.inf  # cosine as distance of directions
+                reach = np.sqrt(max(0.0, 2 - 2 * (last[q] - 10.0**-digits))) + 1e-9 if q in last else np.inf  # cosine as distance of directions
                 for c, r in radius.items():
                     if far[i, c] - r <= reach and c not in wanted[i]:
                         more.setdefault(c, []).append(i)
-            hits = self._ranked(hits.drop("rank").unionByName(self._hits(more, x, ids, kind, most, None).drop("rank")), most)
+            hits = self._ranked(hits.drop("rank").unionByName(self._hits(more, x, ids, kind, most, None, digits).drop("rank")), most, digits)
         return hits
 
-    def _hits(self, asked: dict[int, list[int]], x: np.ndarray, ids: list, kind: T.DataType, most: int, rerank: int | None) -> DataFrame:
+    def _hits(self, asked: dict[int, list[int]], x: np.ndarray, ids: list, kind: T.DataType, most: int, rerank: int | None, digits: int) -> DataFrame:
         """Ranked rows of the cells of ``asked`` (queries by cell)."""
         codes, size = self.codes, self.size
 
@@ -195,10 +200,11 @@ class VectorIndex:
 
                 def found() -> pa.RecordBatch:
                     where, which = np.concatenate(at), np.repeat(np.array(of, np.int32), [len(x) for x in at])
-                    score = np.empty(len(where))
-                    for k in range(0, len(where), ROWS):  # two copies of a row's vector for each hit
+                    d = np.concatenate(near)
+                    score = np.empty(len(where)) if rerank else -d
+                    for k in range(0, len(where) if rerank else 0, ROWS):  # two copies of a row's vector for each hit
                         score[k : k + ROWS] = np.einsum("ij,ij->i", dirs[where[k : k + ROWS]], x[which[k : k + ROWS]])
-                    return pa.RecordBatch.from_arrays([pa.array(which), batch.column(0).take(pa.array(where)), pa.array(score), pa.array(np.concatenate(near))], names=["i", "key", "score", "d"])
+                    return pa.RecordBatch.from_arrays([pa.array(which), batch.column(0).take(pa.array(where)), pa.array(score), pa.array(d)], names=["i", "key", "score", "d"])
 
                 for i, wanted in cells_of.items():
                     own = [places[c] for c in wanted if c in places]
@@ -212,10 +218,12 @@ class VectorIndex:
                         d = -(dirs[own] @ x[i])
                     last = rerank or most
                     if len(d) > last:  # ties of the last place stay
-                        kept = np.flatnonzero(d <= np.partition(d, last - 1)[last - 1] + (0 if rerank else 1e-9))
+                        kept = np.flatnonzero(d <= np.partition(d, last - 1)[last - 1] + (0 if rerank else 2 * 10.0**-digits))
                         own, d = own[kept], d[kept]
-                    if rerank and len(d) > rerank:
-                        kept = np.lexsort((own, d))[:rerank]
+                    if not rerank:
+                        d = rounded(d, digits)
+                    if len(d) > last:
+                        kept = np.lexsort((own, d))[:last]
                         own, d = own[kept], d[kept]
                     at.append(own)
                     of.append(i)
@@ -234,12 +242,12 @@ class VectorIndex:
             order = Window.partitionBy("i").orderBy("d", "key")
             hits = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rerank)
         names = self.spark.createDataFrame([(i, q) for i, q in enumerate(ids)], T.StructType([T.StructField("i", T.IntegerType()), T.StructField("query", kind)]))
-        return self._ranked(hits.join(F.broadcast(names), "i").select("query", "key", "score"), most)
+        return self._ranked(hits.join(F.broadcast(names), "i").select("query", "key", "score"), most, digits)
 
     @staticmethod
-    def _ranked(hits: DataFrame, most: int) -> DataFrame:
+    def _ranked(hits: DataFrame, most: int, digits: int) -> DataFrame:
         order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-        return hits.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+        return hits.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
 def new_folder(spark: SparkSession, name: str = "vectors") -> str:

@@ -30,6 +30,6 @@ def odd(spark, tmp_path_factory):
     return str(tables)
 
 
-@pytest.mark.parametrize("name", ["embedding_text", "office_files_read"])
+@pytest.mark.parametrize("name", ["embedding_text", "office_files_read", "vector_index_exact"])
 def test_odd_rows_equal_sql(spark, odd, name):
     same(QUERIES[name](spark, odd), ORACLES[name], odd)
