@@ -3,7 +3,8 @@
 The n-grams are six lower-cased characters, unfolded, of any script: their table holds every one that
 the labelled rows have and grows with them. Each class has its own counts of the highest order and its
 own continuation counts of the lower ones, down to a uniform distribution. The table is made by
-groupings and joins, and sent to the executors only if it is small.
+groupings and joins, and sent to the executors whole or, if it is large, in parts that are used one after
+the other.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,11 @@ from tessera.llm.pieces import SPACE, classes, code_points
 
 #: Characters of an n-gram, and the sign that stands before a text.
 LENGTH, PAD = 6, "\x02"
-#: Bytes of the table up to which it is sent to the executors; a larger one is joined.
-SENT_BYTES = 96 << 20
-#: Characters of text that ask for their n-grams together where the table is larger.
-BUCKET_BYTES = 16 << 20
+#: Bytes of the table up to which it is sent to the executors as a whole; of a larger one in parts of
+#: PART_BYTES, of which a worker holds one.
+SENT_BYTES, PART_BYTES = 96 << 20, 32 << 20
+#: Bytes of text that meet each part together, and bits by which n-grams are dealt into parts.
+PASS_BYTES, PAIR_BITS = 8 << 20, 10
 DISCOUNT = 0.75
 #: Symbols of segments: a text is judged by its most toxic segments of both sizes and on the whole.
 SEGMENTS = (64, 24)
@@ -65,6 +67,28 @@ def keys_at(s: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return _mixed(h * _BASE + s[place + k - 1]), _mixed(h) ^ _CONTEXT
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (_mixed(a.astype(np.uint64) * _BASE + b.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int16)
+
+
+def pairs_of(grams: list[str], of: np.ndarray) -> np.ndarray:
+    """The number of the two characters before the last of each n-gram, or of the last two of a context
+    (``of``): all that is looked up for one place has the same, but for what is shorter, which gives -1."""
+    out = np.full(len(grams), -1, np.int16)
+    sizes = np.fromiter(map(len, grams), np.int64, len(grams)) + of
+    for size in set(sizes.tolist()) - {0, 1, 2}:
+        for context in (False, True):
+            at = np.flatnonzero((sizes == size) & (of == context))
+            c = code_points("".join(grams[i] for i in at.tolist())).reshape(-1, size - context)
+            out[at] = _pair(c[:, size - 3], c[:, size - 2])
+    return out
+
+
+def pairs_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same number for the n-grams at places ``at``."""
+    return _pair(s[at + LENGTH - 3], s[at + LENGTH - 2])
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Characters of all texts (lower case, white space as one, a space around), places of the n-grams
     in them, and how many each text has."""
@@ -137,15 +161,16 @@ def smoothed(count: DataFrame, length: int = LENGTH, size: int | None = None, di
 
 
 def keyed(table: DataFrame) -> DataFrame:
-    """``table`` with the 64-bit key of each n-gram or context instead of its characters."""
+    """``table`` with the 64-bit key of each n-gram or context, and its pair, instead of its characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = keys_of(batch.column(0).to_pylist())
-            key[batch.column(1).to_numpy(zero_copy_only=False)] ^= _CONTEXT
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2)], names=["key", "ratio"])
+            found, of = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            key = keys_of(found)
+            key[of] ^= _CONTEXT
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pairs_of(found, of)), batch.column(2)], names=["key", "pair", "ratio"])
 
-    return shared.mapped(table.select("gram", "of", "ratio"), run, "key long, ratio double")
+    return shared.mapped(table.select("gram", "of", "ratio"), run, "key long, pair short, ratio double")
 
 
 class Lookup:
@@ -173,16 +198,18 @@ class Lookup:
             live = live[at[live] < end[live]]
         return out
 
-    def ratio(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of every n-gram: its own, else that of its context and that of the n-gram of a lower order."""
+    def ratio(self, s: np.ndarray, at: np.ndarray, low: Lookup | None = None) -> np.ndarray:
+        """Of every n-gram: its own, else that of its context and that of the n-gram of a lower order. ``low``
+        has what is without a pair, if that isn't here."""
         out, rest = np.zeros(len(at), np.float32), np.arange(len(at))
         for k in range(LENGTH, 0, -1):
             key, context = keys_at(s, at[rest], k)
-            found = self.find(key)
+            held = low if low and k < 3 else self
+            found = held.find(key)
             none = np.isnan(found)
             out[rest[~none]] += found[~none]
             rest = rest[none]
-            out[rest] += np.nan_to_num(self.find(context[none]), nan=0.0)
+            out[rest] += np.nan_to_num(held.find(context[none]), nan=0.0)
         return out
 
 
@@ -207,87 +234,101 @@ def features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
 _X = ("__a", "__b", "__c")
 
 
-def featured(rows: DataFrame, table: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
+def _sent(table: DataFrame) -> Broadcast:
+    """The table as sorted keys and their ratios, sent to the executors."""
+    found = table.select("key", "ratio").toArrow()
+    key, ratio = found.column("key").to_numpy().view(np.uint64), found.column("ratio").to_numpy().astype(np.float32)
+    order = np.argsort(key, kind="stable")
+    pair = key[order], ratio[order]
+    del found, key, ratio, order  # the driver pickles the pair: no other copies beside it
+    pa.default_memory_pool().release_unused()
+    return table.sparkSession.sparkContext.broadcast(pair)
+
+
+def featured(rows: DataFrame, table: DataFrame, sent_bytes: int = SENT_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """``rows`` (the last column is __text) with the features of each text instead of it.
 
-    A keyed table of up to ``sent_bytes`` (counted first) is sent to the executors; a larger one meets
-    the distinct n-grams of buckets of texts.
+    A keyed table of up to ``sent_bytes`` (counted first) is sent to the executors; of a larger one its parts
+    of ``part_bytes``.
     """
     names = rows.columns[:-1]
     schema = shared.with_results(rows, "__a double, __b double, __c double")
-    if shared.fits(table, 16, sent_bytes):
-        found = table.toArrow()
-        key, ratio = found.column("key").to_numpy().view(np.uint64), found.column("ratio").to_numpy().astype(np.float32)
-        order = np.argsort(key, kind="stable")
-        pair = key[order], ratio[order]
-        del found, key, ratio, order  # the driver pickles the pair: no other copies beside it
-        pa.default_memory_pool().release_unused()
-        held = rows.sparkSession.sparkContext.broadcast(pair)
-        del pair
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lookup = Lookup(*held.value)
-            for batch, texts in shared.bounded(batches, "__text"):
-                s, at, n = grams(texts)
-                x = features(lookup.ratio(s, at), n)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in x.T)], names=[*names, *_X])
-
-        return shared.mapped(rows, run, schema)
-
-    return _bucketed(rows, table, schema)
-
-
-def _bucketed(rows: DataFrame, table: DataFrame, schema: T.StructType) -> DataFrame:
-    """As :func:`featured`, with a table of any size. Texts are dealt into buckets of BUCKET_BYTES as they
-    stand. Every distinct n-gram is resolved once against the table, a bucket asks for the distinct ones it
-    has, and both meet: about a row for each distinct n-gram of a bucket is shuffled, not for each place."""
+    if not shared.fits(table, 16, sent_bytes):
+        return _parted(rows, table, schema, part_bytes)
+    held = _sent(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(*held.value)
+        for batch, texts in shared.bounded(batches, "__text"):
+            s, at, n = grams(texts)
+            x = features(lookup.ratio(s, at), n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in x.T)], names=[*names, *_X])
+
+    return shared.mapped(rows, run, schema)
+
+
+def _packed(counts: dict[int, int], most: int) -> np.ndarray:
+    """The part of each pair: runs of pairs of up to ``most`` rows together, or of one pair that has more."""
+    out, part, total = np.zeros(1 << PAIR_BITS, np.int16), 0, 0
+    for pair in range(1 << PAIR_BITS):
+        n = counts.get(pair, 0)
+        if total and total + n > most:
+            part, total = part + 1, 0
+        out[pair] = part
+        total += n
+    return out
+
+
+def _taken(held: Broadcast) -> Lookup:
+    """What was sent, without a copy that stays behind in the worker."""
+    value = held.value
+    if held._path is not None:  # else it can't be read twice
+        vars(held).pop("_value", None)
+    return Lookup(*value)
+
+
+def _parted(rows: DataFrame, table: DataFrame, schema: T.StructType, part_bytes: int) -> DataFrame:
+    """As :func:`featured`, with a table of any size: nothing is shuffled and no text is read twice. All that is looked up
+    for a place is in the part of its pair, so that a worker needs one part at a time: places of PASS_BYTES of
+    texts are ordered by part, and each part is read once for them. What has no pair is small and always held."""
     names = rows.columns[:-1]
+    counts = {r["pair"]: r["count"] for r in table.groupBy("pair").count().collect()}
+    part_of = _packed(counts, max(1, part_bytes // 16))
+    low, parts = _sent(table.filter("pair < 0")), []
+    for p in range(int(part_of[-1]) + 1):
+        own = np.flatnonzero(part_of == p)
+        parts.append(_sent(table.filter(F.col("pair").between(int(own[0]), int(own[-1])))))
+
+    def ordered(batch: pa.RecordBatch, texts: list[str]) -> tuple:
+        s, at, n = grams(texts)
+        part = part_of[pairs_at(s, at)]
+        order = np.argsort(part, kind="stable").astype(np.int32)
+        ends = np.cumsum(np.bincount(part, minlength=len(parts)))
+        return batch.select(names), s, at[order].astype(np.int32), order, ends, n, np.zeros(len(at), np.float32)
+
+    def passed(waiting: list[tuple], shorter: Lookup) -> Iterator[pa.RecordBatch]:
+        for p, held in enumerate(parts):
+            lookup = _taken(held)
+            for _, s, at, order, ends, _, ratio in waiting:
+                own = slice(ends[p - 1] if p else 0, ends[p])
+                ratio[order[own]] = lookup.ratio(s, at[own], shorter)
+            del lookup
+        for batch, _, _, _, _, n, ratio in waiting:
+            x = features(ratio, n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in x.T)], names=[*names, *_X])
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, total = TaskContext.get().partitionId() << 32, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shorter, waiting, total = Lookup(*low.value), [], 0
         for batch, texts in shared.bounded(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(texts), first + total // BUCKET_BYTES))], names=[*batch.schema.names, "bucket"])
+            waiting.append(ordered(batch, texts))
             total += sum(map(len, texts))
+            if total >= PASS_BYTES:
+                yield from passed(waiting, shorter)
+                waiting, total = [], 0
+        if waiting:
+            yield from passed(waiting, shorter)
 
-    texts = shared.written(shared.mapped(rows, dealt, T.StructType([*rows.schema.fields, T.StructField("bucket", T.LongType())])), "texts")
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in shared.bounded(batches, "__text"):
-            s, at, n = grams(found)
-            both = np.stack([np.repeat(batch.column(0).to_numpy(), n), keys_at(s, at, LENGTH)[0].view(np.int64)], 1)
-            both = np.unique(both, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["bucket", "gram"])
-
-    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in shared.bounded(batches, "__text"):
-            s, at, _ = grams(found)
-            gram, first = np.unique(keys_at(s, at, LENGTH)[0], return_index=True)
-            for i in range(0, len(gram), 1 << 16):
-                for k in range(LENGTH, 0, -1):
-                    key, context = keys_at(s, at[first[i : i + (1 << 16)]], k)
-                    columns = [gram[i : i + (1 << 16)].view(np.int64), np.full(len(key), k), key.view(np.int64), context.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "k", "key", "context"])
-
-    each = shared.mapped(texts.select("__text"), orders, "gram long, k long, key long, context long").dropDuplicates(["gram", "k"])
-    each = each.join(table, "key", "left").join(table.select(F.col("key").alias("context"), F.col("ratio").alias("other")), "context", "left")
-    listed = each.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", "ratio", "other")), asc=False).alias("l"))
-    start = F.struct(F.lit(False).alias("done"), F.lit(0.0).alias("r"))
-    step = lambda a, x: F.when(a["done"], a).otherwise(F.struct(x["ratio"].isNotNull().alias("done"), (a["r"] + F.coalesce(x["ratio"], x["other"], F.lit(0.0))).alias("r")))
-    resolved = listed.select("gram", F.aggregate("l", start, step)["r"].alias("r"))
-    wanted = shared.mapped(texts.select("bucket", "__text"), asked, "bucket long, gram long").distinct().join(resolved, "gram").select("bucket", "gram", "r")
-
-    def met(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, ratio = right.column("gram").to_numpy().view(np.uint64), right.column("r").to_numpy().astype(np.float32)
-        order = np.argsort(key, kind="stable")
-        lookup, out = Lookup(key[order], ratio[order]), []
-        for batch, found in shared.bounded(iter(left.combine_chunks().to_batches()), "__text"):
-            s, at, n = grams(found)
-            x = features(lookup.find(keys_at(s, at, LENGTH)[0]), n)
-            out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c) for c in x.T)], names=[*names, *_X]))
-        kinds = [pa.field(c, left.schema.field(c).type) for c in names] + [pa.field(c, pa.float64()) for c in _X]
-        return pa.Table.from_batches(out, schema=out[0].schema if out else pa.schema(kinds))
-
-    return texts.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(met, schema)
+    return shared.mapped(rows, run, schema)
 
 
 class Model:
