@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tessera.catalogue import QUERIES
 from tessera.functions import enrich, fixed
 
 
@@ -31,3 +32,12 @@ def test_long_runs_of_names(spark):
     rows = [(0, run), (1, run + "System"), (2, run + "Project " + run), (3, run + "API")]
     got = {x.i: x.p for x in spark.createDataFrame(rows, "i int, t string").select("i", enrich.projects(F.col("t")).alias("p")).collect()}
     assert got == {0: [], 1: [run + "System"], 2: [run + "Project"], 3: ["API", run + "API"]}
+
+
+def test_graph_of_long_runs_of_names(spark, tmp_path):
+    """The graph ended with an error where a text had such a run."""
+    docs = [(0, "Abcde " * 20_000, "en", "a.org", 120_000), (1, "Foo Project on 01/02/2026", "en", "a.org", 25)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "Abcde " * 5000)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.what, r.kind): r.n for r in QUERIES["graph_from_tables"](spark, str(tmp_path)).collect()}
+    assert got["node", "document"] == 2 and got["node", "communication"] == 1
